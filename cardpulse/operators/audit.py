@@ -164,10 +164,9 @@ def change_counts(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO",
                     & (F.col("COLUMN") == F.col("_B_COLUMN")))
             .groupBy(*[F.col(f"_A_{k}").alias(k) for k in keys], "A_RANK", "COLUMN")
             .agg(F.sum(F.col("C_A") * F.col("C_B")).alias("SAME")))
-    cols_df = prime.sparkSession.createDataFrame([(c,) for c in compare_cols], "COLUMN string")
     same = same.select(*[F.col(k).alias(f"_S_{k}") for k in keys], F.col("A_RANK").alias("_S_RANK"),
                        F.col("COLUMN").alias("_S_COLUMN"), "SAME")
-    per_col = (pairs.crossJoin(F.broadcast(cols_df))  # fixed, tiny column list
+    per_col = (pairs.withColumn("COLUMN", F.explode(F.array(*[F.lit(c) for c in compare_cols])))
                .join(same, _null_safe_on("", "_S_", keys) & (F.col("A_RANK") == F.col("_S_RANK"))
                      & (F.col("COLUMN") == F.col("_S_COLUMN")), "left")
                .select(*keys, "A_RANK", "COLUMN", "PAIRS",
@@ -197,11 +196,11 @@ def change_summary(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO",
     months = months or snapshot_months(prime, at_least=2)
     keys = list(key_cols)
     per_col, pairs = change_counts(prime, compare_cols, key_cols, months)
-    tracked = pairs.select(*keys).distinct().agg(F.count(F.lit(1)).alias("TRACKED"))
+    tracked = pairs.select(*keys).distinct().count()  # one scalar
     summ = (per_col.where("CHANGED > 0").groupBy("COLUMN")
             .agg(F.sum("CHANGED").alias("total_changes"),
                  F.countDistinct(keys[0]).alias("unique_pairs_affected")))
-    return (summ.crossJoin(F.broadcast(tracked))  # one-row aggregate
+    return (summ.withColumn("TRACKED", F.lit(tracked))
             .select("COLUMN", F.col("total_changes").cast("bigint"), F.col("unique_pairs_affected").cast("bigint"),
                     F.bround(F.col("unique_pairs_affected") * 100.0 / F.col("TRACKED"), 2).alias("pct_pairs_affected")))
 

@@ -14,6 +14,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cardpulse.functions import contract
 from cardpulse.functions.months import MONTH_COL, label_expr, label_of, snapshot_months
@@ -121,12 +122,12 @@ def class_summary(labelled: DataFrame, type_col: str, churn_col: str, classes) -
     spine = spark.createDataFrame([(i + 1, name, flag) for i, (name, flag) in enumerate(classes)],
                                   f"CLASS_ORDER int, {type_col} string, {churn_col} int")
     counts = labelled.groupBy(type_col).agg(F.count(F.lit(1)).alias("N_ROWS"))
-    total = labelled.agg(F.count(F.lit(1)).alias("TOTAL"))
-    return (F.broadcast(spine).join(counts, type_col, "left")
-            .crossJoin(F.broadcast(total))
-            .select("CLASS_ORDER", type_col, churn_col,
-                    F.coalesce("N_ROWS", F.lit(0)).cast("bigint").alias("N_ROWS"),
-                    F.round(F.try_divide(F.coalesce("N_ROWS", F.lit(0)) * 100.0, F.col("TOTAL")), 4).alias("PCT_ROWS")))
+    joined = F.broadcast(spine).join(counts, type_col, "full")  # spine: fixed class list
+    total = F.sum("N_ROWS").over(Window.partitionBy())  # over the handful of class rows
+    return (joined.where(F.col("CLASS_ORDER").isNotNull())
+            .withColumn("TOTAL", total).withColumn("N_ROWS", F.coalesce("N_ROWS", F.lit(0)))
+            .select("CLASS_ORDER", type_col, churn_col, F.col("N_ROWS").cast("bigint").alias("N_ROWS"),
+                    F.round(F.try_divide(F.col("N_ROWS") * 100.0, F.col("TOTAL")), 4).alias("PCT_ROWS")))
 
 
 def churn_lookback(active: DataFrame, window: int = 1, id_col: str = "CUSTOMER_ID",

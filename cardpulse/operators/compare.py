@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cardpulse.functions import contract
 
@@ -47,10 +48,14 @@ def agreement_stats(comparison: DataFrame) -> DataFrame:
     spine = spark.createDataFrame([(i + 1, t) for i, t in enumerate(contract.DISAGREE_TYPES)],
                                   "TYPE_ORDER int, DISAGREE_TYPE string")
     counts = comparison.groupBy("DISAGREE_TYPE").agg(F.count(F.lit(1)).alias("N"))
-    total = comparison.agg(F.count(F.lit(1)).alias("TOTAL"),
-                           F.count_if(F.col("MERGE") == "both").alias("N_BOTH"),
-                           F.count_if((F.col("MERGE") == "both") & F.col("AGREE")).alias("N_AGREE"))
-    return (F.broadcast(spine).join(counts, "DISAGREE_TYPE", "left").crossJoin(F.broadcast(total))
+    joined = F.broadcast(spine).join(counts, "DISAGREE_TYPE", "full")  # spine: six fixed types
+    everything = Window.partitionBy()  # over at most seven type rows
+    both_types = ["both_churn", "both_not_churn", "STATUS_churn_only", "ACTIVATION_churn_only"]
+    n = F.coalesce("N", F.lit(0))
+    return (joined.withColumn("TOTAL", F.sum(n).over(everything))
+            .withColumn("N_BOTH", F.sum(F.when(F.col("DISAGREE_TYPE").isin(both_types), n)).over(everything))
+            .withColumn("N_AGREE", F.sum(F.when(F.col("DISAGREE_TYPE").isin(both_types[:2]), n)).over(everything))
+            .where(F.col("TYPE_ORDER").isNotNull())
             .select("TYPE_ORDER", "DISAGREE_TYPE", F.coalesce("N", F.lit(0)).cast("bigint").alias("N"),
                     F.round(F.try_divide(F.coalesce("N", F.lit(0)) * 100.0, F.col("TOTAL")), 4).alias("PCT"),
                     F.col("N_BOTH").cast("bigint"), F.col("N_AGREE").cast("bigint"),

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from cardpulse.functions import contract
 from cardpulse.functions.months import MONTH_COL, snapshot_months
-from cardpulse.operators import audit, churn, compare, identity
+from cardpulse.functions import norm
+from cardpulse.functions.stats import exact_quantiles
+from cardpulse.operators import audit, churn, compare, features, identity, profile, quality
 from cardpulse.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +159,196 @@ def q_common_ids(spark, sf_dir):
     return audit.common_ids(fx.prime(spark, sf_dir), fx.txn(spark, sf_dir))
 
 
+# ----------------------------------------------------------------- quality
+CAST_PLAN = {
+    "string": ["BRANCH_NAME", "ACTIVATED", "STATUS", "PRODUCT_NAME", "GENDER", "CUSTOMER_TYPE", "CARD_STATUS"],
+    "float": ["CREDIT_LIMIT", "DELIQUENCY", "LEDGER_BALANCE", "AVAILABLE_LIMIT", "OVERDUEAMOUNT",
+              "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD", "DOB_SERIAL"],
+    "int": ["RIMNO"],
+    "date": ["CREATION_DATE", "LAST_STATEMENT_DATE", "DOB", "CLOSURE_DATE"],
+}
+TXN_CATEGORICAL = ["PRODUCT_NAME", "CCY", "MCC", "SETTLEMENT_CCY", "BANKBRANCH", "TRXN_COUNTRY", "REVERSAL_FLAG"]
+PRIME_CATEGORICAL = ["BRANCH_NAME", "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD"]
+
+
+def q_cast_report(spark, sf_dir):
+    return quality.cast_and_report(fx.prime_raw(spark, sf_dir), CAST_PLAN)[1]
+
+
+def q_parse_numeric(spark, sf_dir):
+    raw = fx.prime_raw(spark, sf_dir)
+    return raw.select("ROW_ID", F.col("RIMNO").alias("RIMNO_RAW"), norm.parse_int("RIMNO").alias("RIMNO_INT"),
+                      norm.parse_float("DOB_SERIAL").alias("DOB_SERIAL_FLOAT"))
+
+
+def q_excel_serial_date(spark, sf_dir):
+    raw = fx.prime_raw(spark, sf_dir)
+    return raw.select("ROW_ID", "DOB_SERIAL", norm.excel_serial_to_timestamp("DOB_SERIAL").alias("DOB_FROM_SERIAL"))
+
+
+def q_missing_profile(spark, sf_dir):
+    return quality.missing_profile({"prime": fx.prime(spark, sf_dir), "txn": fx.txn(spark, sf_dir)})
+
+
+def q_categorical_domain(spark, sf_dir):
+    return quality.categorical_domain({"txn": (fx.txn(spark, sf_dir), TXN_CATEGORICAL),
+                                       "prime": (fx.prime(spark, sf_dir), PRIME_CATEGORICAL)})
+
+
+# ----------------------------------------------------------------- features
+def _txn_capped(spark, sf_dir):
+    """Transactions with BILLING_AMT and ORIG_AMOUNT capped at their p99 (the
+    amounts every spend aggregate uses)."""
+    t = fx.txn(spark, sf_dir)
+    return features.winsorize(t, features.p99_caps(t, ["BILLING_AMT", "ORIG_AMOUNT"]))
+
+
+def _features(spark, sf_dir):
+    prime, txn = fx.prime(spark, sf_dir), fx.txn(spark, sf_dir)
+    fee_med = exact_quantiles(prime, "ANNUAL_FEE", [0.5])[0]
+    od_cap = exact_quantiles(prime, "OVERDUEAMOUNT", [0.99])[0]
+    return features.card_features(prime, fx.PRIME_AS_OF, features.txn_recency(txn, fx.TXN_AS_OF), fee_med, od_cap)
+
+
+FEATURE_COLUMNS = ["ROW_ID", "SNAP_MONTH", "RIMNO", "GENDER", "ANNUAL_FEE", "OVERDUEAMOUNT", "ACCOUNT_TENURE_MONTHS",
+                   "DAYS_SINCE_LAST_PAYMENT", "TIME_TO_CHURN_DAYS", "AGE", "AGE_GROUP", "LIMIT_BAND",
+                   "UTILIZATION_RATIO", "AVAILABLE_CREDIT_RATIO", "FEE_TO_LIMIT_RATIO", "CARD_REPLACEMENT_FREQ",
+                   "DAYS_SINCE_LAST_TXN"]
+_ROUNDED = {"ACCOUNT_TENURE_MONTHS", "UTILIZATION_RATIO", "AVAILABLE_CREDIT_RATIO", "FEE_TO_LIMIT_RATIO",
+            "ANNUAL_FEE", "OVERDUEAMOUNT"}
+
+
+def q_impute_median(spark, sf_dir):
+    t = fx.txn(spark, sf_dir)
+    imp = features.impute_median(t.withColumn("ORIG_AMOUNT_RAW", F.col("ORIG_AMOUNT")), ["ORIG_AMOUNT"])
+    return imp.select("TXN_ID", "ORIG_AMOUNT_RAW", F.round("ORIG_AMOUNT", 6).alias("ORIG_AMOUNT"))
+
+
+def q_winsorize_p99(spark, sf_dir):
+    t = features.impute_median(fx.txn(spark, sf_dir), ["ORIG_AMOUNT"])
+    cols = ["BILLING_AMT", "SETTLEMENT_AMT", "ORIG_AMOUNT"]
+    capped = features.winsorize(t, features.p99_caps(t, cols))
+    return capped.select("TXN_ID", *[F.round(c, 6).alias(c) for c in cols])
+
+
+def q_card_features(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return f.select(*[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in FEATURE_COLUMNS])
+
+
+def q_txn_recency(spark, sf_dir):
+    return features.txn_recency(fx.txn(spark, sf_dir), fx.TXN_AS_OF)
+
+
+def q_age_groups(spark, sf_dir):
+    return features.band_counts(_features(spark, sf_dir), "AGE_GROUP", contract.AGE_BANDS, "AGE_GROUP")
+
+
+def q_limit_bands(spark, sf_dir):
+    return features.band_counts(_features(spark, sf_dir), "LIMIT_BAND", contract.LIMIT_BANDS, "LIMIT_BAND")
+
+
+def _rfm(spark, sf_dir):
+    return features.rfm(_txn_capped(spark, sf_dir), fx.TXN_AS_OF)
+
+
+def q_rfm(spark, sf_dir):
+    r = _rfm(spark, sf_dir)
+    return r.select("RIMNO", F.round("TOTAL_SPEND", 4).alias("TOTAL_SPEND"), F.round(F.col("AVG_TXN") * F.lit(1 + 1e-12), 4).alias("AVG_TXN"),
+                    "TXN_COUNT", "RECENCY")
+
+
+# ----------------------------------------------------------------- profile
+def q_top_products(spark, sf_dir):
+    return profile.top_values(fx.prime(spark, sf_dir), "PRODUCT_NAME", 15)
+
+
+def q_top_branches(spark, sf_dir):
+    return profile.top_values(fx.prime(spark, sf_dir), "BRANCH_NAME", 15)
+
+
+def q_demographics(spark, sf_dir):
+    return profile.demographics(fx.prime(spark, sf_dir), ["GENDER", "CUSTOMER_TYPE", "ACTIVATED", "STATUS_NAME"], 8)
+
+
+def q_delinquency_distribution(spark, sf_dir):
+    p = fx.prime(spark, sf_dir)
+    return (p.where(F.col("DELIQUENCY").isNotNull()).groupBy("DELIQUENCY").agg(F.count(F.lit(1)).alias("N"))
+            .orderBy("DELIQUENCY").limit(10))
+
+
+def q_foreign_share(spark, sf_dir):
+    return profile.foreign_share(fx.txn(spark, sf_dir))
+
+
+def q_top_foreign_countries(spark, sf_dir):
+    t = fx.txn(spark, sf_dir)
+    return profile.top_values(t.where(profile.foreign_flag() == 1), "TRXN_COUNTRY", 10)
+
+
+def q_mcc_top_spend(spark, sf_dir):
+    return profile.mcc_top_spend(_txn_capped(spark, sf_dir), 15)
+
+
+def q_monthly_trend(spark, sf_dir):
+    return profile.monthly_trend(_txn_capped(spark, sf_dir), fx.TREND_START, fx.TREND_END)
+
+
+CORR_COLUMNS = ["CREDIT_LIMIT", "LEDGER_BALANCE", "OVERDUEAMOUNT", "LAST_PAYMENT_AMOUNT", "DELIQUENCY", "NO_OF_CYCLES",
+                "ACCOUNT_TENURE_MONTHS", "DAYS_SINCE_LAST_PAYMENT", "AGE", "FEE_TO_LIMIT_RATIO",
+                "CARD_REPLACEMENT_FREQ"]
+
+
+def q_correlation(spark, sf_dir):
+    return profile.correlation(_features(spark, sf_dir), CORR_COLUMNS)
+
+
+# (source, column, bins, trim quantile, strict trim)
+HIST_SPECS = [("prime", c, 50, 0.99, False) for c in ["CREDIT_LIMIT", "LEDGER_BALANCE", "OVERDUEAMOUNT",
+                                                       "LAST_PAYMENT_AMOUNT", "JOINING_FEE", "ANNUAL_FEE"]] + \
+    [("txn", c, 60, 0.99, False) for c in ["BILLING_AMT", "ORIG_AMOUNT"]] + \
+    [("features", "ACCOUNT_TENURE_MONTHS", 40, None, False), ("features", "DAYS_SINCE_LAST_PAYMENT", 40, 0.99, True)] + \
+    [("rfm", c, 50, None, False) for c in ["TOTAL_SPEND", "AVG_TXN", "TXN_COUNT", "RECENCY"]]
+
+
+def _histograms(spark, sf_dir, specs):
+    sources = {"prime": lambda: fx.prime(spark, sf_dir), "txn": lambda: fx.txn(spark, sf_dir),
+               "features": lambda: _features(spark, sf_dir), "rfm": lambda: _rfm(spark, sf_dir)}
+    cache, out = {}, None
+    for src, col, bins, q, strict in specs:
+        if src not in cache:
+            cache[src] = sources[src]()
+        if col not in cache[src].columns:
+            continue
+        h = profile.histogram(cache[src], col, bins, q, strict, name=f"{src}.{col}")
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+def q_histogram(spark, sf_dir):
+    return _histograms(spark, sf_dir, HIST_SPECS)
+
+
+def q_kde(spark, sf_dir):
+    return profile.kde_from_histogram(_histograms(spark, sf_dir, [s for s in HIST_SPECS if s[0] == "prime"]))
+
+
+def q_cap_before_after(spark, sf_dir):
+    t, p = fx.txn(spark, sf_dir), fx.prime(spark, sf_dir)
+    out = None
+    for src, col in ((t, "BILLING_AMT"), (t, "ORIG_AMOUNT"), (p, "OVERDUEAMOUNT")):
+        capped = features.winsorize(src, features.p99_caps(src, [col]))
+        for stage, df in (("before", src), ("after", capped)):
+            b = profile.box_stats(df, col).withColumn("COLUMN_NAME", F.lit(col)).withColumn("STAGE", F.lit(stage))
+            out = b if out is None else out.unionByName(b)
+    return out.select("COLUMN_NAME", "STAGE", "N", "Q1", "MEDIAN", "Q3", "WHISKER_LO", "WHISKER_HI", "N_OUTLIERS")
+
+
+def q_boxplot_by_delinquency(spark, sf_dir):
+    f = _features(spark, sf_dir).where(F.col("DELIQUENCY") > 0)
+    return profile.grouped_box_stats(f, "DELIQUENCY", "OVERDUEAMOUNT")
+
+
 QUERIES: dict[str, Query] = {
     "activation_lifecycle": q_activation_lifecycle,
     "status_lifecycle": q_status_lifecycle,
@@ -182,4 +374,29 @@ QUERIES: dict[str, Query] = {
     "change_rates": q_change_rates,
     "change_summary": q_change_summary,
     "common_ids": q_common_ids,
+    "cast_report": q_cast_report,
+    "parse_numeric": q_parse_numeric,
+    "excel_serial_date": q_excel_serial_date,
+    "missing_profile": q_missing_profile,
+    "categorical_domain": q_categorical_domain,
+    "impute_median": q_impute_median,
+    "winsorize_p99": q_winsorize_p99,
+    "card_features": q_card_features,
+    "txn_recency": q_txn_recency,
+    "age_groups": q_age_groups,
+    "limit_bands": q_limit_bands,
+    "rfm": q_rfm,
+    "top_products": q_top_products,
+    "top_branches": q_top_branches,
+    "demographics": q_demographics,
+    "delinquency_distribution": q_delinquency_distribution,
+    "foreign_share": q_foreign_share,
+    "top_foreign_countries": q_top_foreign_countries,
+    "mcc_top_spend": q_mcc_top_spend,
+    "monthly_trend": q_monthly_trend,
+    "correlation": q_correlation,
+    "histogram": q_histogram,
+    "kde": q_kde,
+    "cap_before_after": q_cap_before_after,
+    "boxplot_by_delinquency": q_boxplot_by_delinquency,
 }

@@ -290,4 +290,6 @@ SELECT "COLUMN", count(*) AS total_changes, count(DISTINCT RIMNO) AS unique_pair
 FROM changes GROUP BY 1""")
     q["common_ids"] = sql("", """
 SELECT RIMNO FROM prime WHERE RIMNO IS NOT NULL INTERSECT SELECT RIMNO FROM txn WHERE RIMNO IS NOT NULL""")
+    from cardpulse.plans import oracle_profile
+    q.update(oracle_profile.oracle_sql())
     return q
