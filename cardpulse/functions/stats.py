@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,20 +67,26 @@ def _order_stats(x: DataFrame, ranks: list[int], n: int, limit: int) -> dict[int
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], limit: int = LIMIT) -> list[float | None]:
     """Linear-interpolated exact quantiles of a numeric column (nulls and NaN ignored)."""
-    x = df.select(F.col(col).cast("double").alias("_X")).where(F.col("_X").isNotNull() & ~F.isnan("_X"))
-    n = x.count()
-    if n == 0:
-        return [None for _ in probs]
-    result = []
-    for p in probs:
-        pos = p * (n - 1)
-        k = math.floor(pos)
-        frac = pos - k
-        k2 = min(k + 1, n - 1)
-        vals = _order_stats(x, [k, k2], n, limit)
-        a, b = vals[k], vals[k2]
-        result.append(a + frac * (b - a) if frac else a)
-    return result
+    # the single projected column is kept (memory, spilling to disk) across the few
+    # passes so the upstream plan is not recomputed per pass; lost blocks recompute
+    x = df.select(F.col(col).cast("double").alias("_X")).where(F.col("_X").isNotNull() & ~F.isnan("_X")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = x.count()
+        if n == 0:
+            return [None for _ in probs]
+        result = []
+        for p in probs:
+            pos = p * (n - 1)
+            k = math.floor(pos)
+            frac = pos - k
+            k2 = min(k + 1, n - 1)
+            vals = _order_stats(x, [k, k2], n, limit)
+            a, b = vals[k], vals[k2]
+            result.append(a + frac * (b - a) if frac else a)
+        return result
+    finally:
+        x.unpersist()
 
 
 def grouped_exact_quantiles(df: DataFrame, group_col: str, col: str, probs: list[float],

@@ -15,7 +15,7 @@ from cardpulse.functions import contract
 from cardpulse.functions.months import MONTH_COL, snapshot_months
 from cardpulse.functions import norm
 from cardpulse.functions.stats import exact_quantiles
-from cardpulse.operators import audit, churn, compare, features, identity, profile, quality
+from cardpulse.operators import audit, churn, compare, features, identity, profile, quality, segment
 from cardpulse.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -349,6 +349,83 @@ def q_boxplot_by_delinquency(spark, sf_dir):
     return profile.grouped_box_stats(f, "DELIQUENCY", "OVERDUEAMOUNT")
 
 
+# ----------------------------------------------------------------- segmentation
+SEG_COLUMNS = ["TOTAL_SPEND_LOG", "AVG_TXN", "TXN_COUNT", "RECENCY"]
+
+
+def _seg_input(spark, sf_dir):
+    """Per-customer numeric features (RFM of capped spend, log1p of the total)."""
+    r = _rfm(spark, sf_dir)
+    return r.select("RIMNO",
+                    F.log1p(F.greatest(F.coalesce("TOTAL_SPEND", F.lit(0.0)), F.lit(0.0))).alias("TOTAL_SPEND_LOG"),
+                    F.coalesce("AVG_TXN", F.lit(0.0)).alias("AVG_TXN"), F.col("TXN_COUNT").cast("double"),
+                    F.col("RECENCY").cast("double"))
+
+
+def _scaled(spark, sf_dir):
+    return segment.robust_scale(_seg_input(spark, sf_dir), SEG_COLUMNS)
+
+
+_BEST_K: dict[str, int] = {}  # k chosen per input folder (inputs are immutable)
+
+
+def _segments(spark, sf_dir):
+    scaled = _scaled(spark, sf_dir)
+    if sf_dir not in _BEST_K:
+        _, _BEST_K[sf_dir] = segment.choose_k(scaled, SEG_COLUMNS, (2, 8))
+    return segment.gmm_segments(scaled, SEG_COLUMNS, _BEST_K[sf_dir])
+
+
+def _with_vec(df):
+    return df.withColumn("VEC", F.array(*[F.col(c).cast("double") for c in SEG_COLUMNS]))
+
+
+def q_robust_scale(spark, sf_dir):
+    return _scaled(spark, sf_dir).select("RIMNO", *[F.round(c, 6).alias(c) for c in SEG_COLUMNS])
+
+
+def q_best_k(spark, sf_dir):
+    table, k = segment.choose_k(_scaled(spark, sf_dir), SEG_COLUMNS, (2, 8))
+    _BEST_K[sf_dir] = k
+    return table
+
+
+def q_segments(spark, sf_dir):
+    return _segments(spark, sf_dir).select("RIMNO", "CLUSTER")
+
+
+def _local(spark, sf_dir):
+    seg = _with_vec(_segments(spark, sf_dir))
+    scored = segment.isolation_scores(seg.select("RIMNO", "CLUSTER", "VEC"), "RIMNO", "VEC", "CLUSTER")
+    return segment.flag_outliers(scored, 0.03, "CLUSTER", "IS_LOCAL_OUTLIER")
+
+
+def _global(spark, sf_dir):
+    sc = _with_vec(_scaled(spark, sf_dir))
+    scored = segment.isolation_scores(sc.select("RIMNO", "VEC"), "RIMNO", "VEC")
+    return segment.flag_outliers(scored, 0.01, None, "IS_GLOBAL_OUTLIER")
+
+
+def q_local_outliers(spark, sf_dir):
+    return _local(spark, sf_dir).select("RIMNO", "CLUSTER", "IF_SCORE", "IS_LOCAL_OUTLIER")
+
+
+def q_global_outliers(spark, sf_dir):
+    return _global(spark, sf_dir).select("RIMNO", "IF_SCORE", "IS_GLOBAL_OUTLIER")
+
+
+def q_cluster_profile(spark, sf_dir):
+    """Mean of every feature per cluster, with the final outlier share (local OR global)."""
+    loc = _local(spark, sf_dir).select("RIMNO", "CLUSTER", "IS_LOCAL_OUTLIER")
+    glo = _global(spark, sf_dir).select("RIMNO", "IS_GLOBAL_OUTLIER")
+    raw = _seg_input(spark, sf_dir)
+    full = raw.join(loc, "RIMNO").join(glo, "RIMNO") \
+        .withColumn("IS_OUTLIER", F.col("IS_LOCAL_OUTLIER") | F.col("IS_GLOBAL_OUTLIER"))
+    return full.groupBy("CLUSTER").agg(F.count(F.lit(1)).alias("N"),
+                                       *[F.avg(c).alias(f"MEAN_{c}") for c in SEG_COLUMNS],
+                                       F.avg(F.col("IS_OUTLIER").cast("double")).alias("OUTLIER_SHARE"))
+
+
 QUERIES: dict[str, Query] = {
     "activation_lifecycle": q_activation_lifecycle,
     "status_lifecycle": q_status_lifecycle,
@@ -399,4 +476,10 @@ QUERIES: dict[str, Query] = {
     "kde": q_kde,
     "cap_before_after": q_cap_before_after,
     "boxplot_by_delinquency": q_boxplot_by_delinquency,
+    "robust_scale": q_robust_scale,
+    "best_k": q_best_k,
+    "segments": q_segments,
+    "local_outliers": q_local_outliers,
+    "global_outliers": q_global_outliers,
+    "cluster_profile": q_cluster_profile,
 }

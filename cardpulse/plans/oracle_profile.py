@@ -277,4 +277,12 @@ SELECT COL_A, COL_B, round(CASE WHEN isnan(c) THEN NULL ELSE c END, 6) AS CORR F
     q["boxplot_by_delinquency"] = sql(FEATURES, f"""
 SELECT g.DELIQUENCY, b.* FROM (SELECT DISTINCT DELIQUENCY FROM feat WHERE DELIQUENCY > 0 AND OVERDUEAMOUNT IS NOT NULL) g,
 LATERAL {_box('feat', 'OVERDUEAMOUNT', 'DELIQUENCY = g.DELIQUENCY')} b""")
+    seg = ["TOTAL_SPEND_LOG", "AVG_TXN", "TXN_COUNT", "RECENCY"]
+    scaled = ", ".join(
+        f"round(({c} - (SELECT quantile_cont({c}, 0.5) FROM seg_in)) / coalesce(nullif("
+        f"(SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM seg_in), 0), 1), 6) AS {c}" for c in seg)
+    q["robust_scale"] = sql(FEATURES + """,
+seg_in AS (SELECT RIMNO, ln(1 + greatest(coalesce(TOTAL_SPEND, 0), 0)) AS TOTAL_SPEND_LOG,
+                  coalesce(AVG_TXN, 0) AS AVG_TXN, CAST(TXN_COUNT AS DOUBLE) AS TXN_COUNT,
+                  CAST(RECENCY AS DOUBLE) AS RECENCY FROM rfm_t)""", f"SELECT RIMNO, {scaled} FROM seg_in")
     return q
