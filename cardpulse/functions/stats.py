@@ -25,43 +25,70 @@ LIMIT = 50_000
 MAX_ROUNDS = 8
 
 
-def _order_stats(x: DataFrame, ranks: list[int], n: int, limit: int) -> dict[int, float]:
-    """Exact values at 0-based ``ranks`` of the non-null column ``_X`` of ``x`` (n rows)."""
-    lo_r, hi_r = min(ranks), max(ranks)
-    lo = hi = None  # inclusive value bracket; None = unbounded
-    offset, size = 0, n  # values below the bracket, values inside it
-    sub = x
+def _between(lo, hi):
+    c = F.col("_X")
+    if lo is None:
+        return F.lit(True)
+    return c.between(F.lit(lo), F.lit(hi))
+
+
+def _order_stats(x: DataFrame, wanted: list[list[int]], n: int, limit: int) -> dict[int, float]:
+    """Exact values at the 0-based ranks of the non-null column ``_X`` of ``x`` (n rows).
+
+    ``wanted`` holds one short rank list per requested quantile; every list keeps its
+    own value bracket, but each pass serves all brackets at once (one sketch job per
+    distinct bracket, one counting aggregate, one final value-count fetch)."""
     grid = [i / GRID for i in range(GRID + 1)]
+    br = [{"ranks": r, "lo": None, "hi": None, "off": 0, "size": n, "done": False} for r in wanted]
     for _ in range(MAX_ROUNDS):
-        if size <= limit:
+        big = [b for b in br if not b["done"] and b["size"] > limit]
+        if not big:
             break
-        qs = sub.agg(F.percentile_approx("_X", grid, ACCURACY).alias("q")).first()["q"]
-        i_lo = max(0, math.floor((lo_r - offset) / size * GRID) - 2)
-        i_hi = min(GRID, math.ceil((hi_r - offset + 1) / size * GRID) + 2)
-        new_lo, new_hi = qs[i_lo], qs[i_hi]
-        row = sub.agg(F.count_if(F.col("_X") < new_lo).alias("b"),
-                      F.count_if(F.col("_X").between(new_lo, new_hi)).alias("i")).first()
-        below, inside = row["b"], row["i"]
-        covered = offset + below <= lo_r and hi_r < offset + below + inside
-        if not covered or inside >= size:
-            break  # sketch miss or heavy ties: keep the verified bracket and finish exactly
-        lo, hi, offset, size = new_lo, new_hi, offset + below, inside
-        sub = x.where(F.col("_X").between(lo, hi))
-    # the bracket now has few rows, or few distinct values (ties): fetch value counts
-    vc = sub.groupBy("_X").agg(F.count(F.lit(1)).alias("c"))
-    distinct = vc.count()
-    if distinct > limit * 20:
+        sketches = {}
+        for b in big:
+            key = (b["lo"], b["hi"])
+            if key not in sketches:
+                sketches[key] = x.where(_between(*key)).agg(
+                    F.percentile_approx("_X", grid, ACCURACY).alias("q")).first()["q"]
+        props = []
+        for b in big:
+            qs = sketches[(b["lo"], b["hi"])]
+            lo_r, hi_r = min(b["ranks"]), max(b["ranks"])
+            i_lo = max(0, math.floor((lo_r - b["off"]) / b["size"] * GRID) - 2)
+            i_hi = min(GRID, math.ceil((hi_r - b["off"] + 1) / b["size"] * GRID) + 2)
+            props.append((qs[i_lo], qs[i_hi]))
+        aggs = []
+        for i, (lo, hi) in enumerate(props):
+            aggs += [F.count_if(F.col("_X") < F.lit(lo)).alias(f"b{i}"),
+                     F.count_if(F.col("_X").between(F.lit(lo), F.lit(hi))).alias(f"i{i}")]
+        row = x.agg(*aggs).first()
+        for i, (b, (lo, hi)) in enumerate(zip(big, props)):
+            below, inside = row[f"b{i}"], row[f"i{i}"]
+            covered = below <= min(b["ranks"]) and max(b["ranks"]) < below + inside
+            if not covered or inside >= b["size"]:
+                b["done"] = True  # sketch miss or heavy ties: keep the verified bracket
+            else:
+                b.update(lo=lo, hi=hi, off=below, size=inside)
+    cond = None
+    for b in br:
+        c = _between(b["lo"], b["hi"])
+        cond = c if cond is None else cond | c
+    vc = x.where(cond).groupBy("_X").agg(F.count(F.lit(1)).alias("c"))
+    if vc.count() > limit * 20 * len(br):
         raise RuntimeError("quantile bracket did not narrow; too many distinct values")
-    out, pos = {}, offset
-    want = sorted(set(ranks))
-    j = 0
-    for v, c in sorted((r["_X"], r["c"]) for r in vc.collect()):
-        while j < len(want) and want[j] < pos + c:
-            out[want[j]] = v
-            j += 1
-        pos += c
-        if j == len(want):
-            break
+    values = sorted((r["_X"], r["c"]) for r in vc.collect())
+    out = {}
+    for b in br:
+        pos, want, j = b["off"], sorted(set(b["ranks"])), 0
+        for v, c in values:
+            if b["lo"] is not None and not (b["lo"] <= v <= b["hi"]):
+                continue
+            while j < len(want) and want[j] < pos + c:
+                out[want[j]] = v
+                j += 1
+            pos += c
+            if j == len(want):
+                break
     return out
 
 
@@ -75,16 +102,13 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], limit: int = LI
         n = x.count()
         if n == 0:
             return [None for _ in probs]
-        result = []
+        plan = []
         for p in probs:
             pos = p * (n - 1)
             k = math.floor(pos)
-            frac = pos - k
-            k2 = min(k + 1, n - 1)
-            vals = _order_stats(x, [k, k2], n, limit)
-            a, b = vals[k], vals[k2]
-            result.append(a + frac * (b - a) if frac else a)
-        return result
+            plan.append((k, min(k + 1, n - 1), pos - k))
+        vals = _order_stats(x, [[k, k2] for k, k2, _ in plan], n, limit)
+        return [vals[k] + f * (vals[k2] - vals[k]) if f else vals[k] for k, k2, f in plan]
     finally:
         x.unpersist()
 
