@@ -24,20 +24,24 @@ def _in(c: str, values) -> Column:
     return F.coalesce(F.col(c).isin(list(values)), F.lit(False))
 
 
+def spread_null_key(c: str) -> Column:
+    """Join key equal to ``c``, except that a null becomes a unique text that matches
+    nothing: id-less rows then spread over all join partitions instead of piling into
+    the single partition of the null key (they keep the default label)."""
+    return F.coalesce(F.col(c), F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
+
+
 def _attach_labels(latest: DataFrame, labels: DataFrame, id_col: str, churn_col: str, type_col: str,
                    default_type: str) -> DataFrame:
-    """latest rows + (churn, type) by id; id-less rows keep the default label."""
-    keyed = latest.where(F.col(id_col).isNotNull())
-    unkeyed = (latest.where(F.col(id_col).isNull())
-               .withColumn(churn_col, F.lit(0)).withColumn(type_col, F.lit(default_type)))
-    present = labels.where("IN_LATEST").select(id_col, churn_col, type_col)
-    joined = (keyed.join(present, id_col, "left")
+    """latest rows + (churn, type) by id (one scan of the latest month, one left join);
+    id-less rows keep the default label."""
+    present = labels.where("IN_LATEST").select(F.col(id_col).alias("_JK"), churn_col, type_col)
+    joined = (latest.withColumn("_JK", spread_null_key(id_col)).join(present, "_JK", "left")
               .withColumn(churn_col, F.coalesce(churn_col, F.lit(0)))
               .withColumn(type_col, F.coalesce(type_col, F.lit(default_type))))
     cols = latest.columns + [churn_col, type_col]
     stubs = labels.where("IN_HIST AND NOT IN_LATEST").select(id_col, churn_col, type_col)
-    return (joined.select(cols).unionByName(unkeyed.select(cols))
-            .unionByName(stubs, allowMissingColumns=True).select(cols))
+    return joined.select(cols).unionByName(stubs, allowMissingColumns=True).select(cols)
 
 
 def activation_flags(prime: DataFrame, months: list[dt.date] | None = None, id_col: str = "RIMNO",
