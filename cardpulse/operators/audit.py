@@ -88,17 +88,27 @@ def text_image(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def change_log(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
-               months: list[dt.date] | None = None) -> DataFrame:
+               months: list[dt.date] | None = None, pairing: str = "all", order_col: str = "ROW_ID") -> DataFrame:
     """Every (old, new) value change per card key between consecutive snapshots.
 
     One self-join for all transitions (key + rank_b = rank_a + 1, null-safe keys),
     then one ``explode`` over an array of (column, old, new) structs filtered to the
     changed ones - a single pass instead of one scan per column.  A card key with
     several rows per month pairs every old row with every new row, as in the studied
-    audit."""
+    audit (``pairing="all"``; its output grows with the product of the row counts).
+    ``pairing="last"`` first keeps the last row (by ``order_col``) per key and month via
+    a partial ``max_by`` aggregate, so the output is bounded by one pair per key and
+    transition even for a key holding a large share of the rows.  Change counts per
+    column never need the pairs: see ``change_rates``."""
     months = months or snapshot_months(prime, at_least=2)
     keys = list(key_cols)
-    img = text_image(prime, compare_cols).select(*keys, rank_expr(months).alias("M_RANK"), *compare_cols)
+    img = text_image(prime, compare_cols).select(*keys, rank_expr(months).alias("M_RANK"), *compare_cols,
+                                                 *([order_col] if pairing == "last" else []))
+    if pairing == "last":
+        last = F.max_by(F.struct(*compare_cols), F.col(order_col)).alias("_LAST")
+        img = img.groupBy(*keys, "M_RANK").agg(last).select(*keys, "M_RANK", "_LAST.*")
+    elif pairing != "all":
+        raise ValueError("pairing must be 'all' or 'last'")
     a = img.select(*[F.col(k).alias(f"_A_{k}") for k in keys], F.col("M_RANK").alias("_A_RANK"),
                    *[F.col(c).alias(f"{c}_OLD") for c in compare_cols])
     b = img.select(*[F.col(k).alias(f"_B_{k}") for k in keys], F.col("M_RANK").alias("_B_RANK"),

@@ -167,3 +167,14 @@ def test_compare_labels(spark):
     assert out == {"1": ("both", True, "both_churn"), "2": ("both", False, "ACTIVATION_churn_only"),
                    "3": ("left_only", False, "only_in_status_file"), "4": ("right_only", False, "only_in_activation_file"),
                    None: ("both", True, "both_not_churn")}
+
+
+def test_change_log_last_pairing(spark):
+    rows = [(M[0], 1, "1", "A", "A", "X"), (M[0], 2, "1", "A", "I", "X"), (M[1], 3, "1", "A", "D", "Y"),
+            (M[1], 4, "1", "A", "I", "X")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    full = audit.change_log(df, ["ACTIVATED", "STATUS"])
+    assert full.count() == 5  # 2x2 pairs: A->D X->Y, A->I, I->D X->Y, no change
+    last = {(r["COLUMN"], r["OLD_VALUE"], r["NEW_VALUE"]) for r in
+            audit.change_log(df, ["ACTIVATED", "STATUS"], pairing="last").collect()}
+    assert last == set()  # last rows (2: I,X) and (4: I,X) agree
