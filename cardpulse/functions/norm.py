@@ -19,7 +19,7 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy",
                 "dd-MMM-yyyy", "MM/dd/yyyy"]
 
-EXCEL_EPOCH_OFFSET_SECONDS = 2209161600  # seconds from 1899-12-30 to 1970-01-01
+EXCEL_EPOCH = "1899-12-30 00:00:00"  # day 0 of spreadsheet serial dates
 EXCEL_SERIAL_LIMIT = 132321  # first serial past the reference's datetime range
 
 
@@ -87,11 +87,12 @@ def excel_serial_to_timestamp(c) -> Column:
     Negative, non-numeric or out-of-range serials -> null."""
     d = try_double(c)
     ok = (d >= 0) & (d < EXCEL_SERIAL_LIMIT)
-    micros = F.round(d * F.lit(86400 * 1_000_000)).cast("bigint") - F.lit(EXCEL_EPOCH_OFFSET_SECONDS * 1_000_000)
-    return F.when(ok, F.timestamp_micros(micros).cast("timestamp_ntz"))
+    micros = F.round(d * F.lit(86400 * 1_000_000)).cast("bigint")
+    # timestamp_ntz arithmetic: independent of the session time zone
+    return F.when(ok, F.timestamp_add("MICROSECOND", micros, F.lit(EXCEL_EPOCH).cast("timestamp_ntz")))
 
 
 def days_between(later, earlier) -> Column:
-    """Whole days (floor) between two dates/timestamps."""
-    a, b = _c(later), _c(earlier)
-    return F.floor((F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(86_400_000_000)).cast("bigint")
+    """Whole days (floor) between two dates/timestamps, on time-zone-free timestamps."""
+    a, b = _c(later).cast("timestamp_ntz"), _c(earlier).cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("MICROSECOND", b, a) / F.lit(86_400_000_000)).cast("bigint")
