@@ -52,15 +52,14 @@ def assign_customer_ids(prime: DataFrame, keys: DataFrame | None = None, id_col:
                         dob_col: str = "DOB") -> DataFrame:
     """Left join with null-safe key equality (a null id or DOB matches a null).
 
-    Id-less rows only meet the id-less keys (joined on DOB alone), so a large share of
-    rows without an id never lands in the single partition of the null key."""
+    One scan, one join.  All id-less rows share the null join key, i.e. one shuffle
+    partition; AQE's skew join (enabled in the session settings) splits that
+    partition of the streamed left side across tasks at run time, each joined with
+    the few id-less keys of the right side."""
     keys = keys if keys is not None else customer_keys(prime, id_col, dob_col)
     k = keys.select(F.col(id_col).alias("_K_ID"), F.col(dob_col).alias("_K_DOB"), "CUSTOMER_ID")
-    dob_eq = F.col(dob_col).eqNullSafe(F.col("_K_DOB"))
-    keyed = prime.where(F.col(id_col).isNotNull()).join(
-        k.where(F.col("_K_ID").isNotNull()), (F.col(id_col) == F.col("_K_ID")) & dob_eq, "left")
-    unkeyed = prime.where(F.col(id_col).isNull()).join(k.where(F.col("_K_ID").isNull()), dob_eq, "left")
-    return keyed.unionByName(unkeyed).drop("_K_ID", "_K_DOB")
+    cond = F.col(id_col).eqNullSafe(F.col("_K_ID")) & F.col(dob_col).eqNullSafe(F.col("_K_DOB"))
+    return prime.join(k, cond, "left").drop("_K_ID", "_K_DOB")
 
 
 def is_historical(status_col: str = "STATUS", card_status_col: str = "CARD_STATUS", codes=None) -> Column:
@@ -108,17 +107,12 @@ def map_transactions(txn: DataFrame, lookup: DataFrame, id_col: str = "RIMNO",
     """Left join on (RIMNO, PRODUCT_NAME) with null-safe equality; a key held by several
     CUSTOMER_IDs multiplies the transaction (as the studied mapping does).
 
-    Rows with an id take a plain equi-join (a hot id is split by AQE's skew join).
-    Rows without an id can only meet the lookup's id-less entries, so they are joined
-    to that (small, runtime-measured) subset on the product alone; they never meet
-    the id-keyed rows, so a large id-less share cannot pile into one partition."""
+    One scan of the transactions, one join; the lookup side is small per key and is
+    broadcast by AQE once its measured size allows.  A hot key (including the null
+    id) is split by AQE's skew join on the streamed transaction side."""
     lk = lookup.select(F.col(id_col).alias("_L_ID"), F.col(product_col).alias("_L_P"), "CUSTOMER_ID")
-    keyed = txn.where(F.col(id_col).isNotNull()).join(
-        lk.where(F.col("_L_ID").isNotNull()),
-        (F.col(id_col) == F.col("_L_ID")) & F.col(product_col).eqNullSafe(F.col("_L_P")), "left")
-    unkeyed = txn.where(F.col(id_col).isNull()).join(
-        lk.where(F.col("_L_ID").isNull()), F.col(product_col).eqNullSafe(F.col("_L_P")), "left")
-    return keyed.unionByName(unkeyed).drop("_L_ID", "_L_P")
+    cond = F.col(id_col).eqNullSafe(F.col("_L_ID")) & F.col(product_col).eqNullSafe(F.col("_L_P"))
+    return txn.join(lk, cond, "left").drop("_L_ID", "_L_P")
 
 
 def ambiguous_keys(lookup: DataFrame, id_col: str = "RIMNO", product_col: str = "PRODUCT_NAME") -> DataFrame:
