@@ -25,42 +25,43 @@ LIMIT = 50_000
 MAX_ROUNDS = 8
 
 
-def _between(lo, hi):
-    c = F.col("_X")
+def _between(c: str, lo, hi):
     if lo is None:
-        return F.lit(True)
-    return c.between(F.lit(lo), F.lit(hi))
+        return F.col(c).isNotNull()
+    return F.col(c).between(F.lit(lo), F.lit(hi))
 
 
-def _order_stats(x: DataFrame, wanted: list[list[int]], n: int, limit: int) -> dict[int, float]:
-    """Exact values at the 0-based ranks of the non-null column ``_X`` of ``x`` (n rows).
+def _order_stats(x: DataFrame, wanted: list[tuple[str, list[int]]], n: dict[str, int],
+                 limit: int) -> dict[tuple[str, int], float]:
+    """Exact values at 0-based ranks of several non-null double columns of ``x``.
 
-    ``wanted`` holds one short rank list per requested quantile; every list keeps its
-    own value bracket, but each pass serves all brackets at once (one sketch job per
-    distinct bracket, one counting aggregate, one final value-count fetch)."""
+    ``wanted`` holds (column, rank list) per requested quantile; every entry keeps its
+    own value bracket, but each pass serves all of them at once: one sketch aggregate
+    over the distinct brackets, one counting aggregate, one value-count fetch."""
     grid = [i / GRID for i in range(GRID + 1)]
-    br = [{"ranks": r, "lo": None, "hi": None, "off": 0, "size": n, "done": False} for r in wanted]
+    br = [{"col": c, "ranks": r, "lo": None, "hi": None, "off": 0, "size": n[c], "done": False}
+          for c, r in wanted]
     for _ in range(MAX_ROUNDS):
         big = [b for b in br if not b["done"] and b["size"] > limit]
         if not big:
             break
-        sketches = {}
-        for b in big:
-            key = (b["lo"], b["hi"])
-            if key not in sketches:
-                sketches[key] = x.where(_between(*key)).agg(
-                    F.percentile_approx("_X", grid, ACCURACY).alias("q")).first()["q"]
+        keys = sorted({(b["col"], b["lo"], b["hi"]) for b in big}, key=str)
+        sk_aggs = [F.percentile_approx(F.when(_between(c, lo, hi), F.col(c)), grid, ACCURACY).alias(f"s{i}")
+                   for i, (c, lo, hi) in enumerate(keys)]
+        sk_row = x.agg(*sk_aggs).first()
+        sketches = {k: sk_row[f"s{i}"] for i, k in enumerate(keys)}
         props = []
         for b in big:
-            qs = sketches[(b["lo"], b["hi"])]
+            qs = sketches[(b["col"], b["lo"], b["hi"])]
             lo_r, hi_r = min(b["ranks"]), max(b["ranks"])
             i_lo = max(0, math.floor((lo_r - b["off"]) / b["size"] * GRID) - 2)
             i_hi = min(GRID, math.ceil((hi_r - b["off"] + 1) / b["size"] * GRID) + 2)
             props.append((qs[i_lo], qs[i_hi]))
         aggs = []
-        for i, (lo, hi) in enumerate(props):
-            aggs += [F.count_if(F.col("_X") < F.lit(lo)).alias(f"b{i}"),
-                     F.count_if(F.col("_X").between(F.lit(lo), F.lit(hi))).alias(f"i{i}")]
+        for i, (b, (lo, hi)) in enumerate(zip(big, props)):
+            c = F.col(b["col"])
+            aggs += [F.count_if(c < F.lit(lo)).alias(f"b{i}"),
+                     F.count_if(c.between(F.lit(lo), F.lit(hi))).alias(f"i{i}")]
         row = x.agg(*aggs).first()
         for i, (b, (lo, hi)) in enumerate(zip(big, props)):
             below, inside = row[f"b{i}"], row[f"i{i}"]
@@ -69,22 +70,29 @@ def _order_stats(x: DataFrame, wanted: list[list[int]], n: int, limit: int) -> d
                 b["done"] = True  # sketch miss or heavy ties: keep the verified bracket
             else:
                 b.update(lo=lo, hi=hi, off=below, size=inside)
+    # one fetch of (column, value, count) for every bracket: bounded by limit per bracket
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v"))
+                                for c in sorted({b["col"] for b in br})])).alias("_KV")
+    long = x.select(pairs).select("_KV.k", "_KV.v").where(F.col("v").isNotNull())
     cond = None
     for b in br:
-        c = _between(b["lo"], b["hi"])
-        cond = c if cond is None else cond | c
-    vc = x.where(cond).groupBy("_X").agg(F.count(F.lit(1)).alias("c"))
+        e = (F.col("k") == F.lit(b["col"])) & (F.lit(True) if b["lo"] is None
+                                              else F.col("v").between(F.lit(b["lo"]), F.lit(b["hi"])))
+        cond = e if cond is None else cond | e
+    vc = long.where(cond).groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
     if vc.count() > limit * 20 * len(br):
         raise RuntimeError("quantile bracket did not narrow; too many distinct values")
-    values = sorted((r["_X"], r["c"]) for r in vc.collect())
+    values: dict[str, list] = {}
+    for r in vc.collect():
+        values.setdefault(r["k"], []).append((r["v"], r["c"]))
     out = {}
     for b in br:
         pos, want, j = b["off"], sorted(set(b["ranks"])), 0
-        for v, c in values:
+        for v, c in sorted(values.get(b["col"], [])):
             if b["lo"] is not None and not (b["lo"] <= v <= b["hi"]):
                 continue
             while j < len(want) and want[j] < pos + c:
-                out[want[j]] = v
+                out[(b["col"], want[j])] = v
                 j += 1
             pos += c
             if j == len(want):
@@ -92,35 +100,58 @@ def _order_stats(x: DataFrame, wanted: list[list[int]], n: int, limit: int) -> d
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], limit: int = LIMIT) -> list[float | None]:
-    """Linear-interpolated exact quantiles of a numeric column (nulls and NaN ignored)."""
-    # the single projected column is kept (memory, spilling to disk) across the few
-    # passes so the upstream plan is not recomputed per pass; lost blocks recompute
-    x = df.select(F.col(col).cast("double").alias("_X")).where(F.col("_X").isNotNull() & ~F.isnan("_X")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]],
+                          limit: int = LIMIT) -> dict[str, list[float | None]]:
+    """Linear-interpolated exact quantiles of several numeric columns (nulls and NaN
+    ignored per column), sharing every pass over the data."""
+    cols = list(spec)
+    # the projected columns are kept (memory, spilling to disk) across the few passes
+    # so the upstream plan is not recomputed per pass; lost blocks are recomputed
+    x = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
+                    for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = x.count()
-        if n == 0:
-            return [None for _ in probs]
-        plan = []
-        for p in probs:
-            pos = p * (n - 1)
-            k = math.floor(pos)
-            plan.append((k, min(k + 1, n - 1), pos - k))
-        vals = _order_stats(x, [[k, k2] for k, k2, _ in plan], n, limit)
-        return [vals[k] + f * (vals[k2] - vals[k]) if f else vals[k] for k, k2, f in plan]
+        counts = x.agg(*[F.count(c).alias(c) for c in cols]).first()
+        n = {c: counts[c] for c in cols}
+        plan, wanted = {}, []
+        for c, probs in spec.items():
+            plan[c] = []
+            for p in probs:
+                if n[c] == 0:
+                    plan[c].append(None)
+                    continue
+                pos = p * (n[c] - 1)
+                k = math.floor(pos)
+                k2 = min(k + 1, n[c] - 1)
+                plan[c].append((k, k2, pos - k))
+                wanted.append((c, [k, k2]))
+        vals = _order_stats(x, wanted, n, limit) if wanted else {}
+        out = {}
+        for c, items in plan.items():
+            out[c] = [None if it is None else
+                      (vals[(c, it[0])] + it[2] * (vals[(c, it[1])] - vals[(c, it[0])]) if it[2] else vals[(c, it[0])])
+                      for it in items]
+        return out
     finally:
         x.unpersist()
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], limit: int = LIMIT) -> list[float | None]:
+    """Linear-interpolated exact quantiles of one numeric column."""
+    return exact_quantiles_multi(df, {col: list(probs)}, limit)[col]
+
+
 def grouped_exact_quantiles(df: DataFrame, group_col: str, col: str, probs: list[float],
                             max_groups: int = 256, limit: int = LIMIT) -> dict:
-    """Exact quantiles per group value (few groups, e.g. delinquency levels)."""
+    """Exact quantiles per group value (few groups, e.g. delinquency levels).
+
+    Each group becomes one column of a single projection (value where the row belongs
+    to the group, else null), so all groups share the passes of ``exact_quantiles_multi``."""
     groups = [r[0] for r in df.select(group_col).distinct().limit(max_groups + 1).collect()]
     if len(groups) > max_groups:
         raise ValueError(f"more than {max_groups} groups; use approximate quantiles")
-    out = {}
-    for g in groups:
-        cond = F.col(group_col).isNull() if g is None else F.col(group_col) == F.lit(g)
-        out[g] = exact_quantiles(df.where(cond), col, probs, limit)
-    return out
+    cols = []
+    for i, g in enumerate(groups):
+        member = F.col(group_col).isNull() if g is None else F.col(group_col) == F.lit(g)
+        cols.append(F.when(member, F.col(col)).alias(f"_G{i}"))
+    qs = exact_quantiles_multi(df.select(*cols), {f"_G{i}": list(probs) for i in range(len(groups))}, limit)
+    return {g: qs[f"_G{i}"] for i, g in enumerate(groups)}

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardpulse.functions import contract, norm
-from cardpulse.functions.stats import exact_quantiles
+from cardpulse.functions.stats import exact_quantiles_multi
 
 
 def _lit_double(v):
@@ -16,12 +16,16 @@ def _lit_double(v):
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """Nulls of each column <- the column's exact median."""
-    meds = {c: exact_quantiles(df, c, [0.5])[0] for c in cols if c in df.columns}
-    return df.withColumns({c: F.coalesce(F.col(c), _lit_double(m)) for c, m in meds.items()})
+    present = [c for c in cols if c in df.columns]
+    meds = {c: v[0] for c, v in exact_quantiles_multi(df, {c: [0.5] for c in present}).items()} if present else {}
+    return df.withColumns({c: F.coalesce(F.col(c), _lit_double(m)) for c, m in meds.items() if m is not None})
 
 
 def p99_caps(df: DataFrame, cols: list[str], q: float = 0.99) -> dict[str, float]:
-    return {c: exact_quantiles(df, c, [q])[0] for c in cols if c in df.columns}
+    present = [c for c in cols if c in df.columns]
+    if not present:
+        return {}
+    return {c: v[0] for c, v in exact_quantiles_multi(df, {c: [q] for c in present}).items()}
 
 
 def winsorize(df: DataFrame, caps: dict[str, float]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cardpulse.functions import contract
-from cardpulse.functions.stats import exact_quantiles, grouped_exact_quantiles
+from cardpulse.functions.stats import exact_quantiles, exact_quantiles_multi, grouped_exact_quantiles
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
@@ -70,6 +70,50 @@ def histogram(df: DataFrame, col: str, bins: int, trim_q: float | None = None, s
                     F.coalesce("N", F.lit(0)).cast("bigint").alias("N")))
 
 
+def histograms(df: DataFrame, specs, prefix: str = "") -> DataFrame:
+    """Several equal-width histograms of one table with shared passes: one exact
+    quantile call for all trims, one aggregate for all bounds, one counting pass
+    (explode of (column, bin) pairs).  ``specs``: (column, bins, trim quantile or None,
+    strict trim)."""
+    spark = df.sparkSession
+    specs = [s for s in specs if s[0] in df.columns]
+    trims = {c: [q] for c, _, q, _ in specs if q is not None}
+    caps = {c: v[0] for c, v in exact_quantiles_multi(df, trims).items()} if trims else {}
+
+    def kept(c, q, strict):
+        x = F.col(c).cast("double")
+        cond = x.isNotNull()
+        if q is not None and caps.get(c) is not None:
+            cond = cond & ((x < F.lit(caps[c])) if strict else (x <= F.lit(caps[c])))
+        return F.when(cond, x)
+
+    bounds = df.agg(*[agg(kept(c, q, st)).alias(f"{k}{i}") for i, (c, _, q, st) in enumerate(specs)
+                      for k, agg in (("lo", F.min), ("hi", F.max))]).first()
+    live, bins_of = [], {}
+    for i, (c, bins, q, st) in enumerate(specs):
+        lo, hi = bounds[f"lo{i}"], bounds[f"hi{i}"]
+        if lo is None:
+            continue
+        x = kept(c, q, st)
+        w = F.lit(hi) - F.lit(lo)
+        idx = F.when(w > 0, F.least(F.floor((x - F.lit(lo)) * F.lit(float(bins)) / w), F.lit(bins - 1))) \
+            .otherwise(F.lit(0)).cast("int")
+        live.append(F.struct(F.lit(f"{prefix}{c}").alias("COLUMN_NAME"), F.when(x.isNotNull(), idx).alias("BIN")))
+        bins_of[f"{prefix}{c}"] = (bins, lo, hi)
+    if not live:
+        return spark.createDataFrame([], "COLUMN_NAME string, BIN int, BIN_LO double, BIN_HI double, N bigint")
+    counts = (df.select(F.explode(F.array(*live)).alias("_B")).select("_B.*").where(F.col("BIN").isNotNull())
+              .groupBy("COLUMN_NAME", "BIN").agg(F.count(F.lit(1)).alias("N")))
+    spine_rows = [(name, b, float(lo), float(hi), float(bins)) for name, (bins, lo, hi) in bins_of.items()
+                  for b in range(bins)]
+    spine = spark.createDataFrame(spine_rows, "COLUMN_NAME string, BIN int, _LO double, _HI double, _NB double")
+    edge = lambda i: F.col("_LO") + i * (F.col("_HI") - F.col("_LO")) / F.col("_NB")
+    return (F.broadcast(spine).join(counts, ["COLUMN_NAME", "BIN"], "left")  # spine: bins of a few columns
+            .select("COLUMN_NAME", "BIN", F.round(edge(F.col("BIN")), 6).alias("BIN_LO"),
+                    F.round(edge(F.col("BIN") + 1), 6).alias("BIN_HI"),
+                    F.coalesce("N", F.lit(0)).cast("bigint").alias("N")))
+
+
 def kde_from_histogram(hist: DataFrame, points: int = 200) -> DataFrame:
     """Gaussian density curve evaluated on ``points`` grid values per column, from the
     binned data (bin centres weighted by counts), Scott bandwidth n^(-1/5) * std.
@@ -110,13 +154,30 @@ def box_stats(df: DataFrame, col: str) -> DataFrame:
 
 
 def grouped_box_stats(df: DataFrame, group_col: str, col: str) -> DataFrame:
+    """Box statistics per group: exact quartiles of all groups in shared passes, then one
+    grouped aggregate with each group's fences supplied as literals."""
     qs = grouped_exact_quantiles(df.where(F.col(col).isNotNull()), group_col, col, [0.25, 0.5, 0.75])
-    out = None
-    for g, (q1, med, q3) in qs.items():
-        part = _box_from_quantiles(df.where(F.col(group_col) == F.lit(g)), col, q1, med, q3) \
-            .withColumn(group_col, F.lit(g))
-        out = part if out is None else out.unionByName(part)
-    return out.select(group_col, "N", "Q1", "MEDIAN", "Q3", "WHISKER_LO", "WHISKER_HI", "N_OUTLIERS")
+    qs = {g: v for g, v in qs.items() if v[0] is not None}
+
+    def per_group(values):
+        expr = None
+        for g, v in values.items():
+            cond = F.col(group_col).isNull() if g is None else F.col(group_col) == F.lit(g)
+            expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
+        return expr
+
+    q1 = per_group({g: v[0] for g, v in qs.items()})
+    med = per_group({g: v[1] for g, v in qs.items()})
+    q3 = per_group({g: v[2] for g, v in qs.items()})
+    lo_f = per_group({g: v[0] - 1.5 * (v[2] - v[0]) for g, v in qs.items()})
+    hi_f = per_group({g: v[2] + 1.5 * (v[2] - v[0]) for g, v in qs.items()})
+    x = F.col(col)
+    return (df.where(x.isNotNull()).groupBy(group_col)
+            .agg(F.count(F.lit(1)).alias("N"), F.first(q1).alias("Q1"), F.first(med).alias("MEDIAN"),
+                 F.first(q3).alias("Q3"), F.min(F.when(x >= lo_f, x)).alias("WHISKER_LO"),
+                 F.max(F.when(x <= hi_f, x)).alias("WHISKER_HI"),
+                 F.count_if((x < lo_f) | (x > hi_f)).alias("N_OUTLIERS"))
+            .select(group_col, "N", "Q1", "MEDIAN", "Q3", "WHISKER_LO", "WHISKER_HI", "N_OUTLIERS"))
 
 
 def correlation(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -16,7 +16,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardpulse.functions.stats import exact_quantiles
+from cardpulse.functions.stats import exact_quantiles_multi
 
 EULER = 0.5772156649015329
 
@@ -33,18 +32,14 @@ EULER = 0.5772156649015329
 def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """(x - median) / IQR with exact quantiles; a zero IQR scales by 1.
 
-    The feature columns are projected and kept once (memory, spilling to disk) while
-    the per-column quantile passes run, instead of re-deriving the input per pass."""
+    All columns' quartiles come from shared passes over one persisted projection."""
     exprs = {}
-    feats = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for c in cols:
-            q1, med, q3 = exact_quantiles(feats, c, [0.25, 0.5, 0.75])
-            iqr = (q3 - q1) if q1 is not None else None
-            scale = iqr if iqr else 1.0
-            exprs[c] = (F.col(c) - F.lit(med if med is not None else 0.0)) / F.lit(scale)
-    finally:
-        feats.unpersist()
+    qs = exact_quantiles_multi(df, {c: [0.25, 0.5, 0.75] for c in cols})
+    for c in cols:
+        q1, med, q3 = qs[c]
+        iqr = (q3 - q1) if q1 is not None else None
+        scale = iqr if iqr else 1.0
+        exprs[c] = (F.col(c) - F.lit(med if med is not None else 0.0)) / F.lit(scale)
     return df.withColumns(exprs)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cardpulse.functions import contract
 from cardpulse.functions.months import MONTH_COL, snapshot_months
 from cardpulse.functions import norm
-from cardpulse.functions.stats import exact_quantiles
+from cardpulse.functions.stats import exact_quantiles_multi
 from cardpulse.operators import audit, churn, compare, features, identity, profile, quality, segment
 from cardpulse.sources import fixtures as fx
 
@@ -205,8 +205,8 @@ def _txn_capped(spark, sf_dir):
 
 def _features(spark, sf_dir):
     prime, txn = fx.prime(spark, sf_dir), fx.txn(spark, sf_dir)
-    fee_med = exact_quantiles(prime, "ANNUAL_FEE", [0.5])[0]
-    od_cap = exact_quantiles(prime, "OVERDUEAMOUNT", [0.99])[0]
+    qs = exact_quantiles_multi(prime, {"ANNUAL_FEE": [0.5], "OVERDUEAMOUNT": [0.99]})
+    fee_med, od_cap = qs["ANNUAL_FEE"][0], qs["OVERDUEAMOUNT"][0]
     return features.card_features(prime, fx.PRIME_AS_OF, features.txn_recency(txn, fx.TXN_AS_OF), fee_med, od_cap)
 
 
@@ -314,13 +314,10 @@ HIST_SPECS = [("prime", c, 50, 0.99, False) for c in ["CREDIT_LIMIT", "LEDGER_BA
 def _histograms(spark, sf_dir, specs):
     sources = {"prime": lambda: fx.prime(spark, sf_dir), "txn": lambda: fx.txn(spark, sf_dir),
                "features": lambda: _features(spark, sf_dir), "rfm": lambda: _rfm(spark, sf_dir)}
-    cache, out = {}, None
-    for src, col, bins, q, strict in specs:
-        if src not in cache:
-            cache[src] = sources[src]()
-        if col not in cache[src].columns:
-            continue
-        h = profile.histogram(cache[src], col, bins, q, strict, name=f"{src}.{col}")
+    out = None
+    for src in dict.fromkeys(s[0] for s in specs):  # sources in spec order
+        mine = [(c, b, q, st) for s0, c, b, q, st in specs if s0 == src]
+        h = profile.histograms(sources[src](), mine, prefix=f"{src}.")
         out = h if out is None else out.unionByName(h)
     return out
 
@@ -335,9 +332,10 @@ def q_kde(spark, sf_dir):
 
 def q_cap_before_after(spark, sf_dir):
     t, p = fx.txn(spark, sf_dir), fx.prime(spark, sf_dir)
+    caps = {**features.p99_caps(t, ["BILLING_AMT", "ORIG_AMOUNT"]), **features.p99_caps(p, ["OVERDUEAMOUNT"])}
     out = None
     for src, col in ((t, "BILLING_AMT"), (t, "ORIG_AMOUNT"), (p, "OVERDUEAMOUNT")):
-        capped = features.winsorize(src, features.p99_caps(src, [col]))
+        capped = features.winsorize(src, {col: caps[col]})
         for stage, df in (("before", src), ("after", capped)):
             b = profile.box_stats(df, col).withColumn("COLUMN_NAME", F.lit(col)).withColumn("STAGE", F.lit(stage))
             out = b if out is None else out.unionByName(b)
