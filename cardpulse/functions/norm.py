@@ -27,9 +27,16 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Characters a text strip removes at both ends: ASCII blanks and controls, the
+# Unicode white space (no-break space, ideographic space, ...).
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+              "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c) -> Column:
-    """Remove leading/trailing white space including tabs and no-break spaces."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    """Remove leading/trailing white space including tabs and no-break spaces
+    (native ``btrim`` over the white-space set, no regular expression)."""
+    return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
 def null_tokens(c) -> Column:
@@ -46,15 +53,16 @@ def norm_code(c) -> Column:
 def norm_id(c) -> Column:
     """Canonical text id: trimmed, thousands separators dropped, leading zeros and a
     trailing ``.0`` removed from all-digit ids, blank -> null."""
-    x = F.regexp_replace(strip(F.col(c).cast("string") if isinstance(c, str) else c.cast("string")), ",", "")
-    x = F.regexp_replace(x, r"^(\d+)\.0+$", "$1")
-    x = F.regexp_replace(x, r"^0+(\d)", "$1")
+    x = F.translate(strip(F.col(c).cast("string") if isinstance(c, str) else c.cast("string")), ",", "")
+    # the regular expressions only run on the rare ids that need them
+    x = F.when(F.instr(x, ".") > 0, F.regexp_replace(x, r"^(\d+)\.0+$", "$1")).otherwise(x)
+    x = F.when(F.startswith(x, F.lit("0")), F.regexp_replace(x, r"^0+(\d)", "$1")).otherwise(x)
     return F.nullif(x, F.lit(""))
 
 
 def try_double(c) -> Column:
     """Strip, drop commas, accept plain decimal/exponent numbers only, else null."""
-    x = F.regexp_replace(strip(_c(c).cast("string")), ",", "")
+    x = F.translate(strip(_c(c).cast("string")), ",", "")
     return F.when(x.rlike(NUMERIC_PATTERN), x.try_cast("double"))
 
 
@@ -66,8 +74,8 @@ def try_long(c) -> Column:
 
 def parse_int(c) -> Column:
     """Trim, drop commas and a trailing ``.00``; integer text only, else null."""
-    x = F.regexp_replace(strip(_c(c).cast("string")), ",", "")
-    x = F.regexp_replace(x, r"\.00$", "")
+    x = F.translate(strip(_c(c).cast("string")), ",", "")
+    x = F.when(F.endswith(x, F.lit(".00")), F.regexp_replace(x, r"\.00$", "")).otherwise(x)
     return F.when(x.rlike(r"^\s*[+-]?\d+\s*$"), x.try_cast("bigint"))
 
 

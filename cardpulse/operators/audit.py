@@ -126,62 +126,40 @@ def change_log(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PR
                     _rank_label(months, F.col("_A_RANK") + 1).alias("TO_MONTH")))
 
 
-def _value_counts(prime: DataFrame, compare_cols: list[str], keys: list[str], months) -> tuple[DataFrame, DataFrame]:
-    """(key, rank, column, value) -> count and (key, rank) -> row count.  Both come
-    from partial aggregates, so a hot card key collapses to its distinct values."""
-    img = text_image(prime, compare_cols).select(*keys, rank_expr(months).alias("M_RANK"), *compare_cols)
-    long = img.select(*keys, "M_RANK",
-                      F.explode(F.array(*[F.struct(F.lit(c).alias("COLUMN"), F.col(c).alias("VALUE"))
-                                          for c in compare_cols])).alias("_KV")) \
-        .select(*keys, "M_RANK", "_KV.COLUMN", "_KV.VALUE")
-    vcounts = long.groupBy(*keys, "M_RANK", "COLUMN", "VALUE").agg(F.count(F.lit(1)).alias("CNT"))
-    rcounts = img.groupBy(*keys, "M_RANK").agg(F.count(F.lit(1)).alias("N"))
-    return vcounts, rcounts
-
-
-def _null_safe_on(left_prefix: str, right_prefix: str, cols: list[str]):
-    cond = None
-    for c in cols:
-        e = F.col(f"{left_prefix}{c}").eqNullSafe(F.col(f"{right_prefix}{c}"))
-        cond = e if cond is None else cond & e
-    return cond
-
-
 def change_counts(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
                   months: list[dt.date] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Exact changed-pair counts without materialising row pairs.
+    """Exact changed-pair counts without materialising row pairs and without joins.
 
-    For a card key with ``a`` rows in month i and ``b`` rows in month i+1 there are
-    ``a*b`` matched pairs; the pairs whose values agree in a column are
-    ``sum_v a_v * b_v`` over that column's values v (null equals null).  Hence
-    changed = a*b - sum_v a_v*b_v, computed from value counts only.
+    For a card key with ``n_m`` rows in month m and ``n_{m+1}`` in month m+1 there are
+    ``n_m * n_{m+1}`` matched pairs; the pairs whose values agree in a column are
+    ``sum_v c_{v,m} * c_{v,m+1}`` over that column's values v (null equals null, as a
+    group key).  Two partial aggregates give everything:
 
-    Returns (per key/transition/column changed counts, per key/transition pair counts).
-    """
+    1. (key, column, value) -> rows per month (one literal CASE per month), so a hot
+       key collapses to its distinct values before the shuffle;
+    2. (key, column) -> ``n_m = sum_v c_{v,m}`` and ``same_m = sum_v c_{v,m} c_{v,m+1}``.
+
+    Returns (per key/transition/column PAIRS and CHANGED, per key/transition PAIRS)."""
     months = months or snapshot_months(prime, at_least=2)
     keys = list(key_cols)
-    vc, rc = _value_counts(prime, compare_cols, keys, months)
-    ra = rc.select(*[F.col(k).alias(f"_A_{k}") for k in keys], F.col("M_RANK").alias("A_RANK"), F.col("N").alias("N_A"))
-    rb = rc.select(*[F.col(k).alias(f"_B_{k}") for k in keys], F.col("M_RANK").alias("B_RANK"), F.col("N").alias("N_B"))
-    pairs = (ra.join(rb, _null_safe_on("_A_", "_B_", keys) & (F.col("B_RANK") == F.col("A_RANK") + 1))
-             .select(*[F.col(f"_A_{k}").alias(k) for k in keys], "A_RANK",
-                     (F.col("N_A") * F.col("N_B")).alias("PAIRS")))
-    va = vc.select(*[F.col(k).alias(f"_A_{k}") for k in keys], F.col("M_RANK").alias("A_RANK"), "COLUMN",
-                   F.col("VALUE").alias("_A_VALUE"), F.col("CNT").alias("C_A"))
-    vb = vc.select(*[F.col(k).alias(f"_B_{k}") for k in keys], F.col("M_RANK").alias("B_RANK"),
-                   F.col("COLUMN").alias("_B_COLUMN"), F.col("VALUE").alias("_B_VALUE"), F.col("CNT").alias("C_B"))
-    same = (va.join(vb, _null_safe_on("_A_", "_B_", keys + ["VALUE"]) & (F.col("B_RANK") == F.col("A_RANK") + 1)
-                    & (F.col("COLUMN") == F.col("_B_COLUMN")))
-            .groupBy(*[F.col(f"_A_{k}").alias(k) for k in keys], "A_RANK", "COLUMN")
-            .agg(F.sum(F.col("C_A") * F.col("C_B")).alias("SAME")))
-    same = same.select(*[F.col(k).alias(f"_S_{k}") for k in keys], F.col("A_RANK").alias("_S_RANK"),
-                       F.col("COLUMN").alias("_S_COLUMN"), "SAME")
-    per_col = (pairs.withColumn("COLUMN", F.explode(F.array(*[F.lit(c) for c in compare_cols])))
-               .join(same, _null_safe_on("", "_S_", keys) & (F.col("A_RANK") == F.col("_S_RANK"))
-                     & (F.col("COLUMN") == F.col("_S_COLUMN")), "left")
-               .select(*keys, "A_RANK", "COLUMN", "PAIRS",
-                       (F.col("PAIRS") - F.coalesce("SAME", F.lit(0))).alias("CHANGED")))
-    return per_col, pairs
+    m = len(months)
+    img = text_image(prime, compare_cols).select(*keys, rank_expr(months).alias("M_RANK"), *compare_cols)
+    long = img.select(*keys, "M_RANK",
+                      F.explode(F.array(*[F.struct(F.lit(c).alias("COLUMN"), F.col(c).alias("VALUE"))
+                                          for c in compare_cols])).alias("_KV")) \
+        .select(*keys, "M_RANK", "_KV.COLUMN", "_KV.VALUE")
+    per_val = long.groupBy(*keys, "COLUMN", "VALUE").agg(
+        *[F.count_if(F.col("M_RANK") == i).alias(f"c{i}") for i in range(1, m + 1)])
+    per_col = per_val.groupBy(*keys, "COLUMN").agg(
+        *[F.sum(f"c{i}").alias(f"n{i}") for i in range(1, m + 1)],
+        *[F.sum(F.col(f"c{i}") * F.col(f"c{i + 1}")).alias(f"s{i}") for i in range(1, m)])
+    trans = F.array(*[F.struct(F.lit(i).alias("A_RANK"), (F.col(f"n{i}") * F.col(f"n{i + 1}")).alias("PAIRS"),
+                               (F.col(f"n{i}") * F.col(f"n{i + 1}") - F.col(f"s{i}")).alias("CHANGED"))
+                      for i in range(1, m)])
+    out = per_col.select(*keys, "COLUMN", F.explode(trans).alias("_T")).select(*keys, "COLUMN", "_T.*") \
+        .where(F.col("PAIRS") > 0)
+    pairs = out.where(F.col("COLUMN") == F.lit(compare_cols[0])).select(*keys, "A_RANK", "PAIRS")
+    return out, pairs
 
 
 def change_rates(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
