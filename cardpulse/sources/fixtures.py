@@ -68,13 +68,13 @@ TREND_END = "2001-03-31"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan of one driver table.  A scan with fewer splits than the cluster has cores
-    (e.g. one small single-row-group file) is spread round-robin so the cleaning and
-    the map side of the first shuffle use every core; a large input already has
-    enough splits and is left untouched (no extra shuffle)."""
+    (e.g. one small single-row-group file) is hash-spread on its key column
+    (deterministic, no sort) so the cleaning and the map side of the first shuffle use
+    every core; a large input already has enough splits and is left untouched."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if name in ("orders", "lineitem") and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
+        df = df.repartition(cores, df.columns[0])
     return df
 
 
