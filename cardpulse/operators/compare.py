@@ -80,3 +80,12 @@ def disagreement_sample(comparison: DataFrame, n: int = 20) -> DataFrame:
     return (comparison.where((F.col("MERGE") == "both") & ~F.col("AGREE"))
             .orderBy(F.col("RIMNO").asc_nulls_last()).limit(n)
             .select("RIMNO", "CHURN", "CHURN_TYPE", "ACTIVATION_CHURN", "ACTIVATION_CHURN_TYPE"))
+
+
+def label_crosstab_wide(comparison: DataFrame) -> DataFrame:
+    """Wide crosstab: one row per CHURN_TYPE, one column per ACTIVATION_CHURN_TYPE,
+    plus 'All' margins (pivot over the fixed class list, no value discovery pass)."""
+    from cardpulse.functions import contract
+    cols = [c for c, _ in contract.ACTIVATION_CLASSES] + ["(missing)", "All"]
+    long = label_crosstab(comparison)
+    return long.groupBy("CHURN_TYPE").pivot("ACTIVATION_CHURN_TYPE", cols).agg(F.first("N")).na.fill(0, cols)

@@ -102,6 +102,15 @@ def customer_lookup(segmented: DataFrame, id_col: str = "RIMNO", product_col: st
             .select(id_col, product_col, "CUSTOMER_ID").distinct())
 
 
+def latest_lookup(segmented: DataFrame, id_col: str = "RIMNO", product_col: str = "PRODUCT_NAME") -> DataFrame:
+    """One CUSTOMER_ID per card key: the one seen in the latest month (then the
+    smallest), for mapping transactions without fan-out (``on_ambiguous='latest'``)."""
+    act = segmented.where(F.col("SEGMENT") == "active")
+    return (act.groupBy(id_col, product_col)
+            .agg(F.min_by("CUSTOMER_ID", F.struct(-F.unix_date(F.col(MONTH_COL)), F.col("CUSTOMER_ID")))
+                 .alias("CUSTOMER_ID")))
+
+
 def map_transactions(txn: DataFrame, lookup: DataFrame, id_col: str = "RIMNO",
                      product_col: str = "PRODUCT_NAME") -> DataFrame:
     """Left join on (RIMNO, PRODUCT_NAME) with null-safe equality; a key held by several

@@ -207,3 +207,29 @@ def flag_outliers(scored: DataFrame, contamination: float, group_col: str | None
     else:
         out = scored.withColumn("_THR", F.lit(thr.first()["_THR"]))
     return out.withColumn(flag_col, F.col("IF_SCORE") > F.col("_THR")).drop("_THR")
+
+
+def fit_predict(features: DataFrame, id_col: str, cols: list[str], k_range=(2, 10), local_contamination: float = 0.03,
+                global_contamination: float = 0.01, seed: int = 42) -> tuple[DataFrame, int]:
+    """The whole segmentation pipeline: robust scaling -> k by silhouette -> Gaussian
+    mixture clusters -> isolation-forest outliers per cluster and over everything ->
+    final outlier = local OR global.  Returns (id, CLUSTER, IS_LOCAL_OUTLIER,
+    IS_GLOBAL_OUTLIER, IS_OUTLIER) and the chosen k."""
+    scaled = robust_scale(features.select(id_col, *cols), cols)
+    _, k = choose_k(scaled, cols, k_range, seed)
+    seg = gmm_segments(scaled, cols, k, seed).withColumn("_VEC", F.array(*[F.col(c).cast("double") for c in cols]))
+    local = flag_outliers(isolation_scores(seg.select(id_col, "CLUSTER", "_VEC"), id_col, "_VEC", "CLUSTER",
+                                           seed=seed), local_contamination, "CLUSTER", "IS_LOCAL_OUTLIER")
+    glob = flag_outliers(isolation_scores(seg.select(id_col, "_VEC"), id_col, "_VEC", seed=seed),
+                         global_contamination, None, "IS_GLOBAL_OUTLIER")
+    out = (local.select(id_col, "CLUSTER", "IS_LOCAL_OUTLIER")
+           .join(glob.select(id_col, "IS_GLOBAL_OUTLIER"), id_col)
+           .withColumn("IS_OUTLIER", F.col("IS_LOCAL_OUTLIER") | F.col("IS_GLOBAL_OUTLIER")))
+    return out, k
+
+
+def cluster_profile(features: DataFrame, labels: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
+    """Mean of every feature per cluster, cluster size and final outlier share."""
+    full = features.join(labels, id_col)
+    return full.groupBy("CLUSTER").agg(F.count(F.lit(1)).alias("N"), *[F.avg(c).alias(f"MEAN_{c}") for c in cols],
+                                       F.avg(F.col("IS_OUTLIER").cast("double")).alias("OUTLIER_SHARE"))

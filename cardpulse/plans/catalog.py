@@ -416,12 +416,9 @@ def q_cluster_profile(spark, sf_dir):
     """Mean of every feature per cluster, with the final outlier share (local OR global)."""
     loc = _local(spark, sf_dir).select("RIMNO", "CLUSTER", "IS_LOCAL_OUTLIER")
     glo = _global(spark, sf_dir).select("RIMNO", "IS_GLOBAL_OUTLIER")
-    raw = _seg_input(spark, sf_dir)
-    full = raw.join(loc, "RIMNO").join(glo, "RIMNO") \
-        .withColumn("IS_OUTLIER", F.col("IS_LOCAL_OUTLIER") | F.col("IS_GLOBAL_OUTLIER"))
-    return full.groupBy("CLUSTER").agg(F.count(F.lit(1)).alias("N"),
-                                       *[F.avg(c).alias(f"MEAN_{c}") for c in SEG_COLUMNS],
-                                       F.avg(F.col("IS_OUTLIER").cast("double")).alias("OUTLIER_SHARE"))
+    labels = loc.join(glo, "RIMNO").withColumn("IS_OUTLIER", F.col("IS_LOCAL_OUTLIER") | F.col("IS_GLOBAL_OUTLIER"))
+    return segment.cluster_profile(_seg_input(spark, sf_dir), labels.select("RIMNO", "CLUSTER", "IS_OUTLIER"),
+                                   "RIMNO", SEG_COLUMNS)
 
 
 QUERIES: dict[str, Query] = {

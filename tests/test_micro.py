@@ -178,3 +178,18 @@ def test_change_log_last_pairing(spark):
     last = {(r["COLUMN"], r["OLD_VALUE"], r["NEW_VALUE"]) for r in
             audit.change_log(df, ["ACTIVATED", "STATUS"], pairing="last").collect()}
     assert last == set()  # last rows (2: I,X) and (4: I,X) agree
+
+
+def test_latest_lookup_and_wide_crosstab(spark):
+    seg = spark.createDataFrame([(M[0], "1", "C", 5, "active"), (M[1], "1", "C", 7, "active"),
+                                 (M[1], "1", "C", 6, "active"), (M[1], "2", "C", 9, "historical")],
+                                "SNAP_MONTH date, RIMNO string, PRODUCT_NAME string, CUSTOMER_ID long, SEGMENT string")
+    got = {(r["RIMNO"], r["PRODUCT_NAME"]): r["CUSTOMER_ID"] for r in identity.latest_lookup(seg).collect()}
+    assert got == {("1", "C"): 6}
+    s = spark.createDataFrame([("1", 1, "always_churned"), ("2", 0, "not_churned")],
+                              "RIMNO string, CHURN int, CHURN_TYPE string")
+    a = spark.createDataFrame([("1", 1, "always_inactive"), ("3", 0, "new_customer")],
+                              "RIMNO string, ACTIVATION_CHURN int, ACTIVATION_CHURN_TYPE string")
+    wide = {r["CHURN_TYPE"]: r.asDict() for r in compare.label_crosstab_wide(compare.compare_labels(s, a)).collect()}
+    assert wide["All"]["All"] == 3 and wide["always_churned"]["always_inactive"] == 1
+    assert wide["(missing)"]["new_customer"] == 1 and wide["not_churned"]["(missing)"] == 1
