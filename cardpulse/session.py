@@ -19,16 +19,35 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.shuffle.partitions": "8",
 }
 
+# Cluster sizing for ~100 TB inputs: start every shuffle with many partitions (about
+# 60 MB each for a 2.5 TB shuffle) and let AQE coalesce them to ~256 MB; AQE can merge
+# small partitions but cannot split a large one (except skewed join partitions), so
+# the initial count must be high.  Input splits of 256 MB keep task counts sane.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "40000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+}
+
+
+def _local_conf(master: str) -> dict:
+    cores = master[len("local["):-1] if master.startswith("local[") else "1"
+    n = 8 if cores == "*" else max(1, int(cores))
+    return {"spark.sql.shuffle.partitions": str(n)}
+
 
 def get_session(master: str | None = "local[8]", app: str = "cardpulse",
                 extra: dict | None = None) -> SparkSession:
+    """Session with the settings cardpulse relies on; ``master=None`` means a cluster
+    (the submit command chooses it) and applies the large-input sizing."""
     builder = SparkSession.builder.appName(app)
+    sizing = _local_conf(master) if master and master.startswith("local") else CLUSTER_CONF
     if master:
         builder = builder.master(master)
-    for k, v in {**BASE_CONF, **(extra or {})}.items():
+    for k, v in {**BASE_CONF, **sizing, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
