@@ -153,6 +153,32 @@ def box_stats(df: DataFrame, col: str) -> DataFrame:
     return _box_from_quantiles(df, col, q1, med, q3)
 
 
+def box_stats_multi(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Box statistics of several columns of one table: one shared exact-quantile call
+    and one aggregate for every column's whiskers and outlier count."""
+    qs = exact_quantiles_multi(df, {c: [0.25, 0.5, 0.75] for c in cols})
+    aggs, rows = [], []
+    for i, c in enumerate(cols):
+        q1, med, q3 = qs[c]
+        x = F.col(c)
+        if q1 is None:
+            lo_f = hi_f = None
+        else:
+            lo_f, hi_f = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        aggs += [F.count(x).alias(f"n{i}"),
+                 F.min(F.when(x >= F.lit(lo_f), x)).alias(f"wl{i}"),
+                 F.max(F.when(x <= F.lit(hi_f), x)).alias(f"wh{i}"),
+                 F.count_if((x < F.lit(lo_f)) | (x > F.lit(hi_f))).alias(f"o{i}")]
+        rows.append((c, q1, med, q3))
+    agg = df.agg(*aggs)
+    structs = [F.struct(F.lit(c).alias("COLUMN_NAME"), F.col(f"n{i}").alias("N"), F.lit(q1).cast("double").alias("Q1"),
+                        F.lit(med).cast("double").alias("MEDIAN"), F.lit(q3).cast("double").alias("Q3"),
+                        F.col(f"wl{i}").alias("WHISKER_LO"), F.col(f"wh{i}").alias("WHISKER_HI"),
+                        F.col(f"o{i}").alias("N_OUTLIERS"))
+               for i, (c, q1, med, q3) in enumerate(rows)]
+    return agg.select(F.explode(F.array(*structs)).alias("_R")).select("_R.*")
+
+
 def grouped_box_stats(df: DataFrame, group_col: str, col: str) -> DataFrame:
     """Box statistics per group: exact quartiles of all groups in shared passes, then one
     grouped aggregate with each group's fences supplied as literals."""

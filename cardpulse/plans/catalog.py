@@ -331,14 +331,19 @@ def q_kde(spark, sf_dir):
 
 
 def q_cap_before_after(spark, sf_dir):
+    """Box statistics before and after the p99 cap: per table the raw and capped
+    variants are columns of one projection, so all share the same passes."""
     t, p = fx.txn(spark, sf_dir), fx.prime(spark, sf_dir)
-    caps = {**features.p99_caps(t, ["BILLING_AMT", "ORIG_AMOUNT"]), **features.p99_caps(p, ["OVERDUEAMOUNT"])}
     out = None
-    for src, col in ((t, "BILLING_AMT"), (t, "ORIG_AMOUNT"), (p, "OVERDUEAMOUNT")):
-        capped = features.winsorize(src, {col: caps[col]})
-        for stage, df in (("before", src), ("after", capped)):
-            b = profile.box_stats(df, col).withColumn("COLUMN_NAME", F.lit(col)).withColumn("STAGE", F.lit(stage))
-            out = b if out is None else out.unionByName(b)
+    for src, cols in ((t, ["BILLING_AMT", "ORIG_AMOUNT"]), (p, ["OVERDUEAMOUNT"])):
+        caps = features.p99_caps(src, cols)
+        wide = src.select(*[F.col(c).alias(f"{c}|before") for c in cols],
+                          *[F.when(F.col(c) > F.lit(caps[c]), F.lit(caps[c])).otherwise(F.col(c)).alias(f"{c}|after")
+                            for c in cols])
+        b = profile.box_stats_multi(wide, [f"{c}|{st}" for c in cols for st in ("before", "after")])
+        b = b.withColumn("STAGE", F.element_at(F.split("COLUMN_NAME", "[|]"), 2)) \
+            .withColumn("COLUMN_NAME", F.element_at(F.split("COLUMN_NAME", "[|]"), 1))
+        out = b if out is None else out.unionByName(b)
     return out.select("COLUMN_NAME", "STAGE", "N", "Q1", "MEDIAN", "Q3", "WHISKER_LO", "WHISKER_HI", "N_OUTLIERS")
 
 
