@@ -44,7 +44,22 @@ def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _vectors(df: DataFrame, cols: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(df)
+    """Feature vectors in a fixed row order: the mixture's seeded initial sample then
+    depends only on the data, not on the arrival order of shuffled rows."""
+    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip") \
+        .transform(df.orderBy(*cols))
+
+
+def _fit_gmm(data: DataFrame, k: int, seed: int, attempts: int = 3):
+    """Gaussian mixture fit; a numerically failed fit (singular covariance) is retried
+    with the next seeds."""
+    last = None
+    for s in range(seed, seed + attempts):
+        try:
+            return GaussianMixture(k=k, seed=s, featuresCol="features").fit(data)
+        except Exception as e:  # noqa: BLE001 - Py4J wraps the JVM's NotConvergedException
+            last = e
+    raise RuntimeError(f"Gaussian mixture with k={k} did not converge") from last
 
 
 # ------------------------------------------------------------------ clustering
@@ -57,7 +72,11 @@ def choose_k(scaled: DataFrame, cols: list[str], k_range=(2, 8), seed: int = 42)
     rows, best_k, best = [], None, -1.0
     try:
         for k in range(k_range[0], k_range[1] + 1):
-            pred = GaussianMixture(k=k, seed=seed, featuresCol="features").fit(data).transform(data)
+            try:
+                pred = _fit_gmm(data, k, seed).transform(data)
+            except RuntimeError:
+                rows.append((k, None, 0))  # no model for this k: cannot be chosen
+                continue
             used = pred.select("prediction").distinct().count()
             score = evaluator.evaluate(pred) if used > 1 else None
             if score is not None and score > best:
@@ -73,7 +92,7 @@ def choose_k(scaled: DataFrame, cols: list[str], k_range=(2, 8), seed: int = 42)
 def gmm_segments(scaled: DataFrame, cols: list[str], k: int, seed: int = 42) -> DataFrame:
     """Full-covariance Gaussian mixture labels (CLUSTER) for every row."""
     data = _vectors(scaled, cols)
-    model = GaussianMixture(k=k, seed=seed, featuresCol="features").fit(data)
+    model = _fit_gmm(data, k, seed)
     return model.transform(data).withColumn("CLUSTER", F.col("prediction").cast("int")) \
         .drop("features", "prediction", "probability")
 
