@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from cardpulse.llm import simhash
+from cardpulse.llm import langid, lattice, mixing, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op5_mixing": mixing.op5_mixing,
+        "op6_langid": langid.op6_langid,
+        "op8_warc": warc.op8_warc,
+        "op10_lattice": lattice.op10_lattice,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_warc": warc.OP8_SQL,
+    }
