@@ -52,7 +52,7 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: st
 
     keys = [F.col(c).asc_nulls_first() for c in [group, *order]]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    schema = df.schema.add("_pid", "int").add("_run", "long")
+    schema = df.select("*", F.lit(0).alias("_pid"), F.lit(0).cast("long").alias("_run")).schema
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

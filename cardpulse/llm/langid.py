@@ -189,7 +189,6 @@ def languages(docs: DataFrame) -> DataFrame:
     give no rows; other columns are not read.
     """
     net = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(net)
     rows = docs.select("doc_id", held_out(F.col("doc_id"), HELD_OUT).alias("held_out"), "text")
     schema = rows.select("doc_id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
@@ -198,13 +197,13 @@ def languages(docs: DataFrame) -> DataFrame:
             names, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
             at, texts = [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
-                if t is not None and LETTER.search(t) and shared.value is not None:
+                if t is not None and LETTER.search(t) and net is not None:
                     at.append(i)
                     texts.append(t.encode())
             if at:
-                p = classify(shared.value, texts)
+                p = classify(net, texts)
                 for i, k, s in zip(at, p.argmax(axis=1).tolist(), p.max(axis=1).tolist()):
-                    names[i], score[i] = shared.value.classes[k], min(1.0, s)
+                    names[i], score[i] = net.classes[k], min(1.0, s)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(score, pa.float64())],
                                              ["doc_id", "held_out", "lang_pred", "score"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardpulse.llm import langid, lattice, mixing, simhash, toxicity, warc
+from cardpulse.llm import langid, lattice, linedup, mixing, pii, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,12 +11,15 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op5_mixing": mixing.op5_mixing,
         "op6_langid": langid.op6_langid,
+        "op7_line_dedup": linedup.op7_line_dedup,
         "op8_warc": warc.op8_warc,
+        "op9_pii": pii.op9_pii,
         "op10_lattice": lattice.op10_lattice,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_line_dedup": linedup.OP7_SQL,
         "op8_warc": warc.OP8_SQL,
     }

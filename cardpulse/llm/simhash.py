@@ -99,9 +99,9 @@ def _error_table(most: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarr
     return rem, np.split(words[order], cuts), np.split(level[order], cuts)
 
 
-def visits(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def visits(fp: np.ndarray, most: int, tables: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor) of every anchor within covering radius plus ``most`` of each fingerprint."""
-    rem, errors, levels = _error_table(most)
+    rem, errors, levels = tables or _error_table(most)
     mask = np.uint64((1 << GOLAY_BITS) - 1)
     halves = [((fp >> np.uint64(s)) & mask).astype(np.uint32) for s in (0, GOLAY_BITS)]
     widest = max(map(len, errors))
@@ -122,16 +122,19 @@ def visits(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 def near_pairs(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """(a, b) for all distinct fingerprints ``fp`` that differ in 1 to ``most`` bits, once each."""
 
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
     def send(reach: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = _error_table(reach)
             for batch in batches:
                 fp = batch.column(0).to_numpy(zero_copy_only=False)
                 for lo in range(0, len(fp), 2000):
                     part = fp[lo:lo + 2000]
-                    r, anchor = visits(part.view(np.uint64), reach)
+                    r, anchor = visits(part.view(np.uint64), reach, tables)
                     yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[r])], ["anchor", "fp"])
 
-        return distinct.select("fp").mapInArrow(run, "anchor long, fp long")
+        return spread.mapInArrow(run, "anchor long, fp long")
 
     home = send(0).select(F.col("anchor").alias("home"), F.col("fp").alias("a"))
     visitor = send(most).select("anchor", F.col("fp").alias("b"))

@@ -272,13 +272,12 @@ def scores(model: Model, texts: list[str | None], memory: dict[str, tuple] | Non
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (any columns, one of them ``text``) with a column ``_score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, tuple] = {}
         for batch in batches:
-            s = scores(shared.value, batch.column(at).to_pylist(), memory)
+            s = scores(model, batch.column(at).to_pylist(), memory)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "_score"])
 
     return docs.mapInArrow(run, docs.withColumn("_score", F.lit(0.0)).schema)
