@@ -36,6 +36,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if a count shows at most ``most_rows`` rows; otherwise as it is, to be shuffled.
+    For checkpointed tables of a few short columns."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def utf8_rows(column: pa.ChunkedArray | pa.Array) -> list:
     """The column's texts as bytes (no decoding)."""
     return column.cast(pa.binary()).to_pylist()

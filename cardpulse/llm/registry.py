@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from cardpulse.llm import langid, lattice, linedup, mixing, pii, simhash, toxicity, warc
+import corpus_pipeline
+from cardpulse.llm import decontaminate, langid, lattice, linedup, mixing, pii, simhash, suffix, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_suffix": suffix.op3_suffix,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_mixing": mixing.op5_mixing,
         "op6_langid": langid.op6_langid,
         "op7_line_dedup": linedup.op7_line_dedup,
         "op8_warc": warc.op8_warc,
         "op9_pii": pii.op9_pii,
         "op10_lattice": lattice.op10_lattice,
+        "pipeline": corpus_pipeline.run,
     }
 
 
