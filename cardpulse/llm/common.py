@@ -36,6 +36,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that starts with ``name`` and that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if a count shows at most ``most_rows`` rows; otherwise as it is, to be shuffled.
     For checkpointed tables of a few short columns."""

@@ -241,8 +241,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MIN_COVER
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     bad = checkpointed(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    return (docs.withColumn("_text", F.xxhash64("text"))
-            .join(small(bad), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_anti").select(*docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return (rows.join(small(bad), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_anti")
+            .select("row.*"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,8 +133,8 @@ def _kept_text(lines: Column, spans: Column) -> Column:
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` (doc_id, text and any columns) with ``kept`` (the text without repeated runs, null if nothing is
-    left or the text is null), ``n_lines``, ``n_removed`` and ``n_runs``.
+    """(row, kept, n_lines, n_removed, n_runs) for every row of ``docs`` (doc_id, text and any columns): the row
+    itself, its text without repeated runs (null if nothing is left or the text is null), and counts.
 
     Null texts have no lines; an empty text is one empty line; rows with equal id and text count as
     one document and are cut alike, so repeated rows do not delete each other; null ids come last in
@@ -142,34 +142,40 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     spans = materialise(deletions(docs.select("doc_id", "text"), min_words)).select(
         F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "spans")
-    found = _document_key(docs).join(spans, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
-    lines = F.split("text", "\n", -1)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    found = rows.join(spans, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
+    text = F.col("row.text")
+    lines = F.split(text, "\n", -1)
     removed = F.aggregate("spans", F.lit(0), lambda x, s: x + s["b"] - s["a"])
     return found.select(
-        *[F.col(c) for c in docs.columns],
-        F.when(F.col("spans").isNull(), F.col("text")).otherwise(_kept_text(lines, F.col("spans"))).alias("kept"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.coalesce(removed, F.lit(0)).alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_runs"))
+        "row", F.when(F.col("spans").isNull(), text).otherwise(_kept_text(lines, F.col("spans"))).alias("kept"),
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_runs"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_runs, kept_sha256), one row for every row of ``docs``."""
     kept = F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256)
     return without_repeats(docs.select("doc_id", "text")).select(
-        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"),
-        F.col("n_runs").cast("long").alias("n_runs"), kept.alias("kept_sha256"))
+        F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "n_runs", kept.alias("kept_sha256"))
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated runs cut from the texts and n_chars brought up to date; documents of which
-    no line is left go."""
-    cut = without_repeats(docs)
+    """``docs`` with repeated runs cut from the texts and n_chars, if there, brought up to date; documents of
+    which no line is left go.  Rows keep all their columns."""
     changed = F.col("n_removed") > 0
-    out = cut.where(~changed | F.col("kept").isNotNull()).withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(*docs.columns)
+    cut = without_repeats(docs).where(~changed | F.col("kept").isNotNull())
+
+    def value(c: str):
+        old = F.col("row")[c]
+        if c == "text":
+            return F.col("kept").alias(c)
+        if c == "n_chars":
+            return F.when(changed, F.length("kept")).otherwise(old).cast(docs.schema[c].dataType).alias(c)
+        return old.alias(c)
+
+    return cut.select(*[value(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardpulse.llm.common import table
+from cardpulse.llm.common import fresh, table
 
 KEY = "pseudonym key of this corpus"   # give your own: equal keys link equal values
 ROUNDS = 8
@@ -196,24 +196,24 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
             .otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` replaced by the text with pseudonyms, and ``found``: array of (kind, value) in
-    order of appearance, value being the pseudonym.
+def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_col: str = "found") -> DataFrame:
+    """``docs`` with ``text_col`` replaced by the text with pseudonyms, and ``found_col`` (with underscores added if
+    ``docs`` has that column): array of (kind, value) in order of appearance, value being the pseudonym.
 
     Null and empty texts stay as they are with an empty array; candidates that do not validate stay;
     rows with null ids and repeated rows are treated like any other; other columns are kept as they are.
     """
-    text = F.col(text_col)
+    text, candidates, each, result = F.col(text_col), fresh(docs, "_candidates"), fresh(docs, "_each"), fresh(docs, found_col)
     maybe = text.rlike("[0-9]{2}|@|[=:]")
-    out = docs.withColumn("_candidates", F.when(maybe, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))))
-    out = out.withColumn("_found", F.transform("_candidates", lambda m: pseudonym(m, key)))
-    some = F.size("_candidates") > 0
+    out = docs.withColumn(candidates, F.when(maybe, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))))
+    out = out.withColumn(each, F.transform(candidates, lambda m: pseudonym(m, key)))
     pieces = F.split(text, CANDIDATE, -1)
-    rebuilt = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size("_found")), "_found",
+    rebuilt = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size(each)), F.col(each),
                                                lambda gap, f: F.concat(gap, f["value"])), ""), F.element_at(pieces, -1))
     empty = F.array().cast("array<struct<kind:string,value:string>>")
-    found = F.coalesce(F.filter("_found", lambda f: f["kind"].isNotNull()), empty)
-    return out.withColumn("found", found).withColumn(text_col, F.when(some, rebuilt).otherwise(text)).drop("_candidates", "_found")
+    found = F.coalesce(F.filter(each, lambda f: f["kind"].isNotNull()), empty)
+    return (out.withColumn(result, found).withColumn(text_col, F.when(F.size(candidates) > 0, rebuilt).otherwise(text))
+            .drop(candidates, each))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,9 +178,9 @@ def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MAX_BITS)
     stays = (prints.groupBy("fp").agg(F.min(first).alias("first")).join(classes, F.col("fp") == F.col("_fp"))
              .groupBy("root").agg(F.min("first").alias("first"))
              .select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")))
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    return (hashed.join(checkpointed(stays), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_semi")
-            .dropDuplicates(["doc_id", "_hash"]).select(*docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return (rows.join(checkpointed(stays), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_text")), "left_semi")
+            .dropDuplicates(["id", "hash"]).select("row.*"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,8 @@ from cardpulse.llm.common import checkpointed, materialise, table, utf8_rows
 
 LENGTH = 400
 GRAM = 32
-HOT_CLASSES = 512
+HOT_CLASSES = 512          # classes of a gram that are compared in one task
+BATCH_CLASSES = 1536       # classes compared together, of one or many grams
 PIECE = 4 << 20            # bytes looked at together
 SEED = 3
 
@@ -235,7 +236,7 @@ def _few(classes: DataFrame, length: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 1024):
                 held.append(batch.slice(lo, 1024))
                 rows += held[-1].num_rows
-                if rows >= 1024 + HOT_CLASSES:
+                if rows >= BATCH_CLASSES:
                     t = pa.Table.from_batches(held)
                     g = t.column("gram").to_numpy()
                     whole = int(np.searchsorted(g, g[-1], side="left"))
@@ -270,7 +271,7 @@ def _many(classes: DataFrame, length: int) -> DataFrame:
     return hits.select("gram", "cls", F.col("at").alias("first"), F.col("at").alias("last"))
 
 
-def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """(_id, _hash, spans): per document the byte stretches (from, to) under windows that occur anywhere else,
     in order and apart from each other."""
     rows = materialise(anchor_table(docs, length))
@@ -281,7 +282,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = materialise(classes.join(grams, F.col("gram") == F.col("_gram")).drop("_gram"))
     alone = shared.where("classes = 1").select("gram", "cls", F.col("near").alias("first"), F.col("far").alias("last"))
     wanted = shared.where("classes > 1").select("_id", "_hash", "pos", "near", "far", "gram", "cls", "n", "classes")
-    hot = wanted.where(F.col("classes") > HOT_CLASSES).select("gram").distinct()
+    hot = wanted.where(F.col("classes") > hot_classes).select("gram").distinct()
     bytes_of = materialise(_contexts(docs, wanted, length))
     hot = materialise(hot.select(F.col("gram").alias("_gram")))
     few = bytes_of.join(hot, F.col("gram") == F.col("_gram"), "left_anti")
@@ -314,14 +315,14 @@ def _merged(spans: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): one row for every row of ``docs`` (doc_id, text); kept holds
     the remaining bytes.
 
     A null text is empty; rows with equal id and text are separate documents, so each repeats the
     other; null ids are kept; texts shorter than ``length`` lose nothing; no rows give no rows.
     """
-    spans = materialise(repeated(docs, length)).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "spans")
+    spans = materialise(repeated(docs, length, hot_classes)).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "spans")
     both = (_keyed(docs).join(spans, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
             .select(F.col("_id").alias("doc_id"), "text", "spans"))
     schema = both.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lit(b"").alias("kept")).schema

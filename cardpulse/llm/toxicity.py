@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardpulse.llm.common import materialise, table
+from cardpulse.llm.common import fresh, materialise, table
 
 SAMPLE_ROWS = 15_000
 CANDIDATES = 800
@@ -107,9 +107,9 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
                 ) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, float]]]:
     """Posterior of class 1 for every row of binary ``votes``, the voters' rates, and the dependences.
 
-    ``start`` gives first posteriors.  Half of the rounds take voters as independent in a class;
-    then voters whose residuals correlate within a class form a tree, and each voter's rate is
-    conditioned on its parent's vote for the other half.
+    ``start`` gives first posteriors.  Voters whose residuals correlate within a class under these form
+    a tree, and each voter's rate is conditioned on its parent's vote; a tree found only after rounds
+    of independent voters would miss voters that had drawn the class to themselves.
     """
     n, m = votes.shape
     v = votes.astype(float)
@@ -119,7 +119,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
         w = np.stack([1 - post, post])
         size = w.sum(axis=1)
         rates = ((w @ v + 0.5 * np.array([[0.02], [0.3]])) / (size[:, None] + 0.5)).T.clip(1e-4, 1 - 1e-4)
-        if it == rounds // 2 and m > 1:
+        if it == 0 and m > 1:
             corr = np.zeros((m, m))
             for c in (0, 1):
                 r = (v - rates[:, c]) * np.sqrt(w[c])[:, None]
@@ -270,17 +270,17 @@ def scores(model: Model, texts: list[str | None], memory: dict[str, tuple] | Non
     return out
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns, one of them ``text``) with a column ``_score``."""
+def scored(docs: DataFrame, model: Model, out: str) -> DataFrame:
+    """``docs`` (any columns, one of them ``text``) with a column ``out``, the score."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, tuple] = {}
         for batch in batches:
             s = scores(model, batch.column(at).to_pylist(), memory)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.withColumn("_score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -290,14 +290,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     repeated rows score alike; without labelled rows of both kinds the fixed lexicons alone score;
     no rows give no rows; other columns are not read.
     """
-    return scored(docs.select("doc_id", "text"), fit(docs, labels)).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= CUT).cast("int").alias("predicted"))
+    return scored(docs.select("doc_id", "text"), fit(docs, labels), "score").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted toxic."""
-    return scored(docs, fit(docs, labels)).where(F.col("_score") < CUT).drop("_score")
+    """``docs`` without the rows predicted toxic; rows keep all their columns."""
+    score = fresh(docs, "_score")
+    return scored(docs, fit(docs, labels), score).where(F.col(score) < CUT).drop(score)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
