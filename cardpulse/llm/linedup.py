@@ -141,7 +141,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     the order; no rows give no rows.
     """
     spans = materialise(deletions(docs.select("doc_id", "text"), min_words)).select(
-        F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "spans")
+        F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "spans").hint("merge")  # spans grow with the corpus
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     found = rows.join(spans, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
     text = F.col("row.text")
