@@ -81,7 +81,7 @@ def document_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, source, size, start): each document's place in its source's stream of words."""
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                         n_words(F.col(text_col)).alias("size"))
-    return materialise(running_sum(sizes, "source", ["doc_id", "size"], "size", "start"))
+    return materialise(running_sum(materialise(sizes), "source", ["doc_id", "size"], "size", "start"))
 
 
 def mixture(placed: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS,
@@ -131,7 +131,7 @@ def slots(spark: SparkSession, mix: pd.DataFrame, shard_slots: int = SHARD_SLOTS
     surplus_at, gap_at, gap = _fill(drawn, want)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (batch.iloc[lo:lo + 64] for batch in batches for lo in range(0, len(batch), 64)):
             n = pdf["n"].to_numpy()
             src = np.repeat(pdf["source_no"].to_numpy(), n).astype(np.int64)
             k = np.repeat(pdf["first"].to_numpy(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -145,7 +145,8 @@ def slots(spark: SparkSession, mix: pd.DataFrame, shard_slots: int = SHARD_SLOTS
             yield pd.DataFrame({"shard": np.repeat(pdf["shard"].to_numpy(), n), "source_no": src.astype(np.int32),
                                 "block_no": permuted(k % size, size, key)})
 
-    return numbered.mapInPandas(place, "shard long, source_no int, block_no long")
+    tasks = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return numbered.repartition(tasks).mapInPandas(place, "shard long, source_no int, block_no long")
 
 
 def mix_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS,
