@@ -179,7 +179,7 @@ def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MAX_BITS)
              .groupBy("root").agg(F.min("first").alias("first"))
              .select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    return (rows.join(checkpointed(stays), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_text")), "left_semi")
+    return (rows.join(checkpointed(stays).hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_text")), "left_semi")
             .dropDuplicates(["id", "hash"]).select("row.*"))
 
 

@@ -153,7 +153,7 @@ def anchor_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``wanted`` (_id, _hash, pos, near, far, gram, cls, n) with ``bytes``, all bytes under the anchor's windows."""
     per = (wanted.groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h"))
-           .agg(F.collect_list(F.struct("pos", "near", "far", "gram", "cls", "n")).alias("at")))
+           .agg(F.collect_list(F.struct("pos", "near", "far", "gram", "cls", "n")).alias("at")).hint("merge"))
     both = _keyed(docs).join(per, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).dropDuplicates(["_id", "_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot_classes: int = HO
     A null text is empty; rows with equal id and text are separate documents, so each repeats the
     other; null ids are kept; texts shorter than ``length`` lose nothing; no rows give no rows.
     """
-    spans = materialise(repeated(docs, length, hot_classes)).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "spans")
+    spans = materialise(repeated(docs, length, hot_classes)).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "spans").hint("merge")
     both = (_keyed(docs).join(spans, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
             .select(F.col("_id").alias("doc_id"), "text", "spans"))
     schema = both.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lit(b"").alias("kept")).schema
