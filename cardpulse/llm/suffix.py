@@ -15,9 +15,11 @@ Digits are chosen so that a pass needs one row for a stretch of suffixes, not on
 2. The second digit is the hash of all bytes under the anchor's windows.  Anchors equal in it are
    one class: all their windows are repeated.
 3. Where a gram has several classes, the last digit is taken window by window: classes are aligned
-   at the anchor, and windows at the same offset are compared by the hash of their bytes.  Grams of
-   few classes are compared many at a time in a task; windows of a gram with more than
-   ``HOT_CLASSES`` classes are dealt out by their own hash, so that no group meets in one task.
+   at the anchor, and windows at the same offset are compared by the hash of their bytes, many grams
+   at a time in a task.  A gram with more than ``HOT_CLASSES`` classes is split first: the offsets are
+   cut into cells, and both digits are taken once more in each cell, for the bytes that all its
+   windows share and for all bytes under them; in the last pass a cell is one window.  So no group
+   meets in one task, whatever its size.
 
 Repeated windows come back as ranges of offsets, are laid over their documents, and the bytes
 they cover are removed.
@@ -32,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardpulse.llm.common import checkpointed, materialise, table, utf8_rows
+from cardpulse.llm.common import materialise, table, utf8_rows
 
 LENGTH = 400
 GRAM = 32
-HOT_CLASSES = 512          # classes of a gram that are compared in one task
-BATCH_CLASSES = 1536       # classes compared together, of one or many grams
+HOT_CLASSES = 256          # classes of a gram that are compared in one task
+BATCH_CLASSES = 1024       # classes compared together, of one or many grams
+CELLS = (24, 1)            # offsets that a hot gram is split into, one pass after another
 PIECE = 4 << 20            # bytes looked at together
 SEED = 3
 
@@ -250,25 +253,58 @@ def _few(classes: DataFrame, length: int) -> DataFrame:
     return ordered.mapInArrow(run, "gram long, cls binary, first int, last int")
 
 
-def _many(classes: DataFrame, length: int) -> DataFrame:
-    """(gram, cls, first, last): repeated windows of grams of many classes, windows dealt out by their hash."""
+def _split(classes: DataFrame, length: int, width: int) -> DataFrame:
+    """(gram, cls, key, sub, near, far, n, bytes): the classes' offsets cut into cells of ``width`` offsets, one
+    row each.  ``key`` is the gram, the cell and the bytes that all windows of the cell share, ``sub`` all
+    bytes under the class's own windows there: the first and second digit once more, for a shorter range."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                t = batch.slice(lo, 512)
-                near, far = (t.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-                cls, offset, h = _window_hashes(near, far, t.column(5).to_pylist(), length, GRAM)
-                where = pa.array(cls)
-                yield pa.RecordBatch.from_arrays(
-                    [t.column(0).take(where), t.column(1).take(where), t.column(4).take(where), pa.array(offset.astype(np.int32)),
-                     pa.array(h.view(np.int64))], ["gram", "cls", "n", "at", "window"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import blake2b
+
+        names = ["gram", "cls", "key", "sub", "near", "far", "n", "bytes"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
-    windows = materialise(classes.mapInArrow(spread, "gram long, cls binary, n long, at int, window long"))
-    equal = checkpointed(windows.groupBy("gram", "at", "window").agg(F.sum("n").alias("_n")).where("_n > 1")
-                         .select(F.col("gram").alias("_g"), F.col("at").alias("_a"), F.col("window").alias("_w")))
-    hits = windows.join(equal, (F.col("gram") == F.col("_g")) & (F.col("at") == F.col("_a")) & (F.col("window") == F.col("_w")))
-    return hits.select("gram", "cls", F.col("at").alias("first"), F.col("at").alias("last"))
+        def part(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+        for batch in batches:
+            out: list[tuple] = []
+            for gram, cls, near, far, n, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                for cell in range(near // width, far // width + 1):
+                    lo, hi = cell * width, cell * width + width - 1
+                    a, b = max(near, lo), min(far, hi)
+                    common = raw[far - lo:max(far - lo, far + length - hi)]
+                    own = raw[far - b:far + length - a]
+                    key = blake2b(gram.to_bytes(8, "little", signed=True) + cell.to_bytes(4, "little") + common, digest_size=8).digest()
+                    sub = blake2b(a.to_bytes(4, "little") + b.to_bytes(4, "little") + own, digest_size=16).digest()
+                    out.append((gram, cls, int.from_bytes(key, "little", signed=True), sub, a, b, n, own))
+                if len(out) >= 4096:
+                    yield part(out)
+                    out = []
+            if out:
+                yield part(out)
+
+    return classes.mapInArrow(run, "gram long, cls binary, key long, sub binary, near int, far int, n long, bytes binary")
+
+
+def _found(classes: DataFrame, length: int, hot_classes: int, cells: tuple[int, ...]) -> DataFrame:
+    """(gram, cls, first, last): the repeated windows of classes (gram, cls, near, far, n, bytes) of grams that
+    have several."""
+    hot = materialise(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > hot_classes)
+                      .select(F.col("gram").alias("_gram")))
+    if not cells or hot.isEmpty():
+        return _few(classes, length)
+    few = _few(classes.join(hot, F.col("gram") == F.col("_gram"), "left_anti"), length)
+    parts = materialise(_split(classes.join(hot, F.col("gram") == F.col("_gram"), "left_semi"), length, cells[0]))
+    subs = materialise(parts.groupBy("key", "sub").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("near", "far", "bytes")]))
+    keys = materialise(subs.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_n")).where("_n > 1")
+                       .withColumnRenamed("key", "_key"))
+    left = materialise(subs.join(keys, F.col("key") == F.col("_key")))
+    alone = left.where("_c = 1").select("key", "sub", F.col("near").alias("first"), F.col("far").alias("last"))
+    several = left.where("_c > 1").select(F.col("key").alias("gram"), F.col("sub").alias("cls"), "near", "far", "n", "bytes")
+    below = materialise(alone.union(_found(several, length, hot_classes, cells[1:]))).toDF("_key", "_sub", "first", "last")
+    up = parts.select("gram", "cls", "key", "sub").join(below, (F.col("key") == F.col("_key")) & (F.col("sub") == F.col("_sub")))
+    return few.union(up.select("gram", "cls", "first", "last"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT_CLASSES) -> DataFrame:
@@ -282,12 +318,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT_CLASS
     shared = materialise(classes.join(grams, F.col("gram") == F.col("_gram")).drop("_gram"))
     alone = shared.where("classes = 1").select("gram", "cls", F.col("near").alias("first"), F.col("far").alias("last"))
     wanted = shared.where("classes > 1").select("_id", "_hash", "pos", "near", "far", "gram", "cls", "n", "classes")
-    hot = wanted.where(F.col("classes") > hot_classes).select("gram").distinct()
     bytes_of = materialise(_contexts(docs, wanted, length))
-    hot = materialise(hot.select(F.col("gram").alias("_gram")))
-    few = bytes_of.join(hot, F.col("gram") == F.col("_gram"), "left_anti")
-    many = bytes_of.join(hot, F.col("gram") == F.col("_gram"), "left_semi")
-    found = materialise(alone.union(_few(few, length)).union(_many(many, length))).select(
+    found = materialise(alone.union(_found(bytes_of, length, hot_classes, CELLS))).select(
         F.col("gram").alias("_g"), F.col("cls").alias("_c"), "first", "last")
     spans = (rows.select("_id", "_hash", "pos", "gram", "cls").join(found, (F.col("gram") == F.col("_g")) & (F.col("cls") == F.col("_c")))
              .select("_id", "_hash", (F.col("pos") - F.col("last")).alias("a"), (F.col("pos") - F.col("first") + length).alias("b")))

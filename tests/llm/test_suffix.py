@@ -51,7 +51,7 @@ def _shared_passages(rng):
     return rows
 
 
-@pytest.mark.parametrize("hot_classes", [0, 512])
+@pytest.mark.parametrize("hot_classes", [0, 3, 512])
 def test_partial_overlaps(spark, hot_classes):
     rows = _shared_passages(np.random.default_rng(4))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
