@@ -23,7 +23,7 @@ from cardpulse.llm.common import materialise, scratch_path, table
 
 MIN_REVISIT = 100
 DICTIONARY_BYTES = 64 << 10
-SAMPLE_RECORDS = 1000        # records the dictionary is built from, those of the least digests
+SAMPLE_RECORDS = 1000        # records the dictionary is built from, about
 SAMPLE_BYTES = 8 << 10       # and of each so many bytes
 ARCHIVE_BYTES = 32 << 20     # payload in one archive, about
 LEVEL = 3
@@ -70,12 +70,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, n: int, digest:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _dictionary(rows: DataFrame, n: int, sample_bytes: int, size: int) -> bytes:
-    """Built from the first bytes of the stored payloads with the least digests; empty if they are too few."""
+def _dictionary(rows: DataFrame, stored: int, n: int, sample_bytes: int, size: int) -> bytes:
+    """Built from the first bytes of about ``n`` of the ``stored`` payloads, chosen by a hash of id and digest;
+    empty if they are too few."""
     import zstandard
 
-    sample = (rows.where("refers_to is null and payload_bytes > 0").select("payload_digest", F.substring("payload", 1, sample_bytes).alias("p"))
-              .orderBy("payload_digest").limit(n).collect())
+    share = min(1.0, n / max(stored, 1))
+    chosen = F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(1 << 40)) < int(share * (1 << 40))
+    sample = (rows.where(F.col("refers_to").isNull() & (F.col("payload_bytes") > 0) & chosen)
+              .select("payload_digest", F.substring("payload", 1, sample_bytes).alias("p")).collect())
+    sample.sort(key=lambda r: r["payload_digest"])
     texts = [record(0, None, bytes(r["p"]), len(r["p"]), r["payload_digest"], None) for r in sample]
     try:
         return zstandard.train_dictionary(min(size, max(256, sum(map(len, texts)) // 8)), texts).as_bytes()
@@ -86,9 +90,10 @@ def _dictionary(rows: DataFrame, n: int, sample_bytes: int, size: int) -> bytes:
 def write(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> None:
     """Write ``classify()`` rows as archives of about ``archive_bytes`` of payload under ``path``."""
     spark = rows.sparkSession
-    total = rows.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0)
-                           + F.lit(512)).alias("b")).first()["b"] or 0
-    dictionary = _dictionary(rows, SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES)
+    found = rows.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0) + F.lit(512)).alias("b"),
+                     F.count_if(F.col("refers_to").isNull()).alias("n")).first()
+    total = found["b"] or 0
+    dictionary = _dictionary(rows, found["n"], SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES)
     shared = spark.sparkContext.broadcast(dictionary)
     leading = DICTIONARY_MAGIC + len(dictionary).to_bytes(4, "little") + dictionary
 
