@@ -172,7 +172,8 @@ def mix_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     end = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block)
     pieces = pieces.select("source_no", "block_no", "start", (begin - F.col("start")).alias("word_from"),
                            (end - begin).alias("words"))
-    mixed = slots(spark, mix, shard_slots, seed).join(pieces, ["source_no", "block_no"])
+    # the planner cannot know how many slots a count stands for: no broadcast by its estimate
+    mixed = slots(spark, mix, shard_slots, seed).join(pieces.hint("merge"), ["source_no", "block_no"])
     return placed, mixed, mix
 
 
