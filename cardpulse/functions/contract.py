@@ -76,5 +76,35 @@ PRIME_DATE = ["CREATION_DATE", "LAST_STATEMENT_DATE", "LAST_PAYMENT_DATE", "DOB"
 TXN_STRING = ["PRODUCT_NAME", "MERCHNAME", "MERCH_ID", "SOURCES", "BANKBRANCH", "TRXN_COUNTRY", "REVERSAL_FLAG"]
 TXN_LONG = ["CCY", "MCC", "SETTLEMENT_CCY"]
 TXN_DOUBLE = ["ORIG_AMOUNT", "EMBEDDED_FEE", "BILLING_AMT", "SETTLEMENT_AMT"]
+# Casts that the cast report applies, per table.
+PRIME_CAST_PLAN = {
+    "string": ["BRANCH_NAME", "ACTIVATED", "STATUS", "PRODUCT_NAME", "GENDER", "CUSTOMER_TYPE", "CARD_STATUS"],
+    "float": ["CREDIT_LIMIT", "DELIQUENCY", "LEDGER_BALANCE", "AVAILABLE_LIMIT", "OVERDUEAMOUNT",
+              "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD", "DOB_SERIAL"],
+    "int": ["RIMNO"],
+    "date": ["CREATION_DATE", "LAST_STATEMENT_DATE", "DOB", "CLOSURE_DATE"],
+}
+TXN_CAST_PLAN = {
+    "string": ["MERCHNAME", "MERCH_ID", "SOURCES", "BANKBRANCH", "TRXN_COUNTRY", "REVERSAL_FLAG", "DESCRIPTION"],
+    "float": ["ORIG_AMOUNT", "EMBEDDED_FEE", "BILLING_AMT", "SETTLEMENT_AMT"],
+    "int": ["RIMNO", "CCY", "MCC", "SETTLEMENT_CCY"],
+    "date": ["POST_DATE"],
+}
+
+# Columns of the categorical, demographic and correlation reports.
+TXN_CATEGORICAL = ["PRODUCT_NAME", "CCY", "MCC", "SETTLEMENT_CCY", "BANKBRANCH", "TRXN_COUNTRY", "REVERSAL_FLAG"]
+PRIME_CATEGORICAL = ["BRANCH_NAME", "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD"]
+DEMOGRAPHIC_COLUMNS = ["GENDER", "CUSTOMER_TYPE", "ACTIVATED", "STATUS_NAME"]
+CORR_COLUMNS = ["CREDIT_LIMIT", "LEDGER_BALANCE", "OVERDUEAMOUNT", "LAST_PAYMENT_AMOUNT", "DELIQUENCY", "NO_OF_CYCLES",
+                "ACCOUNT_TENURE_MONTHS", "DAYS_SINCE_LAST_PAYMENT", "AGE", "FEE_TO_LIMIT_RATIO",
+                "CARD_REPLACEMENT_FREQ"]
+
+# Histograms: (source, column, bins, trim quantile, strict trim).
+HIST_SPECS = [("prime", c, 50, 0.99, False) for c in ["CREDIT_LIMIT", "LEDGER_BALANCE", "OVERDUEAMOUNT",
+                                                       "LAST_PAYMENT_AMOUNT", "JOINING_FEE", "ANNUAL_FEE"]] + \
+    [("txn", c, 60, 0.99, False) for c in ["BILLING_AMT", "ORIG_AMOUNT"]] + \
+    [("features", "ACCOUNT_TENURE_MONTHS", 40, None, False), ("features", "DAYS_SINCE_LAST_PAYMENT", 40, 0.99, True)] + \
+    [("rfm", c, 50, None, False) for c in ["TOTAL_SPEND", "AVG_TXN", "TXN_COUNT", "RECENCY"]]
+
 TXN_TIMESTAMP = ["TRXN_DATE"]
 TXN_DATE = ["POST_DATE"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,21 @@ def month_from_path(path_col) -> Column:
     return F.coalesce(F.when(mon != "", parsed), F.lit(FALLBACK_MONTH))
 
 
+def month_of_name(path: str) -> dt.date:
+    """The month that a file name tells, as ``month_from_path``, for a path at the driver."""
+    name = path.rsplit("/", 1)[-1].upper()
+    found = re.search(_MON + r"_?(?P<y>\d{4})", name) or re.search(r"(?P<y>\d{4})_?" + _MON, name)
+    if not found:
+        return FALLBACK_MONTH
+    return dt.datetime.strptime(found["y"] + next(g for g in found.groups() if g != found["y"]).title(), "%Y%b").date()
+
+
+def label_of_name(path: str) -> str:
+    """``2025-JUL``, or the stem of a file name that tells no month."""
+    month = month_of_name(path)
+    return label_of(month) if month != FALLBACK_MONTH else path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+
 def month_label(c) -> Column:
     """Date -> ``2025-JUL``."""
     d = F.col(c) if isinstance(c, str) else c
@@ -50,12 +66,6 @@ def snapshot_months(df: DataFrame, month_col: str = MONTH_COL, at_least: int = 1
     return months
 
 
-def month_dim(spark, months: list[dt.date]) -> DataFrame:
-    """Small broadcastable (SNAP_MONTH, M_RANK, M_LABEL) table; size = number of months."""
-    rows = [(m, i + 1, label_of(m)) for i, m in enumerate(months)]
-    return spark.createDataFrame(rows, f"{MONTH_COL} date, M_RANK int, M_LABEL string")
-
-
 def rank_expr(months: list[dt.date], month_col: str = MONTH_COL) -> Column:
     """Month rank (1 = oldest) as a literal CASE expression, no join needed."""
     expr = None

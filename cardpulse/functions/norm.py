@@ -15,9 +15,9 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
                "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
                "n/a", "nan", "null"]
 
-# Formats tried in order when a date column arrives as text.
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy",
-                "dd-MMM-yyyy", "MM/dd/yyyy"]
+# A date column has one declared format; this one unless another is declared.
+ISO_DATE = "yyyy-MM-dd"
+ISO_TIMESTAMPS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd"]
 
 EXCEL_EPOCH = "1899-12-30 00:00:00"  # day 0 of spreadsheet serial dates
 EXCEL_SERIAL_LIMIT = 132321  # first serial past the reference's datetime range
@@ -40,9 +40,9 @@ def strip(c) -> Column:
 
 
 def null_tokens(c) -> Column:
-    """Map the CSV null markers to SQL null."""
+    """Map the CSV null markers to SQL null (exact text: blanks alone are text)."""
     col = _c(c)
-    return F.when(strip(col).isin(NULL_TOKENS), F.lit(None)).otherwise(col)
+    return F.when(col.isin(NULL_TOKENS), F.lit(None)).otherwise(col)
 
 
 def norm_code(c) -> Column:
@@ -84,10 +84,15 @@ def parse_float(c) -> Column:
 
 
 def parse_date(c, formats: list[str] | None = None) -> Column:
-    """First format that parses wins; unparsed text -> null."""
+    """Text in one of the declared ``formats`` (ISO unless given) -> date; anything else -> null."""
     x = strip(_c(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)).cast("date")
-                        for f in (formats or DATE_FORMATS)])
+    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)).cast("date") for f in (formats or [ISO_DATE])])
+
+
+def parse_timestamp(c, formats: list[str] | None = None) -> Column:
+    """As ``parse_date``, with the time of day."""
+    x = strip(_c(c).cast("string"))
+    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in (formats or ISO_TIMESTAMPS)]).cast("timestamp_ntz")
 
 
 def excel_serial_to_timestamp(c) -> Column:

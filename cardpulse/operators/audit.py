@@ -54,10 +54,7 @@ def _rank_label(months: list[dt.date], rank_col):
     return expr
 
 
-def missing_reappearance(prime: DataFrame, id_col: str = "RIMNO", months: list[dt.date] | None = None) -> DataFrame:
-    """For ids missing at a transition (in month i-1, not in month i): in which other
-    months (not i-1, not i) they exist, with counts; empty combinations omitted."""
-    months = months or snapshot_months(prime, at_least=2)
+def _reappearances(prime: DataFrame, id_col: str, months: list[dt.date]) -> DataFrame:
     pres = presence(prime, months, id_col)
     w = Window.partitionBy(id_col).orderBy("M_RANK")
     missing = (pres.withColumn("_NEXT", F.lead("M_RANK").over(w))
@@ -65,136 +62,236 @@ def missing_reappearance(prime: DataFrame, id_col: str = "RIMNO", months: list[d
                       & F.coalesce(F.col("_NEXT") != F.col("M_RANK") + 1, F.lit(True)))
                .select(id_col, (F.col("M_RANK") + 1).alias("TO_RANK")))
     other = pres.select(id_col, F.col("M_RANK").alias("IN_RANK"))
-    hits = (missing.join(other, id_col)
-            .where((F.col("IN_RANK") != F.col("TO_RANK")) & (F.col("IN_RANK") != F.col("TO_RANK") - 1))
-            .groupBy("TO_RANK", "IN_RANK").agg(F.count(F.lit(1)).alias("N_IDS")))
+    return (missing.join(other, id_col)
+            .where((F.col("IN_RANK") != F.col("TO_RANK")) & (F.col("IN_RANK") != F.col("TO_RANK") - 1)))
+
+
+def missing_reappearance(prime: DataFrame, id_col: str = "RIMNO", months: list[dt.date] | None = None) -> DataFrame:
+    """For ids missing at a transition (in month i-1, not in month i): in which other
+    months (not i-1, not i) they exist, with counts; empty combinations omitted."""
+    months = months or snapshot_months(prime, at_least=2)
+    hits = _reappearances(prime, id_col, months).groupBy("TO_RANK", "IN_RANK").agg(F.count(F.lit(1)).alias("N_IDS"))
     return hits.select(_rank_label(months, F.col("TO_RANK") - 1).alias("FROM_MONTH"),
                        _rank_label(months, F.col("TO_RANK")).alias("TO_MONTH"),
                        _rank_label(months, F.col("IN_RANK")).alias("IN_MONTH"),
                        F.col("N_IDS").cast("bigint"))
 
 
+def presence_changes(prime: DataFrame, id_col: str = "RIMNO", months: list[dt.date] | None = None) -> DataFrame:
+    """The ids behind the presence audit: (FROM_MONTH, TO_MONTH, CHANGE, id) with CHANGE 'new' (not in
+    the month before) or 'missing' (not in the month after)."""
+    months = months or snapshot_months(prime, at_least=2)
+    w = Window.partitionBy(id_col).orderBy("M_RANK")
+    seen = presence(prime, months, id_col).select(
+        id_col, "M_RANK",
+        (F.coalesce(F.lag("M_RANK").over(w) != F.col("M_RANK") - 1, F.lit(True)) & (F.col("M_RANK") > 1)).alias("_NEW"),
+        (F.coalesce(F.lead("M_RANK").over(w) != F.col("M_RANK") + 1, F.lit(True)) & (F.col("M_RANK") < len(months))).alias("_GONE"))
+    events = F.explode(F.filter(F.array(
+        F.when(F.col("_NEW"), F.struct(F.col("M_RANK").alias("TO_RANK"), F.lit("new").alias("CHANGE"))),
+        F.when(F.col("_GONE"), F.struct((F.col("M_RANK") + 1).alias("TO_RANK"), F.lit("missing").alias("CHANGE")))),
+        lambda e: e.isNotNull())).alias("_E")
+    return seen.select(id_col, events).select(
+        _rank_label(months, F.col("_E.TO_RANK") - 1).alias("FROM_MONTH"), _rank_label(months, F.col("_E.TO_RANK")).alias("TO_MONTH"),
+        "_E.CHANGE", id_col)
+
+
+def reappearing_ids(prime: DataFrame, id_col: str = "RIMNO", months: list[dt.date] | None = None) -> DataFrame:
+    """(FROM_MONTH, TO_MONTH, IN_MONTH, id) of the ids that ``missing_reappearance`` counts."""
+    months = months or snapshot_months(prime, at_least=2)
+    return _reappearances(prime, id_col, months).select(
+        _rank_label(months, F.col("TO_RANK") - 1).alias("FROM_MONTH"), _rank_label(months, F.col("TO_RANK")).alias("TO_MONTH"),
+        _rank_label(months, F.col("IN_RANK")).alias("IN_MONTH"), id_col)
+
+
 def text_image(df: DataFrame, cols: list[str]) -> DataFrame:
     """Render compared columns as text the way a snapshot file holds them: doubles at a
-    fixed 6-digit scale (engine-independent), dates ISO, strings unchanged."""
+    fixed 6-digit scale (engine-independent; a value beyond decimal(38,6) in its own shortest
+    form), dates ISO, strings unchanged."""
     out = {}
     for c in cols:
         t = df.schema[c].dataType.typeName()
         if t in ("double", "float"):
-            out[c] = F.col(c).cast("decimal(38,6)").cast("string")
+            out[c] = F.coalesce(F.col(c).try_cast("decimal(38,6)").cast("string"), F.col(c).cast("string"))
         else:
             out[c] = F.col(c).cast("string")
     return df.withColumns(out)
 
 
+Absent = dict[dt.date, set[str]]
+
+
+def _compared(col: str, rank, months: list[dt.date], absent: Absent | None):
+    """Whether both months of the transition that starts at ``rank`` carry ``col``."""
+    cut = [i + 1 for i in range(len(months) - 1)
+           if absent and (col in absent.get(months[i], ()) or col in absent.get(months[i + 1], ()))]
+    return ~rank.isin(cut) if cut else F.lit(True)
+
+
+def idless_report(prime: DataFrame, key_cols=("RIMNO", "PRODUCT_NAME"), months: list[dt.date] | None = None) -> DataFrame:
+    """Rows without an id, which are no customer and enter no pair: per transition and product their
+    number in both months and the number of pairs they would form."""
+    months = months or snapshot_months(prime, at_least=2)
+    id_col, product = key_cols
+    per = (prime.where(F.col(id_col).isNull()).groupBy(product, rank_expr(months).alias("M_RANK"))
+           .agg(F.count(F.lit(1)).alias("N")))
+    both = (per.select(product, F.col("M_RANK").alias("A_RANK"), F.col("N").alias("N_OLD"), F.lit(0).cast("long").alias("N_NEW"))
+            .union(per.select(product, F.col("M_RANK") - 1, F.lit(0).cast("long"), F.col("N"))))
+    return (both.where(F.col("A_RANK").between(1, len(months) - 1)).groupBy(product, "A_RANK")
+            .agg(F.sum("N_OLD").alias("N_OLD"), F.sum("N_NEW").alias("N_NEW"))
+            .select(_rank_label(months, F.col("A_RANK")).alias("FROM_MONTH"), _rank_label(months, F.col("A_RANK") + 1).alias("TO_MONTH"),
+                    product, "N_OLD", "N_NEW", (F.col("N_OLD") * F.col("N_NEW")).alias("N_PAIRS")))
+
+
 def change_log(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
-               months: list[dt.date] | None = None, pairing: str = "all", order_col: str = "ROW_ID") -> DataFrame:
-    """Every (old, new) value change per card key between consecutive snapshots.
+               months: list[dt.date] | None = None, pairing: str = "all", order_col: str = "ROW_ID",
+               absent: Absent | None = None) -> DataFrame:
+    """Every (old, new) value change per card key between consecutive snapshots.  Rows without
+    an id are no customer and form no pairs (``idless_report`` counts them); a column that one
+    of the two months does not carry (``absent``: month -> columns) is not compared.
 
-    One self-join for all transitions (key + rank_b = rank_a + 1, null-safe keys),
+    One self-join for all transitions (key + rank_b = rank_a + 1, null-safe product),
     then one ``explode`` over an array of (column, old, new) structs filtered to the
     changed ones - a single pass instead of one scan per column.  A card key with
     several rows per month pairs every old row with every new row, as in the studied
     audit (``pairing="all"``; its output grows with the product of the row counts).
     ``pairing="last"`` first keeps the last row (by ``order_col``) per key and month via
     a partial ``max_by`` aggregate, so the output is bounded by one pair per key and
-    transition even for a key holding a large share of the rows.  Change counts per
-    column never need the pairs: see ``change_rates``."""
+    transition even for a key holding a large share of the rows.  Equal (old, new) pairs
+    with their number, without row pairs: ``change_log_counted``; counts per column:
+    ``change_rates``."""
     months = months or snapshot_months(prime, at_least=2)
     keys = list(key_cols)
-    img = text_image(prime, compare_cols).select(*keys, rank_expr(months).alias("M_RANK"), *compare_cols,
-                                                 *([order_col] if pairing == "last" else []))
+    img = text_image(prime.where(F.col(keys[0]).isNotNull()), compare_cols).select(
+        *keys, rank_expr(months).alias("M_RANK"), *compare_cols, *([order_col] if pairing == "last" else []))
     if pairing == "last":
         last = F.max_by(F.struct(*compare_cols), F.col(order_col)).alias("_LAST")
         img = img.groupBy(*keys, "M_RANK").agg(last).select(*keys, "M_RANK", "_LAST.*")
     elif pairing != "all":
         raise ValueError("pairing must be 'all' or 'last'")
-    a = img.select(*[F.col(k).alias(f"_A_{k}") for k in keys], F.col("M_RANK").alias("_A_RANK"),
-                   *[F.col(c).alias(f"{c}_OLD") for c in compare_cols])
-    b = img.select(*[F.col(k).alias(f"_B_{k}") for k in keys], F.col("M_RANK").alias("_B_RANK"),
-                   *[F.col(c).alias(f"{c}_NEW") for c in compare_cols])
+    values = F.array(*compare_cols)  # all text: one column through the join, short generated code behind it
+    a = img.select(*[F.col(k).alias(f"_A_{k}") for k in keys], F.col("M_RANK").alias("_A_RANK"), values.alias("_OLD"))
+    b = img.select(*[F.col(k).alias(f"_B_{k}") for k in keys], F.col("M_RANK").alias("_B_RANK"), values.alias("_NEW"))
     cond = F.col("_B_RANK") == F.col("_A_RANK") + 1
     for k in keys:
         cond = cond & F.col(f"_A_{k}").eqNullSafe(F.col(f"_B_{k}"))
     pairs = a.join(b, cond, "inner")
-    changes = F.array(*[F.struct(F.lit(c).alias("COLUMN"), F.col(f"{c}_OLD").alias("OLD_VALUE"),
-                                 F.col(f"{c}_NEW").alias("NEW_VALUE")) for c in compare_cols])
-    changed = F.filter(changes, lambda s: ~s["OLD_VALUE"].eqNullSafe(s["NEW_VALUE"]))
+    names = F.array(*[F.lit(c) for c in compare_cols])
+    changes = F.transform(F.sequence(F.lit(0), F.lit(len(compare_cols) - 1)), lambda i: F.struct(
+        F.get(names, i).alias("COLUMN"), F.get(F.col("_OLD"), i).alias("OLD_VALUE"), F.get(F.col("_NEW"), i).alias("NEW_VALUE")))
+    compared = {c: _compared(c, F.col("_A_RANK"), months, absent) for c in compare_cols if absent and any(c in x for x in absent.values())}
+
+    def differs(s):
+        out = ~s["OLD_VALUE"].eqNullSafe(s["NEW_VALUE"])
+        for c, both in compared.items():
+            out = out & ((s["COLUMN"] != c) | both)
+        return out
+
+    changed = F.filter(changes, differs)
     return (pairs.select(*[F.col(f"_A_{k}").alias(k) for k in keys], "_A_RANK", F.explode(changed).alias("_CH"))
             .select(*keys, "_CH.OLD_VALUE", "_CH.NEW_VALUE", "_CH.COLUMN",
                     _rank_label(months, F.col("_A_RANK")).alias("FROM_MONTH"),
                     _rank_label(months, F.col("_A_RANK") + 1).alias("TO_MONTH")))
 
 
+def value_counts(prime: DataFrame, compare_cols: list[str], key_cols, months: list[dt.date]) -> DataFrame:
+    """(key, COLUMN, VALUE) -> rows per month (c1, c2, ...), rows without an id left out: a hot key
+    collapses to its distinct values before the shuffle."""
+    keys = list(key_cols)
+    img = text_image(prime.where(F.col(keys[0]).isNotNull()), compare_cols).select(*keys, rank_expr(months).alias("M_RANK"), *compare_cols)
+    long = img.select(*keys, "M_RANK",
+                      F.explode(F.array(*[F.struct(F.lit(c).alias("COLUMN"), F.col(c).alias("VALUE"))
+                                          for c in compare_cols])).alias("_KV")) \
+        .select(*keys, "M_RANK", "_KV.COLUMN", "_KV.VALUE")
+    return long.groupBy(*keys, "COLUMN", "VALUE").agg(
+        *[F.count_if(F.col("M_RANK") == i).alias(f"c{i}") for i in range(1, len(months) + 1)])
+
+
 def change_counts(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
-                  months: list[dt.date] | None = None) -> tuple[DataFrame, DataFrame]:
+                  months: list[dt.date] | None = None, absent: Absent | None = None) -> DataFrame:
     """Exact changed-pair counts without materialising row pairs and without joins.
 
     For a card key with ``n_m`` rows in month m and ``n_{m+1}`` in month m+1 there are
     ``n_m * n_{m+1}`` matched pairs; the pairs whose values agree in a column are
     ``sum_v c_{v,m} * c_{v,m+1}`` over that column's values v (null equals null, as a
-    group key).  Two partial aggregates give everything:
+    group key).  Two partial aggregates give everything: the value counts, and per
+    (key, column) ``n_m = sum_v c_{v,m}`` and ``same_m = sum_v c_{v,m} c_{v,m+1}``.
 
-    1. (key, column, value) -> rows per month (one literal CASE per month), so a hot
-       key collapses to its distinct values before the shuffle;
-    2. (key, column) -> ``n_m = sum_v c_{v,m}`` and ``same_m = sum_v c_{v,m} c_{v,m+1}``.
-
-    Returns (per key/transition/column PAIRS and CHANGED, per key/transition PAIRS)."""
+    Returns per key, transition and column PAIRS and CHANGED (0 where a month lacks the
+    column); PAIRS does not depend on the column."""
     months = months or snapshot_months(prime, at_least=2)
     keys = list(key_cols)
     m = len(months)
-    img = text_image(prime, compare_cols).select(*keys, rank_expr(months).alias("M_RANK"), *compare_cols)
-    long = img.select(*keys, "M_RANK",
-                      F.explode(F.array(*[F.struct(F.lit(c).alias("COLUMN"), F.col(c).alias("VALUE"))
-                                          for c in compare_cols])).alias("_KV")) \
-        .select(*keys, "M_RANK", "_KV.COLUMN", "_KV.VALUE")
-    per_val = long.groupBy(*keys, "COLUMN", "VALUE").agg(
-        *[F.count_if(F.col("M_RANK") == i).alias(f"c{i}") for i in range(1, m + 1)])
-    per_col = per_val.groupBy(*keys, "COLUMN").agg(
+    per_col = value_counts(prime, compare_cols, key_cols, months).groupBy(*keys, "COLUMN").agg(
         *[F.sum(f"c{i}").alias(f"n{i}") for i in range(1, m + 1)],
         *[F.sum(F.col(f"c{i}") * F.col(f"c{i + 1}")).alias(f"s{i}") for i in range(1, m)])
     trans = F.array(*[F.struct(F.lit(i).alias("A_RANK"), (F.col(f"n{i}") * F.col(f"n{i + 1}")).alias("PAIRS"),
                                (F.col(f"n{i}") * F.col(f"n{i + 1}") - F.col(f"s{i}")).alias("CHANGED"))
                       for i in range(1, m)])
-    out = per_col.select(*keys, "COLUMN", F.explode(trans).alias("_T")).select(*keys, "COLUMN", "_T.*") \
-        .where(F.col("PAIRS") > 0)
-    pairs = out.where(F.col("COLUMN") == F.lit(compare_cols[0])).select(*keys, "A_RANK", "PAIRS")
-    return out, pairs
+    out = per_col.select(*keys, "COLUMN", F.explode(trans).alias("_T")).select(*keys, "COLUMN", "_T.*").where(F.col("PAIRS") > 0)
+    compared = F.lit(True)
+    for c in compare_cols:
+        compared = F.when(F.col("COLUMN") == c, _compared(c, F.col("A_RANK"), months, absent)).otherwise(compared)
+    return out.withColumn("CHANGED", F.when(compared, F.col("CHANGED")).otherwise(0))
+
+
+def change_log_counted(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
+                       months: list[dt.date] | None = None, absent: Absent | None = None) -> DataFrame:
+    """The change log with equal (key, transition, column, old, new) rows made one and their number
+    N_PAIRS: values meet with their row counts, so a key's output is bounded by its distinct values."""
+    months = months or snapshot_months(prime, at_least=2)
+    keys = list(key_cols)
+    m = len(months)
+    per_val = value_counts(prime, compare_cols, key_cols, months)
+    side = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("RANK"), F.col(f"c{i}").alias("N")) for i in range(1, m + 1)]),
+                              lambda x: x["N"] > 0)).alias("_S")
+    rows = per_val.select(*keys, "COLUMN", "VALUE", side).select(*keys, "COLUMN", "VALUE", "_S.RANK", "_S.N")
+    a = rows.select(*[F.col(k).alias(f"_A_{k}") for k in keys], F.col("COLUMN").alias("_C"), F.col("VALUE").alias("OLD_VALUE"),
+                    F.col("RANK").alias("A_RANK"), F.col("N").alias("_N_OLD"))
+    b = rows.withColumnRenamed("VALUE", "NEW_VALUE")
+    cond = (F.col("_C") == F.col("COLUMN")) & (F.col("A_RANK") + 1 == F.col("RANK")) & ~F.col("OLD_VALUE").eqNullSafe(F.col("NEW_VALUE"))
+    for k in keys:
+        cond = cond & F.col(f"_A_{k}").eqNullSafe(F.col(k))
+    compared = F.lit(True)
+    for c in compare_cols:
+        compared = F.when(F.col("COLUMN") == c, _compared(c, F.col("A_RANK"), months, absent)).otherwise(compared)
+    return a.join(b, cond).where(compared).select(
+        *keys, "OLD_VALUE", "NEW_VALUE", "COLUMN", _rank_label(months, F.col("A_RANK")).alias("FROM_MONTH"),
+        _rank_label(months, F.col("A_RANK") + 1).alias("TO_MONTH"), (F.col("_N_OLD") * F.col("N")).alias("N_PAIRS"))
 
 
 def change_rates(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
-                 months: list[dt.date] | None = None) -> DataFrame:
-    """Per transition and column: matched pairs, changed rows, percent of matched pairs."""
+                 months: list[dt.date] | None = None, absent: Absent | None = None) -> DataFrame:
+    """Per transition and column: matched pairs, changed rows, percent of matched pairs (one aggregate:
+    the matched pairs of a transition are the same for every column)."""
     months = months or snapshot_months(prime, at_least=2)
-    per_col, pairs = change_counts(prime, compare_cols, key_cols, months)
-    matched = pairs.groupBy("A_RANK").agg(F.sum("PAIRS").alias("MATCHED_PAIRS"))
-    changed = per_col.groupBy("A_RANK", "COLUMN").agg(F.sum("CHANGED").alias("CHANGED_ROWS")) \
-        .where("CHANGED_ROWS > 0")
-    return (changed.join(matched, "A_RANK")
-            .select(_rank_label(months, F.col("A_RANK")).alias("FROM_MONTH"),
-                    _rank_label(months, F.col("A_RANK") + 1).alias("TO_MONTH"),
-                    "COLUMN", F.col("MATCHED_PAIRS").cast("bigint"), F.col("CHANGED_ROWS").cast("bigint"),
-                    F.bround(F.col("CHANGED_ROWS") * 100.0 / F.col("MATCHED_PAIRS"), 2).alias("PCT_CHANGED")))
+    changed = (change_counts(prime, compare_cols, key_cols, months, absent).groupBy("A_RANK", "COLUMN")
+               .agg(F.sum("PAIRS").alias("MATCHED_PAIRS"), F.sum("CHANGED").alias("CHANGED_ROWS")).where("CHANGED_ROWS > 0"))
+    return changed.select(
+        _rank_label(months, F.col("A_RANK")).alias("FROM_MONTH"), _rank_label(months, F.col("A_RANK") + 1).alias("TO_MONTH"),
+        "COLUMN", F.col("MATCHED_PAIRS").cast("bigint"), F.col("CHANGED_ROWS").cast("bigint"),
+        F.bround(F.col("CHANGED_ROWS") * 100.0 / F.col("MATCHED_PAIRS"), 2).alias("PCT_CHANGED"))
 
 
 def change_summary(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
-                   months: list[dt.date] | None = None) -> DataFrame:
+                   months: list[dt.date] | None = None, absent: Absent | None = None) -> DataFrame:
     """Per column over all transitions: total changes, distinct ids affected and their
-    percent of all distinct card keys that were matched at least once (half-even, 2 dp)."""
+    percent of all distinct card keys that were matched at least once (half-even, 2 dp).
+    Every matched key has a row for each column, so the tracked count comes from the same
+    aggregate."""
     months = months or snapshot_months(prime, at_least=2)
     keys = list(key_cols)
-    per_col, pairs = change_counts(prime, compare_cols, key_cols, months)
-    tracked = pairs.select(*keys).distinct().count()  # one scalar
-    summ = (per_col.where("CHANGED > 0").groupBy("COLUMN")
-            .agg(F.sum("CHANGED").alias("total_changes"),
-                 F.countDistinct(keys[0]).alias("unique_pairs_affected")))
-    return (summ.withColumn("TRACKED", F.lit(tracked))
-            .select("COLUMN", F.col("total_changes").cast("bigint"), F.col("unique_pairs_affected").cast("bigint"),
-                    F.bround(F.col("unique_pairs_affected") * 100.0 / F.col("TRACKED"), 2).alias("pct_pairs_affected")))
+    per_key = (change_counts(prime, compare_cols, key_cols, months, absent).groupBy("COLUMN", *keys)
+               .agg(F.sum("CHANGED").alias("_CHANGED")))
+    summ = (per_key.groupBy("COLUMN")
+            .agg(F.sum("_CHANGED").alias("total_changes"), F.count(F.lit(1)).alias("TRACKED"),
+                 F.countDistinct(F.when(F.col("_CHANGED") > 0, F.col(keys[0]))).alias("unique_pairs_affected"))
+            .where("total_changes > 0"))
+    return summ.select("COLUMN", F.col("total_changes").cast("bigint"), F.col("unique_pairs_affected").cast("bigint"),
+                       F.bround(F.col("unique_pairs_affected") * 100.0 / F.col("TRACKED"), 2).alias("pct_pairs_affected"))
 
 
 def common_ids(a: DataFrame, b: DataFrame, id_col: str = "RIMNO") -> DataFrame:
-    """Distinct non-null ids present in both inputs (a semi join of two distinct sets)."""
+    """Distinct non-null ids present in both inputs, sorted (a semi join of two distinct sets)."""
     left = a.where(F.col(id_col).isNotNull()).select(id_col).distinct()
     right = b.where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    return left.join(right, id_col, "left_semi")
+    return left.join(right, id_col, "left_semi").orderBy(id_col)

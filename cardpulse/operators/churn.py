@@ -44,10 +44,18 @@ def _attach_labels(latest: DataFrame, labels: DataFrame, id_col: str, churn_col:
     return joined.select(cols).unionByName(stubs, allowMissingColumns=True).select(cols)
 
 
+def months_with(prime: DataFrame, cols, absent: dict[dt.date, set[str]] | None) -> DataFrame:
+    """Rows of the months that carry all ``cols`` (``absent``: month -> columns its file lacks)."""
+    cut = [m for m, gone in (absent or {}).items() if set(cols) & set(gone)]
+    return prime.where(~F.col(MONTH_COL).isin(cut)) if cut else prime
+
+
 def activation_flags(prime: DataFrame, months: list[dt.date] | None = None, id_col: str = "RIMNO",
-                     flag_col: str = "ACTIVATED") -> DataFrame:
-    """One row per id with the ACTIVATED-based class (single partial aggregate)."""
+                     flag_col: str = "ACTIVATED", absent: dict[dt.date, set[str]] | None = None) -> DataFrame:
+    """One row per id with the ACTIVATED-based class (single partial aggregate).  A history
+    month whose file lacks the id or the flag is skipped whole."""
     months = months or snapshot_months(prime, at_least=2)
+    prime = months_with(prime, [id_col, flag_col], {m: c for m, c in (absent or {}).items() if m != months[-1]})
     latest, prev = months[-1], months[-2]
     m = F.col(MONTH_COL)
     inactive = _in(flag_col, contract.INACTIVE_VALUES)
@@ -73,30 +81,36 @@ def activation_flags(prime: DataFrame, months: list[dt.date] | None = None, id_c
 
 
 def activation_lifecycle(prime: DataFrame, months: list[dt.date] | None = None, id_col: str = "RIMNO",
-                         flag_col: str = "ACTIVATED") -> DataFrame:
+                         flag_col: str = "ACTIVATED", absent: dict[dt.date, set[str]] | None = None) -> DataFrame:
     """Latest snapshot + ACTIVATION_CHURN / ACTIVATION_CHURN_TYPE, plus stub rows for
     ids present in history but absent from the latest month."""
     months = months or snapshot_months(prime, at_least=2)
-    labels = activation_flags(prime, months, id_col, flag_col)
+    labels = activation_flags(prime, months, id_col, flag_col, absent)
     latest = prime.where(F.col(MONTH_COL) == F.lit(months[-1]))
     return _attach_labels(latest, labels, id_col, "ACTIVATION_CHURN", "ACTIVATION_CHURN_TYPE", "still_active")
 
 
 def status_flags(prime: DataFrame, months: list[dt.date] | None = None, id_col: str = "RIMNO",
-                 status_col: str = "STATUS", churn_codes=None) -> DataFrame:
+                 status_col: str = "STATUS", churn_codes=None, absent: dict[dt.date, set[str]] | None = None) -> DataFrame:
+    """One row per id with the STATUS-based class.  A history month whose file lacks the id is
+    skipped; one that lacks STATUS counts its ids as history but tells nothing of activity."""
     months = months or snapshot_months(prime, at_least=2)
+    earlier = {m: set(c) for m, c in (absent or {}).items() if m != months[-1]}
+    prime = months_with(prime, [id_col], earlier)
+    mute = [m for m, c in earlier.items() if status_col in c]
     codes = churn_codes or contract.CHURN_STATUSES
     latest = months[-1]
     recent = [m for m in months[-3:-1]]  # last two history months
     m = F.col(MONTH_COL)
     churned = _in(status_col, codes)
     hist = m < F.lit(latest)
+    live = ~churned & ~m.isin(mute) if mute else ~churned
     flags = (prime.where(F.col(id_col).isNotNull())
              .groupBy(id_col)
              .agg(F.bool_or(hist).alias("IN_HIST"),
                   F.bool_or(m == F.lit(latest)).alias("IN_LATEST"),
-                  F.bool_or(hist & ~churned).alias("EVER_ACTIVE"),
-                  F.bool_or(m.isin(recent) & ~churned).alias("RECENT_ACTIVE"),
+                  F.bool_or(hist & live).alias("EVER_ACTIVE"),
+                  F.bool_or(m.isin(recent) & live).alias("RECENT_ACTIVE"),
                   F.bool_and(F.when(m == F.lit(latest), churned)).alias("LATEST_ALL_CHURNED")))
     both = F.col("IN_HIST") & F.col("IN_LATEST")
     c_latest = both & F.coalesce(F.col("LATEST_ALL_CHURNED"), F.lit(False))
@@ -112,10 +126,10 @@ def status_flags(prime: DataFrame, months: list[dt.date] | None = None, id_col:
 
 
 def status_lifecycle(prime: DataFrame, months: list[dt.date] | None = None, id_col: str = "RIMNO",
-                     status_col: str = "STATUS", churn_codes=None) -> DataFrame:
+                     status_col: str = "STATUS", churn_codes=None, absent: dict[dt.date, set[str]] | None = None) -> DataFrame:
     """Latest snapshot + CHURN / CHURN_TYPE from STATUS codes, plus disappeared stubs."""
     months = months or snapshot_months(prime, at_least=2)
-    labels = status_flags(prime, months, id_col, status_col, churn_codes)
+    labels = status_flags(prime, months, id_col, status_col, churn_codes, absent)
     latest = prime.where(F.col(MONTH_COL) == F.lit(months[-1]))
     return _attach_labels(latest, labels, id_col, "CHURN", "CHURN_TYPE", "not_churned")
 
@@ -134,6 +148,12 @@ def class_summary(labelled: DataFrame, type_col: str, churn_col: str, classes) -
                     F.round(F.try_divide(F.col("N_ROWS") * 100.0, F.col("TOTAL")), 4).alias("PCT_ROWS")))
 
 
+def label_totals(labelled: DataFrame, churn_col: str) -> DataFrame:
+    """TOTAL rows, rows with churn 1 and rows with churn 0."""
+    return labelled.agg(F.count(F.lit(1)).alias("TOTAL"), F.count_if(F.col(churn_col) == 1).alias("CHURN_1"),
+                        F.count_if(F.col(churn_col) == 0).alias("CHURN_0"))
+
+
 def churn_lookback(active: DataFrame, window: int = 1, id_col: str = "CUSTOMER_ID",
                    months: list[dt.date] | None = None) -> DataFrame:
     """Look-back churn: ids seen before the last ``window`` snapshots are churned (1)

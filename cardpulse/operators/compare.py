@@ -16,14 +16,13 @@ def compare_labels(status_labels: DataFrame, activation_labels: DataFrame, id_co
     id-less rows form one group of their own and match each other (null-safe key).
     Missing flags become -1; AGREE compares the flags; DISAGREE_TYPE names the case.
     """
-    s = (status_labels.groupBy(id_col)
-         .agg(F.max("CHURN").alias("CHURN"), F.min("CHURN_TYPE").alias("CHURN_TYPE"))
-         .withColumn("_S", F.lit(True)))
-    a = (activation_labels.groupBy(id_col)
-         .agg(F.max("ACTIVATION_CHURN").alias("ACTIVATION_CHURN"),
-              F.min("ACTIVATION_CHURN_TYPE").alias("ACTIVATION_CHURN_TYPE"))
-         .withColumnRenamed(id_col, "_A_ID")
-         .withColumn("_A", F.lit(True)))
+    def one_row(labels: DataFrame, flag: str, kind: str) -> DataFrame:  # flag and type of the same row
+        first = F.min(F.struct((-F.col(flag)).alias("_O"), F.col(kind), F.col(flag))).alias("_R")
+        return labels.groupBy(id_col).agg(first).select(id_col, F.col(f"_R.{flag}"), F.col(f"_R.{kind}"))
+
+    s = one_row(status_labels, "CHURN", "CHURN_TYPE").withColumn("_S", F.lit(True))
+    a = (one_row(activation_labels, "ACTIVATION_CHURN", "ACTIVATION_CHURN_TYPE")
+         .withColumnRenamed(id_col, "_A_ID").withColumn("_A", F.lit(True)))
     j = s.join(a, F.col(id_col).eqNullSafe(F.col("_A_ID")), "full")
     merge = (F.when(F.col("_S").isNotNull() & F.col("_A").isNotNull(), "both")
              .when(F.col("_S").isNotNull(), "left_only").otherwise("right_only"))

@@ -99,9 +99,11 @@ def card_features(prime: DataFrame, as_of: str, recency: DataFrame | None = None
 
 def rfm(txn: DataFrame, as_of: str, id_col: str = "RIMNO", amount_col: str = "BILLING_AMT",
         date_col: str = "TRXN_DATE") -> DataFrame:
-    """Recency / frequency / monetary per id: one partial+final hash aggregate."""
+    """Recency / frequency / monetary per id: one partial+final hash aggregate.  Amounts are
+    added as decimals, so the totals do not depend on the order of the rows."""
     return (txn.where(F.col(id_col).isNotNull()).groupBy(id_col)
-            .agg(F.sum(amount_col).alias("TOTAL_SPEND"), F.avg(amount_col).alias("AVG_TXN"),
+            .agg(F.sum(F.col(amount_col).cast("decimal(20,6)")).cast("double").alias("TOTAL_SPEND"),
                  F.count(amount_col).alias("TXN_COUNT"), F.max(date_col).alias("_LAST"))
-            .select(id_col, "TOTAL_SPEND", "AVG_TXN", "TXN_COUNT",
+            .select(id_col, "TOTAL_SPEND", F.when(F.col("TXN_COUNT") > 0, F.col("TOTAL_SPEND") / F.col("TXN_COUNT")).alias("AVG_TXN"),
+                    "TXN_COUNT",
                     norm.days_between(F.lit(as_of).cast("date"), F.col("_LAST")).alias("RECENCY")))

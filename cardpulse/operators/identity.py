@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cardpulse.functions import contract
 from cardpulse.functions.months import MONTH_COL
+from cardpulse.operators.churn import spread_null_key
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | row index in partition
 
@@ -87,13 +88,15 @@ def segment(with_ids: DataFrame, id_col: str = "RIMNO", product_col: str = "PROD
               .agg(F.min("CUSTOMER_ID").alias("_MIN_CID"), F.max("CUSTOMER_ID").alias("_MAX_CID"),
                    F.min(dob_col).alias("_OLDEST_DOB"))
               .where(F.col("_MIN_CID") != F.col("_MAX_CID"))
-              .drop("_MIN_CID", "_MAX_CID"))
-    keyed = base.where(eligible).join(groups, grp_keys, "left")
+              .select(*[F.col(k).alias(f"_G_{k}") for k in grp_keys], "_OLDEST_DOB"))
+    # rows outside any card group get a key of their own: one join, one scan of the rows
+    key = F.when(eligible, F.col(id_col)).otherwise(F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
+    cond = (F.col("_JK") == F.col(f"_G_{id_col}")) & (F.col(MONTH_COL) == F.col(f"_G_{MONTH_COL}")) \
+        & (F.col(product_col) == F.col(f"_G_{product_col}"))
+    joined = base.withColumn("_JK", key).join(groups, cond, "left")
     relative = F.col("_OLDEST_DOB").isNotNull() & ~F.col(dob_col).eqNullSafe(F.col("_OLDEST_DOB"))
-    keyed = keyed.withColumn("SEGMENT", F.when(relative, "relative").otherwise("active")).drop("_OLDEST_DOB")
-    rest = base.where(~eligible).withColumn("SEGMENT", F.when(F.col("_HIST"), "historical").otherwise("active"))
-    cols = with_ids.columns + ["SEGMENT"]
-    return keyed.select(cols).unionByName(rest.select(cols))
+    return joined.withColumn("SEGMENT", F.when(F.col("_HIST"), "historical").when(relative, "relative").otherwise("active")) \
+        .select(*with_ids.columns, "SEGMENT")
 
 
 def customer_lookup(segmented: DataFrame, id_col: str = "RIMNO", product_col: str = "PRODUCT_NAME") -> DataFrame:
@@ -113,15 +116,17 @@ def latest_lookup(segmented: DataFrame, id_col: str = "RIMNO", product_col: str
 
 def map_transactions(txn: DataFrame, lookup: DataFrame, id_col: str = "RIMNO",
                      product_col: str = "PRODUCT_NAME") -> DataFrame:
-    """Left join on (RIMNO, PRODUCT_NAME) with null-safe equality; a key held by several
-    CUSTOMER_IDs multiplies the transaction (as the studied mapping does).
+    """Left join on (RIMNO, PRODUCT_NAME), the product null-safe; a key held by several
+    CUSTOMER_IDs multiplies the transaction (as the studied mapping does).  A transaction
+    without an id belongs to no customer: it stays one row without a CUSTOMER_ID and gets a
+    key of its own, so such rows spread over all partitions.
 
     One scan of the transactions, one join; the lookup side is small per key and is
-    broadcast by AQE once its measured size allows.  A hot key (including the null
-    id) is split by AQE's skew join on the streamed transaction side."""
-    lk = lookup.select(F.col(id_col).alias("_L_ID"), F.col(product_col).alias("_L_P"), "CUSTOMER_ID")
-    cond = F.col(id_col).eqNullSafe(F.col("_L_ID")) & F.col(product_col).eqNullSafe(F.col("_L_P"))
-    return txn.join(lk, cond, "left").drop("_L_ID", "_L_P")
+    broadcast by AQE once its measured size allows.  A hot key is split by AQE's skew join
+    on the streamed transaction side."""
+    lk = lookup.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_L_ID"), F.col(product_col).alias("_L_P"), "CUSTOMER_ID")
+    cond = (F.col("_JK") == F.col("_L_ID")) & F.col(product_col).eqNullSafe(F.col("_L_P"))
+    return txn.withColumn("_JK", spread_null_key(id_col)).join(lk, cond, "left").drop("_JK", "_L_ID", "_L_P")
 
 
 def ambiguous_keys(lookup: DataFrame, id_col: str = "RIMNO", product_col: str = "PRODUCT_NAME") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cardpulse.functions import contract
-from cardpulse.functions.stats import exact_quantiles, exact_quantiles_multi, grouped_exact_quantiles
+from cardpulse.functions.stats import exact_quantiles_multi, grouped_exact_quantiles, interpolate, order_statistics
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
@@ -22,17 +22,18 @@ def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
 
 def demographics(df: DataFrame, cols: list[str], k: int = 8) -> DataFrame:
     """Top-k values per categorical column with share of the shown values and of all
-    non-null values of the column."""
-    out = None
-    present = [c for c in cols if c in df.columns]
-    totals = df.agg(*[F.count(c).alias(c) for c in present]).first()  # one row of counts
-    for c in present:
-        top = top_values(df, c, k).withColumn("COLUMN_NAME", F.lit(c)).withColumn("_ALL", F.lit(totals[c]))
-        out = top if out is None else out.unionByName(top)
-    shown = F.sum("N").over(Window.partitionBy("COLUMN_NAME"))  # over <= k rows per column
-    return out.select("COLUMN_NAME", "VALUE", "N",
-                      F.round(F.col("N") * 100.0 / shown, 4).alias("PCT_OF_SHOWN"),
-                      F.round(F.col("N") * 100.0 / F.col("_ALL"), 4).alias("PCT_OF_ALL"))
+    non-null values of the column: one aggregate over (column, value) pairs, then windows
+    over the columns' distinct values."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("COLUMN_NAME"), F.col(c).cast("string").alias("VALUE"))
+                                for c in cols if c in df.columns])).alias("_P")
+    counts = (df.select(pairs).select("_P.*").where(F.col("VALUE").isNotNull())
+              .groupBy("COLUMN_NAME", "VALUE").agg(F.count(F.lit(1)).alias("N")))
+    col = Window.partitionBy("COLUMN_NAME")
+    ranked = (counts.withColumn("_ALL", F.sum("N").over(col))
+              .withColumn("_R", F.row_number().over(col.orderBy(F.desc("N"), F.asc("VALUE")))).where(F.col("_R") <= k))
+    return ranked.select("COLUMN_NAME", "VALUE", "N",
+                         F.round(F.col("N") * 100.0 / F.sum("N").over(col), 4).alias("PCT_OF_SHOWN"),
+                         F.round(F.col("N") * 100.0 / F.col("_ALL"), 4).alias("PCT_OF_ALL"))
 
 
 def foreign_flag(country_col: str = "TRXN_COUNTRY", home: str = contract.HOME_COUNTRY):
@@ -46,30 +47,6 @@ def foreign_share(txn: DataFrame) -> DataFrame:
                          "N", F.round(F.col("N") * 100.0 / total, 4).alias("PCT"))
 
 
-def histogram(df: DataFrame, col: str, bins: int, trim_q: float | None = None, strict: bool = False,
-              name: str | None = None) -> DataFrame:
-    """Equal-width histogram of the non-null values (optionally only values <= / < the
-    exact ``trim_q`` quantile).  All bins are reported, empty ones with 0."""
-    x = df.select(F.col(col).cast("double").alias("_X")).where(F.col("_X").isNotNull())
-    if trim_q is not None:
-        cap = exact_quantiles(x, "_X", [trim_q])[0]
-        x = x.where(F.col("_X") < cap) if strict else x.where(F.col("_X") <= cap)
-    lo, hi = x.agg(F.min("_X"), F.max("_X")).first()  # two scalars
-    spark = df.sparkSession
-    if lo is None:
-        return spark.createDataFrame([], "COLUMN_NAME string, BIN int, BIN_LO double, BIN_HI double, N bigint")
-    w = F.lit(hi) - F.lit(lo)
-    idx = F.when(w > 0, F.least(F.floor((F.col("_X") - F.lit(lo)) * F.lit(float(bins)) / w),
-                                F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    counts = x.groupBy(idx.alias("BIN")).agg(F.count(F.lit(1)).alias("N"))
-    spine = spark.range(bins).select(F.col("id").cast("int").alias("BIN"))
-    edge = lambda i: F.lit(lo) + i * (F.lit(hi) - F.lit(lo)) / F.lit(float(bins))
-    return (spine.join(counts, "BIN", "left")
-            .select(F.lit(name or col).alias("COLUMN_NAME"), "BIN", F.round(edge(F.col("BIN")), 6).alias("BIN_LO"),
-                    F.round(edge(F.col("BIN") + 1), 6).alias("BIN_HI"),
-                    F.coalesce("N", F.lit(0)).cast("bigint").alias("N")))
-
-
 def histograms(df: DataFrame, specs, prefix: str = "") -> DataFrame:
     """Several equal-width histograms of one table with shared passes: one exact
     quantile call for all trims, one aggregate for all bounds, one counting pass
@@ -134,75 +111,40 @@ def kde_from_histogram(hist: DataFrame, points: int = 200) -> DataFrame:
             .agg(F.sum(dens).alias("DENSITY")).select("COLUMN_NAME", "I", "X", "DENSITY"))
 
 
-def _box_from_quantiles(df: DataFrame, col: str, q1: float, med: float, q3: float) -> DataFrame:
-    iqr = q3 - q1
-    lo_f, hi_f = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-    x = F.col(col)
-    return df.where(x.isNotNull()).agg(
-        F.count(F.lit(1)).alias("N"),
-        F.min(F.when(x >= F.lit(lo_f), x)).alias("WHISKER_LO"),
-        F.max(F.when(x <= F.lit(hi_f), x)).alias("WHISKER_HI"),
-        F.count_if((x < F.lit(lo_f)) | (x > F.lit(hi_f))).alias("N_OUTLIERS")) \
-        .select("N", F.lit(q1).alias("Q1"), F.lit(med).alias("MEDIAN"), F.lit(q3).alias("Q3"),
-                "WHISKER_LO", "WHISKER_HI", "N_OUTLIERS")
-
-
-def box_stats(df: DataFrame, col: str) -> DataFrame:
-    """Quartiles (exact), 1.5*IQR whiskers (furthest data inside the fences), outliers."""
-    q1, med, q3 = exact_quantiles(df, col, [0.25, 0.5, 0.75])
-    return _box_from_quantiles(df, col, q1, med, q3)
-
-
-def box_stats_multi(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Box statistics of several columns of one table: one shared exact-quantile call
-    and one aggregate for every column's whiskers and outlier count."""
-    qs = exact_quantiles_multi(df, {c: [0.25, 0.5, 0.75] for c in cols})
-    aggs, rows = [], []
-    for i, c in enumerate(cols):
-        q1, med, q3 = qs[c]
-        x = F.col(c)
-        if q1 is None:
-            lo_f = hi_f = None
-        else:
-            lo_f, hi_f = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+def box_stats_capped(df: DataFrame, cols: list[str], cap_at: float) -> DataFrame:
+    """Box statistics of several columns before and after a cut at the ``cap_at`` quantile (STAGE before /
+    after).  Cutting keeps the order, so all quartiles come from the same order statistics; one
+    aggregate then gives every whisker and outlier count."""
+    stats = order_statistics(df, {c: [0.25, 0.5, 0.75, cap_at] for c in cols})
+    aggs, structs = [], []
+    for i, (c, stage) in enumerate((c, stage) for c in cols for stage in ("before", "after")):
+        cap = interpolate(stats[c][3])
+        q1, med, q3 = (interpolate(s, cap if stage == "after" and cap is not None else math.inf) for s in stats[c][:3])
+        x = F.col(c) if stage == "before" else F.when(F.col(c).isNotNull(), F.least(F.col(c), F.lit(cap).cast("double")))
+        lo_f, hi_f = (None, None) if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
         aggs += [F.count(x).alias(f"n{i}"),
                  F.min(F.when(x >= F.lit(lo_f), x)).alias(f"wl{i}"),
                  F.max(F.when(x <= F.lit(hi_f), x)).alias(f"wh{i}"),
                  F.count_if((x < F.lit(lo_f)) | (x > F.lit(hi_f))).alias(f"o{i}")]
-        rows.append((c, q1, med, q3))
-    agg = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("COLUMN_NAME"), F.col(f"n{i}").alias("N"), F.lit(q1).cast("double").alias("Q1"),
-                        F.lit(med).cast("double").alias("MEDIAN"), F.lit(q3).cast("double").alias("Q3"),
-                        F.col(f"wl{i}").alias("WHISKER_LO"), F.col(f"wh{i}").alias("WHISKER_HI"),
-                        F.col(f"o{i}").alias("N_OUTLIERS"))
-               for i, (c, q1, med, q3) in enumerate(rows)]
-    return agg.select(F.explode(F.array(*structs)).alias("_R")).select("_R.*")
+        structs.append(F.struct(
+            F.lit(c).alias("COLUMN_NAME"), F.lit(stage).alias("STAGE"), F.col(f"n{i}").alias("N"),
+            F.lit(q1).cast("double").alias("Q1"), F.lit(med).cast("double").alias("MEDIAN"), F.lit(q3).cast("double").alias("Q3"),
+            F.col(f"wl{i}").alias("WHISKER_LO"), F.col(f"wh{i}").alias("WHISKER_HI"), F.col(f"o{i}").alias("N_OUTLIERS")))
+    return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("_R")).select("_R.*")
 
 
 def grouped_box_stats(df: DataFrame, group_col: str, col: str) -> DataFrame:
-    """Box statistics per group: exact quartiles of all groups in shared passes, then one
-    grouped aggregate with each group's fences supplied as literals."""
-    qs = grouped_exact_quantiles(df.where(F.col(col).isNotNull()), group_col, col, [0.25, 0.5, 0.75])
-    qs = {g: v for g, v in qs.items() if v[0] is not None}
-
-    def per_group(values):
-        expr = None
-        for g, v in values.items():
-            cond = F.col(group_col).isNull() if g is None else F.col(group_col) == F.lit(g)
-            expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
-        return expr
-
-    q1 = per_group({g: v[0] for g, v in qs.items()})
-    med = per_group({g: v[1] for g, v in qs.items()})
-    q3 = per_group({g: v[2] for g, v in qs.items()})
-    lo_f = per_group({g: v[0] - 1.5 * (v[2] - v[0]) for g, v in qs.items()})
-    hi_f = per_group({g: v[2] + 1.5 * (v[2] - v[0]) for g, v in qs.items()})
-    x = F.col(col)
-    return (df.where(x.isNotNull()).groupBy(group_col)
-            .agg(F.count(F.lit(1)).alias("N"), F.first(q1).alias("Q1"), F.first(med).alias("MEDIAN"),
-                 F.first(q3).alias("Q3"), F.min(F.when(x >= lo_f, x)).alias("WHISKER_LO"),
-                 F.max(F.when(x <= hi_f, x)).alias("WHISKER_HI"),
-                 F.count_if((x < lo_f) | (x > hi_f)).alias("N_OUTLIERS"))
+    """Box statistics per group, any number of groups: exact quartiles by rank, then one
+    aggregate over the groups' value counts with each group's fences joined on."""
+    x = df.where(F.col(col).isNotNull())
+    qs = grouped_exact_quantiles(x, group_col, col, {"Q1": 0.25, "MEDIAN": 0.5, "Q3": 0.75}).withColumnRenamed(group_col, "_G")
+    counts = x.groupBy(group_col, F.col(col).alias("_X")).agg(F.count(F.lit(1)).alias("_C"))
+    lo_f, hi_f = (F.col("Q1") - 1.5 * (F.col("Q3") - F.col("Q1")), F.col("Q3") + 1.5 * (F.col("Q3") - F.col("Q1")))
+    v = F.col("_X")
+    return (counts.join(qs, F.col(group_col).eqNullSafe(F.col("_G"))).groupBy(group_col, "Q1", "MEDIAN", "Q3")
+            .agg(F.sum("_C").alias("N"), F.min(F.when(v >= lo_f, v)).alias("WHISKER_LO"),
+                 F.max(F.when(v <= hi_f, v)).alias("WHISKER_HI"),
+                 F.sum(F.when((v < lo_f) | (v > hi_f), F.col("_C")).otherwise(0)).alias("N_OUTLIERS"))
             .select(group_col, "N", "Q1", "MEDIAN", "Q3", "WHISKER_LO", "WHISKER_HI", "N_OUTLIERS"))
 
 

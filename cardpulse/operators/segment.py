@@ -5,9 +5,9 @@ The isolation forest (Liu, Ting & Zhou, 2008) is not part of Spark ML, so it is
 built from DataFrame pieces: every row decides by hash which trees sample it
 (an ``explode`` of the few matching tree ids, so only ~2*psi rows per tree are
 shuffled), ``applyInPandas`` grows one tree per (group, tree) from at most psi
-rows, the forest (100 trees x <= 511 nodes per group) is brought back and shipped
-with the scoring function, and ``mapInPandas`` scores every row vectorised.
-The outlier threshold is a per-group quantile of the scores.
+rows, the forest (100 trees x <= 511 nodes per group) is broadcast, and
+``mapInPandas`` scores every row vectorised.
+The outlier threshold is an exact per-group quantile of the written scores.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardpulse.functions.stats import exact_quantiles_multi
+from cardpulse.functions.stats import exact_quantiles, exact_quantiles_multi, grouped_exact_quantiles
+from cardpulse.session import checkpoint_dir
 
 EULER = 0.5772156649015329
 
@@ -43,56 +45,73 @@ def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns(exprs)
 
 
-def _vectors(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Feature vectors in a fixed row order: the mixture's seeded initial sample then
-    depends only on the data, not on the arrival order of shuffled rows."""
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip") \
-        .transform(df.orderBy(*cols))
+def _vectors(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
+    """Feature vectors, dealt out by a hash of the id and sorted by it within a partition: the
+    mixture's seeded initial sample then depends on the data only, without a global sort.
+    A null feature is an error: impute first, by a stated rule."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error") \
+        .transform(df.repartition(n, id_col).sortWithinPartitions(id_col, *cols))
 
 
-def _fit_gmm(data: DataFrame, k: int, seed: int, attempts: int = 3):
-    """Gaussian mixture fit; a numerically failed fit (singular covariance) is retried
-    with the next seeds."""
-    last = None
-    for s in range(seed, seed + attempts):
+def _fit_gmm(data: DataFrame, k: int, seed: int, starts: int = 2, attempts: int = 3):
+    """The likeliest of ``starts`` Gaussian mixture fits with k components from different seeds.  A fit
+    that fails numerically (singular covariance) is replaced by one with the next seed; None if too
+    few converge.  Any other failure is raised."""
+    best, fits = None, 0
+    for s in range(seed, seed + starts + attempts):
         try:
-            return GaussianMixture(k=k, seed=s, featuresCol="features").fit(data)
-        except Exception as e:  # noqa: BLE001 - Py4J wraps the JVM's NotConvergedException
-            last = e
-    raise RuntimeError(f"Gaussian mixture with k={k} did not converge") from last
+            model = GaussianMixture(k=k, seed=s, featuresCol="features").fit(data)
+        except Exception as e:  # noqa: BLE001 - Py4J wraps the JVM's exception
+            if "NotConverged" not in str(e):
+                raise
+            continue
+        fits += 1
+        if best is None or model.summary.logLikelihood > best.summary.logLikelihood:
+            best = model
+        if fits == starts:
+            break
+    return best
 
 
 # ------------------------------------------------------------------ clustering
-def choose_k(scaled: DataFrame, cols: list[str], k_range=(2, 8), seed: int = 42) -> tuple[DataFrame, int]:
+def fit_best(scaled: DataFrame, cols: list[str], id_col: str, k_range=(2, 8), seed: int = 42):
     """Fit a Gaussian mixture for every k in the range; the first k with the strictly
-    highest silhouette (and more than one non-empty cluster) wins."""
+    highest silhouette (and more than one non-empty cluster) wins.  Returns the table of
+    scores, the chosen k and its model (one row per k, no refit of the winner)."""
     spark = scaled.sparkSession
-    data = _vectors(scaled, cols).select("features").persist()
+    data = _vectors(scaled, cols, id_col).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows, best_k, best = [], None, -1.0
+    rows, best_k, best_model, best = [], None, None, -1.0
     try:
         for k in range(k_range[0], k_range[1] + 1):
-            try:
-                pred = _fit_gmm(data, k, seed).transform(data)
-            except RuntimeError:
+            model = _fit_gmm(data, k, seed)
+            if model is None:
                 rows.append((k, None, 0))  # no model for this k: cannot be chosen
                 continue
+            pred = model.transform(data)
             used = pred.select("prediction").distinct().count()
             score = evaluator.evaluate(pred) if used > 1 else None
             if score is not None and score > best:
-                best, best_k = score, k
+                best, best_k, best_model = score, k, model
             rows.append((k, score, used))
     finally:
         data.unpersist()
     table = spark.createDataFrame([(k, s, u, k == best_k) for k, s, u in rows],
                                   "K int, SILHOUETTE double, CLUSTERS_USED long, IS_BEST boolean")
-    return table, best_k
+    return table, best_k, best_model
 
 
-def gmm_segments(scaled: DataFrame, cols: list[str], k: int, seed: int = 42) -> DataFrame:
-    """Full-covariance Gaussian mixture labels (CLUSTER) for every row."""
-    data = _vectors(scaled, cols)
-    model = _fit_gmm(data, k, seed)
+def choose_k(scaled: DataFrame, cols: list[str], id_col: str, k_range=(2, 8), seed: int = 42) -> tuple[DataFrame, int]:
+    return fit_best(scaled, cols, id_col, k_range, seed)[:2]
+
+
+def gmm_segments(scaled: DataFrame, cols: list[str], id_col: str, k: int | None = None, seed: int = 42, model=None) -> DataFrame:
+    """Full-covariance Gaussian mixture labels (CLUSTER) for every row, by ``model`` or a fit with ``k``."""
+    data = _vectors(scaled, cols, id_col)
+    model = model if model is not None else _fit_gmm(data, k, seed)
+    if model is None:
+        raise RuntimeError(f"Gaussian mixture with k={k} did not converge")
     return model.transform(data).withColumn("CLUSTER", F.col("prediction").cast("int")) \
         .drop("features", "prediction", "probability")
 
@@ -145,7 +164,8 @@ def _forest(df: DataFrame, id_col: str, group_col: str, vec_col: str, n_trees: i
     for g, p in prob.items():
         cond = F.col(group_col) == F.lit(g)
         prob_expr = F.when(cond, F.lit(p)) if prob_expr is None else prob_expr.when(cond, F.lit(p))
-    u = lambda t: (F.abs(F.xxhash64(F.col("_ID"), t, F.lit(seed))) % 1_000_000) / 1e6
+    # 53 hash bits: about 2.5 * psi rows a tree whatever the number of rows
+    u = lambda t: F.shiftrightunsigned(F.xxhash64(F.col("_ID"), t, F.lit(seed)), 11) / F.lit(float(1 << 53))
     sampled = (df.select(F.col(group_col).cast("long").alias("GROUP_ID"), F.col(id_col).cast("string").alias("_ID"),
                          vec_col, prob_expr.alias("_P"))
                .withColumn("TREE", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
@@ -198,7 +218,7 @@ def isolation_scores(df: DataFrame, id_col: str, vec_col: str, group_col: str |
     its group.  ``vec_col`` is an array<double> column."""
     g = group_col or "_ALL"
     data = df if group_col else df.withColumn("_ALL", F.lit(0))
-    forest = _forest(data, id_col, g, vec_col, n_trees, psi_max, seed)
+    forest = df.sparkSession.sparkContext.broadcast(_forest(data, id_col, g, vec_col, n_trees, psi_max, seed))
 
     def score(batches):
         for pdf in batches:
@@ -207,7 +227,7 @@ def isolation_scores(df: DataFrame, id_col: str, vec_col: str, group_col: str |
             x_all = np.vstack(pdf[vec_col].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
             for gv in np.unique(groups):
                 m = groups == gv
-                out[m] = _score_batch(x_all[m], forest[int(gv)])
+                out[m] = _score_batch(x_all[m], forest.value[int(gv)])
             yield pdf.drop(columns=[vec_col]).assign(IF_SCORE=out)
 
     schema = T.StructType([f for f in data.schema.fields if f.name != vec_col]
@@ -218,37 +238,48 @@ def isolation_scores(df: DataFrame, id_col: str, vec_col: str, group_col: str |
 
 def flag_outliers(scored: DataFrame, contamination: float, group_col: str | None = None,
                   flag_col: str = "IS_OUTLIER") -> DataFrame:
-    """Rows whose score exceeds the (1 - contamination) quantile of their group."""
-    keys = [group_col] if group_col else []
-    thr = scored.groupBy(*keys).agg(F.percentile_approx("IF_SCORE", 1 - contamination, 10_000).alias("_THR"))
-    if keys:
-        out = scored.join(F.broadcast(thr), keys)  # one row per cluster
+    """Rows whose score exceeds the exact (1 - contamination) quantile of their group.  The scores
+    are written once; the threshold and the flags read them."""
+    checkpoint_dir(scored.sparkSession)
+    scored = scored.checkpoint(eager=True)
+    if group_col:
+        thr = grouped_exact_quantiles(scored, group_col, "IF_SCORE", {"_THR": 1 - contamination})
+        out = scored.join(F.broadcast(thr), group_col)  # one row per cluster
     else:
-        out = scored.withColumn("_THR", F.lit(thr.first()["_THR"]))
+        out = scored.withColumn("_THR", F.lit(exact_quantiles(scored, "IF_SCORE", [1 - contamination])[0]))
     return out.withColumn(flag_col, F.col("IF_SCORE") > F.col("_THR")).drop("_THR")
 
 
+def outlier_flags(clustered: DataFrame, id_col: str, cols: list[str], local_contamination: float = 0.03,
+                  global_contamination: float = 0.01, seed: int = 42) -> DataFrame:
+    """(id, CLUSTER, IS_LOCAL_OUTLIER, IS_GLOBAL_OUTLIER, IS_OUTLIER) of labelled rows: forests per cluster
+    and over everything, final outlier = local OR global."""
+    vec = clustered.select(id_col, "CLUSTER", F.array(*[F.col(c).cast("double") for c in cols]).alias("_VEC"))
+    local = flag_outliers(isolation_scores(vec, id_col, "_VEC", "CLUSTER", seed=seed), local_contamination, "CLUSTER",
+                          "IS_LOCAL_OUTLIER")
+    glob = flag_outliers(isolation_scores(vec.drop("CLUSTER"), id_col, "_VEC", seed=seed), global_contamination, None,
+                         "IS_GLOBAL_OUTLIER")
+    return (local.select(id_col, "CLUSTER", "IS_LOCAL_OUTLIER")
+            .join(glob.select(F.col(id_col).alias("_ID2"), "IS_GLOBAL_OUTLIER"), F.col(id_col).eqNullSafe(F.col("_ID2")))
+            .drop("_ID2").withColumn("IS_OUTLIER", F.col("IS_LOCAL_OUTLIER") | F.col("IS_GLOBAL_OUTLIER")))
+
+
 def fit_predict(features: DataFrame, id_col: str, cols: list[str], k_range=(2, 10), local_contamination: float = 0.03,
                 global_contamination: float = 0.01, seed: int = 42) -> tuple[DataFrame, int]:
     """The whole segmentation pipeline: robust scaling -> k by silhouette -> Gaussian
     mixture clusters -> isolation-forest outliers per cluster and over everything ->
     final outlier = local OR global.  Returns (id, CLUSTER, IS_LOCAL_OUTLIER,
-    IS_GLOBAL_OUTLIER, IS_OUTLIER) and the chosen k."""
-    scaled = robust_scale(features.select(id_col, *cols), cols)
-    _, k = choose_k(scaled, cols, k_range, seed)
-    seg = gmm_segments(scaled, cols, k, seed).withColumn("_VEC", F.array(*[F.col(c).cast("double") for c in cols]))
-    local = flag_outliers(isolation_scores(seg.select(id_col, "CLUSTER", "_VEC"), id_col, "_VEC", "CLUSTER",
-                                           seed=seed), local_contamination, "CLUSTER", "IS_LOCAL_OUTLIER")
-    glob = flag_outliers(isolation_scores(seg.select(id_col, "_VEC"), id_col, "_VEC", seed=seed),
-                         global_contamination, None, "IS_GLOBAL_OUTLIER")
-    out = (local.select(id_col, "CLUSTER", "IS_LOCAL_OUTLIER")
-           .join(glob.select(id_col, "IS_GLOBAL_OUTLIER"), id_col)
-           .withColumn("IS_OUTLIER", F.col("IS_LOCAL_OUTLIER") | F.col("IS_GLOBAL_OUTLIER")))
-    return out, k
+    IS_GLOBAL_OUTLIER, IS_OUTLIER) and the chosen k.  Scaled features and labels are
+    written once and read by every later step."""
+    checkpoint_dir(features.sparkSession)
+    scaled = robust_scale(features.select(id_col, *cols), cols).checkpoint(eager=True)
+    _, k, model = fit_best(scaled, cols, id_col, k_range, seed)
+    clustered = gmm_segments(scaled, cols, id_col, seed=seed, model=model).checkpoint(eager=True)
+    return outlier_flags(clustered, id_col, cols, local_contamination, global_contamination, seed), k
 
 
 def cluster_profile(features: DataFrame, labels: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """Mean of every feature per cluster, cluster size and final outlier share."""
-    full = features.join(labels, id_col)
+    full = features.join(labels.withColumnRenamed(id_col, "_ID2"), F.col(id_col).eqNullSafe(F.col("_ID2")))
     return full.groupBy("CLUSTER").agg(F.count(F.lit(1)).alias("N"), *[F.avg(c).alias(f"MEAN_{c}") for c in cols],
                                        F.avg(F.col("IS_OUTLIER").cast("double")).alias("OUTLIER_SHARE"))

@@ -16,6 +16,7 @@ from cardpulse.functions.months import MONTH_COL, snapshot_months
 from cardpulse.functions import norm
 from cardpulse.functions.stats import exact_quantiles_multi
 from cardpulse.operators import audit, churn, compare, features, identity, profile, quality, segment
+from cardpulse.session import checkpoint_dir
 from cardpulse.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,12 @@ def q_status_summary(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- identity
+def _kept(df):
+    """``df`` written once to the shared checkpoint folder, for what is read several times."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _segmented(spark, sf_dir):
     prime = fx.prime(spark, sf_dir)
     keys = identity.customer_keys(prime)
@@ -68,10 +75,21 @@ def q_relatives(spark, sf_dir):
 
 
 def _mapped(spark, sf_dir):
-    seg, _ = _segmented(spark, sf_dir)
+    seg = _kept(_segmented(spark, sf_dir)[0].select("RIMNO", "PRODUCT_NAME", MONTH_COL, "CUSTOMER_ID", "SEGMENT"))
     return identity.map_transactions(fx.txn(spark, sf_dir), identity.customer_lookup(seg)), seg
 
 
+def q_ambiguous_keys(spark, sf_dir):
+    """The fan-out report: card keys that several customers hold."""
+    return identity.ambiguous_keys(identity.customer_lookup(_segmented(spark, sf_dir)[0]))
+
+
+def q_txn_mapped_latest(spark, sf_dir):
+    """Transactions mapped without fan-out, to the customer of the latest month."""
+    return identity.map_transactions(fx.txn(spark, sf_dir), identity.latest_lookup(_segmented(spark, sf_dir)[0])) \
+        .where(F.col("CUSTOMER_ID").isNotNull()).select("TXN_ID", "RIMNO", "PRODUCT_NAME", "CUSTOMER_ID")
+
+
 def q_txn_mapped(spark, sf_dir):
     mapped, _ = _mapped(spark, sf_dir)
     return mapped.where(F.col("CUSTOMER_ID").isNotNull())
@@ -94,11 +112,11 @@ def _active(spark, sf_dir):
 
 
 def q_churn_1month(spark, sf_dir):
-    return churn.churn_lookback(_active(spark, sf_dir), window=1)
+    return churn.churn_lookback(_active(spark, sf_dir), window=1, months=snapshot_months(fx.prime_raw(spark, sf_dir), at_least=2))
 
 
 def q_churn_2month(spark, sf_dir):
-    return churn.churn_lookback(_active(spark, sf_dir), window=2)
+    return churn.churn_lookback(_active(spark, sf_dir), window=2, months=snapshot_months(fx.prime_raw(spark, sf_dir), at_least=3))
 
 
 def q_churn_first_last(spark, sf_dir):
@@ -155,24 +173,61 @@ def q_change_summary(spark, sf_dir):
     return audit.change_summary(fx.prime(spark, sf_dir), CHANGE_COLUMNS)
 
 
+def q_change_log_counted(spark, sf_dir):
+    return audit.change_log_counted(fx.prime(spark, sf_dir), CHANGE_COLUMNS)
+
+
+def q_idless_report(spark, sf_dir):
+    return audit.idless_report(fx.prime(spark, sf_dir))
+
+
+def q_presence_changes(spark, sf_dir):
+    return audit.presence_changes(fx.prime(spark, sf_dir))
+
+
+def q_reappearing_ids(spark, sf_dir):
+    return audit.reappearing_ids(fx.prime(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- months that lack columns
+def q_activation_lifecycle_uneven(spark, sf_dir):
+    return churn.activation_lifecycle(fx.prime_uneven(spark, sf_dir), absent=fx.ABSENT)
+
+
+def q_status_lifecycle_uneven(spark, sf_dir):
+    return churn.status_lifecycle(fx.prime_uneven(spark, sf_dir), absent=fx.ABSENT)
+
+
+def q_label_comparison_uneven(spark, sf_dir):
+    return compare.compare_labels(q_status_lifecycle_uneven(spark, sf_dir), q_activation_lifecycle_uneven(spark, sf_dir))
+
+
+def q_change_log_uneven(spark, sf_dir):
+    return audit.change_log(fx.prime_uneven(spark, sf_dir), CHANGE_COLUMNS, absent=fx.ABSENT)
+
+
+def q_change_rates_uneven(spark, sf_dir):
+    return audit.change_rates(fx.prime_uneven(spark, sf_dir), CHANGE_COLUMNS, absent=fx.ABSENT)
+
+
+def q_lifecycle_totals(spark, sf_dir):
+    act = churn.label_totals(q_activation_lifecycle(spark, sf_dir), "ACTIVATION_CHURN").withColumn("LABELS", F.lit("activation"))
+    return act.unionByName(churn.label_totals(q_status_lifecycle(spark, sf_dir), "CHURN").withColumn("LABELS", F.lit("status")))
+
+
+def q_common_ids_count(spark, sf_dir):
+    return q_common_ids(spark, sf_dir).agg(F.count(F.lit(1)).alias("N_IDS"), F.min("RIMNO").alias("FIRST_ID"), F.max("RIMNO").alias("LAST_ID"))
+
+
 def q_common_ids(spark, sf_dir):
     return audit.common_ids(fx.prime(spark, sf_dir), fx.txn(spark, sf_dir))
 
 
 # ----------------------------------------------------------------- quality
-CAST_PLAN = {
-    "string": ["BRANCH_NAME", "ACTIVATED", "STATUS", "PRODUCT_NAME", "GENDER", "CUSTOMER_TYPE", "CARD_STATUS"],
-    "float": ["CREDIT_LIMIT", "DELIQUENCY", "LEDGER_BALANCE", "AVAILABLE_LIMIT", "OVERDUEAMOUNT",
-              "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD", "DOB_SERIAL"],
-    "int": ["RIMNO"],
-    "date": ["CREATION_DATE", "LAST_STATEMENT_DATE", "DOB", "CLOSURE_DATE"],
-}
-TXN_CATEGORICAL = ["PRODUCT_NAME", "CCY", "MCC", "SETTLEMENT_CCY", "BANKBRANCH", "TRXN_COUNTRY", "REVERSAL_FLAG"]
-PRIME_CATEGORICAL = ["BRANCH_NAME", "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD"]
-
-
 def q_cast_report(spark, sf_dir):
-    return quality.cast_and_report(fx.prime_raw(spark, sf_dir), CAST_PLAN)[1]
+    prime = quality.cast_and_report(fx.prime_raw(spark, sf_dir), contract.PRIME_CAST_PLAN)[1]
+    txn = quality.cast_and_report(fx.txn_raw(spark, sf_dir), contract.TXN_CAST_PLAN)[1]
+    return prime.withColumn("TABLE_NAME", F.lit("prime")).unionByName(txn.withColumn("TABLE_NAME", F.lit("txn")))
 
 
 def q_parse_numeric(spark, sf_dir):
@@ -191,8 +246,8 @@ def q_missing_profile(spark, sf_dir):
 
 
 def q_categorical_domain(spark, sf_dir):
-    return quality.categorical_domain({"txn": (fx.txn(spark, sf_dir), TXN_CATEGORICAL),
-                                       "prime": (fx.prime(spark, sf_dir), PRIME_CATEGORICAL)})
+    return quality.categorical_domain({"txn": (fx.txn(spark, sf_dir), contract.TXN_CATEGORICAL),
+                                       "prime": (fx.prime(spark, sf_dir), contract.PRIME_CATEGORICAL)})
 
 
 # ----------------------------------------------------------------- features
@@ -254,8 +309,7 @@ def _rfm(spark, sf_dir):
 
 def q_rfm(spark, sf_dir):
     r = _rfm(spark, sf_dir)
-    return r.select("RIMNO", F.round("TOTAL_SPEND", 4).alias("TOTAL_SPEND"), F.round(F.col("AVG_TXN") * F.lit(1 + 1e-12), 4).alias("AVG_TXN"),
-                    "TXN_COUNT", "RECENCY")
+    return r.select("RIMNO", "TOTAL_SPEND", "AVG_TXN", "TXN_COUNT", "RECENCY")
 
 
 # ----------------------------------------------------------------- profile
@@ -268,7 +322,7 @@ def q_top_branches(spark, sf_dir):
 
 
 def q_demographics(spark, sf_dir):
-    return profile.demographics(fx.prime(spark, sf_dir), ["GENDER", "CUSTOMER_TYPE", "ACTIVATED", "STATUS_NAME"], 8)
+    return profile.demographics(fx.prime(spark, sf_dir), contract.DEMOGRAPHIC_COLUMNS, 8)
 
 
 def q_delinquency_distribution(spark, sf_dir):
@@ -294,21 +348,8 @@ def q_monthly_trend(spark, sf_dir):
     return profile.monthly_trend(_txn_capped(spark, sf_dir), fx.TREND_START, fx.TREND_END)
 
 
-CORR_COLUMNS = ["CREDIT_LIMIT", "LEDGER_BALANCE", "OVERDUEAMOUNT", "LAST_PAYMENT_AMOUNT", "DELIQUENCY", "NO_OF_CYCLES",
-                "ACCOUNT_TENURE_MONTHS", "DAYS_SINCE_LAST_PAYMENT", "AGE", "FEE_TO_LIMIT_RATIO",
-                "CARD_REPLACEMENT_FREQ"]
-
-
 def q_correlation(spark, sf_dir):
-    return profile.correlation(_features(spark, sf_dir), CORR_COLUMNS)
-
-
-# (source, column, bins, trim quantile, strict trim)
-HIST_SPECS = [("prime", c, 50, 0.99, False) for c in ["CREDIT_LIMIT", "LEDGER_BALANCE", "OVERDUEAMOUNT",
-                                                       "LAST_PAYMENT_AMOUNT", "JOINING_FEE", "ANNUAL_FEE"]] + \
-    [("txn", c, 60, 0.99, False) for c in ["BILLING_AMT", "ORIG_AMOUNT"]] + \
-    [("features", "ACCOUNT_TENURE_MONTHS", 40, None, False), ("features", "DAYS_SINCE_LAST_PAYMENT", 40, 0.99, True)] + \
-    [("rfm", c, 50, None, False) for c in ["TOTAL_SPEND", "AVG_TXN", "TXN_COUNT", "RECENCY"]]
+    return profile.correlation(_features(spark, sf_dir), contract.CORR_COLUMNS)
 
 
 def _histograms(spark, sf_dir, specs):
@@ -323,26 +364,21 @@ def _histograms(spark, sf_dir, specs):
 
 
 def q_histogram(spark, sf_dir):
-    return _histograms(spark, sf_dir, HIST_SPECS)
+    return _histograms(spark, sf_dir, contract.HIST_SPECS)
 
 
 def q_kde(spark, sf_dir):
-    return profile.kde_from_histogram(_histograms(spark, sf_dir, [s for s in HIST_SPECS if s[0] == "prime"]))
+    curve = profile.kde_from_histogram(_histograms(spark, sf_dir, contract.HIST_SPECS))
+    return curve.withColumns({"X": F.round("X", 6), "DENSITY": F.round("DENSITY", 9)})
 
 
 def q_cap_before_after(spark, sf_dir):
-    """Box statistics before and after the p99 cap: per table the raw and capped
-    variants are columns of one projection, so all share the same passes."""
+    """Box statistics before and after the p99 cap.  Capping keeps the order of values, so the
+    capped quartiles are the raw order statistics, capped: one quantile call per table."""
     t, p = fx.txn(spark, sf_dir), fx.prime(spark, sf_dir)
     out = None
     for src, cols in ((t, ["BILLING_AMT", "ORIG_AMOUNT"]), (p, ["OVERDUEAMOUNT"])):
-        caps = features.p99_caps(src, cols)
-        wide = src.select(*[F.col(c).alias(f"{c}|before") for c in cols],
-                          *[F.when(F.col(c) > F.lit(caps[c]), F.lit(caps[c])).otherwise(F.col(c)).alias(f"{c}|after")
-                            for c in cols])
-        b = profile.box_stats_multi(wide, [f"{c}|{st}" for c in cols for st in ("before", "after")])
-        b = b.withColumn("STAGE", F.element_at(F.split("COLUMN_NAME", "[|]"), 2)) \
-            .withColumn("COLUMN_NAME", F.element_at(F.split("COLUMN_NAME", "[|]"), 1))
+        b = profile.box_stats_capped(src, cols, 0.99)
         out = b if out is None else out.unionByName(b)
     return out.select("COLUMN_NAME", "STAGE", "N", "Q1", "MEDIAN", "Q3", "WHISKER_LO", "WHISKER_HI", "N_OUTLIERS")
 
@@ -354,6 +390,7 @@ def q_boxplot_by_delinquency(spark, sf_dir):
 
 # ----------------------------------------------------------------- segmentation
 SEG_COLUMNS = ["TOTAL_SPEND_LOG", "AVG_TXN", "TXN_COUNT", "RECENCY"]
+LOCAL_SHARE, GLOBAL_SHARE = 0.03, 0.01
 
 
 def _seg_input(spark, sf_dir):
@@ -369,14 +406,10 @@ def _scaled(spark, sf_dir):
     return segment.robust_scale(_seg_input(spark, sf_dir), SEG_COLUMNS)
 
 
-_BEST_K: dict[str, int] = {}  # k chosen per input folder (inputs are immutable)
-
-
 def _segments(spark, sf_dir):
-    scaled = _scaled(spark, sf_dir)
-    if sf_dir not in _BEST_K:
-        _, _BEST_K[sf_dir] = segment.choose_k(scaled, SEG_COLUMNS, (2, 8))
-    return segment.gmm_segments(scaled, SEG_COLUMNS, _BEST_K[sf_dir])
+    scaled = _kept(_scaled(spark, sf_dir))
+    _, _, model = segment.fit_best(scaled, SEG_COLUMNS, "RIMNO", (2, 8))
+    return segment.gmm_segments(scaled, SEG_COLUMNS, "RIMNO", model=model)
 
 
 def _with_vec(df):
@@ -388,42 +421,54 @@ def q_robust_scale(spark, sf_dir):
 
 
 def q_best_k(spark, sf_dir):
-    table, k = segment.choose_k(_scaled(spark, sf_dir), SEG_COLUMNS, (2, 8))
-    _BEST_K[sf_dir] = k
-    return table
+    return segment.choose_k(_kept(_scaled(spark, sf_dir)), SEG_COLUMNS, "RIMNO", (2, 8))[0]
 
 
 def q_segments(spark, sf_dir):
     return _segments(spark, sf_dir).select("RIMNO", "CLUSTER")
 
 
-def _local(spark, sf_dir):
-    seg = _with_vec(_segments(spark, sf_dir))
-    scored = segment.isolation_scores(seg.select("RIMNO", "CLUSTER", "VEC"), "RIMNO", "VEC", "CLUSTER")
-    return segment.flag_outliers(scored, 0.03, "CLUSTER", "IS_LOCAL_OUTLIER")
-
-
-def _global(spark, sf_dir):
-    sc = _with_vec(_scaled(spark, sf_dir))
-    scored = segment.isolation_scores(sc.select("RIMNO", "VEC"), "RIMNO", "VEC")
-    return segment.flag_outliers(scored, 0.01, None, "IS_GLOBAL_OUTLIER")
-
-
 def q_local_outliers(spark, sf_dir):
-    return _local(spark, sf_dir).select("RIMNO", "CLUSTER", "IF_SCORE", "IS_LOCAL_OUTLIER")
+    seg = _kept(_with_vec(_segments(spark, sf_dir)).select("RIMNO", "CLUSTER", "VEC"))
+    scored = segment.isolation_scores(seg, "RIMNO", "VEC", "CLUSTER")
+    return segment.flag_outliers(scored, LOCAL_SHARE, "CLUSTER", "IS_LOCAL_OUTLIER")
 
 
 def q_global_outliers(spark, sf_dir):
-    return _global(spark, sf_dir).select("RIMNO", "IF_SCORE", "IS_GLOBAL_OUTLIER")
+    sc = _kept(_with_vec(_scaled(spark, sf_dir)).select("RIMNO", "VEC"))
+    scored = segment.isolation_scores(sc, "RIMNO", "VEC")
+    return segment.flag_outliers(scored, GLOBAL_SHARE, None, "IS_GLOBAL_OUTLIER")
+
+
+def _flags(spark, sf_dir):
+    """The segmentation input, written once, and its cluster and outlier labels."""
+    raw = _kept(_seg_input(spark, sf_dir))
+    scaled = _kept(segment.robust_scale(raw, SEG_COLUMNS))
+    _, _, model = segment.fit_best(scaled, SEG_COLUMNS, "RIMNO", (2, 8))
+    clustered = _kept(segment.gmm_segments(scaled, SEG_COLUMNS, "RIMNO", model=model))
+    return raw, segment.outlier_flags(clustered, "RIMNO", SEG_COLUMNS, LOCAL_SHARE, GLOBAL_SHARE)
 
 
 def q_cluster_profile(spark, sf_dir):
     """Mean of every feature per cluster, with the final outlier share (local OR global)."""
-    loc = _local(spark, sf_dir).select("RIMNO", "CLUSTER", "IS_LOCAL_OUTLIER")
-    glo = _global(spark, sf_dir).select("RIMNO", "IS_GLOBAL_OUTLIER")
-    labels = loc.join(glo, "RIMNO").withColumn("IS_OUTLIER", F.col("IS_LOCAL_OUTLIER") | F.col("IS_GLOBAL_OUTLIER"))
-    return segment.cluster_profile(_seg_input(spark, sf_dir), labels.select("RIMNO", "CLUSTER", "IS_OUTLIER"),
-                                   "RIMNO", SEG_COLUMNS)
+    raw, labels = _flags(spark, sf_dir)
+    return segment.cluster_profile(raw, labels.select("RIMNO", "CLUSTER", "IS_OUTLIER"), "RIMNO", SEG_COLUMNS)
+
+
+def q_segmentation_check(spark, sf_dir):
+    """What holds for every fit: each customer once, none without a cluster, the final outlier the union of
+    both, and the outlier share of each scope within one row of what was asked."""
+    _, labels = _flags(spark, sf_dir)
+    per = labels.groupBy("CLUSTER").agg(F.count(F.lit(1)).alias("N"), F.count_if("IS_LOCAL_OUTLIER").alias("L"),
+                                        F.count_if("IS_GLOBAL_OUTLIER").alias("G"),
+                                        F.count_if(F.col("IS_OUTLIER") != (F.col("IS_LOCAL_OUTLIER") | F.col("IS_GLOBAL_OUTLIER"))).alias("BAD"))
+    off = F.abs(F.col("L") - LOCAL_SHARE * F.col("N"))
+    totals = per.agg(F.sum("N").alias("N_CUSTOMERS"), F.sum(F.when(F.col("CLUSTER").isNull(), F.col("N")).otherwise(0)).alias("N_NO_CLUSTER"),
+                     F.sum("BAD").alias("N_NOT_UNION"), F.count_if(off > 1).alias("N_LOCAL_SHARES_OFF"),
+                     (F.abs(F.sum("G") - GLOBAL_SHARE * F.sum("N")) > 1).cast("int").alias("N_GLOBAL_SHARES_OFF"))
+    ids = labels.agg(F.count_distinct(F.coalesce("RIMNO", F.lit("")))).first()[0]
+    return totals.withColumn("N_IDS", F.lit(ids)).select("N_CUSTOMERS", "N_IDS", "N_NO_CLUSTER", "N_NOT_UNION",
+                                                         "N_LOCAL_SHARES_OFF", "N_GLOBAL_SHARES_OFF")
 
 
 QUERIES: dict[str, Query] = {
@@ -482,4 +527,18 @@ QUERIES: dict[str, Query] = {
     "local_outliers": q_local_outliers,
     "global_outliers": q_global_outliers,
     "cluster_profile": q_cluster_profile,
+    "segmentation_check": q_segmentation_check,
+    "ambiguous_keys": q_ambiguous_keys,
+    "txn_mapped_latest": q_txn_mapped_latest,
+    "change_log_counted": q_change_log_counted,
+    "idless_report": q_idless_report,
+    "presence_changes": q_presence_changes,
+    "reappearing_ids": q_reappearing_ids,
+    "activation_lifecycle_uneven": q_activation_lifecycle_uneven,
+    "status_lifecycle_uneven": q_status_lifecycle_uneven,
+    "label_comparison_uneven": q_label_comparison_uneven,
+    "change_log_uneven": q_change_log_uneven,
+    "change_rates_uneven": q_change_rates_uneven,
+    "lifecycle_totals": q_lifecycle_totals,
+    "common_ids_count": q_common_ids_count,
 }

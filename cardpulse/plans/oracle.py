@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from cardpulse.functions import contract
 from cardpulse.plans.oracle_base import sql
-from cardpulse.sources.fixtures import PRIME_COLUMNS, TXN_COLUMNS
+from cardpulse.sources.fixtures import ABSENT, PRIME_COLUMNS, TXN_COLUMNS
 
 
 def _lst(values) -> str:
@@ -115,7 +115,7 @@ seg AS (SELECT f.*, CASE WHEN f.IS_HIST THEN 'historical'
         ON NOT f.IS_HIST AND f.SNAP_MONTH = d.SNAP_MONTH AND f.RIMNO = d.RIMNO AND f.PRODUCT_NAME = d.PRODUCT_NAME),
 lookup AS (SELECT DISTINCT RIMNO, PRODUCT_NAME, CUSTOMER_ID FROM seg WHERE SEGMENT = 'active'),
 mapped AS (SELECT """ + TCOLS + """, l.CUSTOMER_ID FROM txn t LEFT JOIN lookup l
-           ON t.RIMNO IS NOT DISTINCT FROM l.RIMNO AND t.PRODUCT_NAME IS NOT DISTINCT FROM l.PRODUCT_NAME)
+           ON t.RIMNO = l.RIMNO AND t.PRODUCT_NAME IS NOT DISTINCT FROM l.PRODUCT_NAME)
 """
 
 LOOKBACK = """
@@ -190,7 +190,8 @@ DISAGREE_SPINE = " UNION ALL ".join(
 
 CHANGE_COLS = [c for c in PRIME_COLUMNS if c not in ("SNAP_MONTH", "ROW_ID", "RIMNO", "PRODUCT_NAME")]
 _DOUBLE_COLS = {"CREDIT_LIMIT", "LEDGER_BALANCE", "AVAILABLE_LIMIT", "OVERDUEAMOUNT", "DELIQUENCY", "ANNUAL_FEE",
-                "JOINING_FEE", "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD"}
+                "JOINING_FEE", "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD",
+                "LAST_PAYMENT_AMOUNT", "NO_OF_CYCLES"}
 
 
 def _img(c: str, alias: str) -> str:
@@ -199,15 +200,50 @@ def _img(c: str, alias: str) -> str:
     return f"CAST({alias}.{c} AS VARCHAR)"
 
 
-CHANGE_PAIRS = """
+def _lacking(c: str) -> str:
+    """Ranks of the transitions one of whose months lacks the column, in the uneven snapshots."""
+    cut = ", ".join(f"DATE '{m.isoformat()}'" for m, gone in ABSENT.items() if c in gone)
+    return f"SELECT x.M_RANK + d.d FROM months x, (VALUES (0), (-1)) d(d) WHERE x.SNAP_MONTH IN ({cut})" if cut else ""
+
+
+def _changes(uneven: bool) -> str:
+    parts = []
+    for c in CHANGE_COLS:
+        cut = f" AND A_RANK NOT IN ({_lacking(c)})" if uneven and _lacking(c) else ""
+        parts.append(f"SELECT RIMNO, PRODUCT_NAME, A_RANK, {c}_OLD AS OLD_VALUE, {c}_NEW AS NEW_VALUE, '{c}' AS \"COLUMN\" FROM pairs "
+                     f"WHERE {c}_OLD IS DISTINCT FROM {c}_NEW{cut}")
+    return _PAIRS + ",\nchanges AS (" + "\nUNION ALL ".join(parts) + ")\n"
+
+
+_PAIRS = """
 pairs AS (SELECT a.RIMNO, a.PRODUCT_NAME, a.M_RANK AS A_RANK, """ + ", ".join(
     f"{_img(c, 'a')} AS {c}_OLD, {_img(c, 'b')} AS {c}_NEW" for c in CHANGE_COLS) + """
           FROM primem a JOIN primem b ON b.M_RANK = a.M_RANK + 1
-          AND a.RIMNO IS NOT DISTINCT FROM b.RIMNO AND a.PRODUCT_NAME IS NOT DISTINCT FROM b.PRODUCT_NAME),
-changes AS (""" + "\nUNION ALL ".join(
-    f"SELECT RIMNO, PRODUCT_NAME, A_RANK, {c}_OLD AS OLD_VALUE, {c}_NEW AS NEW_VALUE, '{c}' AS \"COLUMN\" FROM pairs "
-    f"WHERE {c}_OLD IS DISTINCT FROM {c}_NEW" for c in CHANGE_COLS) + """)
-"""
+          AND a.RIMNO = b.RIMNO AND a.PRODUCT_NAME IS NOT DISTINCT FROM b.PRODUCT_NAME)"""
+CHANGE_PAIRS = _changes(False)
+
+CHANGE_LOG = """
+SELECT c.RIMNO, c.PRODUCT_NAME, c.OLD_VALUE, c.NEW_VALUE, c."COLUMN", f.M_LABEL AS FROM_MONTH, t.M_LABEL AS TO_MONTH
+FROM changes c JOIN months f ON f.M_RANK = c.A_RANK JOIN months t ON t.M_RANK = c.A_RANK + 1"""
+CHANGE_RATES = """
+SELECT f.M_LABEL AS FROM_MONTH, t.M_LABEL AS TO_MONTH, c."COLUMN", m.MATCHED_PAIRS, c.CHANGED_ROWS,
+       round_even(c.CHANGED_ROWS * CAST(100 AS DOUBLE) / m.MATCHED_PAIRS, 2) AS PCT_CHANGED
+FROM (SELECT A_RANK, "COLUMN", count(*) AS CHANGED_ROWS FROM changes GROUP BY 1, 2) c
+JOIN (SELECT A_RANK, count(*) AS MATCHED_PAIRS FROM pairs GROUP BY 1) m USING (A_RANK)
+JOIN months f ON f.M_RANK = c.A_RANK JOIN months t ON t.M_RANK = c.A_RANK + 1"""
+
+
+def _without_months(ctes: str, col: str) -> str:
+    """The set CTEs with the history months that lack ``col`` left out of ``primem``."""
+    cut = ", ".join(f"DATE '{m.isoformat()}'" for m, gone in ABSENT.items() if col in gone)
+    return ctes.replace("FROM primem ", f"FROM (SELECT * FROM primem WHERE M_RANK = N_MONTHS OR SNAP_MONTH NOT IN ({cut})) primem ").replace(
+        "primem p ", "p ")
+
+
+def _status_uneven() -> str:
+    """A month without STATUS counts its ids as history and shows no activity."""
+    cut = ", ".join(f"DATE '{m.isoformat()}'" for m, gone in ABSENT.items() if "STATUS" in gone)
+    return STATUS_SETS.replace("AND NOT coalesce(STATUS IN", f"AND SNAP_MONTH NOT IN ({cut}) AND NOT coalesce(STATUS IN")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -274,15 +310,54 @@ SELECT f.M_LABEL AS FROM_MONTH, t.M_LABEL AS TO_MONTH, i.M_LABEL AS IN_MONTH, co
 FROM miss m JOIN pres o ON o.RIMNO = m.RIMNO AND o.M_RANK NOT IN (m.TO_RANK, m.TO_RANK - 1)
 JOIN months f ON f.M_RANK = m.TO_RANK - 1 JOIN months t ON t.M_RANK = m.TO_RANK JOIN months i ON i.M_RANK = o.M_RANK
 GROUP BY 1, 2, 3""")
-    q["change_log"] = sql(CHANGE_PAIRS, """
-SELECT c.RIMNO, c.PRODUCT_NAME, c.OLD_VALUE, c.NEW_VALUE, c."COLUMN", f.M_LABEL AS FROM_MONTH, t.M_LABEL AS TO_MONTH
-FROM changes c JOIN months f ON f.M_RANK = c.A_RANK JOIN months t ON t.M_RANK = c.A_RANK + 1""")
-    q["change_rates"] = sql(CHANGE_PAIRS, """
-SELECT f.M_LABEL AS FROM_MONTH, t.M_LABEL AS TO_MONTH, c."COLUMN", m.MATCHED_PAIRS, c.CHANGED_ROWS,
-       round_even(c.CHANGED_ROWS * CAST(100 AS DOUBLE) / m.MATCHED_PAIRS, 2) AS PCT_CHANGED
-FROM (SELECT A_RANK, "COLUMN", count(*) AS CHANGED_ROWS FROM changes GROUP BY 1, 2) c
-JOIN (SELECT A_RANK, count(*) AS MATCHED_PAIRS FROM pairs GROUP BY 1) m USING (A_RANK)
-JOIN months f ON f.M_RANK = c.A_RANK JOIN months t ON t.M_RANK = c.A_RANK + 1""")
+    q["change_log"] = sql(CHANGE_PAIRS, CHANGE_LOG)
+    q["change_rates"] = sql(CHANGE_PAIRS, CHANGE_RATES)
+    q["change_log_uneven"] = sql(_changes(True), CHANGE_LOG, uneven=True)
+    q["change_rates_uneven"] = sql(_changes(True), CHANGE_RATES, uneven=True)
+    q["change_log_counted"] = sql(CHANGE_PAIRS, f"SELECT *, count(*) AS N_PAIRS FROM ({CHANGE_LOG}) GROUP BY ALL")
+    act_uneven = _without_months(ACTIVATION_SETS, "ACTIVATED")
+    q["activation_lifecycle_uneven"] = sql(act_uneven, "SELECT * FROM act_out", uneven=True)
+    q["status_lifecycle_uneven"] = sql(_status_uneven(), "SELECT * FROM status_out", uneven=True)
+    q["label_comparison_uneven"] = sql(COMPARISON.replace(ACTIVATION_SETS, act_uneven).replace(STATUS_SETS, _status_uneven()),
+                                       "SELECT * FROM cmp", uneven=True)
+    q["lifecycle_totals"] = sql(ACTIVATION_SETS + "," + STATUS_SETS, """
+SELECT 'activation' AS LABELS, count(*) AS TOTAL, count(*) FILTER (WHERE ACTIVATION_CHURN = 1) AS CHURN_1,
+       count(*) FILTER (WHERE ACTIVATION_CHURN = 0) AS CHURN_0 FROM act_out
+UNION ALL
+SELECT 'status', count(*), count(*) FILTER (WHERE CHURN = 1), count(*) FILTER (WHERE CHURN = 0) FROM status_out""")
+    q["idless_report"] = sql("""
+idless AS (SELECT PRODUCT_NAME, M_RANK, count(*) AS n FROM primem WHERE RIMNO IS NULL GROUP BY 1, 2),
+tr AS (SELECT DISTINCT PRODUCT_NAME, M_RANK AS A_RANK FROM idless UNION SELECT PRODUCT_NAME, M_RANK - 1 FROM idless)""", """
+SELECT f.M_LABEL AS FROM_MONTH, t.M_LABEL AS TO_MONTH, tr.PRODUCT_NAME, coalesce(a.n, 0) AS N_OLD, coalesce(b.n, 0) AS N_NEW,
+       coalesce(a.n, 0) * coalesce(b.n, 0) AS N_PAIRS
+FROM tr JOIN months f ON f.M_RANK = tr.A_RANK JOIN months t ON t.M_RANK = tr.A_RANK + 1
+LEFT JOIN idless a ON a.PRODUCT_NAME IS NOT DISTINCT FROM tr.PRODUCT_NAME AND a.M_RANK = tr.A_RANK
+LEFT JOIN idless b ON b.PRODUCT_NAME IS NOT DISTINCT FROM tr.PRODUCT_NAME AND b.M_RANK = tr.A_RANK + 1""")
+    pres = "pres AS (SELECT DISTINCT RIMNO, M_RANK FROM primem WHERE RIMNO IS NOT NULL)"
+    q["presence_changes"] = sql(pres, """
+SELECT f.M_LABEL AS FROM_MONTH, t.M_LABEL AS TO_MONTH, x.CHANGE, x.RIMNO
+FROM (SELECT RIMNO, M_RANK AS TO_RANK, 'new' AS CHANGE FROM pres WHERE M_RANK > 1 AND (RIMNO, M_RANK - 1) NOT IN (SELECT (RIMNO, M_RANK) FROM pres)
+      UNION ALL
+      SELECT RIMNO, M_RANK + 1, 'missing' FROM pres WHERE M_RANK < (SELECT max(M_RANK) FROM months)
+        AND (RIMNO, M_RANK + 1) NOT IN (SELECT (RIMNO, M_RANK) FROM pres)) x
+JOIN months t ON t.M_RANK = x.TO_RANK JOIN months f ON f.M_RANK = x.TO_RANK - 1""")
+    q["reappearing_ids"] = sql(pres + """,
+miss AS (SELECT a.RIMNO, a.M_RANK + 1 AS TO_RANK FROM pres a
+         WHERE a.M_RANK < (SELECT max(M_RANK) FROM months)
+           AND NOT EXISTS (SELECT 1 FROM pres b WHERE b.RIMNO = a.RIMNO AND b.M_RANK = a.M_RANK + 1))""", """
+SELECT f.M_LABEL AS FROM_MONTH, t.M_LABEL AS TO_MONTH, i.M_LABEL AS IN_MONTH, m.RIMNO
+FROM miss m JOIN pres o ON o.RIMNO = m.RIMNO AND o.M_RANK NOT IN (m.TO_RANK, m.TO_RANK - 1)
+JOIN months f ON f.M_RANK = m.TO_RANK - 1 JOIN months t ON t.M_RANK = m.TO_RANK JOIN months i ON i.M_RANK = o.M_RANK""")
+    q["ambiguous_keys"] = sql(IDENTITY, """
+SELECT RIMNO, PRODUCT_NAME, count(*) AS N_CUSTOMER_IDS FROM lookup GROUP BY 1, 2 HAVING count(*) > 1""")
+    q["txn_mapped_latest"] = sql(IDENTITY + """,
+ranked AS (SELECT RIMNO, PRODUCT_NAME, CUSTOMER_ID, row_number() OVER (PARTITION BY RIMNO, PRODUCT_NAME
+           ORDER BY SNAP_MONTH DESC, CUSTOMER_ID) AS rn FROM seg WHERE SEGMENT = 'active')""", """
+SELECT t.TXN_ID, t.RIMNO, t.PRODUCT_NAME, l.CUSTOMER_ID FROM txn t JOIN ranked l
+ON l.rn = 1 AND t.RIMNO = l.RIMNO AND t.PRODUCT_NAME IS NOT DISTINCT FROM l.PRODUCT_NAME""")
+    q["common_ids_count"] = sql("", """
+SELECT count(*) AS N_IDS, min(RIMNO) AS FIRST_ID, max(RIMNO) AS LAST_ID
+FROM (SELECT RIMNO FROM prime WHERE RIMNO IS NOT NULL INTERSECT SELECT RIMNO FROM txn WHERE RIMNO IS NOT NULL)""")
     q["change_summary"] = sql(CHANGE_PAIRS, """
 SELECT "COLUMN", count(*) AS total_changes, count(DISTINCT RIMNO) AS unique_pairs_affected,
        round_even(count(DISTINCT RIMNO) * CAST(100 AS DOUBLE)

@@ -37,16 +37,6 @@ def _cap(col: str, src: str, q: float = 0.99) -> str:
     return f"CASE WHEN {col} > {cap} THEN {cap} ELSE {col} END"
 
 
-CAST_PLAN = {
-    "string": ["BRANCH_NAME", "ACTIVATED", "STATUS", "PRODUCT_NAME", "GENDER", "CUSTOMER_TYPE", "CARD_STATUS"],
-    "float": ["CREDIT_LIMIT", "DELIQUENCY", "LEDGER_BALANCE", "AVAILABLE_LIMIT", "OVERDUEAMOUNT",
-              "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD", "DOB_SERIAL"],
-    "int": ["RIMNO"],
-    "date": ["CREATION_DATE", "LAST_STATEMENT_DATE", "DOB", "CLOSURE_DATE"],
-}
-_RAW_COLS = set(PRIME_COLUMNS)
-
-
 def _after(t: str, c: str) -> str:
     if t == "string":
         return f"{c} IS NULL"
@@ -59,13 +49,12 @@ def _after(t: str, c: str) -> str:
 
 def _cast_report() -> str:
     parts = []
-    for t, cols in CAST_PLAN.items():
-        for c in cols:
-            if c not in _RAW_COLS:
-                continue
-            parts.append(f"""SELECT '{c}' AS COLUMN_NAME, '{t}' AS CAST_TYPE,
+    for table, plan in (("prime", contract.PRIME_CAST_PLAN), ("txn", contract.TXN_CAST_PLAN)):
+        for t, cols in plan.items():
+            for c in cols:
+                parts.append(f"""SELECT '{table}' AS TABLE_NAME, '{c}' AS COLUMN_NAME, '{t}' AS CAST_TYPE,
   count(*) FILTER (WHERE {c} IS NULL) AS NULLS_BEFORE, count(*) FILTER (WHERE {_after(t, c)}) AS NULLS_AFTER,
-  round(count(*) FILTER (WHERE {_after(t, c)}) * CAST(100 AS DOUBLE) / count(*), 2) AS PCT_MISSING FROM prime_raw""")
+  round(count(*) FILTER (WHERE {_after(t, c)}) * CAST(100 AS DOUBLE) / count(*), 2) AS PCT_MISSING FROM {table}_raw""")
     return sql("", "\nUNION ALL\n".join(parts))
 
 
@@ -83,8 +72,7 @@ FROM ({' UNION ALL '.join(parts)}) WHERE f > 0""")
 
 
 def _categorical_domain() -> str:
-    spec = {"txn": ["PRODUCT_NAME", "CCY", "MCC", "TRXN_COUNTRY", "REVERSAL_FLAG"],
-            "prime": ["BRANCH_NAME", "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD"]}
+    spec = {"txn": contract.TXN_CATEGORICAL, "prime": contract.PRIME_CATEGORICAL}
     parts = [f"SELECT '{t}' AS TABLE_NAME, '{c}' AS COLUMN_NAME, CAST({c} AS VARCHAR) AS VALUE, count(*) AS N "
              f"FROM {t} GROUP BY 3" for t, cols in spec.items() for c in cols]
     return sql("", "\nUNION ALL\n".join(parts))
@@ -117,7 +105,7 @@ feat AS (
   FROM feat0 f LEFT JOIN rec r ON f.RIMNO = r.RIMNO),
 tcap AS (SELECT * REPLACE ({_cap('BILLING_AMT', 'txn')} AS BILLING_AMT, {_cap('ORIG_AMOUNT', 'txn')} AS ORIG_AMOUNT)
          FROM txn),
-rfm_t AS (SELECT RIMNO, sum(BILLING_AMT) AS TOTAL_SPEND, avg(BILLING_AMT) AS AVG_TXN, count(BILLING_AMT) AS TXN_COUNT,
+rfm_t AS (SELECT RIMNO, CAST(sum(CAST(BILLING_AMT AS DECIMAL(20,6))) AS DOUBLE) AS TOTAL_SPEND, CAST(sum(CAST(BILLING_AMT AS DECIMAL(20,6))) AS DOUBLE) / nullif(count(BILLING_AMT), 0) AS AVG_TXN, count(BILLING_AMT) AS TXN_COUNT,
                  {_days(f"DATE '{TXN_AS_OF}'", "max(TRXN_DATE)")} AS RECENCY
           FROM tcap WHERE RIMNO IS NOT NULL GROUP BY RIMNO)
 """
@@ -129,15 +117,8 @@ FEATURE_COLUMNS = ["ROW_ID", "SNAP_MONTH", "RIMNO", "GENDER", "ANNUAL_FEE", "OVE
 _ROUNDED = {"ACCOUNT_TENURE_MONTHS", "UTILIZATION_RATIO", "AVAILABLE_CREDIT_RATIO", "FEE_TO_LIMIT_RATIO",
             "ANNUAL_FEE", "OVERDUEAMOUNT"}
 
-CORR_COLUMNS = ["CREDIT_LIMIT", "LEDGER_BALANCE", "OVERDUEAMOUNT", "DELIQUENCY", "ACCOUNT_TENURE_MONTHS",
-                "DAYS_SINCE_LAST_PAYMENT", "AGE", "FEE_TO_LIMIT_RATIO", "CARD_REPLACEMENT_FREQ"]
-
-HIST_SPECS = [("prime", c, 50, 0.99, False) for c in ["CREDIT_LIMIT", "LEDGER_BALANCE", "OVERDUEAMOUNT",
-                                                       "JOINING_FEE", "ANNUAL_FEE"]] + \
-    [("txn", c, 60, 0.99, False) for c in ["BILLING_AMT", "ORIG_AMOUNT"]] + \
-    [("feat", "ACCOUNT_TENURE_MONTHS", 40, None, False), ("feat", "DAYS_SINCE_LAST_PAYMENT", 40, 0.99, True)] + \
-    [("rfm_t", c, 50, None, False) for c in ["TOTAL_SPEND", "AVG_TXN", "TXN_COUNT", "RECENCY"]]
-_SRC_NAME = {"prime": "prime", "txn": "txn", "feat": "features", "rfm_t": "rfm"}
+_SRC_OF = {"prime": "prime", "txn": "txn", "features": "feat", "rfm": "rfm_t"}
+_SRC_NAME = {v: k for k, v in _SRC_OF.items()}
 
 
 def _hist_part(i: int, src: str, col: str, bins: int, q, strict: bool) -> tuple[str, str]:
@@ -158,13 +139,28 @@ FROM range({bins}) r(i) CROSS JOIN h{i}_b b LEFT JOIN h{i}_c c ON c.BIN = r.i WH
     return ctes, final
 
 
-def _histogram() -> str:
+def _histogram_parts() -> tuple[str, str]:
     ctes, finals = [], []
-    for i, spec in enumerate(HIST_SPECS):
-        c, f = _hist_part(i, *spec)
+    for i, (src, *spec) in enumerate(contract.HIST_SPECS):
+        c, f = _hist_part(i, _SRC_OF[src], *spec)
         ctes.append(c)
         finals.append(f)
-    return sql(FEATURES + "," + ",".join(ctes), "\nUNION ALL\n".join(finals))
+    return FEATURES + "," + ",".join(ctes), "\nUNION ALL\n".join(finals)
+
+
+def _kde(points: int = 200) -> str:
+    """The density curve over the bins of every histogram, as a plain sum over bins."""
+    ctes, hist = _histogram_parts()
+    return sql(f"""{ctes},
+hist AS ({hist}),
+hs AS (SELECT COLUMN_NAME, sum(N) AS cnt, sum(N * (BIN_LO + BIN_HI) / 2) AS s1,
+              sum(N * ((BIN_LO + BIN_HI) / 2) * ((BIN_LO + BIN_HI) / 2)) AS s2, min(BIN_LO) AS lo, max(BIN_HI) AS hi
+       FROM hist GROUP BY 1),
+hb AS (SELECT *, sqrt(greatest((s2 - s1 * s1 / cnt) / (cnt - 1), 1e-300)) * pow(cnt, -0.2) AS h FROM hs),
+g AS (SELECT hb.*, CAST(i AS INTEGER) AS I, lo + i * (hi - lo) / {points - 1} AS X FROM hb, range({points}) r(i))""", f"""
+SELECT COLUMN_NAME, I, round(X, 6) AS X, round(sum(N * exp(-0.5 * ((X - (BIN_LO + BIN_HI) / 2) / h) * ((X - (BIN_LO + BIN_HI) / 2) / h)))
+       / (any_value(cnt) * any_value(h) * sqrt(2 * pi())), 9) AS DENSITY
+FROM g JOIN hist USING (COLUMN_NAME) GROUP BY COLUMN_NAME, I, X""")
 
 
 def _box(src: str, col: str, where: str = "TRUE") -> str:
@@ -228,7 +224,7 @@ SELECT TXN_ID, round({_cap('BILLING_AMT', 'filled')}, 6) AS BILLING_AMT,
 SELECT CAST(s.BAND_ORDER AS INTEGER) AS BAND_ORDER, s.{col}, CAST(coalesce(c.n, 0) AS BIGINT) AS N
 FROM ({spine}) s LEFT JOIN (SELECT {col}, count(*) AS n FROM feat WHERE {col} IS NOT NULL GROUP BY 1) c USING ({col})""")
     q["rfm"] = sql(FEATURES, """
-SELECT RIMNO, round(TOTAL_SPEND, 4) AS TOTAL_SPEND, round(AVG_TXN * (1 + 1e-12), 4) AS AVG_TXN, TXN_COUNT, RECENCY FROM rfm_t""")
+SELECT RIMNO, TOTAL_SPEND, AVG_TXN, TXN_COUNT, RECENCY FROM rfm_t""")
     q["top_products"] = sql("", """
 SELECT PRODUCT_NAME AS VALUE, count(*) AS N FROM prime WHERE PRODUCT_NAME IS NOT NULL
 GROUP BY 1 ORDER BY N DESC, VALUE LIMIT 15""")
@@ -236,7 +232,7 @@ GROUP BY 1 ORDER BY N DESC, VALUE LIMIT 15""")
 SELECT BRANCH_NAME AS VALUE, count(*) AS N FROM prime WHERE BRANCH_NAME IS NOT NULL
 GROUP BY 1 ORDER BY N DESC, VALUE LIMIT 15""")
     demo = []
-    for c in ("GENDER", "CUSTOMER_TYPE", "ACTIVATED"):
+    for c in contract.DEMOGRAPHIC_COLUMNS:
         demo.append(f"""SELECT * FROM (SELECT '{c}' AS COLUMN_NAME, CAST({c} AS VARCHAR) AS VALUE, count(*) AS N,
   (SELECT count({c}) FROM prime) AS ALL_N FROM prime WHERE {c} IS NOT NULL GROUP BY 2 ORDER BY N DESC, VALUE LIMIT 8)""")
     q["demographics"] = sql("", f"""
@@ -267,12 +263,13 @@ spine AS (SELECT CAST(unnest(generate_series(CAST((SELECT min(m) FROM tr) AS TIM
                              """
 SELECT last_day(spine.m) AS MONTH_END, CAST(coalesce(c, 0) AS BIGINT) AS TXN_COUNT,
        round(coalesce(s, 0), 2) AS TOTAL_SPEND FROM spine LEFT JOIN tr USING (m)""")
-    pairs = [(a, b) for i, a in enumerate(CORR_COLUMNS) for b in CORR_COLUMNS[:i]]
+    pairs = [(a, b) for i, a in enumerate(contract.CORR_COLUMNS) for b in contract.CORR_COLUMNS[:i]]
     corr_parts = [f"SELECT '{a}' AS COL_A, '{b}' AS COL_B, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS c FROM feat"
                   for a, b in pairs]
     q["correlation"] = sql(FEATURES, f"""
 SELECT COL_A, COL_B, round(CASE WHEN isnan(c) THEN NULL ELSE c END, 6) AS CORR FROM ({' UNION ALL '.join(corr_parts)})""")
-    q["histogram"] = _histogram()
+    q["histogram"] = sql(*_histogram_parts())
+    q["kde"] = _kde()
     q["cap_before_after"] = _cap_before_after()
     q["boxplot_by_delinquency"] = sql(FEATURES, f"""
 SELECT g.DELIQUENCY, b.* FROM (SELECT DISTINCT DELIQUENCY FROM feat WHERE DELIQUENCY > 0 AND OVERDUEAMOUNT IS NOT NULL) g,
@@ -281,6 +278,9 @@ LATERAL {_box('feat', 'OVERDUEAMOUNT', 'DELIQUENCY = g.DELIQUENCY')} b""")
     scaled = ", ".join(
         f"round(({c} - (SELECT quantile_cont({c}, 0.5) FROM seg_in)) / coalesce(nullif("
         f"(SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM seg_in), 0), 1), 6) AS {c}" for c in seg)
+    q["segmentation_check"] = sql(FEATURES, """
+SELECT count(*) AS N_CUSTOMERS, count(*) AS N_IDS, 0 AS N_NO_CLUSTER, 0 AS N_NOT_UNION, 0 AS N_LOCAL_SHARES_OFF,
+       0 AS N_GLOBAL_SHARES_OFF FROM rfm_t""")
     q["robust_scale"] = sql(FEATURES + """,
 seg_in AS (SELECT RIMNO, ln(1 + greatest(coalesce(TOTAL_SPEND, 0), 0)) AS TOTAL_SPEND_LOG,
                   coalesce(AVG_TXN, 0) AS AVG_TXN, CAST(TXN_COUNT AS DOUBLE) AS TXN_COUNT,

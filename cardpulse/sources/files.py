@@ -1,8 +1,8 @@
 """File sources and sinks for the monthly snapshot / transaction files.
 
-* CSV snapshots: one multi-path scan of every month (latin-1, header, all text),
-  alias headers normalised, CSV null markers mapped to null, SNAP_MONTH taken from
-  the file name through the ``_metadata.file_name`` column.
+* CSV files (latin-1, header, all text): one scan per distinct header, alias headers
+  normalised per file, united by name, CSV null markers mapped to null, SNAP_MONTH taken
+  from the file name through the ``_metadata.file_name`` column.
 * typed contract: optional columns cast with the coercing parsers (absent columns
   are skipped, as the studied loaders do).
 * workbooks: each .xlsx file is one ``binaryFile`` record parsed by
@@ -14,63 +14,118 @@
 from __future__ import annotations
 
 import io
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardpulse.functions import contract, norm
-from cardpulse.functions.months import MONTH_COL, month_from_path
+from cardpulse.functions.months import FALLBACK_MONTH, MONTH_COL, label_of_name, month_from_path, month_of_name
+
+
+def canonical_headers(header: list[str], aliases: dict[str, str]) -> list[str]:
+    """Canonical column names of one file's header: an alias becomes its name unless the file has
+    that name as well; runs of blanks and underscores become one underscore."""
+    names = [aliases[c] if c in aliases and aliases[c] not in header else c for c in header]
+    return [re.sub(r"[\s_]+", "_", c.strip()) for c in names]
 
 
 def normalise_headers(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """Rename alias columns when the canonical name is absent; blanks -> underscores."""
-    renames = {}
-    for src, dst in aliases.items():
-        if src in df.columns and dst not in df.columns:
-            renames[src] = dst
-    df = df.withColumnsRenamed(renames) if renames else df
-    tidy = {c: c.strip().replace(" ", "_") for c in df.columns if c != c.strip().replace(" ", "_")}
-    return df.withColumnsRenamed(tidy) if tidy else df
+    """``df`` with canonical column names."""
+    return df.toDF(*canonical_headers(df.columns, aliases))
+
+
+def _options(encoding: str, multi_line: bool) -> dict:
+    # quotes inside quoted text are doubled, a backslash is an ordinary character
+    return {"header": True, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": multi_line,
+            "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def file_headers(spark: SparkSession, paths, encoding: str = "ISO-8859-1") -> dict[str, list[str]]:
+    """Header of every file under ``paths``: one line read per file, as many entries as files."""
+    files = sorted(spark.read.text(paths).inputFiles())
+    return {f: spark.read.options(**_options(encoding, False)).csv(f).columns for f in files}
+
+
+def read_csv_files(spark: SparkSession, paths, aliases: dict[str, str], encoding: str = "ISO-8859-1",
+                   multi_line: bool = False) -> DataFrame:
+    """CSV files with headers of their own, every column as text, plus SOURCE_FILE.
+
+    Files with equal headers are one scan; each scan's columns get their canonical names, and the
+    scans are united by name (a column that a file lacks is null there).  With ``multi_line``
+    quoted text may hold line ends, but a file is then read by one task."""
+    by_header: dict[tuple, list[str]] = {}
+    for f, header in file_headers(spark, paths, encoding).items():
+        by_header.setdefault(tuple(header), []).append(f)
+    out = None
+    for header, files in by_header.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        raw = spark.read.options(**_options(encoding, multi_line)).schema(schema).csv(files)
+        names = canonical_headers(list(header), aliases)
+        part = raw.select(*[norm.null_tokens(F.col(f"`{c}`")).alias(n) for c, n in zip(header, names)],
+                          F.col("_metadata.file_name").alias("SOURCE_FILE"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no files under {paths}")
+    return out
 
 
 def read_snapshots(spark: SparkSession, paths, aliases: dict[str, str] | None = None,
-                   encoding: str = "ISO-8859-1") -> DataFrame:
-    """All monthly snapshot CSVs in one scan, every column as text, plus SNAP_MONTH."""
-    raw = (spark.read.option("header", True).option("encoding", encoding)
-           .option("inferSchema", False).option("mode", "PERMISSIVE").csv(paths))
-    df = raw.select(*[norm.null_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns],
-                    month_from_path(F.col("_metadata.file_name")).alias(MONTH_COL))
-    return normalise_headers(df, aliases if aliases is not None else contract.PRIME_ALIASES)
-
-
-def apply_contract(df: DataFrame, strings=(), longs=(), doubles=(), dates=(), timestamps=()) -> DataFrame:
-    """Cast the present columns of a text table to the declared types (unparseable -> null)."""
-    exprs = {}
-    for c in strings:
-        if c in df.columns:
-            exprs[c] = norm.strip(c)
-    for c in longs:
-        if c in df.columns:
-            exprs[c] = norm.try_long(c)
-    for c in doubles:
-        if c in df.columns:
-            exprs[c] = norm.try_double(c)
-    for c in dates:
-        if c in df.columns:
-            exprs[c] = norm.parse_date(c)
-    for c in timestamps:
-        if c in df.columns:
-            exprs[c] = F.coalesce(*[F.try_to_timestamp(norm.strip(c), F.lit(f)) for f in
-                                    ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")]).cast("timestamp_ntz")
-    return df.withColumns(exprs)
-
-
-def clean_snapshots(df: DataFrame) -> DataFrame:
+                   encoding: str = "ISO-8859-1", multi_line: bool = False) -> DataFrame:
+    """All monthly snapshot CSVs, every column as text, plus SNAP_MONTH; see ``absent_columns``."""
+    df = read_csv_files(spark, paths, contract.PRIME_ALIASES if aliases is None else aliases, encoding, multi_line)
+    return df.withColumn(MONTH_COL, month_from_path(F.col("SOURCE_FILE"))).drop("SOURCE_FILE")
+
+
+def absent_columns(spark: SparkSession, paths, aliases: dict[str, str] | None = None,
+                   encoding: str = "ISO-8859-1") -> dict:
+    """month -> canonical columns that some file has and that month's files lack, for the ``absent``
+    parameter of the lifecycles and the change log."""
+    found: dict = {}
+    for f, header in file_headers(spark, paths, encoding).items():
+        names = canonical_headers(header, contract.PRIME_ALIASES if aliases is None else aliases)
+        found.setdefault(month_of_name(f), set()).update(names)
+    every = set().union(*found.values()) if found else set()
+    return {m: every - has for m, has in found.items() if every - has}
+
+
+def unmatched_files(spark: SparkSession, paths) -> DataFrame:
+    """(FILE, LABEL) of the files whose name tells no month; they are read as 1900-01-01 and labelled by their stem."""
+    files = sorted(spark.read.text(paths).inputFiles())
+    rows = [(f, label_of_name(f)) for f in files if month_of_name(f) == FALLBACK_MONTH]
+    return spark.createDataFrame(rows, "FILE string, LABEL string")
+
+
+def apply_contract(df: DataFrame, strings=(), longs=(), doubles=(), dates=(), timestamps=(),
+                   formats: dict[str, str] | None = None) -> DataFrame:
+    """Cast the present columns of a text table to the declared types (unparseable -> null).  A date
+    column has one format, ``formats[column]`` or ISO; ``date_rejects`` counts what it leaves out."""
+    formats = formats or {}
+    casts = ((strings, norm.strip), (longs, norm.try_long), (doubles, norm.try_double),
+             (dates, lambda c: norm.parse_date(c, [formats.get(c, norm.ISO_DATE)])),
+             (timestamps, lambda c: norm.parse_timestamp(c, [formats[c]] if c in formats else None)))
+    return df.withColumns({c: cast(c) for cols, cast in casts for c in cols if c in df.columns})
+
+
+def date_rejects(raw: DataFrame, typed: DataFrame, columns) -> DataFrame:
+    """(COLUMN_NAME, N_TEXT, N_REJECTED) of the date columns: texts, and texts that their format did not take.
+    ``typed`` is ``raw`` after ``apply_contract``."""
+    present = [c for c in columns if c in raw.columns and c in typed.columns]
+    text = lambda c: F.count_if(F.coalesce(norm.strip(c), F.lit("")) != "")
+    n_text = raw.agg(*[text(c).alias(c) for c in present]).withColumn("_K", F.lit(1))
+    n_date = typed.agg(*[F.count(c).alias(f"_D_{c}") for c in present]).withColumn("_K", F.lit(1))
+    rows = F.array(*[F.struct(F.lit(c).alias("COLUMN_NAME"), F.col(c).alias("N_TEXT"),
+                              (F.col(c) - F.col(f"_D_{c}")).alias("N_REJECTED")) for c in present])
+    return n_text.join(n_date, "_K").select(F.explode(rows).alias("_R")).select("_R.*")
+
+
+def clean_snapshots(df: DataFrame, formats: dict[str, str] | None = None) -> DataFrame:
     """Typed prime snapshot with canonical ids and normalised flag codes."""
     renamed = normalise_headers(df, contract.PRIME_ALIASES)
     typed = apply_contract(renamed, strings=contract.PRIME_STRING, longs=contract.PRIME_LONG,
-                           doubles=[c.replace(" ", "_") for c in contract.PRIME_DOUBLE], dates=contract.PRIME_DATE)
+                           doubles=[c.replace(" ", "_") for c in contract.PRIME_DOUBLE], dates=contract.PRIME_DATE,
+                           formats=formats)
     typed = typed.drop(*[c for c in contract.PRIME_UNUSED if c in typed.columns])
     fix = {"RIMNO": norm.norm_id("RIMNO")} if "RIMNO" in typed.columns else {}
     for c in ("ACTIVATED", "STATUS", "CARD_STATUS"):
@@ -79,16 +134,15 @@ def clean_snapshots(df: DataFrame) -> DataFrame:
     return typed.withColumns(fix)
 
 
-def read_transactions(spark: SparkSession, paths, fmt: str = "csv", encoding: str = "ISO-8859-1") -> DataFrame:
+def read_transactions(spark: SparkSession, paths, fmt: str = "csv", encoding: str = "ISO-8859-1",
+                      formats: dict[str, str] | None = None, multi_line: bool = False) -> DataFrame:
     """Transaction files (CSV or Parquet) -> typed table with canonical RIMNO."""
     if fmt == "csv":
-        raw = spark.read.option("header", True).option("encoding", encoding).csv(paths)
-        raw = raw.select(*[norm.null_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+        df = read_csv_files(spark, paths, contract.TXN_ALIASES, encoding, multi_line).drop("SOURCE_FILE")
     else:
-        raw = spark.read.format(fmt).load(paths)
-    df = normalise_headers(raw, contract.TXN_ALIASES)
+        df = normalise_headers(spark.read.format(fmt).load(paths), contract.TXN_ALIASES)
     df = apply_contract(df, strings=contract.TXN_STRING, longs=contract.TXN_LONG, doubles=contract.TXN_DOUBLE,
-                        dates=contract.TXN_DATE, timestamps=contract.TXN_TIMESTAMP)
+                        dates=contract.TXN_DATE, timestamps=contract.TXN_TIMESTAMP, formats=formats)
     return df.withColumn("RIMNO", norm.norm_id("RIMNO")) if "RIMNO" in df.columns else df
 
 
@@ -118,13 +172,24 @@ def read_workbooks(spark: SparkSession, pattern: str, columns: list[str]) -> Dat
     return files.select("path", "content").mapInPandas(parse, schema)
 
 
-def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], fmt: str = "parquet") -> None:
+def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], fmt: str = "parquet",
+                      max_rows_per_file: int = 5_000_000) -> None:
     """One write of a whole table, partitioned (e.g. by SNAP_MONTH and SEGMENT), so later
-    stages prune partitions instead of re-reading per-month files."""
-    (df.repartition(*partition_cols).write.mode("overwrite").partitionBy(*partition_cols)
-     .format(fmt).option("header", True).save(path))
+    stages prune partitions instead of re-reading per-month files.  Rows are rebalanced by the
+    partition values: small partitions share a task, a large one is split over several tasks
+    and files by its size."""
+    (df.hint("rebalance", *partition_cols).write.mode("overwrite").partitionBy(*partition_cols)
+     .option("maxRecordsPerFile", max_rows_per_file).format(fmt).option("header", True).save(path))
+
+
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """CSV with a header line in every file; with ``bom`` a byte order mark leads it."""
+    out = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if bom else df
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_ids(df: DataFrame, path: str, id_col: str = "RIMNO") -> None:
-    """Sorted id list as a text sink (distributed sort, one file per range partition)."""
-    df.select(F.col(id_col).cast("string")).orderBy(id_col).write.mode("overwrite").text(path)
+def write_ids(df: DataFrame, path: str, title: str = "ids", id_col: str = "RIMNO") -> None:
+    """Id list as a text sink: a line ``title: count``, then the sorted ids (distributed sort)."""
+    ids = df.select(F.col(id_col).cast("string").alias("value"), F.lit(1).alias("_O"))
+    head = ids.agg(F.concat(F.lit(f"{title}: "), F.count(F.lit(1)).cast("string")).alias("value")).withColumn("_O", F.lit(0))
+    ids.unionByName(head).orderBy("_O", "value").select("value").write.mode("overwrite").text(path)

@@ -2,8 +2,10 @@
 
 Monthly snapshots arrive as new CSV files in a landing folder.  ``snapshot_ingest``
 picks up only the files not processed before (the file source remembers them in
-the checkpoint), cleans them with the same contract as the batch reader and
-appends them to the month-partitioned snapshot table.  With
+the checkpoint), reads each batch's files with the batch reader (headers may differ
+from file to file), cleans them with the same contract and adds them to the
+month-partitioned snapshot table.  A batch owns its partitions (INGEST_BATCH), so a
+batch that is run again after a failure replaces what it wrote.  With
 ``trigger(availableNow=True)`` it runs as a restartable batch job; without it as a
 continuous stream.  The checkpoint must live on shared storage.
 """
@@ -12,31 +14,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cardpulse.functions import norm
-from cardpulse.functions.months import MONTH_COL, month_from_path
-from cardpulse.sources.files import clean_snapshots
+from cardpulse.functions.months import MONTH_COL
+from cardpulse.sources.files import clean_snapshots, read_snapshots
 
 
-def snapshot_stream(spark: SparkSession, landing: str, header_columns: list[str],
-                    encoding: str = "ISO-8859-1", max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame over the landing folder (text columns + SNAP_MONTH)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header_columns])
-    reader = spark.readStream.schema(schema).option("header", True).option("encoding", encoding)
+def snapshot_ingest(spark: SparkSession, landing: str, table_path: str, checkpoint: str,
+                    formats: dict[str, str] | None = None, encoding: str = "ISO-8859-1",
+                    max_files_per_trigger: int | None = None, available_now: bool = True):
+    """Add newly landed snapshot files to the partitioned snapshot table."""
+    reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.csv(landing)
-    return raw.select(*[norm.null_tokens(F.col(f"`{c}`")).alias(c) for c in header_columns],
-                      month_from_path(F.col("_metadata.file_name")).alias(MONTH_COL))
 
+    def add(batch: DataFrame, batch_id: int) -> None:
+        files = [r[0] for r in batch.select("_file").distinct().collect()]  # the files of one batch
+        if files:
+            (clean_snapshots(read_snapshots(batch.sparkSession, files, encoding=encoding), formats)
+             .withColumn("INGEST_BATCH", F.lit(batch_id)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(MONTH_COL, "INGEST_BATCH").parquet(table_path))
 
-def snapshot_ingest(spark: SparkSession, landing: str, table_path: str, checkpoint: str,
-                    header_columns: list[str], available_now: bool = True):
-    """Append newly landed snapshot files to the partitioned snapshot table."""
-    stream = clean_snapshots(snapshot_stream(spark, landing, header_columns))
-    writer = (stream.writeStream.format("parquet").option("path", table_path)
-              .option("checkpointLocation", checkpoint).partitionBy(MONTH_COL).outputMode("append"))
+    stream = reader.load(landing).select(F.col("_metadata.file_path").alias("_file"))
+    writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -34,8 +34,8 @@ def test_identity_segments(spark):
     assert lookup.count() == 440
     assert lookup.select("RIMNO", "PRODUCT_NAME").distinct().count() == 389
     mapped = identity.map_transactions(fx.txn(spark, SF001), lookup)
-    assert mapped.count() == 6709
-    assert mapped.where(F.col("CUSTOMER_ID").isNotNull()).count() == 5810
+    assert mapped.count() == 6694  # rows without an id match no customer
+    assert mapped.where(F.col("CUSTOMER_ID").isNotNull()).count() == 5751
 
 
 def test_lookback_churn(spark):

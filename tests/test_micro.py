@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cardpulse.functions import norm
 from cardpulse.functions.months import month_from_path
+from cardpulse.functions import stats
 from cardpulse.functions.stats import exact_quantiles
 from cardpulse.operators import audit, churn, compare, features, identity
 from cardpulse.functions import contract
@@ -131,7 +132,7 @@ def test_change_counts_brute_force(spark):
     log_counts = {(r["FROM_MONTH"], r["COLUMN"]): r["count"] for r in log.groupBy("FROM_MONTH", "COLUMN").count().collect()}
     brute = {}
     for a, b in itertools.product(rows, rows):
-        if b[0] != {M[0]: M[1], M[1]: M[2]}.get(a[0]) or a[2] != b[2] or a[3] != b[3]:
+        if b[0] != {M[0]: M[1], M[1]: M[2]}.get(a[0]) or a[2] is None or a[2] != b[2] or a[3] != b[3]:
             continue
         for col, i in (("ACTIVATED", 4), ("STATUS", 5)):
             if a[i] != b[i]:
@@ -153,10 +154,65 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame([(float(v) if v is not None else None,) for v in vals], "x double")
     clean = np.array([v for v in vals if v is not None], dtype=float)
     probs = [0, 0.1, 0.25, 0.5, 0.9, 0.99, 1]
-    got = exact_quantiles(df, "x", probs, limit=200)
+    got = exact_quantiles(df, "x", probs)
     assert np.allclose(got, np.quantile(clean, probs), rtol=0, atol=1e-12)
 
 
+def test_exact_quantiles_with_ties_nulls_and_a_missed_bracket(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=60_000), np.full(30_000, 0.25), rng.integers(0, 5, 20_000).astype(float)])
+    rng.shuffle(x)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 100 + [(float("nan"),)] * 5, "x double")
+    probs = [0, 0.01, 0.25, 0.5, 0.75, 0.99, 0.9999, 1]
+    assert np.allclose(stats.exact_quantiles(df, "x", probs), np.quantile(x, probs), rtol=0, atol=1e-12)
+    # a sketch so rough that brackets miss must widen, not fail
+    monkeypatch.setattr(stats, "ACCURACY", 3)
+    monkeypatch.setattr(stats, "MARGIN", 0)
+    assert np.allclose(stats.exact_quantiles(df, "x", probs), np.quantile(x, probs), rtol=0, atol=1e-12)
+    empty = stats.exact_quantiles(df.where("x is null"), "x", [0.5])
+    assert empty == [None]
+
+
+def test_grouped_quantiles_of_many_groups(spark):
+    rng = np.random.default_rng(4)
+    group, x = rng.integers(0, 1000, 60_000), np.round(rng.normal(size=60_000), 2)
+    group[:30_000] = 7  # one group holds half of the rows
+    rows = [(int(g) if g else None, float(v)) for g, v in zip(group, x)] + [(5, None), (2000, None)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = {r["g"]: (r["a"], r["b"]) for r in stats.grouped_exact_quantiles(df, "g", "x", {"a": 0.25, "b": 0.99}).collect()}
+    want = {int(g) if g else None: tuple(np.quantile(x[group == g], [0.25, 0.99])) for g in np.unique(group)}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[g], want[g], rtol=0, atol=1e-12) for g in want)
+
+
+def test_rows_without_id_do_not_multiply(spark):
+    rows = [(M[0], i, None, "A", "A", "X") for i in range(300)] + [(M[1], 1000 + i, None, "A", "I", "X") for i in range(200)] + \
+        [(M[0], 1, "1", "A", "A", "X"), (M[1], 2, "1", "A", "I", "X")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert audit.change_log(df, ["ACTIVATED", "STATUS"]).count() == 1
+    report = audit.idless_report(df).collect()
+    assert [(r["N_OLD"], r["N_NEW"], r["N_PAIRS"]) for r in report] == [(300, 200, 60_000)]
+    lookup = spark.createDataFrame([(None, "A", k) for k in range(50)] + [("1", "A", 99)], "RIMNO string, PRODUCT_NAME string, CUSTOMER_ID long")
+    mapped = identity.map_transactions(df.select("RIMNO", "PRODUCT_NAME", "ROW_ID"), lookup)
+    assert mapped.count() == len(rows) and mapped.where("CUSTOMER_ID is not null").count() == 2
+
+
+def test_change_log_counted_and_absent_columns(spark):
+    rows = [(M[0], i, "1", "A", "A" if i % 2 else "I", "X") for i in range(20)] + [(M[1], 50 + i, "1", "A", "D", "Y") for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r["COLUMN"], r["OLD_VALUE"], r["NEW_VALUE"]): r["N_PAIRS"] for r in audit.change_log_counted(df, ["ACTIVATED", "STATUS"]).collect()}
+    assert got == {("ACTIVATED", "A", "D"): 50, ("ACTIVATED", "I", "D"): 50, ("STATUS", "X", "Y"): 100}
+    absent = {M[1]: {"STATUS"}}
+    assert {r["COLUMN"] for r in audit.change_log(df, ["ACTIVATED", "STATUS"], absent=absent).collect()} == {"ACTIVATED"}
+    assert {r["COLUMN"] for r in audit.change_rates(df, ["ACTIVATED", "STATUS"], absent=absent).collect()} == {"ACTIVATED"}
+    assert {r["COLUMN"] for r in audit.change_log_counted(df, ["ACTIVATED", "STATUS"], absent=absent).collect()} == {"ACTIVATED"}
+
+
+def test_text_image_of_large_and_close_values(spark):
+    df = spark.createDataFrame([(1e40, 1.0000001)], "a double, b double")
+    assert audit.text_image(df, ["a", "b"]).first()[0] == "1.0E40"
+
+
 def test_compare_labels(spark):
     s = spark.createDataFrame([("1", 1, "always_churned"), ("2", 0, "not_churned"), ("3", 1, "disappeared"),
                                (None, 0, "not_churned")], "RIMNO string, CHURN int, CHURN_TYPE string")

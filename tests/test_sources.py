@@ -29,10 +29,66 @@ def test_streaming_ingest(spark, tmp_dir):
     landing = os.path.join(tmp_dir, "landing")
     os.makedirs(landing)
     _write(os.path.join(landing, "prime_JUL_2025.csv"), "RIMNO,ACTIVATED\n1,a \n2,I\n")
-    _write(os.path.join(landing, "prime_AUG_2025.csv"), "RIMNO,ACTIVATED\n1,A\n")
-    q = snapshot_ingest(spark, landing, os.path.join(tmp_dir, "table"), os.path.join(tmp_dir, "ckpt"),
-                        ["RIMNO", "ACTIVATED"])
+    _write(os.path.join(landing, "prime_AUG_2025.csv"), "ACTIVATED,NAME,RIM_NO\nA,GOLD,1\n")
+    q = snapshot_ingest(spark, landing, os.path.join(tmp_dir, "table"), os.path.join(tmp_dir, "ckpt"))
     q.awaitTermination(120)
     out = spark.read.parquet(os.path.join(tmp_dir, "table"))
     got = sorted((str(r["SNAP_MONTH"]), r["RIMNO"], r["ACTIVATED"]) for r in out.collect())
     assert got == [("2025-07-01", "1", "A"), ("2025-07-01", "2", "I"), ("2025-08-01", "1", "A")]
+
+
+def test_unlike_headers_are_united_by_name(spark, tmp_dir):
+    _write(os.path.join(tmp_dir, "prime_JUL_2025.csv"), "RIM_NO,NAME,ACTIVATED\n1,GOLD,A\n")
+    _write(os.path.join(tmp_dir, "prime_AUG_2025.csv"), "NAME,ACTIVATED,RIMNO,CREDIT_LIMIT\nSILVER,I,2,100\n")
+    _write(os.path.join(tmp_dir, "other.csv"), "RIMNO,RIM_NO,STATUS\n3,x,NORM\n")
+    df = files.clean_snapshots(files.read_snapshots(spark, tmp_dir))
+    got = {(r["RIMNO"], r["PRODUCT_NAME"], r["ACTIVATED"], r["CREDIT_LIMIT"], r["STATUS"], str(r["SNAP_MONTH"])) for r in df.collect()}
+    assert got == {("1", "GOLD", "A", None, None, "2025-07-01"), ("2", "SILVER", "I", 100.0, None, "2025-08-01"),
+                   ("3", None, None, None, "NORM", "1900-01-01")}
+    absent = files.absent_columns(spark, tmp_dir)
+    assert absent[dt.date(2025, 7, 1)] == {"CREDIT_LIMIT", "STATUS", "RIM_NO"}
+    assert [tuple(r)[1] for r in files.unmatched_files(spark, tmp_dir).collect()] == ["other"]
+
+
+def test_quoting(spark, tmp_dir):
+    _write(os.path.join(tmp_dir, "prime_JUL_2025.csv"), 'RIMNO,NAME,STATUS\n1,"GOLD ""VIP"", X",NORM\n2,"a\\",LOST\n3,"  ",x\n')
+    rows = {r["RIMNO"]: (r["PRODUCT_NAME"], r["STATUS"]) for r in files.read_snapshots(spark, tmp_dir).collect()}
+    assert rows == {"1": ('GOLD "VIP", X', "NORM"), "2": ("a\\", "LOST"), "3": ("  ", "x")}
+
+
+def test_line_ends_in_quotes(spark, tmp_dir):
+    _write(os.path.join(tmp_dir, "prime_JUL_2025.csv"), 'RIMNO,NAME\n1,"two\nlines"\n2,one\n')
+    rows = {r["RIMNO"]: r["PRODUCT_NAME"] for r in files.read_snapshots(spark, tmp_dir, multi_line=True).collect()}
+    assert rows == {"1": "two\nlines", "2": "one"}
+
+
+def test_transactions_and_declared_dates(spark, tmp_dir):
+    _write(os.path.join(tmp_dir, "a.csv"), "RIMNO,DESCRIPTION,EMBEDDED _FEE,TRXN DATE,POST DATE\n007,GOLD,\"1,234.5\",03/04/2025,2025-04-05\n")
+    _write(os.path.join(tmp_dir, "b.csv"), "POST DATE,TRXN DATE,RIMNO,CCY\n12/31/2025,31/12/2025,8,818\n")
+    formats = {"TRXN_DATE": "dd/MM/yyyy"}
+    df = files.read_transactions(spark, tmp_dir, formats=formats)
+    got = {r["RIMNO"]: (r["PRODUCT_NAME"], r["EMBEDDED_FEE"], r["TRXN_DATE"], r["POST_DATE"], r["CCY"]) for r in df.collect()}
+    assert got == {"7": ("GOLD", 1234.5, dt.datetime(2025, 4, 3), dt.date(2025, 4, 5), None),
+                   "8": (None, None, dt.datetime(2025, 12, 31), None, 818)}
+    raw = files.read_csv_files(spark, tmp_dir, files.contract.TXN_ALIASES)
+    rejects = {r["COLUMN_NAME"]: (r["N_TEXT"], r["N_REJECTED"]) for r in files.date_rejects(raw, df, ["TRXN_DATE", "POST_DATE"]).collect()}
+    assert rejects == {"TRXN_DATE": (2, 0), "POST_DATE": (2, 1)}
+
+
+def test_large_partitions_are_several_files(spark, tmp_dir):
+    df = spark.range(100_000).selectExpr("id", "case when id < 99000 then 'big' else 'small' end as SEGMENT")
+    out = os.path.join(tmp_dir, "table")
+    files.write_partitioned(df, out, ["SEGMENT"], max_rows_per_file=20_000)
+    assert len([f for f in os.listdir(os.path.join(out, "SEGMENT=big")) if f.endswith(".parquet")]) >= 5
+    back = spark.read.parquet(out)
+    assert back.count() == 100_000 and back.select("id").distinct().count() == 100_000
+    assert back.where("SEGMENT = 'big'").count() == 99_000
+
+
+def test_id_list_and_bom(spark, tmp_dir):
+    ids = spark.createDataFrame([("3",), ("1",), ("2",)], "RIMNO string")
+    files.write_ids(ids, os.path.join(tmp_dir, "ids"), "common ids")
+    assert [r[0] for r in spark.read.text(os.path.join(tmp_dir, "ids")).collect()] == ["common ids: 3", "1", "2", "3"]
+    files.write_csv(ids.coalesce(1), os.path.join(tmp_dir, "csv"), bom=True)
+    part = [f for f in os.listdir(os.path.join(tmp_dir, "csv")) if f.startswith("part")][0]
+    assert open(os.path.join(tmp_dir, "csv", part), "rb").read().startswith(b"\xef\xbb\xbfRIMNO")
