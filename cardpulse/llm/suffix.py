@@ -319,17 +319,19 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT_CLASS
     alone = shared.where("classes = 1").select("gram", "cls", F.col("near").alias("first"), F.col("far").alias("last"))
     wanted = shared.where("classes > 1").select("_id", "_hash", "pos", "near", "far", "gram", "cls", "n", "classes")
     bytes_of = materialise(_contexts(docs, wanted, length))
-    found = materialise(alone.union(_found(bytes_of, length, hot_classes, CELLS))).select(
-        F.col("gram").alias("_g"), F.col("cls").alias("_c"), "first", "last")
-    spans = (rows.select("_id", "_hash", "pos", "gram", "cls").join(found, (F.col("gram") == F.col("_g")) & (F.col("cls") == F.col("_c")))
-             .select("_id", "_hash", (F.col("pos") - F.col("last")).alias("a"), (F.col("pos") - F.col("first") + length).alias("b")))
-    return _merged(spans)
+    found = alone.union(_found(bytes_of, length, hot_classes, CELLS))
+    ranges = materialise(_merged(found.select("gram", "cls", F.col("first").alias("a"), (F.col("last") + 1).alias("b")), ["gram", "cls"])
+                         .select(F.col("gram").alias("_g"), F.col("cls").alias("_c"), "spans"))
+    hits = (rows.select("_id", "_hash", "pos", "gram", "cls")
+            .join(ranges, (F.col("gram") == F.col("_g")) & (F.col("cls") == F.col("_c"))))
+    spans = hits.select("_id", "_hash", "pos", F.explode("spans").alias("s")).select(
+        "_id", "_hash", (F.col("pos") - F.col("s.b") + 1).alias("a"), (F.col("pos") - F.col("s.a") + length).alias("b"))
+    return _merged(spans, ["_id", "_hash"])
 
 
-def _merged(spans: DataFrame) -> DataFrame:
-    """Per document its stretches in order, overlapping and touching ones made one."""
-    listed = spans.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("all"))
-    schema = listed.select("_id", "_hash", F.col("all").alias("spans")).schema
+def _merged(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key its stretches (a, b) in order, overlapping and touching ones made one."""
+    listed = spans.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,9 +344,9 @@ def _merged(spans: DataFrame) -> DataFrame:
                     else:
                         merged.append(dict(s))
                 out.append(merged)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.schema.field(2).type)], ["_id", "_hash", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.schema.field(2).type)], batch.schema.names)
 
-    return listed.mapInArrow(run, schema)
+    return listed.mapInArrow(run, listed.schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT_CLASSES) -> DataFrame:
