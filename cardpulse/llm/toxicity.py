@@ -104,10 +104,11 @@ def cover(hits: np.ndarray, toxic: np.ndarray, names: list[str], times: int = CO
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 25, min_corr: float = 0.15,
-                ) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, float]]]:
+                silent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, float]]]:
     """Posterior of class 1 for every row of binary ``votes``, the voters' rates, and the dependences.
+    A voter in ``silent`` abstains where it does not vote: a lexicon of one language says nothing of others.
 
-    ``start`` gives first posteriors.  Voters whose residuals correlate within a class under these form
+    ``start`` gives first posteriors, ``prior`` the share of class 1.  Voters whose residuals correlate within a class under these form
     a tree, and each voter's rate is conditioned on its parent's vote; a tree found only after rounds
     of independent voters would miss voters that had drawn the class to themselves.
     """
@@ -136,10 +137,10 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
                 if value is not None:
                     wc, vj = w[:, at], v[at, j]
                     rate = ((wc @ vj + 4 * rates[j]) / (wc.sum(axis=1) + 4)).clip(1e-4, 1 - 1e-4)
-                yes, no = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
+                yes = np.log(rate[1] / rate[0])
+                no = 0.0 if silent is not None and silent[j] else np.log((1 - rate[1]) / (1 - rate[0]))
                 logit[at] += np.where(votes[at, j], yes, no)
         post = 1 / (1 + np.exp(-logit.clip(-30, 30)))
-        prior = float(post.mean().clip(1e-3, 0.5))
     return post, rates, deps
 
 
@@ -178,6 +179,19 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int =
     return w[:-1], float(w[-1])
 
 
+def _speaking_for(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression in which no feature speaks against the class: those that would are left out."""
+    use = np.arange(x.shape[1])
+    while True:
+        w, bias = logistic(x[:, use], y)
+        if not len(use) or (w >= 0).all():
+            break
+        use = use[w >= 0]
+    out = np.zeros(x.shape[1])
+    out[use] = w
+    return out, bias
+
+
 def fit(docs: DataFrame, labels: DataFrame, rule: tuple[int, int] = HELD_OUT, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks, the held-out rows
     left aside.  Of several labels of an id the highest counts; null ids, labels and texts teach nothing."""
@@ -244,10 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame, rule: tuple[int, int] = HELD_OUT, sa
         counts[i, r["at"]] = np.minimum(r["times"], 60_000)
     toxic = np.array([r["toxic"] > 0 for r in rows])
     picked = cover(counts > 0, toxic, names)
-    votes = np.hstack([counts[:, picked] > 0, np.array([r["extra"] for r in rows], bool).reshape(len(rows), fixed), toxic[:, None]])
-    post, rates, deps = label_model(votes, np.where(toxic, 0.95, 0.05), float(toxic.mean()))
-    w, bias = logistic(np.log1p(counts[:, picked].astype(float)), post)
-    voters = [names[j] for j in picked] + [f"insults {k}" for k in INSULTS] + ["address", "shouting", "annotator"]
+    hits = counts[:, picked] > 0
+    votes = np.hstack([hits, np.array([r["extra"] for r in rows], bool).reshape(len(rows), fixed), ~hits.any(axis=1)[:, None], toxic[:, None]])
+    voters = [names[j] for j in picked] + [f"insults {k}" for k in INSULTS] + ["address", "shouting", "nothing found", "annotator"]
+    silent = np.array([v != "annotator" for v in voters])
+    post, rates, deps = label_model(votes, np.where(toxic, 0.95, 0.05), float(toxic.mean()), silent=silent)
+    w, bias = _speaking_for(np.log1p(counts[:, picked].astype(float)), post)
     return Model({names[j]: float(x) for j, x in zip(picked, w)}, bias, voters, rates, deps, float(post.mean()))
 
 
