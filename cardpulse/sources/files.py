@@ -5,15 +5,11 @@
   from the file name through the ``_metadata.file_name`` column.
 * typed contract: optional columns cast with the coercing parsers (absent columns
   are skipped, as the studied loaders do).
-* workbooks: each .xlsx file is one ``binaryFile`` record parsed by
-  ``mapInPandas`` (a workbook is bounded by the spreadsheet row limit); needs the
-  optional ``openpyxl`` package.
 * sinks: partitioned Parquet (``SNAP_MONTH``/``SEGMENT`` or matched flag) or CSV.
 """
 
 from __future__ import annotations
 
-import io
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -146,32 +142,6 @@ def read_transactions(spark: SparkSession, paths, fmt: str = "csv", encoding: st
     return df.withColumn("RIMNO", norm.norm_id("RIMNO")) if "RIMNO" in df.columns else df
 
 
-def read_workbooks(spark: SparkSession, pattern: str, columns: list[str]) -> DataFrame:
-    """Excel workbooks -> text table with the given columns (missing ones null).
-
-    Each file is one ``binaryFile`` row; ``mapInPandas`` parses it on an executor.
-    Requires ``openpyxl`` on the executors."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:  # pragma: no cover - optional dependency
-        raise RuntimeError("reading .xlsx needs the openpyxl package on the executors") from e
-    import pandas as pd
-
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] +
-                          [T.StructField("SOURCE_FILE", T.StringType())])
-
-    def parse(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                book = pd.read_excel(io.BytesIO(content), dtype=str)
-                book = book.reindex(columns=columns)
-                book["SOURCE_FILE"] = path
-                yield book.astype(object).where(book.notna(), None)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(pattern)
-    return files.select("path", "content").mapInPandas(parse, schema)
-
-
 def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], fmt: str = "parquet",
                       max_rows_per_file: int = 5_000_000) -> None:
     """One write of a whole table, partitioned (e.g. by SNAP_MONTH and SEGMENT), so later
