@@ -60,6 +60,13 @@ def norm_id(c) -> Column:
     return F.nullif(x, F.lit(""))
 
 
+def numeric_id(c) -> Column:
+    """An id that is all digits, else null: surrogate numbering and transaction mapping know
+    numeric ids only."""
+    x = _c(c)
+    return F.when(x.rlike(r"^\d+$"), x)
+
+
 def try_double(c) -> Column:
     """Strip, drop commas, accept plain decimal/exponent numbers only, else null."""
     x = F.translate(strip(_c(c).cast("string")), ",", "")

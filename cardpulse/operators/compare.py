@@ -74,11 +74,11 @@ def label_crosstab(comparison: DataFrame) -> DataFrame:
                        F.col("N").cast("bigint"))
 
 
-def disagreement_sample(comparison: DataFrame, n: int = 20) -> DataFrame:
+def disagreement_sample(comparison: DataFrame, n: int = 20, id_col: str = "RIMNO") -> DataFrame:
     """First ``n`` disagreeing ids present in both files, by id (a top-k report)."""
     return (comparison.where((F.col("MERGE") == "both") & ~F.col("AGREE"))
-            .orderBy(F.col("RIMNO").asc_nulls_last()).limit(n)
-            .select("RIMNO", "CHURN", "CHURN_TYPE", "ACTIVATION_CHURN", "ACTIVATION_CHURN_TYPE"))
+            .orderBy(F.col(id_col).asc_nulls_last()).limit(n)
+            .select(id_col, "CHURN", "CHURN_TYPE", "ACTIVATION_CHURN", "ACTIVATION_CHURN_TYPE"))
 
 
 def label_crosstab_wide(comparison: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cardpulse.functions import contract
+from cardpulse.functions import contract, norm
 from cardpulse.functions.months import MONTH_COL
 from cardpulse.operators.churn import spread_null_key
 
@@ -38,7 +38,7 @@ def dense_ids(keys: DataFrame, order_cols: list[Column], id_col: str, num_partit
 def customer_keys(prime: DataFrame, id_col: str = "RIMNO", dob_col: str = "DOB",
                   num_partitions: int | None = None) -> DataFrame:
     """Distinct (RIMNO, DOB) over all months -> CUSTOMER_ID, ordered by (RIMNO, DOB), nulls first."""
-    keys = prime.select(id_col, dob_col).distinct()
+    keys = prime.select(norm.numeric_id(id_col).alias(id_col), dob_col).distinct()
     out = dense_ids(keys, [F.col(id_col).asc_nulls_first(), F.col(dob_col).asc_nulls_first()],
                     "CUSTOMER_ID", num_partitions)
     spark = prime.sparkSession
@@ -60,6 +60,7 @@ def assign_customer_ids(prime: DataFrame, keys: DataFrame | None = None, id_col:
     keys = keys if keys is not None else customer_keys(prime, id_col, dob_col)
     k = keys.select(F.col(id_col).alias("_K_ID"), F.col(dob_col).alias("_K_DOB"), "CUSTOMER_ID")
     cond = F.col(id_col).eqNullSafe(F.col("_K_ID")) & F.col(dob_col).eqNullSafe(F.col("_K_DOB"))
+    prime = prime.withColumn(id_col, norm.numeric_id(id_col))  # any other id is none
     return prime.join(k, cond, "left").drop("_K_ID", "_K_DOB")
 
 
@@ -126,6 +127,7 @@ def map_transactions(txn: DataFrame, lookup: DataFrame, id_col: str = "RIMNO",
     on the streamed transaction side."""
     lk = lookup.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_L_ID"), F.col(product_col).alias("_L_P"), "CUSTOMER_ID")
     cond = (F.col("_JK") == F.col("_L_ID")) & F.col(product_col).eqNullSafe(F.col("_L_P"))
+    txn = txn.withColumn(id_col, norm.numeric_id(id_col))
     return txn.withColumn("_JK", spread_null_key(id_col)).join(lk, cond, "left").drop("_JK", "_L_ID", "_L_P")
 
 

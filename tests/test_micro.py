@@ -249,3 +249,10 @@ def test_latest_lookup_and_wide_crosstab(spark):
     wide = {r["CHURN_TYPE"]: r.asDict() for r in compare.label_crosstab_wide(compare.compare_labels(s, a)).collect()}
     assert wide["All"]["All"] == 3 and wide["always_churned"]["always_inactive"] == 1
     assert wide["(missing)"]["new_customer"] == 1 and wide["not_churned"]["(missing)"] == 1
+
+
+def test_ids_that_are_no_number_are_no_customer(spark):
+    rows = [(M[0], 1, "A17", "C", "A", "X"), (M[0], 2, "17", "C", "A", "X"), (M[0], 3, None, "C", "A", "X")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("DOB", F.lit(None).cast("date"))
+    got = {r["ROW_ID"]: (r["RIMNO"], r["CUSTOMER_ID"]) for r in identity.assign_customer_ids(df).collect()}
+    assert got[2][0] == "17" and got[1][0] is None and got[1][1] == got[3][1] != got[2][1]
