@@ -50,6 +50,13 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that only a part's texts are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def utf8_rows(column: pa.ChunkedArray | pa.Array) -> list:
     """The column's texts as bytes (no decoding)."""
     return column.cast(pa.binary()).to_pylist()

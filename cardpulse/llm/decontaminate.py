@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardpulse.llm.common import checkpointed, materialise, small, table
+from cardpulse.llm.common import checkpointed, materialise, slices, small, table
 
 MIN_MATCH = 4
 MIN_COVERAGE = 0.5
@@ -40,7 +40,7 @@ def tokens(text: str | None) -> list[str]:
 def token_hashes(words: list[str], memory: dict[str, int]) -> np.ndarray:
     import xxhash
 
-    if len(memory) > 1_000_000:
+    if len(memory) > 200_000:
         memory.clear()
     for w in set(words):
         if w not in memory:
@@ -104,7 +104,7 @@ def shared_seeds(docs: DataFrame, bits: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_bits, memory = np.frombuffer(shared.value, np.uint8), {}
-        for batch in batches:
+        for batch in slices(batches):
             found, at = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 s = seeds(token_hashes(tokens(text), memory))

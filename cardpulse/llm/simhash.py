@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardpulse.llm.common import checkpointed, components, table, utf8_rows
+from cardpulse.llm.common import checkpointed, components, slices, table, utf8_rows
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = rows.select("doc_id", "text_hash", F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(t, width) for t in utf8_rows(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())],
                                              ["doc_id", "text_hash", "fp"])

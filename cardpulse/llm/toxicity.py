@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardpulse.llm.common import fresh, materialise, table
+from cardpulse.llm.common import fresh, materialise, slices, table
 
 SAMPLE_ROWS = 15_000
 CANDIDATES = 800
@@ -276,7 +276,7 @@ def scores(model: Model, texts: list[str | None], memory: dict[str, tuple] | Non
         for w in WORD.findall((text or "").lower()):
             hits = memory.get(w)
             if hits is None:
-                if len(memory) > 500_000:
+                if len(memory) > 100_000:
                     memory.clear()
                 hits = memory[w] = tuple(f for f in word_features(w) if f in weights)
             for f in hits:
@@ -292,7 +292,7 @@ def scored(docs: DataFrame, model: Model, out: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, tuple] = {}
-        for batch in batches:
+        for batch in slices(batches):
             s = scores(model, batch.column(at).to_pylist(), memory)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, out])
 
