@@ -1,7 +1,11 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses (DataFrame functions only).
 
-One pattern finds candidates in the whole text; each is validated by its kind and, if valid,
-replaced by a keyed permutation of itself within its format:
+Card numbers and IBANs are looked for first, in every run of digits or capitals that can hold one:
+each length that ends at a group border is tried from each group on, and what validates is added, as it
+stands, to the one pattern that finds candidates in the whole text.  So a short number or a word beside
+a number does not hide it.  Of overlapping cards those of the length of their issuer come first, of
+overlapping IBANs those of the length of their country.  Each candidate is validated by its kind and,
+if valid, replaced by a keyed permutation of itself within its format:
 
 * card numbers (Luhn), IBANs (mod 97): all digits but the check digits go through a Feistel
   network, the check digits are computed anew;
@@ -27,13 +31,28 @@ ROUNDS = 8
 # Patterns of the candidates.
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
 SECRET = r"(?<![A-Za-z])(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{12,128}"
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
 DATE = r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])"
-CANDIDATE = "|".join([EMAIL, SECRET, IBAN, PHONE, ADDRESS, DATE, SSN, CARD])
+NUMBER_END = "(?![A-Za-z0-9])"
+# What can hold a card or an IBAN, with what stands around it.
+CARD_RUN, IBAN_RUN = r"[0-9][0-9 \-]{11,}+[A-Za-z]?", r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,}+[a-z]?"
+CARD_LENGTHS = range(13, 20)
+# Digits that an issuer's numbers begin with and how many follow in all; cards of other issuers are taken in a usual layout.
+ISSUERS = [(r"4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|220[0-4]|35[2-8]|6011|64[4-9]|6[025]|50[689]|8[12]|9792", 16), (r"3[47]", 15), (r"30|3[689]", 14)]
+LAYOUT = r"^[0-9]+$|^[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?$|^[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5}$"
+COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+COUNTRY_IBAN = "(?:" + "|".join(
+    f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, names in COUNTRIES.items()) + ")" + NUMBER_END
+CANDIDATE = [EMAIL, SECRET, None, PHONE, ADDRESS, DATE, SSN, None]   # the places of the IBANs and cards of a text
 FIRST_DAY, DAY_HALVES = "1800-01-01", (189, 773)   # 189 * 773 days are the 400 years from the first day
 
 
@@ -153,6 +172,68 @@ def _octet(m: Column, i: int) -> Column:
     return F.get(F.split(m, r"\."), F.lit(i)).cast("long")
 
 
+def _card_valid(m: Column) -> Column:
+    return (F.length(_digits(m)) >= 13) & (_luhn_sum(_digits(m), F.lit(False)) % 10 == 0)
+
+
+def _iban_valid(m: Column) -> Column:
+    bare = F.regexp_replace(m, " ", "")
+    return (F.length(bare) >= 15) & (_mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1)
+
+
+def _let(x: Column, use) -> Column:
+    """``use`` of ``x``, which is worked out once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _first_choice(first: Column, others: Column) -> Column:
+    """The distinct strings of ``first``, then those of ``others`` that hold none of them; longer ones first."""
+    def ordered(x: Column) -> Column:
+        return F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(x), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))),
+                           lambda s: s["v"])
+
+    return F.concat(ordered(first), ordered(F.filter(others, lambda o: ~F.exists(first, lambda f: o.contains(f)))))
+
+
+def _all_in(runs: Column, pattern: str, group: int) -> Column:
+    return F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(pattern), F.lit(group))))
+
+
+def valid_cards(text: Column) -> Column:
+    """The valid card numbers at group borders of ``text``, preferred ones first."""
+    def spans(runs: Column) -> Column:
+        lengths = [_all_in(runs, rf"(?<![0-9A-Za-z])(?=([0-9](?:[ \-]?[0-9]){{{n - 1}}}){NUMBER_END})", 1) for n in CARD_LENGTHS]
+        return F.filter(F.array_distinct(F.concat(*lengths)), _card_valid)
+
+    def issued(m: Column) -> Column:
+        return _digits(m).rlike("^(?:" + "|".join(f"(?=[0-9]{{{n}}}$)(?:{start})" for start, n in ISSUERS) + ")")
+
+    def chosen(runs: Column) -> Column:
+        whole = F.filter(_all_in(runs, CARD, 0), _card_valid)
+        return _let(spans(runs), lambda v: _let(F.filter(v, issued), lambda first: _first_choice(
+            first, F.concat(F.filter(v, lambda m: m.rlike(LAYOUT) & ~issued(m)), whole))))
+
+    return _let(F.regexp_extract_all(text, F.lit(CARD_RUN), F.lit(0)), lambda runs: F.when(F.size(runs) > 0, chosen(runs)))
+
+
+def valid_ibans(text: Column) -> Column:
+    """The valid IBANs of ``text``, those of their country's length first."""
+    def chosen(runs: Column) -> Column:
+        return _let(F.filter(_all_in(runs, f"(?=({COUNTRY_IBAN}))", 1), _iban_valid),
+                    lambda first: _first_choice(first, F.filter(_all_in(runs, f"(?=({IBAN}))", 1), _iban_valid)))
+
+    return _let(F.regexp_extract_all(text, F.lit(IBAN_RUN), F.lit(0)), lambda runs: F.when(F.size(runs) > 0, chosen(runs)))
+
+
+def candidate_pattern(text: Column) -> Column:
+    """The pattern of the candidates of ``text``; its numbers hold digits, capitals, blanks and hyphens only."""
+    def listed(numbers: Column, before: str) -> Column:
+        return _let(numbers, lambda v: F.when(F.size(v) > 0, F.concat(F.lit(before + "(?:"), F.array_join(v, "|"), F.lit(")" + NUMBER_END))))
+
+    places = iter([listed(valid_ibans(text), "(?=[A-Z]{2}[0-9]{2})"), listed(valid_cards(text), "(?<![0-9A-Za-z])(?=[0-9])")])
+    return F.concat_ws("|", *[next(places) if p is None else F.lit(p) for p in CANDIDATE])
+
+
 def pseudonym(m: Column, key: str = KEY) -> Column:
     """struct(kind, value) for a candidate: its pseudonym, or kind null and the candidate itself if it is none."""
     digits = _digits(m)
@@ -185,14 +266,13 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
 
     return (F.when(is_(EMAIL), named("email", email))
             .when(is_(SECRET), named("secret", secret))
-            .when(is_(IBAN) & (F.length(bare) >= 15) & (_mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1),
-                  named("iban", _spelled(m, iban, "[A-Za-z0-9]")))
+            .when(is_(IBAN) & _iban_valid(m), named("iban", _spelled(m, iban, "[A-Za-z0-9]")))
             .when(is_(PHONE) & (n_digits >= 10), named("phone", _spelled(m, phone, "[0-9]")))
             .when(is_(ADDRESS) & octets_valid, named("address", address))
             .when(is_(DATE) & _day(m).between(F.lit("1800-01-01").cast("date"), F.lit("2199-12-31").cast("date")),
                   named("date", _date_pseudonym(m, key)))
             .when(is_(SSN), named("ssn", _spelled(m, permuted(digits, key, "ssn"), "[0-9]")))
-            .when(is_(CARD) & (n_digits >= 13) & (_luhn_sum(digits, F.lit(False)) % 10 == 0), named("card", _spelled(m, card, "[0-9]")))
+            .when(is_(CARD) & _card_valid(m), named("card", _spelled(m, card, "[0-9]")))
             .otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))))
 
 
@@ -203,17 +283,19 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_
     Null and empty texts stay as they are with an empty array; candidates that do not validate stay;
     rows with null ids and repeated rows are treated like any other; other columns are kept as they are.
     """
-    text, candidates, each, result = F.col(text_col), fresh(docs, "_candidates"), fresh(docs, "_each"), fresh(docs, found_col)
+    text, result = F.col(text_col), fresh(docs, found_col)
+    pattern, candidates, each = (fresh(docs, c) for c in ("_pattern", "_candidates", "_each"))
     maybe = text.rlike("[0-9]{2}|@|[=:]")
-    out = docs.withColumn(candidates, F.when(maybe, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))))
+    out = docs.withColumn(pattern, F.when(maybe, candidate_pattern(text)))
+    out = out.withColumn(candidates, F.when(maybe, F.regexp_extract_all(text, F.col(pattern), F.lit(0))))
     out = out.withColumn(each, F.transform(candidates, lambda m: pseudonym(m, key)))
-    pieces = F.split(text, CANDIDATE, -1)
+    pieces = F.split(text, F.col(pattern), -1)
     rebuilt = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size(each)), F.col(each),
                                                lambda gap, f: F.concat(gap, f["value"])), ""), F.element_at(pieces, -1))
     empty = F.array().cast("array<struct<kind:string,value:string>>")
     found = F.coalesce(F.filter(each, lambda f: f["kind"].isNotNull()), empty)
     return (out.withColumn(result, found).withColumn(text_col, F.when(F.size(candidates) > 0, rebuilt).otherwise(text))
-            .drop(candidates, each))
+            .drop(pattern, candidates, each))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,24 @@ def test_hostile_rows(spark):
     assert out.columns == [*docs.columns, "found_"]
     assert sorted(map(str, (r["text"] for r in out.collect()))) == sorted(map(str, (r["text"] for r in docs.collect())))
     assert pii.pseudonymise(empty(spark)).count() == 0
+
+
+def test_numbers_beside_others(spark):
+    card, iban = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+    amex = "3782 822463 10005"
+    cases = [(card, "{} 123"), (card, "{} 12/25"), (card, "12 {}"), (card, "{} 12 25 123"), (card, "1234 5678 9012 {}"), (card, "NO12 {}"),
+             (card.replace(" ", ""), "12 {}"), (card.replace(" ", "-"), "{} 123"), (amex, "{} 1234"), ("9792 0303 9444 0796", "{} 123"),
+             (iban, "{} EUR"), (iban, "{} BIC ABCD"), (iban, "{} 2024"), (iban.replace(" ", ""), "{} EUR"), ("NO93 8601 1117 947", "{}")]
+    alone = [new for new, _ in run(spark, [v for v, _ in cases])]
+    assert all(new != v for new, (v, _) in zip(alone, cases))
+    out = run(spark, [around.format(v) for v, around in cases])
+    for (v, around), new, (text, found) in zip(cases, alone, out):
+        assert text == around.format(new) and [f[1] for f in found] == [new], around
+
+
+def test_values_beside_a_number(spark):
+    values = ["02/28/2023", "523-555-1055", "078-05-1120", "ann123@b.example.com", "5500000000000004"]
+    alone = [new for new, _ in run(spark, values)]
+    card, = [new for new, _ in run(spark, ["4111111111111111"])]
+    assert [t for t, _ in run(spark, [f"4111111111111111 {v}" for v in values])] == [f"{card} {new}" for new in alone]
+    assert run(spark, ["123 523-555-1055"])[0][0] == f"123 {alone[1]}"
