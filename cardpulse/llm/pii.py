@@ -285,7 +285,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_
     """
     text, result = F.col(text_col), fresh(docs, found_col)
     pattern, candidates, each = (fresh(docs, c) for c in ("_pattern", "_candidates", "_each"))
-    maybe = text.rlike("[0-9]{2}|@|[=:]")
+    maybe = text.rlike(r"[0-9][ .\-]?[0-9]|@|[=:]")   # holds wherever one of the patterns does
     out = docs.withColumn(pattern, F.when(maybe, candidate_pattern(text)))
     out = out.withColumn(candidates, F.when(maybe, F.regexp_extract_all(text, F.col(pattern), F.lit(0))))
     out = out.withColumn(each, F.transform(candidates, lambda m: pseudonym(m, key)))

@@ -95,3 +95,11 @@ def test_values_beside_a_number(spark):
     card, = [new for new, _ in run(spark, ["4111111111111111"])]
     assert [t for t, _ in run(spark, [f"4111111111111111 {v}" for v in values])] == [f"{card} {new}" for new in alone]
     assert run(spark, ["123 523-555-1055"])[0][0] == f"123 {alone[1]}"
+
+
+def test_single_digits(spark):
+    address, card = "8.8.8.8", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1"
+    alone = run(spark, [f"dns {address} ok", f"x = {address}", card, "4111111111111111"])
+    assert [[k for k, _ in f] for _, f in alone] == [["address"], ["address"], ["card"], ["card"]]
+    assert alone[0][1] == alone[1][1] and alone[0][0] == f"dns {alone[0][1][0][1]} ok"
+    assert alone[2][0].replace("-", "") == alone[3][0]
