@@ -10,7 +10,7 @@ if valid, replaced by a keyed permutation of itself within its format:
 * card numbers (Luhn), IBANs (mod 97): all digits but the check digits go through a Feistel
   network, the check digits are computed anew;
 * phone numbers: the ten national digits, the prefix stays;
-* social security numbers, dotted addresses (each part at most 255), key=value secrets and the
+* social security numbers, dotted addresses (each part at most 255), key=value secrets of any length and the
   local part of e-mail addresses;
 * calendar dates from 1800 to 2199: the day number is permuted within these 146,097 days.
 
@@ -30,7 +30,13 @@ KEY = "pseudonym key of this corpus"   # give your own: equal keys link equal va
 ROUNDS = 8
 # Patterns of the candidates.
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
-SECRET = r"(?<![A-Za-z])(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{12,128}"
+KEY_CHAR = r"[A-Za-z0-9_\-./+~]"
+# A key has no greatest length and ends in a letter or digit; one with marks among its first 12 characters has letters
+# and digits, so that names in code are none.  What goes on to an e-mail address is none.
+SECRET_VALUE = (r"(?:(?=[A-Za-z0-9]{12})|(?=" + KEY_CHAR + r"{12})(?=[A-Za-z_\-./+~]*+[0-9])(?=[0-9_\-./+~]*+[A-Za-z]))" + KEY_CHAR
+                + r"*[A-Za-z0-9](?![A-Za-z0-9]|" + KEY_CHAR + r"*+@[A-Za-z0-9\-]{1,63}\.[A-Za-z0-9\-])")
+SECRET_NAME = r"(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
+SECRET = r"(?<![A-Za-z])" + SECRET_NAME + SECRET_VALUE
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
@@ -69,16 +75,20 @@ def _nibbles(stream: Column, j: Column | int, n: int) -> Column:
     return F.conv(F.substring(stream, at, F.lit(n)), 16, 10).cast("long")
 
 
+def _let(x: Column, use) -> Column:
+    """``use`` of ``x``, which is worked out once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def _shift(x: Column, stream: Column) -> Column:
-    """Every digit or letter of ``x`` moved within digits, small or capital letters."""
-    def moved(j: Column) -> Column:
-        c, k = F.ascii(F.substring(x, j, F.lit(1))), _nibbles(stream, ((j - 1) % 64) + 1, 2)
-        kind = F.when(c.between(48, 57), F.struct(F.lit(48).alias("a"), F.lit(10).alias("n"))) \
-            .when(c.between(97, 122), F.struct(F.lit(97).alias("a"), F.lit(26).alias("n"))) \
-            .otherwise(F.struct(F.lit(65).alias("a"), F.lit(26).alias("n")))
-        return F.char(kind["a"] + (c - kind["a"] + k) % kind["n"])
+    """Every digit or letter of ``x`` moved within digits, small or capital letters; other characters stay."""
+    def moved(c: Column, j: Column, k: Column) -> Column:
+        a, n = F.ascii(c), _nibbles(k, (j % 64) + 1, 2)
+        return (F.when(a.between(48, 57), F.char(F.lit(48) + (a - 48 + n) % 10)).when(a.between(97, 122), F.char(F.lit(97) + (a - 97 + n) % 26))
+                .when(a.between(65, 90), F.char(F.lit(65) + (a - 65 + n) % 26)).otherwise(c))
 
-    return F.when(F.length(x) == 0, x).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), moved), ""))
+    return F.when(F.length(x) == 0, x).otherwise(
+        _let(stream, lambda k: F.array_join(F.transform(F.split(x, ""), lambda c, j: moved(c, j, k)), "")))
 
 
 def permuted(x: Column, key: str, kind: str) -> Column:
@@ -181,11 +191,6 @@ def _iban_valid(m: Column) -> Column:
     return (F.length(bare) >= 15) & (_mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1)
 
 
-def _let(x: Column, use) -> Column:
-    """``use`` of ``x``, which is worked out once."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def _first_choice(first: Column, others: Column) -> Column:
     """The distinct strings of ``first``, then those of ``others`` that hold none of them; longer ones first."""
     def ordered(x: Column) -> Column:
@@ -252,7 +257,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     local = F.substring_index(m, "@", 1)
     bare_local = F.regexp_replace(local, "[^A-Za-z0-9]", "")
     email = F.concat(_spelled(local, permuted(bare_local, key, "email"), "[A-Za-z0-9]"), F.lit("@"), F.substring_index(m, "@", -1))
-    value = F.regexp_extract(m, r"([A-Za-z0-9]+)$", 1)
+    value = F.regexp_extract(m, "^" + SECRET_NAME + "(.*)$", 1)
     secret = F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), permuted(value, key, "secret"))
 
     def is_(pattern: str) -> Column:

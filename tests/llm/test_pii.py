@@ -103,3 +103,15 @@ def test_single_digits(spark):
     assert [[k for k, _ in f] for _, f in alone] == [["address"], ["address"], ["card"], ["card"]]
     assert alone[0][1] == alone[1][1] and alone[0][0] == f"dns {alone[0][1][0][1]} ok"
     assert alone[2][0].replace("-", "") == alone[3][0]
+
+
+def test_long_secrets(spark):
+    long = "0641917ea4e9feb9cda83477b57ac265" * 10
+    keys = [long[:300], "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U", "sk_live_51HxQ2eKZvYw9", long * 60]
+    out = run(spark, [f"token={k}" for k in keys] + [f'api_key: "{k}". b' for k in keys])
+    for k, (text, found), (again, _) in zip(keys, out, out[len(keys):]):
+        new = text.removeprefix("token=")
+        assert [f for f, _ in found] == ["secret"] and re.sub("[0-9A-Za-z]", "x", new) == re.sub("[0-9A-Za-z]", "x", k)
+        assert not any(new[i:i + 12] == k[i:i + 12] for i in range(0, len(k) - 12)) and again == f'api_key: "{new}". b'
+    assert run(spark, ["token = request.headers.get('x')"])[0][1] == []
+    assert [k for k, _ in run(spark, ["password: ann.lee.smith12@example.com"])[0][1]] == ["email"]
