@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cardpulse.llm import decontaminate, langid, lattice, linedup, mixing, pii, simhash, suffix, toxicity, warc
+from cardpulse.llm import decontaminate, langid, lattice, linedup, mixing, packing, phrases, pii, resample, simhash, suffix, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_pii": pii.op9_pii,
         "op10_lattice": lattice.op10_lattice,
+        "op11_phrases": phrases.op11_phrases,
+        "op12_packing": packing.op12_packing,
+        "op13_resample": resample.op13_resample,
         "pipeline": corpus_pipeline.run,
     }
 
