@@ -75,7 +75,7 @@ def test_hostile_rows(spark):
 
 
 def test_drawn_rows_keep_their_columns(spark):
-    docs = hostile(spark).withColumn("rank", hostile(spark).doc_id)
+    docs = hostile(spark).withColumnRenamed("score", "rank")
     drawn = resample.resample(docs, hostile(spark), least_words=1, percent=50)
     assert drawn.columns == [*docs.columns, "rank_"]
     assert 0 < drawn.count() < docs.count()
