@@ -6,71 +6,61 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from cardpulse.functions.monthmask import has, mask_of, patterns, presence_masks, ranks_of
 from cardpulse.functions.months import rank_expr, snapshot_months
 
 
-def presence(prime: DataFrame, months: list[dt.date], id_col: str = "RIMNO") -> DataFrame:
-    """Distinct (id, month rank): at most one row per id and month."""
-    return (prime.where(F.col(id_col).isNotNull())
-            .select(id_col, rank_expr(months).alias("M_RANK")).distinct())
+def _rank_label(months: list[dt.date], rank_col):
+    from cardpulse.functions.months import label_of
+    expr = None
+    for i, m in enumerate(months):
+        cond = rank_col == F.lit(i + 1)
+        expr = F.when(cond, F.lit(label_of(m))) if expr is None else expr.when(cond, F.lit(label_of(m)))
+    return expr
+
+
+def _new(r):
+    """In the month of rank ``r`` but not in the one before."""
+    return has(F.col("MASK"), r) & ~has(F.col("MASK"), r - 1)
+
+
+def _gone(r):
+    """In the month before rank ``r`` but not in it."""
+    return has(F.col("MASK"), r - 1) & ~has(F.col("MASK"), r)
 
 
 def month_new_missing(prime: DataFrame, id_col: str = "RIMNO", months: list[dt.date] | None = None) -> DataFrame:
     """Per consecutive-snapshot transition: previous/current distinct ids, new ids, missing ids.
 
-    ``lag``/``lead`` run over the distinct presence table partitioned by id, so a
-    window holds at most one row per month for any id (no hot partition)."""
+    One partial aggregate makes a mask of months per id, a second one counts the ids of
+    each mask; transitions are bit tests on the few masks there are."""
     months = months or snapshot_months(prime, at_least=2)
-    pres = presence(prime, months, id_col)
-    w = Window.partitionBy(id_col).orderBy("M_RANK")
-    flagged = pres.select(
-        "M_RANK",
-        F.coalesce(F.lag("M_RANK").over(w) != F.col("M_RANK") - 1, F.lit(True)).alias("IS_NEW"),
-        F.coalesce(F.lead("M_RANK").over(w) != F.col("M_RANK") + 1, F.lit(True)).alias("GOES_MISSING"))
-    per_rank = flagged.groupBy("M_RANK").agg(
-        F.count(F.lit(1)).alias("N_IDS"), F.count_if("IS_NEW").alias("N_NEW_HERE"),
-        F.count_if("GOES_MISSING").alias("N_MISSING_NEXT"))
-    spark = prime.sparkSession
-    trans = spark.createDataFrame([(i + 1,) for i in range(1, len(months))], "TO_RANK int")
-    cur = per_rank.select(F.col("M_RANK").alias("TO_RANK"), F.col("N_IDS").alias("N_CURR"),
-                          F.col("N_NEW_HERE").alias("N_NEW"))
-    prev = per_rank.select((F.col("M_RANK") + 1).alias("TO_RANK"), F.col("N_IDS").alias("N_PREV"),
-                           F.col("N_MISSING_NEXT").alias("N_MISSING"))
-    out = trans.join(cur, "TO_RANK", "left").join(prev, "TO_RANK", "left")
-    return out.select(
+    r, n = F.col("TO_RANK"), F.col("N_IDS")
+    per = (patterns(presence_masks(prime, months, id_col))
+           .withColumn("TO_RANK", F.explode(F.sequence(F.lit(2), F.lit(len(months)))))
+           .groupBy("TO_RANK").agg(*[F.sum(F.when(cond, n)).alias(c) for c, cond in (
+               ("N_PREV", has(F.col("MASK"), r - 1)), ("N_CURR", has(F.col("MASK"), r)), ("N_NEW", _new(r)), ("N_MISSING", _gone(r)))]))
+    spine = prime.sparkSession.createDataFrame([(i,) for i in range(2, len(months) + 1)], "TO_RANK int")
+    return spine.join(per, "TO_RANK", "left").select(
         _rank_label(months, F.col("TO_RANK") - 1).alias("FROM_MONTH"),
         _rank_label(months, F.col("TO_RANK")).alias("TO_MONTH"),
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("N_PREV", "N_CURR", "N_NEW", "N_MISSING")])
 
 
-def _rank_label(months: list[dt.date], rank_col):
-    from cardpulse.functions.months import label_of
-    expr = None
-    for i, m in enumerate(months):
-        cond = rank_col == F.lit(i + 1)
-        expr = F.when(cond, F.lit(label_of(m))) if expr is None else expr.when(cond, F.lit(label_of(m)))
-    return expr
-
-
-def _reappearances(prime: DataFrame, id_col: str, months: list[dt.date]) -> DataFrame:
-    pres = presence(prime, months, id_col)
-    w = Window.partitionBy(id_col).orderBy("M_RANK")
-    missing = (pres.withColumn("_NEXT", F.lead("M_RANK").over(w))
-               .where((F.col("M_RANK") < len(months))
-                      & F.coalesce(F.col("_NEXT") != F.col("M_RANK") + 1, F.lit(True)))
-               .select(id_col, (F.col("M_RANK") + 1).alias("TO_RANK")))
-    other = pres.select(id_col, F.col("M_RANK").alias("IN_RANK"))
-    return (missing.join(other, id_col)
-            .where((F.col("IN_RANK") != F.col("TO_RANK")) & (F.col("IN_RANK") != F.col("TO_RANK") - 1)))
+def _reappearances(masks: DataFrame, n_months: int) -> DataFrame:
+    """``masks`` once for each (TO_RANK, IN_RANK): gone at TO_RANK, seen in IN_RANK, another month than both."""
+    gone = masks.withColumn("TO_RANK", F.explode(F.sequence(F.lit(2), F.lit(n_months)))).where(_gone(F.col("TO_RANK")))
+    return (gone.withColumn("IN_RANK", F.explode(ranks_of(F.col("MASK"), n_months)))
+            .where(F.col("IN_RANK") != F.col("TO_RANK") - 1))
 
 
 def missing_reappearance(prime: DataFrame, id_col: str = "RIMNO", months: list[dt.date] | None = None) -> DataFrame:
     """For ids missing at a transition (in month i-1, not in month i): in which other
     months (not i-1, not i) they exist, with counts; empty combinations omitted."""
     months = months or snapshot_months(prime, at_least=2)
-    hits = _reappearances(prime, id_col, months).groupBy("TO_RANK", "IN_RANK").agg(F.count(F.lit(1)).alias("N_IDS"))
+    hits = (_reappearances(patterns(presence_masks(prime, months, id_col)), len(months))
+            .groupBy("TO_RANK", "IN_RANK").agg(F.sum("N_IDS").alias("N_IDS")))
     return hits.select(_rank_label(months, F.col("TO_RANK") - 1).alias("FROM_MONTH"),
                        _rank_label(months, F.col("TO_RANK")).alias("TO_MONTH"),
                        _rank_label(months, F.col("IN_RANK")).alias("IN_MONTH"),
@@ -81,28 +71,49 @@ def presence_changes(prime: DataFrame, id_col: str = "RIMNO", months: list[dt.da
     """The ids behind the presence audit: (FROM_MONTH, TO_MONTH, CHANGE, id) with CHANGE 'new' (not in
     the month before) or 'missing' (not in the month after)."""
     months = months or snapshot_months(prime, at_least=2)
-    w = Window.partitionBy(id_col).orderBy("M_RANK")
-    seen = presence(prime, months, id_col).select(
-        id_col, "M_RANK",
-        (F.coalesce(F.lag("M_RANK").over(w) != F.col("M_RANK") - 1, F.lit(True)) & (F.col("M_RANK") > 1)).alias("_NEW"),
-        (F.coalesce(F.lead("M_RANK").over(w) != F.col("M_RANK") + 1, F.lit(True)) & (F.col("M_RANK") < len(months))).alias("_GONE"))
-    events = F.explode(F.filter(F.array(
-        F.when(F.col("_NEW"), F.struct(F.col("M_RANK").alias("TO_RANK"), F.lit("new").alias("CHANGE"))),
-        F.when(F.col("_GONE"), F.struct((F.col("M_RANK") + 1).alias("TO_RANK"), F.lit("missing").alias("CHANGE")))),
-        lambda e: e.isNotNull())).alias("_E")
-    return seen.select(id_col, events).select(
-        _rank_label(months, F.col("_E.TO_RANK") - 1).alias("FROM_MONTH"), _rank_label(months, F.col("_E.TO_RANK")).alias("TO_MONTH"),
-        "_E.CHANGE", id_col)
+    at = (presence_masks(prime, months, id_col).withColumn("TO_RANK", F.explode(F.sequence(F.lit(2), F.lit(len(months)))))
+          .withColumn("CHANGE", F.when(_new(F.col("TO_RANK")), "new").when(_gone(F.col("TO_RANK")), "missing")).where("CHANGE IS NOT NULL"))
+    return at.select(_rank_label(months, F.col("TO_RANK") - 1).alias("FROM_MONTH"), _rank_label(months, F.col("TO_RANK")).alias("TO_MONTH"),
+                     "CHANGE", id_col)
 
 
 def reappearing_ids(prime: DataFrame, id_col: str = "RIMNO", months: list[dt.date] | None = None) -> DataFrame:
     """(FROM_MONTH, TO_MONTH, IN_MONTH, id) of the ids that ``missing_reappearance`` counts."""
     months = months or snapshot_months(prime, at_least=2)
-    return _reappearances(prime, id_col, months).select(
+    return _reappearances(presence_masks(prime, months, id_col), len(months)).select(
         _rank_label(months, F.col("TO_RANK") - 1).alias("FROM_MONTH"), _rank_label(months, F.col("TO_RANK")).alias("TO_MONTH"),
         _rank_label(months, F.col("IN_RANK")).alias("IN_MONTH"), id_col)
 
 
+def presence_matrix(prime: DataFrame, id_col: str = "RIMNO", months: list[dt.date] | None = None) -> DataFrame:
+    """Number of ids by (FIRST_MONTH, LAST_MONTH, MONTHS_PRESENT, GAPS): which part of the span between
+    an id's first and last snapshot it misses.  Counted on masks, never on ids."""
+    months = months or snapshot_months(prime, at_least=1)
+    ranks = ranks_of(F.col("MASK"), len(months))
+    per = (patterns(presence_masks(prime, months, id_col))
+           .select("N_IDS", F.array_min(ranks).alias("_F"), F.array_max(ranks).alias("_L"), F.size(ranks).alias("MONTHS_PRESENT")))
+    return (per.groupBy("_F", "_L", "MONTHS_PRESENT").agg(F.sum("N_IDS").alias("N_IDS"))
+            .select(_rank_label(months, F.col("_F")).alias("FIRST_MONTH"), _rank_label(months, F.col("_L")).alias("LAST_MONTH"),
+                    "MONTHS_PRESENT", (F.col("_L") - F.col("_F") + 1 - F.col("MONTHS_PRESENT")).alias("GAPS"), F.col("N_IDS").cast("bigint")))
+
+
+def id_sets(tables: list[DataFrame], id_col: str = "RIMNO") -> DataFrame:
+    """(id, MASK) over several tables: bit i is set if table i holds the id.  Union, intersection and
+    difference of id sets are tests of this one partial aggregate, without joins."""
+    tagged = None
+    for i, t in enumerate(tables):
+        one = t.where(F.col(id_col).isNotNull()).select(id_col, F.lit(i + 1).alias("_T"))
+        tagged = one if tagged is None else tagged.union(one)
+    return tagged.groupBy(id_col).agg(mask_of(F.col("_T"), len(tables)).alias("MASK"))
+
+
+def set_report(tables: dict[str, DataFrame], id_col: str = "RIMNO") -> DataFrame:
+    """(TABLES, N_IDS): number of ids by the tables that hold them, names joined by '+'."""
+    names = list(tables)
+    label = F.array_join(F.transform(ranks_of(F.col("MASK"), len(names)), lambda r: F.get(F.array(*map(F.lit, names)), r - 1)), "+")
+    return patterns(id_sets(list(tables.values()), id_col)).select(label.alias("TABLES"), F.col("N_IDS").cast("bigint"))
+
+
 def text_image(df: DataFrame, cols: list[str]) -> DataFrame:
     """Render compared columns as text the way a snapshot file holds them: doubles at a
     fixed 6-digit scale (engine-independent; a value beyond decimal(38,6) in its own shortest
@@ -291,7 +302,6 @@ def change_summary(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO",
 
 
 def common_ids(a: DataFrame, b: DataFrame, id_col: str = "RIMNO") -> DataFrame:
-    """Distinct non-null ids present in both inputs, sorted (a semi join of two distinct sets)."""
-    left = a.where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    right = b.where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    return left.join(right, id_col, "left_semi").orderBy(id_col)
+    """Distinct non-null ids present in both inputs, sorted (one partial aggregate over both)."""
+    both = id_sets([a, b], id_col)
+    return both.where(has(F.col("MASK"), 1) & has(F.col("MASK"), 2)).select(id_col).orderBy(id_col)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cardpulse.functions import contract
-from cardpulse.functions.months import MONTH_COL, label_expr, label_of, snapshot_months
+from cardpulse.functions.monthmask import below, has, last_rank, presence_masks
+from cardpulse.functions.months import MONTH_COL, label_of, snapshot_months
 
 
 def _in(c: str, values) -> Column:
@@ -31,7 +32,7 @@ def spread_null_key(c: str) -> Column:
     return F.coalesce(F.col(c), F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
 
 
-def _attach_labels(latest: DataFrame, labels: DataFrame, id_col: str, churn_col: str, type_col: str,
+def attach_labels(latest: DataFrame, labels: DataFrame, id_col: str, churn_col: str, type_col: str,
                    default_type: str) -> DataFrame:
     """latest rows + (churn, type) by id (one scan of the latest month, one left join);
     id-less rows keep the default label."""
@@ -67,6 +68,11 @@ def activation_flags(prime: DataFrame, months: list[dt.date] | None = None, id_c
                   F.bool_or((m < F.lit(latest)) & is_a).alias("EVER_A"),
                   F.bool_and(F.when(m == F.lit(latest), inactive)).alias("LATEST_ALL_INACTIVE"),
                   F.bool_and(F.when(m == F.lit(prev), inactive)).alias("PREV_ALL_INACTIVE")))
+    return activation_classes(flags)
+
+
+def activation_classes(flags: DataFrame) -> DataFrame:
+    """``flags`` (IN_HIST, IN_LATEST, EVER_A, LATEST_ALL_INACTIVE, PREV_ALL_INACTIVE) with class and churn."""
     both = F.col("IN_HIST") & F.col("IN_LATEST")
     now_inactive = both & F.coalesce(F.col("LATEST_ALL_INACTIVE"), F.lit(False))
     prev_inactive = F.coalesce(F.col("PREV_ALL_INACTIVE"), F.lit(False))
@@ -87,7 +93,7 @@ def activation_lifecycle(prime: DataFrame, months: list[dt.date] | None = None,
     months = months or snapshot_months(prime, at_least=2)
     labels = activation_flags(prime, months, id_col, flag_col, absent)
     latest = prime.where(F.col(MONTH_COL) == F.lit(months[-1]))
-    return _attach_labels(latest, labels, id_col, "ACTIVATION_CHURN", "ACTIVATION_CHURN_TYPE", "still_active")
+    return attach_labels(latest, labels, id_col, "ACTIVATION_CHURN", "ACTIVATION_CHURN_TYPE", "still_active")
 
 
 def status_flags(prime: DataFrame, months: list[dt.date] | None = None, id_col: str = "RIMNO",
@@ -112,6 +118,11 @@ def status_flags(prime: DataFrame, months: list[dt.date] | None = None, id_col:
                   F.bool_or(hist & live).alias("EVER_ACTIVE"),
                   F.bool_or(m.isin(recent) & live).alias("RECENT_ACTIVE"),
                   F.bool_and(F.when(m == F.lit(latest), churned)).alias("LATEST_ALL_CHURNED")))
+    return status_classes(flags)
+
+
+def status_classes(flags: DataFrame) -> DataFrame:
+    """``flags`` (IN_HIST, IN_LATEST, EVER_ACTIVE, RECENT_ACTIVE, LATEST_ALL_CHURNED) with class and churn."""
     both = F.col("IN_HIST") & F.col("IN_LATEST")
     c_latest = both & F.coalesce(F.col("LATEST_ALL_CHURNED"), F.lit(False))
     ctype = (F.when(F.col("IN_HIST") & ~F.col("IN_LATEST"), "disappeared")
@@ -131,7 +142,7 @@ def status_lifecycle(prime: DataFrame, months: list[dt.date] | None = None, id_c
     months = months or snapshot_months(prime, at_least=2)
     labels = status_flags(prime, months, id_col, status_col, churn_codes, absent)
     latest = prime.where(F.col(MONTH_COL) == F.lit(months[-1]))
-    return _attach_labels(latest, labels, id_col, "CHURN", "CHURN_TYPE", "not_churned")
+    return attach_labels(latest, labels, id_col, "CHURN", "CHURN_TYPE", "not_churned")
 
 
 def class_summary(labelled: DataFrame, type_col: str, churn_col: str, classes) -> DataFrame:
@@ -154,38 +165,32 @@ def label_totals(labelled: DataFrame, churn_col: str) -> DataFrame:
                         F.count_if(F.col(churn_col) == 0).alias("CHURN_0"))
 
 
+def lookback_labels(masks: DataFrame, months: list[dt.date], window: int = 1, id_col: str = "CUSTOMER_ID") -> DataFrame:
+    """Look-back churn (id, LAST_SEEN, CHURN) from masks of months (id, MASK)."""
+    if window not in (1, 2):
+        raise ValueError("window must be 1 or 2")
+    n, mask = len(months), F.col("MASK")
+    in_last, in_second = has(mask, n), has(mask, n - 1)
+    per_id = masks.withColumn("_EARLIER", last_rank(below(mask, n - window + 1))).where("_EARLIER IS NOT NULL")
+    last_l, second_l = label_of(months[-1]), label_of(months[-2])
+    if window == 1:
+        kept, seen = in_last, F.lit(last_l)
+    else:
+        kept = in_last | in_second
+        seen = F.when(in_last & in_second, f"{second_l} & {last_l}").when(in_last, last_l).otherwise(second_l)
+    labels = F.array(*[F.lit(label_of(m)) for m in months])
+    return per_id.select(id_col, F.when(kept, seen).otherwise(F.get(labels, F.col("_EARLIER") - 1)).alias("LAST_SEEN"),
+                         F.when(kept, 0).otherwise(1).alias("CHURN"))
+
+
 def churn_lookback(active: DataFrame, window: int = 1, id_col: str = "CUSTOMER_ID",
                    months: list[dt.date] | None = None) -> DataFrame:
     """Look-back churn: ids seen before the last ``window`` snapshots are churned (1)
     when absent from all of them.  LAST_SEEN is the label of the last earlier month
     for churned ids and the buffer month(s) where the id appears otherwise.
-    One ``groupBy(id)`` over (id, month); ids first seen inside the buffer are excluded."""
-    if window not in (1, 2):
-        raise ValueError("window must be 1 or 2")
+    One mask of months per id; ids first seen inside the buffer are excluded."""
     months = months or snapshot_months(active, at_least=window + 1)
-    last = months[-1]
-    second = months[-2]
-    buffer_start = months[-window]
-    m = F.col(MONTH_COL)
-    per_id = (active.where(F.col(id_col).isNotNull())
-              .groupBy(id_col)
-              .agg(F.max(F.when(m < F.lit(buffer_start), m)).alias("LAST_EARLIER"),
-                   F.bool_or(m == F.lit(last)).alias("IN_LAST"),
-                   F.bool_or(m == F.lit(second)).alias("IN_SECOND"))
-              .where(F.col("LAST_EARLIER").isNotNull()))
-    last_l, second_l = label_of(last), label_of(second)
-    if window == 1:
-        churn = F.when(F.col("IN_LAST"), 0).otherwise(1)
-        seen_active = F.lit(last_l)
-    else:
-        churn = F.when(F.col("IN_LAST") | F.col("IN_SECOND"), 0).otherwise(1)
-        seen_active = (F.when(F.col("IN_LAST") & F.col("IN_SECOND"), F.lit(f"{second_l} & {last_l}"))
-                       .when(F.col("IN_LAST"), F.lit(last_l)).otherwise(F.lit(second_l)))
-    earlier_label = label_expr(months, "LAST_EARLIER")
-    return per_id.select(
-        F.col(id_col),
-        F.when(churn == 1, earlier_label).otherwise(seen_active).alias("LAST_SEEN"),
-        churn.alias("CHURN"))
+    return lookback_labels(presence_masks(active, months, id_col), months, window, id_col)
 
 
 def churn_between(prime: DataFrame, base_month: dt.date, ref_month: dt.date, id_col: str = "RIMNO",

@@ -15,8 +15,8 @@ from cardpulse.functions import contract
 from cardpulse.functions.months import MONTH_COL, snapshot_months
 from cardpulse.functions import norm
 from cardpulse.functions.stats import exact_quantiles_multi
-from cardpulse.operators import audit, churn, compare, features, identity, profile, quality, segment
-from cardpulse.session import checkpoint_dir
+from cardpulse.operators import audit, churn, compare, features, identity, profile, quality, segment, state
+from cardpulse.session import checkpoint_dir, scratch_path
 from cardpulse.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,6 +210,58 @@ def q_change_rates_uneven(spark, sf_dir):
     return audit.change_rates(fx.prime_uneven(spark, sf_dir), CHANGE_COLUMNS, absent=fx.ABSENT)
 
 
+# ----------------------------------------------------------------- labels from a state that months merge into
+def _merged_state(rows, months, id_col="RIMNO", **options):
+    """The state after each month of ``rows`` was merged on its own, the newest first."""
+    spark, path, merged = rows.sparkSession, None, None
+    for month in reversed(months):
+        new = scratch_path(spark)
+        merged = state.advance(spark, rows.where(F.col(MONTH_COL) == F.lit(month)), path, new, id_col, **options)
+        path = new
+    return merged
+
+
+def _state_labels(prime, **options):
+    prime = _kept(prime)
+    months = snapshot_months(prime, at_least=2)
+    merged = _merged_state(prime, months, **options)
+    latest = prime.where(F.col(MONTH_COL) == F.lit(months[-1]))
+    return state.status_lifecycle(latest, merged), state.activation_lifecycle(latest, merged)
+
+
+def q_status_lifecycle_state(spark, sf_dir):
+    return _state_labels(fx.prime(spark, sf_dir))[0]
+
+
+def q_activation_lifecycle_state(spark, sf_dir):
+    return _state_labels(fx.prime(spark, sf_dir))[1]
+
+
+def q_label_comparison_state(spark, sf_dir):
+    return compare.compare_labels(*_state_labels(fx.prime_uneven(spark, sf_dir), absent=fx.ABSENT))
+
+
+def q_churn_2month_state(spark, sf_dir):
+    months = snapshot_months(fx.prime_raw(spark, sf_dir), at_least=3)
+    active = _kept(_active(spark, sf_dir).select("CUSTOMER_ID", MONTH_COL))
+    return state.churn_lookback(_merged_state(active, months, "CUSTOMER_ID"), 2, "CUSTOMER_ID", months)
+
+
+def q_churn_first_last_state(spark, sf_dir):
+    prime = _kept(fx.prime(spark, sf_dir).select("RIMNO", MONTH_COL, "CARD_STATUS", "ROW_ID"))
+    months = snapshot_months(prime, at_least=2)
+    base = prime.where(F.col(MONTH_COL) == F.lit(months[0]))
+    return state.churn_between(base, _merged_state(prime.select("RIMNO", MONTH_COL), months), months[-1])
+
+
+def q_presence_matrix(spark, sf_dir):
+    return audit.presence_matrix(fx.prime(spark, sf_dir))
+
+
+def q_id_set_report(spark, sf_dir):
+    return audit.set_report({"prime": fx.prime(spark, sf_dir), "txn": fx.txn(spark, sf_dir)})
+
+
 def q_lifecycle_totals(spark, sf_dir):
     act = churn.label_totals(q_activation_lifecycle(spark, sf_dir), "ACTIVATION_CHURN").withColumn("LABELS", F.lit("activation"))
     return act.unionByName(churn.label_totals(q_status_lifecycle(spark, sf_dir), "CHURN").withColumn("LABELS", F.lit("status")))
@@ -539,6 +591,13 @@ QUERIES: dict[str, Query] = {
     "label_comparison_uneven": q_label_comparison_uneven,
     "change_log_uneven": q_change_log_uneven,
     "change_rates_uneven": q_change_rates_uneven,
+    "status_lifecycle_state": q_status_lifecycle_state,
+    "activation_lifecycle_state": q_activation_lifecycle_state,
+    "label_comparison_state": q_label_comparison_state,
+    "churn_2month_state": q_churn_2month_state,
+    "churn_first_last_state": q_churn_first_last_state,
+    "presence_matrix": q_presence_matrix,
+    "id_set_report": q_id_set_report,
     "lifecycle_totals": q_lifecycle_totals,
     "common_ids_count": q_common_ids_count,
 }

@@ -348,6 +348,17 @@ miss AS (SELECT a.RIMNO, a.M_RANK + 1 AS TO_RANK FROM pres a
 SELECT f.M_LABEL AS FROM_MONTH, t.M_LABEL AS TO_MONTH, i.M_LABEL AS IN_MONTH, m.RIMNO
 FROM miss m JOIN pres o ON o.RIMNO = m.RIMNO AND o.M_RANK NOT IN (m.TO_RANK, m.TO_RANK - 1)
 JOIN months f ON f.M_RANK = m.TO_RANK - 1 JOIN months t ON t.M_RANK = m.TO_RANK JOIN months i ON i.M_RANK = o.M_RANK""")
+    for name in ("status_lifecycle", "activation_lifecycle", "churn_2month", "churn_first_last"):   # the same rows from merged months
+        q[f"{name}_state"] = q[name]
+    q["label_comparison_state"] = q["label_comparison_uneven"]
+    q["presence_matrix"] = sql(pres + """,
+span AS (SELECT RIMNO, min(M_RANK) AS f, max(M_RANK) AS l, count(*) AS n FROM pres GROUP BY 1)""", """
+SELECT a.M_LABEL AS FIRST_MONTH, b.M_LABEL AS LAST_MONTH, s.n AS MONTHS_PRESENT, s.l - s.f + 1 - s.n AS GAPS, count(*) AS N_IDS
+FROM span s JOIN months a ON a.M_RANK = s.f JOIN months b ON b.M_RANK = s.l GROUP BY 1, 2, 3, 4""")
+    q["id_set_report"] = sql("""
+p AS (SELECT DISTINCT RIMNO FROM prime WHERE RIMNO IS NOT NULL), t AS (SELECT DISTINCT RIMNO FROM txn WHERE RIMNO IS NOT NULL)""", """
+SELECT CASE WHEN t.RIMNO IS NULL THEN 'prime' WHEN p.RIMNO IS NULL THEN 'txn' ELSE 'prime+txn' END AS TABLES, count(*) AS N_IDS
+FROM p FULL JOIN t ON p.RIMNO = t.RIMNO GROUP BY 1""")
     q["ambiguous_keys"] = sql(IDENTITY, """
 SELECT RIMNO, PRODUCT_NAME, count(*) AS N_CUSTOMER_IDS FROM lookup GROUP BY 1, 2 HAVING count(*) > 1""")
     q["txn_mapped_latest"] = sql(IDENTITY + """,
