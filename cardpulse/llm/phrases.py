@@ -5,17 +5,19 @@ phrase is frequent if it occurs ``LEAST`` times; every part of a frequent phrase
 
 1. A hash of the id picks a share of the documents.  Phrases shorter than ``MOST_WORDS`` that are
    frequent there, at a threshold lowered by one standard deviation, are proposed.
-2. The full pass counts exactly the proposed phrases and their negative border: all words, and all
-   longer phrases whose two parts of one word less are proposed.
-3. A frequent phrase of the border that was not proposed is a failure: its extensions were not
-   counted.  An expansion pass counts them, and theirs: every phrase not yet counted none of whose
-   parts is known to be infrequent.  What it leaves uncounted has an infrequent part, so the set is
-   closed after it, and the counts of all frequent phrases are exact whatever the sample was.
-
-The proposed and the frequent phrases go to the tasks as bit tables of a fixed size (hashes of
-phrases); a false bit only makes a pass count a phrase too many, exactly.  Phrases are counted by
-their words, never by hashes.  Scores, cuts and cover tests are joins and aggregates of the
-frequent phrases.
+2. The full pass counts the proposed phrases and their negative border: all other words, and all
+   other phrases whose two parts of one word less are proposed.  The border is far larger than
+   what is proposed and mostly rare, so its phrases are added up by 64-bit hashes, which can only
+   overstate a count.
+3. Border phrases that reach the threshold are failures.  If there are any, an expansion pass counts
+   them by their words, and with them all phrases not yet counted none of whose parts is known to be
+   infrequent.  What it leaves out has an infrequent part, so the set is closed after it.
+
+The counts of all frequent phrases come from their words, never from hashes, and are exact whatever
+the sample was.  Sets of phrases go to the tasks as bit tables of a fixed size; a false bit only makes
+a pass count a phrase too many, exactly.  What tasks send on are counts of distinct phrases of a
+chunk of texts: strings as rows, hashes as packed runs of a range of hashes.  Scores, cuts and
+cover tests are joins and aggregates of the frequent phrases.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,7 +45,9 @@ COVER_PERCENT = 80
 REPORT = 2_000           # phrases of each language in the report
 UNKNOWN = "und"
 PIECES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
-ROWS_OUT = 1 << 17
+CHUNK = 6 << 20          # bytes of text whose phrases are counted together
+ROWS_OUT = 1 << 16
+PAIRS_HELD = 4 << 20     # counts that a task holds before it adds up
 
 
 def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
@@ -85,117 +90,207 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
 
 
+def _pairs(h: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """The different hashes of ``h`` with their numbers, one row for each of ``ranges`` ranges of hashes."""
+    value, count = np.unique(h, return_counts=True)
+    cuts = np.searchsorted(value, np.array([(k << 64) // ranges for k in range(ranges)], np.uint64))
+    rows = [(k, value[a:b].tobytes() + count[a:b].astype("<i8").tobytes())
+            for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(value)])) if a < b]
+    return _batch([k for k, _ in rows], pairs=[x for _, x in rows])
+
+
+def _batch(ranges: list | np.ndarray, pairs: list | None = None, lang: str | None = None, n: int | None = None,
+           phrase: pa.Array | None = None, count: np.ndarray | None = None) -> pa.RecordBatch:
+    size = len(ranges)
+    one = lambda value, kind: pa.array([value], kind).take(pa.array(np.zeros(size, np.int64)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ranges, pa.int32()), one(lang, pa.string()), one(n, pa.int32()),
+         one(None, pa.string()) if phrase is None else phrase.cast(pa.string()),
+         one(None, pa.int64()) if count is None else pa.array(count.astype(np.int64)),
+         one(None, pa.binary()) if pairs is None else pa.array(pairs, pa.binary())], ["part", "lang", "n", "phrase", "c", "pairs"])
+
+
+SENT = "part int, lang string, n int, phrase string, c long, pairs binary"
+FOUND = "lang string, n int, phrase string, f long, h long"
+
+
+def _added(held: list[np.ndarray]) -> list[np.ndarray]:
+    """Runs of (hash, number) as one, equal hashes added."""
+    if len(held) < 2:
+        return held
+    rows = np.concatenate(held, axis=1)
+    order = np.argsort(rows[0])
+    h = rows[0][order]
+    first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
+    return [np.stack([h[first], np.add.reduceat(rows[1][order], first)])]
+
+
+def _summed(sent: DataFrame, least: int) -> DataFrame:
+    """(lang, n, phrase, f, h): phrases, or hashes with a null phrase, that add up to ``least``, and all rows of n = 0.
+
+    A part gets the phrases and hashes of its range; each chunk has sent any of them once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words, size, most = [], [], 0, PAIRS_HELD
+        for batch in batches:
+            for blob in batch.column(5).drop_null().to_pylist():
+                held.append(np.frombuffer(blob, np.int64).reshape(2, -1))
+                size += held[-1].shape[1]
+                if size > PAIRS_HELD and len(held) > 1:
+                    held = _added(held)
+                    size = held[0].shape[1] // 2         # again after as many new ones, so the work stays near linear
+            table = pa.Table.from_batches([batch]).select(["lang", "n", "phrase", "c"])
+            words.append(table.filter(table["phrase"].is_valid()))
+            if sum(len(t) for t in words) > most:
+                words = [_grouped(words)]
+                most = max(PAIRS_HELD, 2 * len(words[0]))
+        table = _grouped(words) if words else None
+        if table is not None and len(table):
+            for part in table.filter(pc.or_(pc.greater_equal(table["c"], least), pc.equal(table["n"], 0))).to_batches(ROWS_OUT):
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, none], ["lang", "n", "phrase", "f", "h"])
+        for h, count in _added(held):
+            h, count = h[count >= least], count[count >= least]
+            none = [pa.nulls(len(h), t) for t in (pa.string(), pa.int32(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(count), pa.array(h)], ["lang", "n", "phrase", "f", "h"])
+
+    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(parts, "part").mapInArrow(run, FOUND)
+
+
+def _grouped(tables: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(tables).group_by(["lang", "n", "phrase"]).aggregate([("c", "sum")])
+    return out.rename_columns({"c_sum": "c"}).select(["lang", "n", "phrase", "c"])
+
+
 def proposed(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, share: int = SAMPLE_SHARE) -> bytes:
     """Bit table of the phrases of fewer than ``most_words`` words that one document in ``share`` proposes."""
     expected = least / share
     lowered = max(1, math.floor(expected - math.sqrt(expected)))
+    ranges = _ranges(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, most=CHUNK):
+            found = []
             for lang, words in _by_language(part):
                 h = word_hashes(words.vocabulary.to_pylist(), lang)[words.codes]
-                for n in range(1, most_words):
-                    value, count = np.unique(_hashed(h, n)[_inside(words, n)], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], ["h", "c"])
+                found += [_hashed(h, n)[_inside(words, n)] for n in range(1, most_words)]
+            if found:
+                yield _pairs(np.concatenate(found), ranges)
 
     sample = _rows(docs.where(F.pmod(F.xxhash64("doc_id", F.lit("phrases")), F.lit(share)) == 0))
-    counts = sample.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    return bit_table(counts.where(F.col("c") >= lowered), "h", FILTER_BITS)
+    return bit_table(_summed(sample.mapInArrow(run, SENT), lowered), "h", FILTER_BITS)
+
+
+def _ranges(docs: DataFrame) -> int:
+    """Number of parts that phrases and hashes are dealt to, a few for each task that adds them up."""
+    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
 
+def _places(words: Words, h: np.ndarray, sample: np.ndarray, known: np.ndarray | None, failed: np.ndarray | None,
+            most_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """(n, places, None) of phrases that a pass counts by their words, and (n, places, hashes) of the border.
 
-def _uncounted(words: Words, h: np.ndarray, sample: np.ndarray, frequent: np.ndarray | None,
-               most_words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, places) of the phrases that a pass counts: the proposed ones and their border if no ``frequent``
-    are given, otherwise those that the pass before did not count and that have no infrequent part."""
+    In the full pass (``known`` None) those are the proposed phrases and the border; in the
+    expansion pass, the failures and what has not been counted and has no infrequent part."""
     def has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
         return passes(bits, values.view(np.int64), FILTER_BITS)
 
-    counted = np.ones(len(h), bool)          # by the first full pass
-    alive = counted if frequent is None else has(frequent, h)
-    grams = h
-    if frequent is None and len(h):
-        yield 1, np.arange(len(h))
-    for n in range(2, most_words + 1):
-        inside = _inside(words, n)
-        if not len(inside):
-            return
-        counted = counted & has(sample, grams)
-        counted = counted[:-1] & counted[1:] & inside
-        grams = _longer(grams[:-1], h[n - 1:])
-        if frequent is None:
-            found = counted
-        else:
-            both = alive[:-1] & alive[1:] & inside
-            found = both & ~counted
-            alive = both
-            if n < most_words:
-                at = np.nonzero(both & counted)[0]
-                alive[at] = has(frequent, grams[at])
-        at = np.nonzero(found)[0]
-        if len(at):
-            yield n, at
-
-
-def count_phrases(docs: DataFrame, sample: bytes, frequent: bytes | None, least: int, most_words: int) -> DataFrame:
-    """A full pass: (lang, n, phrase, f) of the phrases it counts that occur ``least`` times, with
-    f exact, and in the first pass (n = 0, phrase empty) the number of words of each language."""
+    counted, grams = np.ones(len(h), bool), h        # by the full pass; hashes of the n words from each place on
+    alive = None if known is None else counted
+    for n in range(1, most_words + 1):
+        if n > 1:
+            inside = _inside(words, n)
+            if not len(inside):
+                return
+            counted = counted & has(sample, grams)
+            counted = counted[:-1] & counted[1:] & inside
+            grams = _longer(grams[:-1], h[n - 1:])
+            if alive is not None:
+                alive = alive[:-1] & alive[1:] & inside
+        at = np.nonzero(counted)[0]
+        by_word = has(sample, grams[at]) if n < most_words else np.zeros(len(at), bool)
+        if alive is None:
+            yield n, at[by_word], None
+            yield n, at[~by_word], grams[at[~by_word]]
+            continue
+        border = at[~by_word]
+        again = np.zeros(len(counted), bool)
+        again[border[has(failed, grams[border])]] = True
+        again |= alive & ~counted
+        yield n, np.nonzero(again)[0], None
+        alive = alive.copy()
+        alive[at] &= has(known, grams[at])
+
+
+def count_phrases(docs: DataFrame, sample: bytes, known: bytes | None, failed: bytes | None, least: int, most_words: int) -> DataFrame:
+    """A pass over all texts: (lang, n, phrase, f, h) of the phrases that it counts and that occur ``least``
+    times; in the full pass also the hashes of the border that reach ``least`` (phrase null) and
+    the number of words of each language (n = 0, phrase empty)."""
     context = docs.sparkSession.sparkContext
-    sample_bits, frequent_bits = context.broadcast(sample), context.broadcast(frequent)   # of fixed size
+    tables = [None if t is None else context.broadcast(t) for t in (sample, known, failed)]   # of fixed size
+    ranges = _ranges(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        proposals = np.frombuffer(sample_bits.value, np.uint8)
-        known = None if frequent_bits.value is None else np.frombuffer(frequent_bits.value, np.uint8)
+        import zlib
 
-        def rows(lang: str, n: int, texts: pa.Array, count: np.ndarray) -> pa.RecordBatch:
-            size = len(count)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int64))), pa.array(np.full(size, n, np.int32)),
-                 texts.cast(pa.string()), pa.array(count.astype(np.int64))], ["lang", "n", "phrase", "c"])
-
-        for part in chunks(batches):
+        bits = [None if t is None else np.frombuffer(t.value, np.uint8) for t in tables]
+        for part in chunks(batches, most=CHUNK):
+            border = []
             for lang, words in _by_language(part):
                 h = word_hashes(words.vocabulary.to_pylist(), lang)[words.codes]
-                if known is None:
-                    yield rows(lang, 0, pa.array([""]), np.array([len(h)]))
-                for n, at in _uncounted(words, h, proposals, known, most_words):
+                if bits[1] is None:
+                    yield _batch([zlib.crc32(lang.encode()) % ranges], lang=lang, n=0, phrase=pa.array([""]), count=np.array([len(h)]))
+                for n, at, hashes in _places(words, h, *bits, most_words):
+                    if hashes is not None:
+                        border.append(hashes)
+                        continue
                     _, where, count = distinct(words, at, n)
+                    spread = _hashed_at(h, where, n) % np.uint64(ranges)
                     for lo in range(0, len(where), ROWS_OUT):
-                        yield rows(lang, n, phrases(words, where[lo:lo + ROWS_OUT], n), count[lo:lo + ROWS_OUT])
+                        cut = slice(lo, lo + ROWS_OUT)
+                        yield _batch(spread[cut].astype(np.int32), lang=lang, n=n, phrase=phrases(words, where[cut], n), count=count[cut])
+            if border:
+                yield _pairs(np.concatenate(border), ranges)
+
+    return _summed(_rows(docs).mapInArrow(run, SENT), least)
+
 
-    counts = _rows(docs).mapInArrow(run, "lang string, n int, phrase string, c long")
-    return (counts.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f"))
-            .where((F.col("f") >= least) | (F.col("n") == 0)))
+def _hashed_at(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    out = h[at]
+    for k in range(1, n):
+        out = _longer(out, h[at + k])
+    return out
 
 
-def _phrase_hashes(found: DataFrame, sample: bytes) -> DataFrame:
-    """(h, proposed) of phrases (lang, phrase)."""
-    bits = found.sparkSession.sparkContext.broadcast(sample)
+def _phrase_hashes(found: DataFrame) -> DataFrame:
+    """(h) of phrases (lang, phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            h = np.array([_hashed(w := word_hashes(t.split(b" "), lang), len(w))[0] for lang, t in zip(langs, texts)],
-                         np.uint64).view(np.int64)
-            was = passes(np.frombuffer(bits.value, np.uint8), h, FILTER_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(was)], ["h", "proposed"])
+            h = np.array([_hashed(w := word_hashes(t.split(b" "), lang), len(w))[0] for lang, t in zip(langs, texts)], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    return found.select("lang", "phrase").mapInArrow(run, "h long, proposed boolean")
+    return found.select("lang", "phrase").mapInArrow(run, "h long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS,
                      share: int = SAMPLE_SHARE, report: dict | None = None) -> DataFrame:
     """(lang, n, phrase, f): every phrase of 1 to ``most_words`` words with f >= ``least``, and a row
     (lang, 0, '', number of words) of each language.  ``report``, if given, gets the number of failures."""
+    columns = ["lang", "n", "phrase", "f"]
     sample = proposed(docs, least, most_words, share)
-    first = materialise(count_phrases(docs, sample, None, least, most_words))
-    inner = materialise(_phrase_hashes(first.where((F.col("n") > 0) & (F.col("n") < most_words)), sample))
-    failures = inner.where(~F.col("proposed")).count()
+    first = materialise(count_phrases(docs, sample, None, None, least, most_words))
+    exact, border = first.where("phrase IS NOT NULL").select(*columns), first.where("phrase IS NULL").select("h")
+    failures = border.count()
     if report is not None:
         report["failures"] = failures
     if not failures:
-        return first
-    known = bit_table(inner, "h", FILTER_BITS)
-    return first.union(materialise(count_phrases(docs, sample, known, least, most_words)))
+        return exact
+    inner = _phrase_hashes(exact.where((F.col("n") > 0) & (F.col("n") < most_words)))
+    known, failed = bit_table(inner.union(border), "h", FILTER_BITS), bit_table(border, "h", FILTER_BITS)
+    return exact.union(materialise(count_phrases(docs, sample, known, failed, least, most_words).select(*columns)))
 
 
 def scored(found: DataFrame, cover_percent: int = COVER_PERCENT) -> DataFrame:

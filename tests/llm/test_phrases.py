@@ -63,7 +63,7 @@ def test_whatever_the_sample_all_frequent_phrases_are_found(spark):
         report = {}
         rows = phrases.frequent_phrases(docs, 5, share=share, report=report).collect()
         assert {(r["lang"], r["n"], r["phrase"], r["f"]) for r in rows} == want and len(rows) == len(want)
-        assert (report["failures"] == 0) == (share == 1)
+        assert report["failures"] > 0   # phrases of four words are never proposed
 
 
 def test_hostile_rows(spark):
