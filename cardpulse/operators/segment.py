@@ -1,5 +1,5 @@
 """Customer segmentation and outliers: robust scaling, Gaussian-mixture clusters with
-k chosen by silhouette, isolation-forest outliers per cluster and globally.
+k chosen by silhouette (``mixture``), isolation-forest outliers per cluster and globally.
 
 The isolation forest (Liu, Ting & Zhou, 2008) is not part of Spark ML, so it is
 built from DataFrame pieces: every row decides by hash which trees sample it
@@ -16,15 +16,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardpulse.functions.stats import exact_quantiles, exact_quantiles_multi, grouped_exact_quantiles
+from cardpulse.operators import mixture
 from cardpulse.session import checkpoint_dir
 
 EULER = 0.5772156649015329
@@ -45,61 +42,28 @@ def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns(exprs)
 
 
-def _vectors(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
-    """Feature vectors, dealt out by a hash of the id and sorted by it within a partition: the
-    mixture's seeded initial sample then depends on the data only, without a global sort.
-    A null feature is an error: impute first, by a stated rule."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error") \
-        .transform(df.repartition(n, id_col).sortWithinPartitions(id_col, *cols))
-
-
-def _fit_gmm(data: DataFrame, k: int, seed: int, starts: int = 2, attempts: int = 3):
-    """The likeliest of ``starts`` Gaussian mixture fits with k components from different seeds.  A fit
-    that fails numerically (singular covariance) is replaced by one with the next seed; None if too
-    few converge.  Any other failure is raised."""
-    best, fits = None, 0
-    for s in range(seed, seed + starts + attempts):
-        try:
-            model = GaussianMixture(k=k, seed=s, featuresCol="features").fit(data)
-        except Exception as e:  # noqa: BLE001 - Py4J wraps the JVM's exception
-            if "NotConverged" not in str(e):
-                raise
-            continue
-        fits += 1
-        if best is None or model.summary.logLikelihood > best.summary.logLikelihood:
-            best = model
-        if fits == starts:
-            break
-    return best
-
-
 # ------------------------------------------------------------------ clustering
-def fit_best(scaled: DataFrame, cols: list[str], id_col: str, k_range=(2, 8), seed: int = 42):
-    """Fit a Gaussian mixture for every k in the range; the first k with the strictly
-    highest silhouette (and more than one non-empty cluster) wins.  Returns the table of
-    scores, the chosen k and its model (one row per k, no refit of the winner)."""
-    spark = scaled.sparkSession
-    data = _vectors(scaled, cols, id_col).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows, best_k, best_model, best = [], None, None, -1.0
-    try:
-        for k in range(k_range[0], k_range[1] + 1):
-            model = _fit_gmm(data, k, seed)
-            if model is None:
-                rows.append((k, None, 0))  # no model for this k: cannot be chosen
-                continue
-            pred = model.transform(data)
-            used = pred.select("prediction").distinct().count()
-            score = evaluator.evaluate(pred) if used > 1 else None
-            if score is not None and score > best:
-                best, best_k, best_model = score, k, model
-            rows.append((k, score, used))
-    finally:
-        data.unpersist()
-    table = spark.createDataFrame([(k, s, u, k == best_k) for k, s, u in rows],
-                                  "K int, SILHOUETTE double, CLUSTERS_USED long, IS_BEST boolean")
-    return table, best_k, best_model
+def fit_best(scaled: DataFrame, cols: list[str], id_col: str, k_range=(2, 8), seed: int = 42,
+             silhouette_rows: int = mixture.SILHOUETTE_ROWS):
+    """Gaussian mixtures for every k in the range, fitted and scored side by side; the first k with the
+    strictly highest Euclidean silhouette (and more than one non-empty cluster) wins.  Returns the
+    table of scores, the chosen k and its model."""
+    data = mixture.keep_rows(scaled, id_col, cols)
+    ks = list(range(k_range[0], k_range[1] + 1))
+    models = mixture.fit_all(data, ks, seed)
+    scores = mixture.silhouettes(data, models, silhouette_rows, seed)
+    n, best_k, best = data.count(), None, -1.0
+    for k in ks:
+        score = scores.get(k, (None,))[0]
+        if score is not None and score > best:
+            best, best_k = score, k
+    rows = []
+    for k in ks:
+        score, taken, used = scores.get(k, (None, 0, 0))
+        rows.append((k, score, used, k == best_k, taken, mixture.error_bound(taken, n) if taken else None))
+    table = scaled.sparkSession.createDataFrame(
+        rows, "K int, SILHOUETTE double, CLUSTERS_USED long, IS_BEST boolean, ROWS_SCORED long, ERROR_BOUND double")
+    return table, best_k, models.get(best_k)
 
 
 def choose_k(scaled: DataFrame, cols: list[str], id_col: str, k_range=(2, 8), seed: int = 42) -> tuple[DataFrame, int]:
@@ -108,12 +72,10 @@ def choose_k(scaled: DataFrame, cols: list[str], id_col: str, k_range=(2, 8), se
 
 def gmm_segments(scaled: DataFrame, cols: list[str], id_col: str, k: int | None = None, seed: int = 42, model=None) -> DataFrame:
     """Full-covariance Gaussian mixture labels (CLUSTER) for every row, by ``model`` or a fit with ``k``."""
-    data = _vectors(scaled, cols, id_col)
-    model = model if model is not None else _fit_gmm(data, k, seed)
+    model = model or mixture.fit_all(mixture.keep_rows(scaled, id_col, cols), [k], seed).get(k)
     if model is None:
-        raise RuntimeError(f"Gaussian mixture with k={k} did not converge")
-    return model.transform(data).withColumn("CLUSTER", F.col("prediction").cast("int")) \
-        .drop("features", "prediction", "probability")
+        raise ValueError(f"fewer than {k} different rows")
+    return mixture.labelled(scaled, model, cols)
 
 
 # ------------------------------------------------------------------ isolation forest

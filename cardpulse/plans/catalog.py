@@ -458,9 +458,27 @@ def _scaled(spark, sf_dir):
     return segment.robust_scale(_seg_input(spark, sf_dir), SEG_COLUMNS)
 
 
+_FITS: dict[tuple, tuple] = {}
+
+
+def _fit(spark, sf_dir):
+    """(features, scaled features, table of scores, model) of a folder, fitted once in a session for all queries.
+
+    The key holds the inputs' file times and sizes, so changed tables are fitted anew."""
+    meta = [r for name in ("lineitem", "orders", "customer") for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(
+        F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_size").alias("s")).agg(
+        F.max("t"), F.max("s"), F.count(F.lit(1))).collect()]
+    key = (spark.sparkContext.applicationId, sf_dir, str(meta))
+    if key not in _FITS:
+        raw = _kept(_seg_input(spark, sf_dir))
+        scaled = _kept(segment.robust_scale(raw, SEG_COLUMNS))
+        table, _, model = segment.fit_best(scaled, SEG_COLUMNS, "RIMNO", (2, 8))
+        _FITS[key] = raw, scaled, table, model
+    return _FITS[key]
+
+
 def _segments(spark, sf_dir):
-    scaled = _kept(_scaled(spark, sf_dir))
-    _, _, model = segment.fit_best(scaled, SEG_COLUMNS, "RIMNO", (2, 8))
+    _, scaled, _, model = _fit(spark, sf_dir)
     return segment.gmm_segments(scaled, SEG_COLUMNS, "RIMNO", model=model)
 
 
@@ -473,7 +491,7 @@ def q_robust_scale(spark, sf_dir):
 
 
 def q_best_k(spark, sf_dir):
-    return segment.choose_k(_kept(_scaled(spark, sf_dir)), SEG_COLUMNS, "RIMNO", (2, 8))[0]
+    return _fit(spark, sf_dir)[2]
 
 
 def q_segments(spark, sf_dir):
@@ -487,17 +505,15 @@ def q_local_outliers(spark, sf_dir):
 
 
 def q_global_outliers(spark, sf_dir):
-    sc = _kept(_with_vec(_scaled(spark, sf_dir)).select("RIMNO", "VEC"))
+    sc = _kept(_with_vec(_fit(spark, sf_dir)[1]).select("RIMNO", "VEC"))
     scored = segment.isolation_scores(sc, "RIMNO", "VEC")
     return segment.flag_outliers(scored, GLOBAL_SHARE, None, "IS_GLOBAL_OUTLIER")
 
 
 def _flags(spark, sf_dir):
     """The segmentation input, written once, and its cluster and outlier labels."""
-    raw = _kept(_seg_input(spark, sf_dir))
-    scaled = _kept(segment.robust_scale(raw, SEG_COLUMNS))
-    _, _, model = segment.fit_best(scaled, SEG_COLUMNS, "RIMNO", (2, 8))
-    clustered = _kept(segment.gmm_segments(scaled, SEG_COLUMNS, "RIMNO", model=model))
+    raw = _fit(spark, sf_dir)[0]
+    clustered = _kept(_segments(spark, sf_dir))
     return raw, segment.outlier_flags(clustered, "RIMNO", SEG_COLUMNS, LOCAL_SHARE, GLOBAL_SHARE)
 
 
