@@ -4,6 +4,7 @@ density curve, box-plot statistics, correlations, monthly trend, MCC spend."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,13 +48,8 @@ def foreign_share(txn: DataFrame) -> DataFrame:
                          "N", F.round(F.col("N") * 100.0 / total, 4).alias("PCT"))
 
 
-def histograms(df: DataFrame, specs, prefix: str = "") -> DataFrame:
-    """Several equal-width histograms of one table with shared passes: one exact
-    quantile call for all trims, one aggregate for all bounds, one counting pass
-    (explode of (column, bin) pairs).  ``specs``: (column, bins, trim quantile or None,
-    strict trim)."""
-    spark = df.sparkSession
-    specs = [s for s in specs if s[0] in df.columns]
+def _trimmed(df: DataFrame, specs):
+    """A function from (column, trim quantile, strict) to the column as double, null where it is trimmed."""
     trims = {c: [q] for c, _, q, _ in specs if q is not None}
     caps = {c: v[0] for c, v in exact_quantiles_multi(df, trims).items()} if trims else {}
 
@@ -64,6 +60,18 @@ def histograms(df: DataFrame, specs, prefix: str = "") -> DataFrame:
             cond = cond & ((x < F.lit(caps[c])) if strict else (x <= F.lit(caps[c])))
         return F.when(cond, x)
 
+    return kept
+
+
+def histograms(df: DataFrame, specs, prefix: str = "") -> DataFrame:
+    """Several equal-width histograms of one table with shared passes: one exact
+    quantile call for all trims, one aggregate for all bounds, one counting pass
+    (explode of (column, bin) pairs).  ``specs``: (column, bins, trim quantile or None,
+    strict trim)."""
+    spark = df.sparkSession
+    specs = [s for s in specs if s[0] in df.columns]
+    kept = _trimmed(df, specs)
+
     bounds = df.agg(*[agg(kept(c, q, st)).alias(f"{k}{i}") for i, (c, _, q, st) in enumerate(specs)
                       for k, agg in (("lo", F.min), ("hi", F.max))]).first()
     live, bins_of = [], {}
@@ -91,24 +99,79 @@ def histograms(df: DataFrame, specs, prefix: str = "") -> DataFrame:
                     F.coalesce("N", F.lit(0)).cast("bigint").alias("N")))
 
 
-def kde_from_histogram(hist: DataFrame, points: int = 200) -> DataFrame:
-    """Gaussian density curve evaluated on ``points`` grid values per column, from the
-    binned data (bin centres weighted by counts), Scott bandwidth n^(-1/5) * std.
-    The work is bounded by bins x points per column."""
-    centre = (F.col("BIN_LO") + F.col("BIN_HI")) / 2
-    stats = hist.groupBy("COLUMN_NAME").agg(
-        F.sum("N").alias("_N"), F.sum(F.col("N") * centre).alias("_S1"),
-        F.sum(F.col("N") * centre * centre).alias("_S2"), F.min("BIN_LO").alias("_LO"), F.max("BIN_HI").alias("_HI"))
-    stats = stats.withColumn("_VAR", (F.col("_S2") - F.col("_S1") * F.col("_S1") / F.col("_N")) / (F.col("_N") - 1)) \
-        .withColumn("_H", F.sqrt(F.greatest("_VAR", F.lit(1e-300))) * F.pow(F.col("_N"), F.lit(-0.2)))
-    grid = stats.select("COLUMN_NAME", "_N", "_H", "_LO", "_HI",
-                        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("I")) \
-        .withColumn("X", F.col("_LO") + F.col("I") * (F.col("_HI") - F.col("_LO")) / F.lit(points - 1))
-    bins = hist.select("COLUMN_NAME", centre.alias("_C"), F.col("N").alias("_W"))
-    z = (F.col("X") - F.col("_C")) / F.col("_H")
-    dens = F.col("_W") * F.exp(-0.5 * z * z) / (F.col("_N") * F.col("_H") * F.lit(math.sqrt(2 * math.pi)))
-    return (grid.join(bins, "COLUMN_NAME").groupBy("COLUMN_NAME", "I", "X")
-            .agg(F.sum(dens).alias("DENSITY")).select("COLUMN_NAME", "I", "X", "DENSITY"))
+CELLS_PER_BANDWIDTH = 8
+MOMENTS = 8
+REACH = 9.0            # bandwidths; the kernel beyond is below 3e-18 of its height
+
+
+def _hermite(k: int) -> list[int]:
+    """Coefficients, lowest power first, of the probabilists' Hermite polynomial of degree k."""
+    before, now = [0], [1]
+    for n in range(k):
+        up = [0, *now]
+        before, now = now, [c - n * (before[i] if i < len(before) else 0) for i, c in enumerate(up)]
+    return now
+
+
+def density_error() -> float:
+    """Bound of a curve's error in parts of the greatest density that one row alone would have: the first
+    term left out of the expansion, |t| <= 1 / (2 cells), times the largest value of its Hermite function."""
+    t = 0.5 / CELLS_PER_BANDWIDTH
+    u = [i / 100 for i in range(-900, 901)]
+    top = max(abs(sum(c * x ** p for p, c in enumerate(_hermite(MOMENTS)))) * math.exp(-x * x / 2) for x in u)
+    return 1.1 * t ** MOMENTS / math.factorial(MOMENTS) * top
+
+
+def density(df: DataFrame, specs, points: int = 200, prefix: str = "") -> DataFrame:
+    """Gaussian density curves of the rows themselves on ``points`` values from least to greatest, bandwidth
+    by Scott's rule (sample standard deviation times n^(-1/5)).  ``specs`` as in ``histograms``.
+
+    The rows are summed up in cells of 1 / CELLS_PER_BANDWIDTH of a bandwidth by their first MOMENTS
+    power sums about the cell's middle, one partial aggregate for all columns; a cell's rows act on a point
+    through the Hermite expansion of the kernel, which with these numbers is within ``density_error()`` (below
+    1e-12) of the sum over all rows.  Linear binning is the same with two moments.  Cells reach
+    only the points within REACH bandwidths.  A column with fewer than two rows or without spread has no curve.
+    """
+    spark = df.sparkSession
+    specs = [s for s in specs if s[0] in df.columns]
+    kept = _trimmed(df, specs)
+    found = df.agg(*[agg(kept(c, q, st)).alias(f"{k}{i}") for i, (c, _, q, st) in enumerate(specs)
+                     for k, agg in (("n", F.count), ("s", F.stddev_samp), ("lo", F.min), ("hi", F.max))]).first()
+    live, curves = [], []
+    for i, (c, _, q, st) in enumerate(specs):
+        n, std, lo, hi = (found[f"{k}{i}"] for k in ("n", "s", "lo", "hi"))
+        if not std:
+            continue
+        h = std * n ** -0.2
+        x, name = kept(c, q, st), f"{prefix}{c}"
+        cell = F.floor((x - F.lit(lo)) * F.lit(CELLS_PER_BANDWIDTH / h))
+        t = (x - F.lit(lo)) / F.lit(h) - (cell + 0.5) / F.lit(float(CELLS_PER_BANDWIDTH))
+        live.append(F.when(x.isNotNull(), F.struct(F.lit(name).alias("COLUMN_NAME"), cell.alias("CELL"), t.alias("T"))))
+        curves.append((name, float(n), float(h), float(lo), float(hi)))
+    if not live:
+        return spark.createDataFrame([], "COLUMN_NAME string, I int, X double, DENSITY double")
+    cells = (df.select(F.explode(F.array_compact(F.array(*live))).alias("_C")).select("_C.*").groupBy("COLUMN_NAME", "CELL")
+             .agg(*[F.sum(F.pow("T", F.lit(float(k))) if k else F.lit(1.0)).alias(f"M{k}") for k in range(MOMENTS)]))
+    spine = spark.createDataFrame(curves, "COLUMN_NAME string, _N double, _H double, _LO double, _HI double")
+    middle = (F.col("CELL") + 0.5) / F.lit(float(CELLS_PER_BANDWIDTH))                # in bandwidths from the least value
+    step = (F.col("_HI") - F.col("_LO")) / F.lit(points - 1) / F.col("_H")            # as is the points' distance
+    first = F.greatest(F.lit(0), F.ceil((middle - REACH) / step)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((middle + REACH) / step)).cast("int")
+    near = (cells.join(F.broadcast(spine), "COLUMN_NAME")                           # a row for each of a few columns
+            .withColumns({"_FIRST": first, "_LAST": last}).where("_FIRST <= _LAST")
+            .withColumn("I", F.explode(F.sequence("_FIRST", "_LAST"))).withColumn("_U", F.col("I") * step - middle))
+    terms = []
+    for k in range(MOMENTS):
+        value = F.lit(0.0)
+        for c in reversed(_hermite(k)):
+            value = value * F.col("_U") + F.lit(float(c))
+        terms.append(F.col(f"M{k}") * value / F.lit(float(math.factorial(k))))
+    kernel = F.exp(-0.5 * F.col("_U") * F.col("_U")) * reduce(lambda a, b: a + b, terms)
+    sums = near.groupBy("COLUMN_NAME", "I").agg(F.sum(kernel).alias("_SUM"))
+    grid = F.broadcast(spine).withColumn("I", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    return (grid.join(sums, ["COLUMN_NAME", "I"], "left")
+            .select("COLUMN_NAME", "I", (F.col("_LO") + F.col("I") * (F.col("_HI") - F.col("_LO")) / F.lit(points - 1)).alias("X"),
+                    (F.coalesce("_SUM", F.lit(0.0)) / (F.col("_N") * F.col("_H") * F.lit(math.sqrt(2 * math.pi)))).alias("DENSITY")))
 
 
 def box_stats_capped(df: DataFrame, cols: list[str], cap_at: float) -> DataFrame:

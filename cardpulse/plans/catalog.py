@@ -404,23 +404,23 @@ def q_correlation(spark, sf_dir):
     return profile.correlation(_features(spark, sf_dir), contract.CORR_COLUMNS)
 
 
-def _histograms(spark, sf_dir, specs):
+def _per_source(spark, sf_dir, specs, make):
+    """``make(table, specs, prefix=)`` of each source of the specs, as one table."""
     sources = {"prime": lambda: fx.prime(spark, sf_dir), "txn": lambda: fx.txn(spark, sf_dir),
                "features": lambda: _features(spark, sf_dir), "rfm": lambda: _rfm(spark, sf_dir)}
     out = None
     for src in dict.fromkeys(s[0] for s in specs):  # sources in spec order
-        mine = [(c, b, q, st) for s0, c, b, q, st in specs if s0 == src]
-        h = profile.histograms(sources[src](), mine, prefix=f"{src}.")
-        out = h if out is None else out.unionByName(h)
+        part = make(sources[src](), [tuple(spec) for s0, *spec in specs if s0 == src], prefix=f"{src}.")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 def q_histogram(spark, sf_dir):
-    return _histograms(spark, sf_dir, contract.HIST_SPECS)
+    return _per_source(spark, sf_dir, contract.HIST_SPECS, profile.histograms)
 
 
 def q_kde(spark, sf_dir):
-    curve = profile.kde_from_histogram(_histograms(spark, sf_dir, contract.HIST_SPECS))
+    curve = _per_source(spark, sf_dir, contract.HIST_SPECS, profile.density)
     return curve.withColumns({"X": F.round("X", 6), "DENSITY": F.round("DENSITY", 9)})
 
 

@@ -149,18 +149,14 @@ def _histogram_parts() -> tuple[str, str]:
 
 
 def _kde(points: int = 200) -> str:
-    """The density curve over the bins of every histogram, as a plain sum over bins."""
-    ctes, hist = _histogram_parts()
-    return sql(f"""{ctes},
-hist AS ({hist}),
-hs AS (SELECT COLUMN_NAME, sum(N) AS cnt, sum(N * (BIN_LO + BIN_HI) / 2) AS s1,
-              sum(N * ((BIN_LO + BIN_HI) / 2) * ((BIN_LO + BIN_HI) / 2)) AS s2, min(BIN_LO) AS lo, max(BIN_HI) AS hi
-       FROM hist GROUP BY 1),
-hb AS (SELECT *, sqrt(greatest((s2 - s1 * s1 / cnt) / (cnt - 1), 1e-300)) * pow(cnt, -0.2) AS h FROM hs),
-g AS (SELECT hb.*, CAST(i AS INTEGER) AS I, lo + i * (hi - lo) / {points - 1} AS X FROM hb, range({points}) r(i))""", f"""
-SELECT COLUMN_NAME, I, round(X, 6) AS X, round(sum(N * exp(-0.5 * ((X - (BIN_LO + BIN_HI) / 2) / h) * ((X - (BIN_LO + BIN_HI) / 2) / h)))
-       / (any_value(cnt) * any_value(h) * sqrt(2 * pi())), 9) AS DENSITY
-FROM g JOIN hist USING (COLUMN_NAME) GROUP BY COLUMN_NAME, I, X""")
+    """The density curve of every histogram's rows: the kernel summed over the rows at every point."""
+    ctes, _ = _histogram_parts()
+    parts = [f"""SELECT '{src}.{col}' AS COLUMN_NAME, CAST(r.i AS INTEGER) AS I,
+  round(any_value(lo + r.i * (hi - lo) / {points - 1}), 6) AS X,
+  round(sum(exp(-0.5 * pow((lo + r.i * (hi - lo) / {points - 1} - x) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS DENSITY
+FROM range({points}) r(i), h{i}_x, (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h FROM h{i}_x)
+WHERE h > 0 GROUP BY r.i""" for i, (src, col, *_) in enumerate(contract.HIST_SPECS)]
+    return sql(ctes, "\nUNION ALL\n".join(parts))
 
 
 def _box(src: str, col: str, where: str = "TRUE") -> str:
