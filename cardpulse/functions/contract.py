@@ -78,19 +78,23 @@ TXN_LONG = ["CCY", "MCC", "SETTLEMENT_CCY"]
 TXN_DOUBLE = ["ORIG_AMOUNT", "EMBEDDED_FEE", "BILLING_AMT", "SETTLEMENT_AMT"]
 # Casts that the cast report applies, per table.
 PRIME_CAST_PLAN = {
-    "string": ["BRANCH_NAME", "ACTIVATED", "STATUS", "PRODUCT_NAME", "GENDER", "CUSTOMER_TYPE", "CARD_STATUS"],
+    "string": ["BRANCH_NAME", "ACTIVATED", "STATUS", "STATUS_NAME", "PRODUCT_NAME", "GENDER", "CUSTOMER_TYPE", "CARD_STATUS"],
     "float": ["CREDIT_LIMIT", "DELIQUENCY", "LEDGER_BALANCE", "AVAILABLE_LIMIT", "OVERDUEAMOUNT",
               "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD", "DOB_SERIAL"],
-    "int": ["RIMNO"],
+    "int": ["BRANCH_ID", "RIMNO"],
     "date": ["CREATION_DATE", "LAST_STATEMENT_DATE", "DOB", "CLOSURE_DATE"],
 }
 TXN_CAST_PLAN = {
     "string": ["MERCHNAME", "MERCH_ID", "SOURCES", "BANKBRANCH", "TRXN_COUNTRY", "REVERSAL_FLAG", "DESCRIPTION"],
     "float": ["ORIG_AMOUNT", "EMBEDDED_FEE", "BILLING_AMT", "SETTLEMENT_AMT"],
     "int": ["RIMNO", "CCY", "MCC", "SETTLEMENT_CCY"],
-    "date": ["POST_DATE"],
+    "date": ["TRXN_DATE", "POST_DATE"],
 }
 
+# Formats that a date column may have, in order of preference among equals.
+DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "dd-MM-yyyy", "MM-dd-yyyy",
+                "dd.MM.yyyy", "dd-MMM-yyyy", "yyyyMMdd"]
+
 # Columns of the categorical, demographic and correlation reports.
 TXN_CATEGORICAL = ["PRODUCT_NAME", "CCY", "MCC", "SETTLEMENT_CCY", "BANKBRANCH", "TRXN_COUNTRY", "REVERSAL_FLAG"]
 PRIME_CATEGORICAL = ["BRANCH_NAME", "FIRST_REPLACED_CARD", "SECOND_REPLACED_CARD", "THIRD_REPLACED_CARD"]

@@ -49,8 +49,25 @@ def month_label(c) -> Column:
     return F.upper(F.date_format(d, "yyyy-MMM"))
 
 
+class NamedDay(dt.date):
+    """A snapshot day with a label of its own, for files whose name tells no month."""
+
+    label: str
+
+
+def named(months: list[dt.date], labels: dict[dt.date, str]) -> list[dt.date]:
+    """``months`` with the given labels."""
+    out = []
+    for m in months:
+        if m in labels:
+            m = NamedDay(m.year, m.month, m.day)
+            m.label = labels[m]
+        out.append(m)
+    return out
+
+
 def label_of(d: dt.date) -> str:
-    return d.strftime("%Y-%b").upper()
+    return d.label if isinstance(d, NamedDay) else d.strftime("%Y-%b").upper()
 
 
 def snapshot_months(df: DataFrame, month_col: str = MONTH_COL, at_least: int = 1) -> list[dt.date]:
@@ -73,11 +90,3 @@ def rank_expr(months: list[dt.date], month_col: str = MONTH_COL) -> Column:
         cond = F.col(month_col) == F.lit(m)
         expr = F.when(cond, F.lit(i + 1)) if expr is None else expr.when(cond, F.lit(i + 1))
     return expr
-
-
-def label_expr(months: list[dt.date], month_col: str = MONTH_COL) -> Column:
-    expr = None
-    for m in months:
-        cond = F.col(month_col) == F.lit(m)
-        expr = F.when(cond, F.lit(label_of(m))) if expr is None else expr.when(cond, F.lit(label_of(m)))
-    return expr

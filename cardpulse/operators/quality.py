@@ -11,7 +11,7 @@ _CASTERS = {
     "string": lambda c: F.col(c).cast("string"),
     "float": lambda c: norm.try_double(c),
     "int": lambda c: norm.try_long(c),
-    "date": lambda c: norm.parse_date(c),
+    "date": lambda c: F.coalesce(norm.parse_date(c), norm.parse_timestamp(c).cast("date")),
 }
 
 
@@ -34,6 +34,46 @@ def cast_and_report(df: DataFrame, plan: dict[str, list[str]]) -> tuple[DataFram
     return casted, report
 
 
+def date_format_votes(df: DataFrame, columns: list[str], candidates: list[str] = contract.DATE_FORMATS) -> DataFrame:
+    """What each candidate format takes of the texts of each date column, from one aggregate.
+
+    (COLUMN_NAME, FORMAT, N_TEXT, N_ACCEPTED, N_REJECTED, IS_WINNER, N_AMBIGUOUS): the winner of a column is
+    the format that accepts most texts, the earlier candidate of equals; N_AMBIGUOUS are the texts
+    that the format accepts and another candidate reads as a different day (such as 03/04/2025).  Blank
+    texts do not vote.  The winner holds for the whole column, so one text never has two readings."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "COLUMN_NAME string, FORMAT string, N_TEXT long, N_ACCEPTED long, N_REJECTED long, "
+                                                   "IS_WINNER boolean, N_AMBIGUOUS long")
+    texts, days = {}, {}
+    for i, c in enumerate(columns):
+        x = norm.strip(F.col(c).cast("string"))
+        texts[f"_t{i}"] = F.when(x != "", x)
+        days |= {f"_d{i}_{j}": F.try_to_timestamp(F.col(f"_t{i}"), F.lit(f)).cast("date") for j, f in enumerate(candidates)}
+    read = df.select(*[e.alias(n) for n, e in texts.items()]).withColumns(days)
+    aggs = []
+    for i in range(len(columns)):
+        aggs.append(F.count(f"_t{i}").alias(f"n{i}"))
+        for j in range(len(candidates)):
+            mine = F.col(f"_d{i}_{j}")
+            other = F.lit(False)
+            for k in range(len(candidates)):
+                other = other | F.coalesce(F.col(f"_d{i}_{k}") != mine, F.lit(False)) if k != j else other
+            aggs += [F.count(mine).alias(f"a{i}_{j}"), F.count_if(mine.isNotNull() & other).alias(f"m{i}_{j}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("COLUMN_NAME"), F.lit(j).alias("_J"), F.lit(f).alias("FORMAT"), F.col(f"n{i}").alias("N_TEXT"),
+                              F.col(f"a{i}_{j}").alias("N_ACCEPTED"), F.col(f"m{i}_{j}").alias("N_AMBIGUOUS"),
+                              F.greatest(*[F.col(f"a{i}_{k}") for k in range(len(candidates))], F.lit(0)).alias("_BEST"),
+                              F.array(*[F.col(f"a{i}_{k}") for k in range(len(candidates))]).alias("_ALL"))
+                     for i, c in enumerate(columns) for j, f in enumerate(candidates)])
+    return df_rows(read.agg(*aggs), rows).select(
+        "COLUMN_NAME", "FORMAT", "N_TEXT", "N_ACCEPTED", (F.col("N_TEXT") - F.col("N_ACCEPTED")).alias("N_REJECTED"),
+        (F.array_position("_ALL", F.col("_BEST")) == F.col("_J") + 1).alias("IS_WINNER"), "N_AMBIGUOUS")
+
+
+def df_rows(one: DataFrame, rows) -> DataFrame:
+    """The structs of the array ``rows`` over a one-row frame, as rows."""
+    return one.select(F.explode(rows).alias("_R")).select("_R.*")
+
+
 def missing_profile(frames: dict[str, DataFrame]) -> DataFrame:
     """Share of nulls per column (only columns with some), with a severity band."""
     out = None

@@ -282,6 +282,16 @@ def q_cast_report(spark, sf_dir):
     return prime.withColumn("TABLE_NAME", F.lit("prime")).unionByName(txn.withColumn("TABLE_NAME", F.lit("txn")))
 
 
+def q_date_formats(spark, sf_dir):
+    """The vote on three text columns: one format with junk, day and month in two orders, two formats."""
+    raw, row = fx.prime_raw(spark, sf_dir), F.col("ROW_ID")
+    texts = raw.select("DOB", F.when(row % 50 == 0, F.date_format("CREATION_DATE", "MM/dd/yyyy"))
+                       .otherwise(F.date_format("CREATION_DATE", "dd/MM/yyyy")).alias("CREATED"),
+                       F.when(row % 7 == 0, F.date_format("CLOSURE_DATE", "dd.MM.yyyy"))
+                       .otherwise(F.date_format("CLOSURE_DATE", "yyyyMMdd")).alias("CLOSED"))
+    return quality.date_format_votes(texts, ["DOB", "CREATED", "CLOSED"])
+
+
 def q_parse_numeric(spark, sf_dir):
     raw = fx.prime_raw(spark, sf_dir)
     return raw.select("ROW_ID", F.col("RIMNO").alias("RIMNO_RAW"), norm.parse_int("RIMNO").alias("RIMNO_INT"),
@@ -565,6 +575,7 @@ QUERIES: dict[str, Query] = {
     "change_summary": q_change_summary,
     "common_ids": q_common_ids,
     "cast_report": q_cast_report,
+    "date_formats": q_date_formats,
     "parse_numeric": q_parse_numeric,
     "excel_serial_date": q_excel_serial_date,
     "missing_profile": q_missing_profile,

@@ -44,7 +44,7 @@ def _after(t: str, c: str) -> str:
         return f"{_num(c)} IS NULL"
     if t == "int":
         return f"{_int(c)} IS NULL"
-    return f"try_strptime(trim(CAST({c} AS VARCHAR)), '%Y-%m-%d') IS NULL"
+    return f"coalesce(try_strptime(trim(CAST({c} AS VARCHAR)), '%Y-%m-%d'), try_strptime(trim(CAST({c} AS VARCHAR)), '%Y-%m-%d %H:%M:%S')) IS NULL"
 
 
 def _cast_report() -> str:
@@ -58,6 +58,36 @@ def _cast_report() -> str:
     return sql("", "\nUNION ALL\n".join(parts))
 
 
+_STRPTIME = {"yyyy": "%Y", "MMM": "%b", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S"}
+
+
+# Dates as texts: one in 50 rows in the other order of day and month, one in 7 closures with dots.
+DATE_TEXTS = """
+texts AS (SELECT ROW_ID AS rid, DOB,
+  CASE WHEN ROW_ID % 50 = 0 THEN strftime(CREATION_DATE, '%m/%d/%Y') ELSE strftime(CREATION_DATE, '%d/%m/%Y') END AS CREATED,
+  CASE WHEN ROW_ID % 7 = 0 THEN strftime(CLOSURE_DATE, '%d.%m.%Y') ELSE strftime(CLOSURE_DATE, '%Y%m%d') END AS CLOSED
+  FROM prime_raw)"""
+
+
+def _date_formats() -> str:
+    """Texts that a format writes back as they are count as accepted."""
+    parts = []
+    for col in ("DOB", "CREATED", "CLOSED"):
+        for j, f in enumerate(contract.DATE_FORMATS):
+            p = f
+            for a, b in _STRPTIME.items():
+                p = p.replace(a, b)
+            parts.append(f"""SELECT '{col}' AS COLUMN_NAME, {j} AS j, '{f}' AS FORMAT, rid, nullif(trim({col}), '') AS x,
+  CASE WHEN strftime(try_strptime(trim({col}), '{p}'), '{p}') = trim({col}) THEN CAST(try_strptime(trim({col}), '{p}') AS DATE) END AS d FROM texts""")
+    return sql(DATE_TEXTS + ", reads AS (" + "\nUNION ALL\n".join(parts) + """),
+lim AS (SELECT COLUMN_NAME, rid, min(d) AS lo, max(d) AS hi FROM reads GROUP BY 1, 2),
+cnt AS (SELECT r.COLUMN_NAME, r.j, any_value(r.FORMAT) AS FORMAT, count(r.x) AS N_TEXT, count(r.d) AS N_ACCEPTED,
+        count(*) FILTER (WHERE r.d IS NOT NULL AND l.lo <> l.hi) AS N_AMBIGUOUS
+        FROM reads r JOIN lim l ON r.COLUMN_NAME = l.COLUMN_NAME AND r.rid = l.rid GROUP BY 1, 2)""", """
+SELECT COLUMN_NAME, FORMAT, N_TEXT, N_ACCEPTED, N_TEXT - N_ACCEPTED AS N_REJECTED,
+       row_number() OVER (PARTITION BY COLUMN_NAME ORDER BY N_ACCEPTED DESC, j) = 1 AS IS_WINNER, N_AMBIGUOUS FROM cnt""")
+
+
 def _missing_profile() -> str:
     parts = []
     for table, cols in (("prime", PRIME_COLUMNS), ("txn", TXN_COLUMNS)):
@@ -265,6 +295,7 @@ SELECT last_day(spine.m) AS MONTH_END, CAST(coalesce(c, 0) AS BIGINT) AS TXN_COU
     q["correlation"] = sql(FEATURES, f"""
 SELECT COL_A, COL_B, round(CASE WHEN isnan(c) THEN NULL ELSE c END, 6) AS CORR FROM ({' UNION ALL '.join(corr_parts)})""")
     q["histogram"] = sql(*_histogram_parts())
+    q["date_formats"] = _date_formats()
     q["kde"] = _kde()
     q["cap_before_after"] = _cap_before_after()
     q["boxplot_by_delinquency"] = sql(FEATURES, f"""

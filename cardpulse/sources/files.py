@@ -10,8 +10,15 @@
 
 from __future__ import annotations
 
+import csv
+import datetime as dt
 import re
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,10 +45,50 @@ def _options(encoding: str, multi_line: bool) -> dict:
             "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+def _safe_names(header: list[str]) -> list[str]:
+    """Header names as the CSV reader has them: an empty one is _c and its place, a repeated one gets its place."""
+    often = {k for k, n in Counter(c.lower() for c in header).items() if n > 1}
+    return [f"_c{i}" if not c else f"{c}{i}" if c.lower() in often else c for i, c in enumerate(header)]
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def file_headers(spark: SparkSession, paths, encoding: str = "ISO-8859-1") -> dict[str, list[str]]:
-    """Header of every file under ``paths``: one line read per file, as many entries as files."""
-    files = sorted(spark.read.text(paths).inputFiles())
-    return {f: spark.read.options(**_options(encoding, False)).csv(f).columns for f in files}
+    """Header of every file under ``paths`` that has a line: one job for all files, whatever their number.
+
+    Every split is a task of its own that hands on lines one by one and ends with the first line of
+    text, or at once where the split is not the start of its file; so only the head of a file is
+    read.  As many entries as files reach the driver."""
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            line, start = batch.column(1)[0].as_py(), batch.column(2)[0].as_py()
+            if start != 0:
+                return
+            if line.strip():
+                yield batch.slice(0, 1).select(["file", "line"])
+                return
+
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"),
+                                          F.col("_metadata.file_block_start").alias("start"))
+    wide = str(1 << 30)
+    with _settings(spark, {"spark.sql.files.maxPartitionBytes": wide, "spark.sql.files.openCostInBytes": wide,
+                           "spark.sql.files.minPartitionNum": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
+        found = {unquote(r["file"]): bytes(r["line"]) for r in lines.mapInArrow(first_lines, "file string, line binary").collect()}
+    decoded = {f: line.removeprefix(b"\xef\xbb\xbf").decode(encoding) for f, line in sorted(found.items())}
+    return {f: _safe_names(next(csv.reader([line.rstrip("\r")]))) for f, line in decoded.items()}
 
 
 def read_csv_files(spark: SparkSession, paths, aliases: dict[str, str], encoding: str = "ISO-8859-1",
@@ -71,7 +118,24 @@ def read_snapshots(spark: SparkSession, paths, aliases: dict[str, str] | None =
                    encoding: str = "ISO-8859-1", multi_line: bool = False) -> DataFrame:
     """All monthly snapshot CSVs, every column as text, plus SNAP_MONTH; see ``absent_columns``."""
     df = read_csv_files(spark, paths, contract.PRIME_ALIASES if aliases is None else aliases, encoding, multi_line)
-    return df.withColumn(MONTH_COL, month_from_path(F.col("SOURCE_FILE"))).drop("SOURCE_FILE")
+    name = F.col("SOURCE_FILE")
+    month = month_from_path(name)
+    for day, label in snapshot_labels(spark, paths).items():       # files whose name tells no month
+        month = F.when(F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "") == label, F.lit(day)).otherwise(month)
+    return df.withColumn(MONTH_COL, month).drop("SOURCE_FILE")
+
+
+def _names(spark: SparkSession, paths) -> list[str]:
+    """Paths of the files, from their listing: no file is opened."""
+    return sorted(r[0] for r in spark.read.format("binaryFile").load(paths).select("path").collect())
+
+
+def snapshot_labels(spark: SparkSession, paths) -> dict:
+    """day -> label of the snapshots whose file name tells no month: each distinct stem is a snapshot of its own,
+    on days from 1900-01-01 on in the order of the stems, so they come before all months.
+    ``months.named(snapshot_months(df), labels)`` gives audits and labels these names."""
+    stems = sorted({label_of_name(f) for f in _names(spark, paths) if month_of_name(f) == FALLBACK_MONTH})
+    return {FALLBACK_MONTH + dt.timedelta(days=i): stem for i, stem in enumerate(stems)}
 
 
 def absent_columns(spark: SparkSession, paths, aliases: dict[str, str] | None = None,
@@ -79,18 +143,29 @@ def absent_columns(spark: SparkSession, paths, aliases: dict[str, str] | None =
     """month -> canonical columns that some file has and that month's files lack, for the ``absent``
     parameter of the lifecycles and the change log."""
     found: dict = {}
+    days = {label: day for day, label in snapshot_labels(spark, paths).items()}
     for f, header in file_headers(spark, paths, encoding).items():
         names = canonical_headers(header, contract.PRIME_ALIASES if aliases is None else aliases)
-        found.setdefault(month_of_name(f), set()).update(names)
+        month = month_of_name(f)
+        found.setdefault(days[label_of_name(f)] if month == FALLBACK_MONTH else month, set()).update(names)
     every = set().union(*found.values()) if found else set()
     return {m: every - has for m, has in found.items() if every - has}
 
 
 def unmatched_files(spark: SparkSession, paths) -> DataFrame:
-    """(FILE, LABEL) of the files whose name tells no month; they are read as 1900-01-01 and labelled by their stem."""
-    files = sorted(spark.read.text(paths).inputFiles())
-    rows = [(f, label_of_name(f)) for f in files if month_of_name(f) == FALLBACK_MONTH]
-    return spark.createDataFrame(rows, "FILE string, LABEL string")
+    """(FILE, LABEL, SNAP_MONTH) of the files whose name tells no month; see ``snapshot_labels``."""
+    days = {label: day for day, label in snapshot_labels(spark, paths).items()}
+    rows = [(f, label_of_name(f), days[label_of_name(f)]) for f in _names(spark, paths) if month_of_name(f) == FALLBACK_MONTH]
+    return spark.createDataFrame(rows, f"FILE string, LABEL string, {MONTH_COL} date")
+
+
+def vote_formats(raw: DataFrame, columns, candidates=contract.DATE_FORMATS) -> dict[str, str]:
+    """The format of each date column that most of its texts have (``quality.date_format_votes``), for the
+    ``formats`` of the contract; a column without an accepted text keeps ISO."""
+    from cardpulse.operators.quality import date_format_votes
+    present = [c for c in columns if c in raw.columns]
+    won = date_format_votes(raw, present, candidates).where("IS_WINNER AND N_ACCEPTED > 0").select("COLUMN_NAME", "FORMAT").collect()
+    return {r["COLUMN_NAME"]: r["FORMAT"] for r in won}
 
 
 def apply_contract(df: DataFrame, strings=(), longs=(), doubles=(), dates=(), timestamps=(),

@@ -23,7 +23,8 @@ def snapshot_ingest(spark: SparkSession, landing: str, table_path: str, checkpoi
                     formats: dict[str, str] | None = None, encoding: str = "ISO-8859-1",
                     max_files_per_trigger: int | None = None, available_now: bool = True):
     """Add newly landed snapshot files to the partitioned snapshot table."""
-    reader = spark.readStream.format("text")
+    # only the path is selected, so the source lists files and opens none
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
@@ -34,7 +35,7 @@ def snapshot_ingest(spark: SparkSession, landing: str, table_path: str, checkpoi
              .withColumn("INGEST_BATCH", F.lit(batch_id)).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy(MONTH_COL, "INGEST_BATCH").parquet(table_path))
 
-    stream = reader.load(landing).select(F.col("_metadata.file_path").alias("_file"))
+    stream = reader.load(landing).select(F.col("path").alias("_file"))
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -92,3 +92,56 @@ def test_id_list_and_bom(spark, tmp_dir):
     files.write_csv(ids.coalesce(1), os.path.join(tmp_dir, "csv"), bom=True)
     part = [f for f in os.listdir(os.path.join(tmp_dir, "csv")) if f.startswith("part")][0]
     assert open(os.path.join(tmp_dir, "csv", part), "rb").read().startswith(b"\xef\xbb\xbfRIMNO")
+
+
+def test_headers_of_many_files_take_one_job(spark, tmp_dir):
+    names = {}
+    for i in range(200):
+        extra = f",X{i % 3}" if i % 5 else ""
+        body = "\n" * (i % 2) + f"RIM_NO,NAME{extra}\r\n" + "".join(f"{k},n,1\n" for k in range(i % 7))
+        _write(os.path.join(tmp_dir, f"p {i}_JUL_2025.csv"), body)
+        names[f"p {i}_JUL_2025.csv"] = ["RIM_NO", "NAME"] + ([f"X{i % 3}"] if i % 5 else [])
+    _write(os.path.join(tmp_dir, "none_JUL_2025.csv"), "")
+    _write(os.path.join(tmp_dir, "big_JUL_2025.csv"), "\xef\xbb\xbfA,,\"b\"\"q\",A\n" + "1,2,3,4\n" * 200_000)
+    spark.sparkContext.setJobGroup("headers", "headers")
+    got = files.file_headers(spark, tmp_dir)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2     # the listing of many files may be a job of its own
+    by = {f.rsplit("/", 1)[-1]: h for f, h in got.items()}
+    assert by.pop("big_JUL_2025.csv") == ["A0", "_c1", 'b"q', "A3"] and by == names
+    assert files.read_snapshots(spark, [os.path.join(tmp_dir, f"p {i}_JUL_2025.csv") for i in (1, 2, 6)]).count() == 9
+
+
+def test_files_without_a_month_are_snapshots_of_their_own(spark, tmp_dir):
+    from cardpulse.functions.months import named, snapshot_months
+    from cardpulse.operators import audit
+    _write(os.path.join(tmp_dir, "first batch.csv"), "RIMNO,ACTIVATED\n1,A\n2,A\n")
+    _write(os.path.join(tmp_dir, "second.csv"), "RIMNO\n2\n3\n")
+    _write(os.path.join(tmp_dir, "prime_JUL_2025.csv"), "RIMNO,ACTIVATED\n3,A\n")
+    df = files.read_snapshots(spark, tmp_dir)
+    labels = files.snapshot_labels(spark, tmp_dir)
+    months = named(snapshot_months(df), labels)
+    got = [(r["FROM_MONTH"], r["TO_MONTH"], r["N_PREV"], r["N_CURR"], r["N_NEW"], r["N_MISSING"])
+           for r in audit.month_new_missing(df, months=months).collect()]
+    assert sorted(got) == [("first batch", "second", 2, 2, 1, 1), ("second", "2025-JUL", 2, 1, 0, 1)]
+    assert files.absent_columns(spark, tmp_dir) == {dt.date(1900, 1, 2): {"ACTIVATED"}}
+    assert sorted(tuple(r)[1:] for r in files.unmatched_files(spark, tmp_dir).collect()) == [
+        ("first batch", dt.date(1900, 1, 1)), ("second", dt.date(1900, 1, 2))]
+
+
+def test_date_formats_are_voted(spark, tmp_dir):
+    from cardpulse.operators import quality
+    rows = [("2025-01-02", "13/02/2025", "03/04/2025", "x", None)] * 3 + [("01/02/2025", "03/04/2025", "05/04/2025", "", " ")]
+    df = spark.createDataFrame(rows, "ISO string, DAYS string, BOTH string, JUNK string, EMPTY string")
+    votes = {(r["COLUMN_NAME"], r["FORMAT"]): r for r in quality.date_format_votes(df, df.columns).collect()}
+    won = {c: (f, r["N_TEXT"], r["N_ACCEPTED"], r["N_REJECTED"], r["N_AMBIGUOUS"]) for (c, f), r in votes.items() if r["IS_WINNER"]}
+    assert won == {"ISO": ("yyyy-MM-dd", 4, 3, 1, 0), "DAYS": ("dd/MM/yyyy", 4, 4, 0, 1), "BOTH": ("dd/MM/yyyy", 4, 4, 0, 4),
+                   "JUNK": ("yyyy-MM-dd", 3, 0, 3, 0), "EMPTY": ("yyyy-MM-dd", 0, 0, 0, 0)}
+    assert votes["DAYS", "MM/dd/yyyy"]["N_ACCEPTED"] == 1 and votes["ISO", "MM/dd/yyyy"]["N_ACCEPTED"] == 1
+    formats = files.vote_formats(df, df.columns)
+    assert formats == {"ISO": "yyyy-MM-dd", "DAYS": "dd/MM/yyyy", "BOTH": "dd/MM/yyyy"}
+    typed = files.apply_contract(df, dates=["ISO", "DAYS"], formats=formats)
+    assert [str(r["DAYS"]) for r in typed.select("DAYS").distinct().orderBy("DAYS").collect()] == ["2025-02-13", "2025-04-03"]
+    assert [r["ISO"] for r in typed.where("ISO IS NULL").collect()] == [None]
+    assert quality.date_format_votes(df, []).count() == 0 and quality.date_format_votes(df.limit(0), ["ISO"]).count() == 10
