@@ -49,16 +49,27 @@ def customer_keys(prime: DataFrame, id_col: str = "RIMNO", dob_col: str = "DOB",
     return out.checkpoint(eager=True)
 
 
+def same(a: Column, b: Column) -> Column:
+    """Null-safe equality that the planner leaves as a condition on matched rows, not as one more join key: with
+    both sides stored by id, the id alone decides where rows meet."""
+    return F.coalesce(a == b, F.lit(False)) | (a.isNull() & b.isNull())
+
+
 def assign_customer_ids(prime: DataFrame, keys: DataFrame | None = None, id_col: str = "RIMNO",
-                        dob_col: str = "DOB") -> DataFrame:
+                        dob_col: str = "DOB", located: bool = False) -> DataFrame:
     """Left join with null-safe key equality (a null id or DOB matches a null).
 
     One scan, one join.  All id-less rows share the null join key, i.e. one shuffle
     partition; AQE's skew join (enabled in the session settings) splits that
     partition of the streamed left side across tasks at run time, each joined with
-    the few id-less keys of the right side."""
+    the few id-less keys of the right side.
+
+    ``located``: both sides are stored by id, ids are canonical and not null (``sources.storage``)."""
     keys = keys if keys is not None else customer_keys(prime, id_col, dob_col)
     k = keys.select(F.col(id_col).alias("_K_ID"), F.col(dob_col).alias("_K_DOB"), "CUSTOMER_ID")
+    if located:
+        cond = (F.col(id_col) == F.col("_K_ID")) & same(F.col(dob_col), F.col("_K_DOB"))
+        return prime.join(k, cond, "left").drop("_K_ID", "_K_DOB")
     cond = F.col(id_col).eqNullSafe(F.col("_K_ID")) & F.col(dob_col).eqNullSafe(F.col("_K_DOB"))
     prime = prime.withColumn(id_col, norm.numeric_id(id_col))  # any other id is none
     return prime.join(k, cond, "left").drop("_K_ID", "_K_DOB")
@@ -71,7 +82,7 @@ def is_historical(status_col: str = "STATUS", card_status_col: str = "CARD_STATU
 
 
 def segment(with_ids: DataFrame, id_col: str = "RIMNO", product_col: str = "PRODUCT_NAME",
-            dob_col: str = "DOB") -> DataFrame:
+            dob_col: str = "DOB", located: bool = False) -> DataFrame:
     """SEGMENT in {historical, active, relative}.
 
     Historical: both status columns in the inactive code list.  Among the other
@@ -90,14 +101,19 @@ def segment(with_ids: DataFrame, id_col: str = "RIMNO", product_col: str = "PROD
                    F.min(dob_col).alias("_OLDEST_DOB"))
               .where(F.col("_MIN_CID") != F.col("_MAX_CID"))
               .select(*[F.col(k).alias(f"_G_{k}") for k in grp_keys], "_OLDEST_DOB"))
+    relative = F.col("_OLDEST_DOB").isNotNull() & ~F.col(dob_col).eqNullSafe(F.col("_OLDEST_DOB"))
+    label = F.when(F.col("_HIST"), "historical").when(relative, "relative").otherwise("active")
+    if located:
+        cond = F.col(id_col) == F.col(f"_G_{id_col}")
+        for k in (MONTH_COL, product_col):
+            cond = cond & same(F.col(k), F.col(f"_G_{k}"))
+        return base.join(groups, cond & eligible, "left").withColumn("SEGMENT", label).select(*with_ids.columns, "SEGMENT")
     # rows outside any card group get a key of their own: one join, one scan of the rows
     key = F.when(eligible, F.col(id_col)).otherwise(F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
     cond = (F.col("_JK") == F.col(f"_G_{id_col}")) & (F.col(MONTH_COL) == F.col(f"_G_{MONTH_COL}")) \
         & (F.col(product_col) == F.col(f"_G_{product_col}"))
     joined = base.withColumn("_JK", key).join(groups, cond, "left")
-    relative = F.col("_OLDEST_DOB").isNotNull() & ~F.col(dob_col).eqNullSafe(F.col("_OLDEST_DOB"))
-    return joined.withColumn("SEGMENT", F.when(F.col("_HIST"), "historical").when(relative, "relative").otherwise("active")) \
-        .select(*with_ids.columns, "SEGMENT")
+    return joined.withColumn("SEGMENT", label).select(*with_ids.columns, "SEGMENT")
 
 
 def customer_lookup(segmented: DataFrame, id_col: str = "RIMNO", product_col: str = "PRODUCT_NAME") -> DataFrame:
@@ -116,7 +132,7 @@ def latest_lookup(segmented: DataFrame, id_col: str = "RIMNO", product_col: str
 
 
 def map_transactions(txn: DataFrame, lookup: DataFrame, id_col: str = "RIMNO",
-                     product_col: str = "PRODUCT_NAME") -> DataFrame:
+                     product_col: str = "PRODUCT_NAME", located: bool = False) -> DataFrame:
     """Left join on (RIMNO, PRODUCT_NAME), the product null-safe; a key held by several
     CUSTOMER_IDs multiplies the transaction (as the studied mapping does).  A transaction
     without an id belongs to no customer: it stays one row without a CUSTOMER_ID and gets a
@@ -126,6 +142,9 @@ def map_transactions(txn: DataFrame, lookup: DataFrame, id_col: str = "RIMNO",
     broadcast by AQE once its measured size allows.  A hot key is split by AQE's skew join
     on the streamed transaction side."""
     lk = lookup.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_L_ID"), F.col(product_col).alias("_L_P"), "CUSTOMER_ID")
+    if located:
+        cond = (F.col(id_col) == F.col("_L_ID")) & same(F.col(product_col), F.col("_L_P"))
+        return txn.join(lk, cond, "left").drop("_L_ID", "_L_P")
     cond = (F.col("_JK") == F.col("_L_ID")) & F.col(product_col).eqNullSafe(F.col("_L_P"))
     txn = txn.withColumn(id_col, norm.numeric_id(id_col))
     return txn.withColumn("_JK", spread_null_key(id_col)).join(lk, cond, "left").drop("_JK", "_L_ID", "_L_P")

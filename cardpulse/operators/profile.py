@@ -4,21 +4,108 @@ density curve, box-plot statistics, correlations, monthly trend, MCC spend."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cardpulse.functions import contract
+from cardpulse.functions.blocks import ordered_sums
 from cardpulse.functions.stats import exact_quantiles_multi, grouped_exact_quantiles, interpolate, order_statistics
+from cardpulse.session import checkpoint_dir
+
+
+SUMMARY_SIZE = 1024
+WIDEST_SUMMARY = 1 << 18
+
+
+def frequent_items(df: DataFrame, col: str, size: int) -> DataFrame:
+    """(VALUE, LOWER, P, ERROR): a frequent-items summary (Misra and Gries) of every task of a scan.
+
+    A task keeps at most ``size`` values with lower bounds of their counts; what it takes off all of them
+    to stay within is its ERROR, so a value's count in the task is in [LOWER, LOWER + ERROR], LOWER being 0
+    for values that are not kept.  Summaries add up: lower bounds by value, errors over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held, error = None, 0
+        for batch in batches:
+            counts = pc.value_counts(batch.column(0))
+            part = pa.table({"VALUE": counts.field(0), "LOWER": counts.field(1)})
+            held = part if held is None else pa.concat_tables([held, part]).group_by("VALUE").aggregate([("LOWER", "sum")]) \
+                .rename_columns({"LOWER_sum": "LOWER"}).select(["VALUE", "LOWER"])
+            if len(held) > size:
+                n = held["LOWER"].to_numpy()
+                cut = int(np.partition(n, len(n) - size - 1)[len(n) - size - 1])     # the greatest that goes
+                error += cut
+                held = held.filter(pc.greater(held["LOWER"], cut))
+                held = held.set_column(1, "LOWER", pc.subtract(held["LOWER"], cut))
+        if held is None:
+            return
+        pid = TaskContext.get().partitionId()
+        held = held.combine_chunks()
+        rows = len(held)
+        # a row without a value carries the error of a task, whether or not values are left
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array([None], pa.string()), *held["VALUE"].cast(pa.string()).chunks]),
+             pa.concat_arrays([pa.array([0], pa.int64()), *held["LOWER"].cast(pa.int64()).chunks]),
+             pa.array([pid] * (rows + 1), pa.int32()), pa.array([error] + [0] * rows, pa.int64())], ["VALUE", "LOWER", "P", "ERROR"])
+
+    values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("VALUE"))
+    return values.mapInArrow(run, "VALUE string, LOWER long, P int, ERROR long")
+
+
+def heavy_hitters(df: DataFrame, col: str, k: int, size: int = SUMMARY_SIZE, report: dict | None = None) -> DataFrame:
+    """(VALUE, N) of the ``k`` most frequent non-null values, exact, ties broken by value.
+
+    One scan gives summaries of the tasks.  With E the sum of their errors and L the k-th greatest lower bound,
+    a value whose lower bound plus E is below L cannot be among the first k, nor tie with them; if E itself is
+    below L that holds for all values that no task kept.  Then the values left are counted exactly in a second scan.
+    Otherwise the summaries are widened fourfold and taken again; where even ``WIDEST_SUMMARY`` values do
+    not decide (all values are about equally rare), all values are counted.  Neither way shuffles the values
+    of a column with many, except the last."""
+    text = F.col(col).cast("string").alias("VALUE")
+    while size <= WIDEST_SUMMARY:
+        marks = _written(frequent_items(df, col, size))
+        error = marks.agg(F.coalesce(F.sum("ERROR"), F.lit(0))).first()[0]
+        lower = marks.where("VALUE IS NOT NULL").groupBy("VALUE").agg(F.sum("LOWER").alias("LOWER"))
+        best = [r["LOWER"] for r in lower.orderBy(F.desc("LOWER")).limit(k).collect()]       # k numbers
+        least = best[-1] if len(best) == k else 0
+        if error == 0 or error < least:
+            if report is not None:
+                report.update(size=size, error=error, scans=1 if error == 0 else 2)
+            if error == 0:      # nothing was taken off: lower bounds are counts
+                return lower.select("VALUE", F.col("LOWER").alias("N")).orderBy(F.desc("N"), F.asc("VALUE")).limit(k)
+            left = lower.where(F.col("LOWER") + error >= least).select(F.col("VALUE").alias("_V"))
+            # at most (number of rows) / (least - error) values; few, but joined as the planner sees fit
+            counts = (df.where(F.col(col).isNotNull()).select(text).join(left, F.col("VALUE") == F.col("_V"), "left_semi")
+                      .groupBy("VALUE").agg(F.count(F.lit(1)).alias("N")))
+            return counts.orderBy(F.desc("N"), F.asc("VALUE")).limit(k)
+        size *= 4
+    if report is not None:
+        report.update(size=None, error=None, scans=None)
+    return _all_counted(df, col, k)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _all_counted(df: DataFrame, col: str, k: int) -> DataFrame:
+    return (df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("VALUE"))
+            .agg(F.count(F.lit(1)).alias("N")).orderBy(F.desc("N"), F.asc("VALUE")).limit(k))
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
     """Most frequent non-null values (ties broken by value): a top-k report."""
-    return (df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("VALUE"))
-            .agg(F.count(F.lit(1)).alias("N"))
-            .orderBy(F.desc("N"), F.asc("VALUE")).limit(k))
+    return heavy_hitters(df, col, k)
 
 
 def demographics(df: DataFrame, cols: list[str], k: int = 8) -> DataFrame:
@@ -211,16 +298,52 @@ def grouped_box_stats(df: DataFrame, group_col: str, col: str) -> DataFrame:
             .select(group_col, "N", "Q1", "MEDIAN", "Q3", "WHISKER_LO", "WHISKER_HI", "N_OUTLIERS"))
 
 
+def gram(df: DataFrame, cols: list[str]) -> np.ndarray:
+    """G = W'W over the rows of W = [m, x, x * x], m telling which columns are present and x (0 where absent)
+    taken around the columns' means: all pairwise-complete counts, sums, squares and products at once.
+
+    Each task multiplies blocks of rows, so a row costs one matrix product and what is shuffled are
+    3d rows of 3d numbers a task, added in the order of the tasks."""
+    d = len(cols)
+    values = [F.col(c).cast("double") for c in cols]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()
+    middle = np.array([means[f"m{i}"] or 0.0 for i in range(d)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros((3 * d, 3 * d))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            null = np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = np.where(null, 0.0, x - middle)
+            w = np.hstack([~null, x, x * x]).astype(float)
+            total += w.T @ w
+        pid = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(3 * d), pa.int32()), pa.array([pid] * 3 * d, pa.int32()),
+                                          pa.array(total.tolist(), pa.list_(pa.float64()))], ["R", "P", "S"])
+
+    parts = df.select(*[v.alias(f"x{i}") for i, v in enumerate(values)]).mapInArrow(run, "R int, P int, S array<double>")
+    out = np.zeros((3 * d, 3 * d))
+    for r in ordered_sums(parts, ["R"]).collect():      # 3d rows
+        out[r["R"]] = r["S"]
+    return out
+
+
 def correlation(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation, lower triangle, all pairs in one aggregate."""
+    """Pairwise-complete Pearson correlation, lower triangle, from one Gram matrix; null where a column has
+    no spread over the pair's rows or a value is NaN."""
     cols = [c for c in cols if c in df.columns]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("COL_A"), F.lit(b).alias("COL_B"), F.col(f"c{i}").alias("CORR"))
-                     for i, (a, b) in enumerate(pairs)])
-    return agg.select(F.explode(rows).alias("_R")).select(
-        "_R.COL_A", "_R.COL_B", F.round(F.when(~F.isnan("_R.CORR"), F.col("_R.CORR")), 6).alias("CORR"))
+    d, g = len(cols), gram(df, cols)
+    n, s, q, p = g[:d, :d], g[d:2 * d, :d], g[2 * d:, :d], g[d:2 * d, d:2 * d]      # [i, j]: over rows that have i and j
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cross = p - s * s.T / n
+        spread = q - s * s / n
+        r = cross / np.sqrt(spread * spread.T)
+    flat = spread <= 1e-12 * np.maximum(q, np.finfo(float).tiny)
+    rows = [(cols[i], cols[j], None if flat[i, j] or flat[j, i] or not np.isfinite(r[i, j]) else round(float(r[i, j]), 6))
+            for i in range(d) for j in range(i)]
+    return df.sparkSession.createDataFrame(rows, "COL_A string, COL_B string, CORR double")
 
 
 def monthly_trend(txn: DataFrame, start: str, end: str, date_col: str = "TRXN_DATE",

@@ -18,6 +18,7 @@ from cardpulse.functions.stats import exact_quantiles_multi
 from cardpulse.operators import audit, churn, compare, features, identity, profile, quality, segment, state
 from cardpulse.session import checkpoint_dir, scratch_path
 from cardpulse.sources import fixtures as fx
+from cardpulse.sources import storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +96,21 @@ def q_txn_mapped(spark, sf_dir):
     return mapped.where(F.col("CUSTOMER_ID").isNotNull())
 
 
+def _identified(spark, sf_dir):
+    cols = ["ROW_ID", MONTH_COL, "RIMNO", "PRODUCT_NAME", "DOB", "STATUS", "CARD_STATUS"]
+    return storage.identify(fx.prime(spark, sf_dir).select(cols), fx.txn(spark, sf_dir))
+
+
+def q_relatives_located(spark, sf_dir):
+    """Relatives by the chain of joins over tables stored by id."""
+    return _identified(spark, sf_dir).segmented.where("SEGMENT = 'relative'").select(
+        "ROW_ID", MONTH_COL, "RIMNO", "PRODUCT_NAME", "DOB", "CUSTOMER_ID")
+
+
+def q_txn_mapped_located(spark, sf_dir):
+    return _identified(spark, sf_dir).mapped.where(F.col("CUSTOMER_ID").isNotNull())
+
+
 def q_txn_missing(spark, sf_dir):
     mapped, _ = _mapped(spark, sf_dir)
     return mapped.where(F.col("CUSTOMER_ID").isNull())
@@ -379,6 +395,11 @@ def q_top_products(spark, sf_dir):
     return profile.top_values(fx.prime(spark, sf_dir), "PRODUCT_NAME", 15)
 
 
+def q_top_customers(spark, sf_dir):
+    """The customers with most transactions, by heavy hitters and an exact recount."""
+    return profile.heavy_hitters(fx.txn(spark, sf_dir), "RIMNO", 25)
+
+
 def q_top_branches(spark, sf_dir):
     return profile.top_values(fx.prime(spark, sf_dir), "BRANCH_NAME", 15)
 
@@ -558,6 +579,8 @@ QUERIES: dict[str, Query] = {
     "active_historical": q_active_historical,
     "relatives": q_relatives,
     "txn_mapped": q_txn_mapped,
+    "relatives_located": q_relatives_located,
+    "txn_mapped_located": q_txn_mapped_located,
     "txn_missing": q_txn_missing,
     "mapping_coverage": q_mapping_coverage,
     "churn_1month": q_churn_1month,
@@ -588,6 +611,7 @@ QUERIES: dict[str, Query] = {
     "limit_bands": q_limit_bands,
     "rfm": q_rfm,
     "top_products": q_top_products,
+    "top_customers": q_top_customers,
     "top_branches": q_top_branches,
     "demographics": q_demographics,
     "delinquency_distribution": q_delinquency_distribution,

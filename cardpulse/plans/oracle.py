@@ -350,6 +350,7 @@ FROM miss m JOIN pres o ON o.RIMNO = m.RIMNO AND o.M_RANK NOT IN (m.TO_RANK, m.T
 JOIN months f ON f.M_RANK = m.TO_RANK - 1 JOIN months t ON t.M_RANK = m.TO_RANK JOIN months i ON i.M_RANK = o.M_RANK""")
     for name in ("status_lifecycle", "activation_lifecycle", "churn_2month", "churn_first_last"):   # the same rows from merged months
         q[f"{name}_state"] = q[name]
+    q["relatives_located"], q["txn_mapped_located"] = q["relatives"], q["txn_mapped"]
     q["label_comparison_state"] = q["label_comparison_uneven"]
     q["presence_matrix"] = sql(pres + """,
 span AS (SELECT RIMNO, min(M_RANK) AS f, max(M_RANK) AS l, count(*) AS n FROM pres GROUP BY 1)""", """

@@ -254,6 +254,8 @@ SELECT RIMNO, TOTAL_SPEND, AVG_TXN, TXN_COUNT, RECENCY FROM rfm_t""")
     q["top_products"] = sql("", """
 SELECT PRODUCT_NAME AS VALUE, count(*) AS N FROM prime WHERE PRODUCT_NAME IS NOT NULL
 GROUP BY 1 ORDER BY N DESC, VALUE LIMIT 15""")
+    q["top_customers"] = sql("", """
+SELECT RIMNO AS VALUE, count(*) AS N FROM txn WHERE RIMNO IS NOT NULL GROUP BY 1 ORDER BY N DESC, VALUE LIMIT 25""")
     q["top_branches"] = sql("", """
 SELECT BRANCH_NAME AS VALUE, count(*) AS N FROM prime WHERE BRANCH_NAME IS NOT NULL
 GROUP BY 1 ORDER BY N DESC, VALUE LIMIT 15""")
