@@ -493,13 +493,8 @@ _FITS: dict[tuple, tuple] = {}
 
 
 def _fit(spark, sf_dir):
-    """(features, scaled features, table of scores, model) of a folder, fitted once in a session for all queries.
-
-    The key holds the inputs' file times and sizes, so changed tables are fitted anew."""
-    meta = [r for name in ("lineitem", "orders", "customer") for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(
-        F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_size").alias("s")).agg(
-        F.max("t"), F.max("s"), F.count(F.lit(1))).collect()]
-    key = (spark.sparkContext.applicationId, sf_dir, str(meta))
+    """(features, scaled features, table of scores, model) of a folder, fitted once in a session for all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FITS:
         raw = _kept(_seg_input(spark, sf_dir))
         scaled = _kept(segment.robust_scale(raw, SEG_COLUMNS))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardpulse.functions import norm
+from cardpulse.session import scratch_path
 
 PRIME_SQL = """
 select
@@ -80,14 +81,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_DERIVED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str, text: str, tables: list[str]) -> DataFrame:
+    """The input that ``text`` derives from whole driver tables, written once in a session for all queries on the
+    folder (as a Parquet table in the shared scratch folder, so scans of it are pruned as usual)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _DERIVED:
+        df = spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
+        path = scratch_path(spark)
+        df.write.parquet(path)
+        _DERIVED[key] = spark.read.schema(df.schema).parquet(path)
+    return _DERIVED[key]
+
+
 def prime_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PRIME_SQL, orders=table(spark, sf_dir, "orders"),
-                     customer=table(spark, sf_dir, "customer"), nation=table(spark, sf_dir, "nation"))
+    return _derived(spark, sf_dir, "prime", PRIME_SQL, ["orders", "customer", "nation"])
 
 
 def txn_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TXN_SQL, lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"),
-                     supplier=table(spark, sf_dir, "supplier"), nation=table(spark, sf_dir, "nation"))
+    return _derived(spark, sf_dir, "txn", TXN_SQL, ["lineitem", "orders", "supplier", "nation"])
 
 
 def clean_prime(raw: DataFrame) -> DataFrame:
