@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,6 +50,11 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def share_of(key: Column | str, salt: str) -> Column:
+    """A number in [0, 1) from 53 bits of a hash of ``key``, for samples of any share."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 11) / F.lit(float(1 << 53))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows, so that only a part's texts are Python objects at a time."""
     for batch in batches:

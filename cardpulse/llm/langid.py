@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardpulse.llm.common import table
+from cardpulse.llm.common import share_of, table
 from cardpulse.llm.toxicity import held_out
 
 SAMPLE_ROWS = 4_000
@@ -32,7 +32,12 @@ BATCH = 256
 SEED = 6
 HELD_OUT = (4, 2)
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+WORD_CHARACTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter; numerals such as a raised 2 or a circled 1 are none."""
+    return any(m.group().isalpha() for m in WORD_CHARACTER.finditer(text))
 
 
 @dataclass
@@ -140,11 +145,13 @@ def fit(docs: DataFrame, rule: tuple[int, int] = HELD_OUT, sample_rows: int = SA
         return None
     each = sample_rows / len(n)
     pick = F.lit(False)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
+    part = share_of("doc_id", "language")
     for lang, k in n.items():
-        pick = pick | ((F.col("lang") == lang) & (part < int(min(1.0, each / k) * 1_000_000)))
+        pick = pick | ((F.col("lang") == lang) & (part < min(1.0, each / k)))
     start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_BYTES)) + 1
     rows = known.where(pick).select("lang", F.substring("text", start.cast("int"), F.lit(SAMPLE_BYTES)).alias("text")).collect()
+    if not rows:
+        return None
     rows.sort(key=lambda r: (r["lang"], r["text"]))
     rng, classes = np.random.default_rng(SEED), sorted(n)
     cuts = [_training_windows(r["text"].encode()[:SAMPLE_BYTES], rng) for r in rows]
@@ -197,7 +204,7 @@ def languages(docs: DataFrame) -> DataFrame:
             names, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
             at, texts = [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
-                if t is not None and LETTER.search(t) and net is not None:
+                if t is not None and net is not None and has_letter(t):
                     at.append(i)
                     texts.append(t.encode())
             if at:

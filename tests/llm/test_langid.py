@@ -39,3 +39,18 @@ def test_gradients_and_whole_texts():
     long = b"abcde " * 30 + b"vwxyz " * 20_000
     assert langid.classify(net, [long, b"x", b"\xff\xfe"]).shape == (3, 2)
     assert langid.classify(net, [long])[0].argmax() == 1 and langid.classify(net, [long[:128]])[0].argmax() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    rows = hostile(spark, [(1, "² ① ٥ 12", "en", "a"), (2, "²x", "en", "a"), (3, "漢 ئ", "en", "a"), (4, "some words here", "fr", "a")])
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.languages(rows).collect()}
+    assert got[1] == "und" and got[2] != "und" and got[3] != "und"
+
+
+def test_shares_below_a_millionth_choose_rows(spark):
+    from pyspark.sql import functions as F
+
+    from cardpulse.llm.common import share_of
+    u = spark.range(2_000_000).select(share_of("id", "x").alias("u"))
+    low = u.agg(F.min("u"), F.count_distinct(F.col("u")), F.count_if(F.col("u") < 5e-6), F.max("u")).first()
+    assert low[0] < 1e-5 and low[1] == 2_000_000 and 0 < low[2] < 50 and low[3] < 1
