@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -119,11 +120,14 @@ def shared_seeds(docs: DataFrame, bits: bytes) -> DataFrame:
 
 
 def _matches(a: list[int], b: list[int], mark_a: list[bool], mark_b: list[bool], s: int) -> list[tuple[int, int, int]]:
-    """Maximal matches of at least ``s`` unmarked tokens, as (length, place in a, place in b): the hashes of
-    all runs of s tokens are kept running over both sides."""
+    """Matches of at least ``s`` unmarked tokens that extend neither way, as (-length, place in a, place in b):
+    the hashes of all runs of s tokens are kept running over both sides.
+
+    A run of a is looked up by its hash and the token before it, so that of the many runs that a
+    repetitive text shares only those come up that begin a match."""
     top = pow(BASE, s - 1, PRIME)
 
-    def runs(x: list[int], marked: list[bool]) -> Iterator[tuple[int, int]]:
+    def runs(x: list[int], marked: list[bool]) -> Iterator[tuple[int, int, int | None]]:
         h, free = 0, 0
         for i, t in enumerate(x):
             if marked[i]:
@@ -134,40 +138,54 @@ def _matches(a: list[int], b: list[int], mark_a: list[bool], mark_b: list[bool],
             h = (h * BASE + t) % PRIME
             free += 1
             if free >= s:
-                yield i - s + 1, h
+                yield i - s + 1, h, x[i - s] if free > s else None
 
-    places: dict[int, list[int]] = {}
-    for i, h in runs(a, mark_a):
-        places.setdefault(h, []).append(i)
+    places: dict[int, dict[int | None, list[int]]] = {}
+    for i, h, before in runs(a, mark_a):
+        places.setdefault(h, {}).setdefault(before, []).append(i)
     out = []
-    for j, h in runs(b, mark_b):
-        for i in places.get(h, ()):
-            k = 0
-            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not mark_a[i + k] and not mark_b[j + k]:
-                k += 1
-            if k >= s:
-                out.append((k, i, j))
+    for j, h, before in runs(b, mark_b):
+        for earlier, at in places.get(h, {}).items():
+            if earlier == before and before is not None:
+                continue
+            for i in at:
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not mark_a[i + k] and not mark_b[j + k]:
+                    k += 1
+                if k >= s:
+                    out.append((-k, i, j))
+                if k == len(a):     # the whole item: nothing is longer, nothing is left to cover
+                    return [(-k, i, j)]
     return out
 
 
 def tile(item: list[int], doc: list[int], least: int = MIN_MATCH, first: int = FIRST_LENGTH) -> list[tuple[int, int, int]]:
-    """Tiles (length, place in item, place in doc), none overlapping another on either side: matches of a
-    length of ``first`` or more are marked longest first, then the length falls to ``least``."""
+    """Tiles (length, place in item, place in doc), none overlapping another on either side: again and again the
+    longest match of unmarked tokens is marked (of equals the first in the item, then in the
+    document), as long as it has ``least`` tokens.  Hash lengths fall from ``first`` to ``least``; what marks leave of a
+    match goes back among the others."""
     mark_a, mark_b, tiles = [False] * len(item), [False] * len(doc), []
     s = max(least, min(first, len(item)))
     while True:
-        found = _matches(item, doc, mark_a, mark_b, s)
-        longest = max((k for k, _, _ in found), default=0)
-        if longest > 2 * s:
-            s = longest
-            continue
-        for k, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if not any(mark_a[i:i + k]) and not any(mark_b[j:j + k]):
-                mark_a[i:i + k] = mark_b[j:j + k] = [True] * k
-                tiles.append((k, i, j))
-        if found and any(not any(mark_a[i:i + s]) and not any(mark_b[j:j + s]) for _, i, j in found):
-            continue
-        if s == least:
+        heap = _matches(item, doc, mark_a, mark_b, s)
+        if heap and -min(heap)[0] > 2 * s:
+            s = -min(heap)[0]
+            heap = [m for m in heap if -m[0] >= s]
+        heapify(heap)
+        while heap:
+            k, i, j = heappop(heap)
+            free = [not mark_a[i + x] and not mark_b[j + x] for x in range(-k)]
+            if all(free):
+                mark_a[i:i - k] = mark_b[j:j - k] = [True] * -k
+                tiles.append((-k, i, j))
+                continue
+            lo = 0
+            for x, open_ in enumerate([*free, False]):
+                if not open_:
+                    if x - lo >= s:
+                        heappush(heap, (lo - x, i + lo, j + lo))
+                    lo = x + 1
+        if s == least or all(mark_a):
             return tiles
         s = max(least, s // 2)
 
