@@ -13,11 +13,8 @@ FALLBACK_MONTH = dt.date(1900, 1, 1)
 _MON = "(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)"
 
 
-def month_from_path(path_col) -> Column:
-    """``..._JUL_2025.csv`` / ``JUL2025.csv`` / ``2025_JUL.csv`` -> first day of that month;
-    unmatched names -> 1900-01-01 (they sort first)."""
-    p = F.col(path_col) if isinstance(path_col, str) else path_col
-    name = F.upper(F.element_at(F.split(p, "/"), -1))
+def _month_in(name: Column) -> Column:
+    """The month that an upper-case name tells, or null."""
     mon_a = F.regexp_extract(name, _MON + r"_?(\d{4})", 1)
     yr_a = F.regexp_extract(name, _MON + r"_?(\d{4})", 2)
     mon_b = F.regexp_extract(name, r"(\d{4})_?" + _MON, 2)
@@ -25,16 +22,28 @@ def month_from_path(path_col) -> Column:
     mon = F.when(mon_a != "", mon_a).otherwise(mon_b)
     yr = F.when(mon_a != "", yr_a).otherwise(yr_b)
     parsed = F.try_to_timestamp(F.concat(yr, F.lit("-"), F.initcap(mon)), F.lit("yyyy-MMM")).cast("date")
-    return F.coalesce(F.when(mon != "", parsed), F.lit(FALLBACK_MONTH))
+    return F.when(mon != "", parsed)
 
 
-def month_of_name(path: str) -> dt.date:
-    """The month that a file name tells, as ``month_from_path``, for a path at the driver."""
-    name = path.rsplit("/", 1)[-1].upper()
-    found = re.search(_MON + r"_?(?P<y>\d{4})", name) or re.search(r"(?P<y>\d{4})_?" + _MON, name)
-    if not found:
-        return FALLBACK_MONTH
-    return dt.datetime.strptime(found["y"] + next(g for g in found.groups() if g != found["y"]).title(), "%Y%b").date()
+def month_from_path(path_col, folders: bool = False) -> Column:
+    """``..._JUL_2025.csv`` / ``JUL2025.csv`` / ``2025_JUL.csv`` -> first day of that month;
+    unmatched names -> 1900-01-01 (they sort first).  With ``folders`` a file whose own name tells no
+    month has that of its folder."""
+    p = F.upper(F.col(path_col) if isinstance(path_col, str) else path_col)
+    parts = F.split(p, "/")
+    months = [_month_in(F.element_at(parts, -1))]
+    if folders:
+        months.append(_month_in(F.try_element_at(parts, F.lit(-2))))
+    return F.coalesce(*months, F.lit(FALLBACK_MONTH))
+
+
+def month_of_name(path: str, folders: bool = False) -> dt.date:
+    """The month that a path tells, as ``month_from_path``, for a path at the driver."""
+    for name in path.upper().split("/")[-1:-3 if folders else -2:-1]:
+        found = re.search(_MON + r"_?(?P<y>\d{4})", name) or re.search(r"(?P<y>\d{4})_?" + _MON, name)
+        if found:
+            return dt.datetime.strptime(found["y"] + next(g for g in found.groups() if g != found["y"]).title(), "%Y%b").date()
+    return FALLBACK_MONTH
 
 
 def label_of_name(path: str) -> str:

@@ -18,7 +18,7 @@ from cardpulse.functions.stats import exact_quantiles_multi
 from cardpulse.operators import audit, churn, compare, features, identity, profile, quality, segment, state
 from cardpulse.session import checkpoint_dir, scratch_path
 from cardpulse.sources import fixtures as fx
-from cardpulse.sources import storage
+from cardpulse.sources import files, storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -291,6 +291,42 @@ def q_common_ids(spark, sf_dir):
     return audit.common_ids(fx.prime(spark, sf_dir), fx.txn(spark, sf_dir))
 
 
+# ----------------------------------------------------------------- files
+CSV_HEADERS = {"RIMNO": "RIM_NO", "PRODUCT_NAME": "NAME", "CARD_STATUS": "Card account status "}
+
+
+def q_csv_scan(spark, sf_dir):
+    """The snapshots written as CSV files, a folder a month, half of them with other headers and an unused
+    column, and read back through the file reader and the typed contract."""
+    raw, root = fx.prime_raw(spark, sf_dir), scratch_path(spark)
+    folder = F.concat(F.lit("prime_"), F.upper(F.date_format(MONTH_COL, "MMM_yyyy")))
+    old = F.month(raw[MONTH_COL]) % 2 == 0
+    text = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns if c != MONTH_COL], folder.alias("_folder"), old.alias("_old"))
+    for part, names in ((text.where("_old"), CSV_HEADERS), (text.where("NOT _old").withColumn("TOTAL_HOLD", F.lit("1")), {})):
+        part.drop("_old").withColumnsRenamed(names).write.mode("append").option("header", True).option("escape", '"') \
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("encoding", "ISO-8859-1") \
+            .partitionBy("_folder").csv(root)
+    months = [f"{root}/{r[0]}" for r in text.select(F.concat(F.lit("_folder="), "_folder")).distinct().collect()]   # one a month
+    clean = files.clean_snapshots(files.read_snapshots(spark, months, folders=True))
+    return clean.select(MONTH_COL, F.col("ROW_ID").cast("long").alias("ROW_ID"), "RIMNO", "PRODUCT_NAME", "ACTIVATED", "STATUS", "CARD_STATUS",
+                        "DOB", "BRANCH_NAME", "BRANCH_ID", "CREDIT_LIMIT", "DELIQUENCY", "CREATION_DATE", "CLOSURE_DATE", "ORGANIZATION",
+                        F.lit("TOTAL_HOLD" in clean.columns).alias("HAS_UNUSED"))
+
+
+def q_partitioned_sink(spark, sf_dir):
+    """Segmented snapshots written partitioned by month and segment and read back, counted per partition."""
+    path = scratch_path(spark)
+    files.write_partitioned(_segmented(spark, sf_dir)[0].select("ROW_ID", "RIMNO", MONTH_COL, "SEGMENT"), path, [MONTH_COL, "SEGMENT"])
+    return spark.read.parquet(path).groupBy(MONTH_COL, "SEGMENT").agg(F.count(F.lit(1)).alias("N_ROWS"), F.count_distinct("ROW_ID").alias("N_IDS"))
+
+
+def q_id_report(spark, sf_dir):
+    """The ids common to snapshots and transactions written as a text report and read back."""
+    path = scratch_path(spark)
+    files.write_ids(q_common_ids(spark, sf_dir), path, "common ids")
+    return spark.read.text(path).withColumnRenamed("value", "LINE")
+
+
 # ----------------------------------------------------------------- quality
 def q_cast_report(spark, sf_dir):
     prime = quality.cast_and_report(fx.prime_raw(spark, sf_dir), contract.PRIME_CAST_PLAN)[1]
@@ -549,6 +585,15 @@ def q_cluster_profile(spark, sf_dir):
     return segment.cluster_profile(raw, labels.select("RIMNO", "CLUSTER", "IS_OUTLIER"), "RIMNO", SEG_COLUMNS)
 
 
+def q_band_profile(spark, sf_dir):
+    """The cluster profile over a grouping that SQL knows: customers by number of transactions, outliers those of
+    an average above 45,000."""
+    raw = _fit(spark, sf_dir)[0]
+    labels = raw.select("RIMNO", F.floor(F.col("TXN_COUNT") / 10).cast("int").alias("CLUSTER"), (F.col("AVG_TXN") > 45000).alias("IS_OUTLIER"))
+    out = segment.cluster_profile(raw, labels, "RIMNO", SEG_COLUMNS)
+    return out.select("CLUSTER", "N", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("CLUSTER", "N")])
+
+
 def q_segmentation_check(spark, sf_dir):
     """What holds for every fit: each customer once, none without a cluster, the final outlier the union of
     both, and the outlier share of each scope within one row of what was asked."""
@@ -594,6 +639,10 @@ QUERIES: dict[str, Query] = {
     "common_ids": q_common_ids,
     "cast_report": q_cast_report,
     "date_formats": q_date_formats,
+    "csv_scan": q_csv_scan,
+    "partitioned_sink": q_partitioned_sink,
+    "id_report": q_id_report,
+    "band_profile": q_band_profile,
     "parse_numeric": q_parse_numeric,
     "excel_serial_date": q_excel_serial_date,
     "missing_profile": q_missing_profile,

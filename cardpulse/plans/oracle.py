@@ -351,6 +351,14 @@ JOIN months f ON f.M_RANK = m.TO_RANK - 1 JOIN months t ON t.M_RANK = m.TO_RANK
     for name in ("status_lifecycle", "activation_lifecycle", "churn_2month", "churn_first_last"):   # the same rows from merged months
         q[f"{name}_state"] = q[name]
     q["relatives_located"], q["txn_mapped_located"] = q["relatives"], q["txn_mapped"]
+    q["csv_scan"] = sql("", """
+SELECT SNAP_MONTH, ROW_ID, RIMNO, PRODUCT_NAME, ACTIVATED, STATUS, CARD_STATUS, DOB, BRANCH_NAME, BRANCH_ID, CREDIT_LIMIT, DELIQUENCY,
+       CREATION_DATE, CLOSURE_DATE, ORGANIZATION, FALSE AS HAS_UNUSED FROM prime""")
+    q["partitioned_sink"] = sql(IDENTITY, """
+SELECT SNAP_MONTH, SEGMENT, count(*) AS N_ROWS, count(DISTINCT ROW_ID) AS N_IDS FROM seg GROUP BY 1, 2""")
+    q["id_report"] = sql("""
+both_ids AS (SELECT RIMNO FROM prime WHERE RIMNO IS NOT NULL INTERSECT SELECT RIMNO FROM txn WHERE RIMNO IS NOT NULL)""", """
+SELECT 'common ids: ' || count(*) AS LINE FROM both_ids UNION ALL SELECT RIMNO FROM both_ids""")
     q["label_comparison_state"] = q["label_comparison_uneven"]
     q["presence_matrix"] = sql(pres + """,
 span AS (SELECT RIMNO, min(M_RANK) AS f, max(M_RANK) AS l, count(*) AS n FROM pres GROUP BY 1)""", """

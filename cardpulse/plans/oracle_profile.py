@@ -297,6 +297,12 @@ SELECT last_day(spine.m) AS MONTH_END, CAST(coalesce(c, 0) AS BIGINT) AS TXN_COU
     q["correlation"] = sql(FEATURES, f"""
 SELECT COL_A, COL_B, round(CASE WHEN isnan(c) THEN NULL ELSE c END, 6) AS CORR FROM ({' UNION ALL '.join(corr_parts)})""")
     q["histogram"] = sql(*_histogram_parts())
+    q["band_profile"] = sql(FEATURES + """,
+seg_in AS (SELECT RIMNO, ln(1 + greatest(coalesce(TOTAL_SPEND, 0), 0)) AS TOTAL_SPEND_LOG, coalesce(AVG_TXN, 0) AS AVG_TXN,
+                  CAST(TXN_COUNT AS DOUBLE) AS TXN_COUNT, CAST(RECENCY AS DOUBLE) AS RECENCY FROM rfm_t)""", """
+SELECT CAST(floor(TXN_COUNT / 10) AS INTEGER) AS CLUSTER, count(*) AS N,
+       """ + ", ".join(f"round(avg({c}), 6) AS MEAN_{c}" for c in ("TOTAL_SPEND_LOG", "AVG_TXN", "TXN_COUNT", "RECENCY")) + """,
+       round(avg(CASE WHEN AVG_TXN > 45000 THEN 1.0 ELSE 0.0 END), 6) AS OUTLIER_SHARE FROM seg_in GROUP BY 1""")
     q["date_formats"] = _date_formats()
     q["kde"] = _kde()
     q["cap_before_after"] = _cap_before_after()

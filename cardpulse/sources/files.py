@@ -107,7 +107,7 @@ def read_csv_files(spark: SparkSession, paths, aliases: dict[str, str], encoding
         raw = spark.read.options(**_options(encoding, multi_line)).schema(schema).csv(files)
         names = canonical_headers(list(header), aliases)
         part = raw.select(*[norm.null_tokens(F.col(f"`{c}`")).alias(n) for c, n in zip(header, names)],
-                          F.col("_metadata.file_name").alias("SOURCE_FILE"))
+                          F.col("_metadata.file_path").alias("SOURCE_FILE"))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no files under {paths}")
@@ -115,13 +115,15 @@ def read_csv_files(spark: SparkSession, paths, aliases: dict[str, str], encoding
 
 
 def read_snapshots(spark: SparkSession, paths, aliases: dict[str, str] | None = None,
-                   encoding: str = "ISO-8859-1", multi_line: bool = False) -> DataFrame:
-    """All monthly snapshot CSVs, every column as text, plus SNAP_MONTH; see ``absent_columns``."""
+                   encoding: str = "ISO-8859-1", multi_line: bool = False, folders: bool = False) -> DataFrame:
+    """All monthly snapshot CSVs, every column as text, plus SNAP_MONTH; see ``absent_columns``.  With ``folders``
+    the month may stand in the name of a file's folder."""
     df = read_csv_files(spark, paths, contract.PRIME_ALIASES if aliases is None else aliases, encoding, multi_line)
     name = F.col("SOURCE_FILE")
-    month = month_from_path(name)
-    for day, label in snapshot_labels(spark, paths).items():       # files whose name tells no month
-        month = F.when(F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "") == label, F.lit(day)).otherwise(month)
+    month = month_from_path(name, folders)
+    for day, label in snapshot_labels(spark, paths, folders).items():       # files whose name tells no month
+        stem = F.regexp_replace(F.url_decode(F.replace(F.element_at(F.split(name, "/"), -1), F.lit("+"), F.lit("%2B"))), r"\.[^.]*$", "")
+        month = F.when(stem == label, F.lit(day)).otherwise(month)
     return df.withColumn(MONTH_COL, month).drop("SOURCE_FILE")
 
 
@@ -130,11 +132,11 @@ def _names(spark: SparkSession, paths) -> list[str]:
     return sorted(r[0] for r in spark.read.format("binaryFile").load(paths).select("path").collect())
 
 
-def snapshot_labels(spark: SparkSession, paths) -> dict:
+def snapshot_labels(spark: SparkSession, paths, folders: bool = False) -> dict:
     """day -> label of the snapshots whose file name tells no month: each distinct stem is a snapshot of its own,
     on days from 1900-01-01 on in the order of the stems, so they come before all months.
     ``months.named(snapshot_months(df), labels)`` gives audits and labels these names."""
-    stems = sorted({label_of_name(f) for f in _names(spark, paths) if month_of_name(f) == FALLBACK_MONTH})
+    stems = sorted({label_of_name(f) for f in _names(spark, paths) if month_of_name(f, folders) == FALLBACK_MONTH})
     return {FALLBACK_MONTH + dt.timedelta(days=i): stem for i, stem in enumerate(stems)}
 
 
