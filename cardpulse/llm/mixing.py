@@ -9,7 +9,8 @@ perm(k mod blocks), perm a keyed Feistel permutation of the block numbers that d
 round through the source: a source is read evenly and a block is taken floor or ceil of
 slots / blocks times.  Slots and blocks then meet in an equi-join on (source, block).
 
-Only numbers move: (document, size) and (slot, block) rows, never texts.  A source's positions
+``mixed_blocks`` packs the blocks from the texts' words and joins them to the slots: the mix itself.
+For reports only numbers move, (document, size) and (slot, block) rows.  A source's positions
 are running sums over range partitions, so one source may hold any share of the rows.  The one
 thing gathered at the driver is the mixture itself, one row per source name.
 """
@@ -77,10 +78,10 @@ def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 6) ->
 
 
 def document_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, start): each document's place in its source's stream of words."""
+                     source_col: str = "source", with_text: bool = False) -> DataFrame:
+    """(doc_id, source, size, start[, text]): each document's place in its source's stream of words."""
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                        n_words(F.col(text_col)).alias("size"))
+                        n_words(F.col(text_col)).alias("size"), *[F.col(text_col).alias("text")] * with_text)
     return materialise(running_sum(materialise(sizes), "source", ["doc_id", "size"], "size", "start"))
 
 
@@ -107,11 +108,11 @@ def _fill(drawn: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def slots(spark: SparkSession, mix: pd.DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(shard, source_no, block_no): every slot of the mix with the block that fills it."""
+    """(shard, source_no, slot, block_no): every slot of the mix, numbered within its source, with the block that fills it."""
     want, blocks = mix["slots"].to_numpy(), mix["blocks"].to_numpy()
     total = int(want.sum())
     if total == 0:
-        return spark.createDataFrame([], "shard long, source_no int, block_no long")
+        return spark.createDataFrame([], "shard long, source_no int, slot long, block_no long")
     p = want / total
     n_shards = -(-total // shard_slots)
 
@@ -142,11 +143,23 @@ def slots(spark: SparkSession, mix: pd.DataFrame, shard_slots: int = SHARD_SLOTS
                 src[over], k[over] = to, drawn[to] + rank - gap_at[to]
             size = blocks[src]
             key = (src * 1_000_003 + k // size + 1) * 0x9E3779B1 + seed
-            yield pd.DataFrame({"shard": np.repeat(pdf["shard"].to_numpy(), n), "source_no": src.astype(np.int32),
+            yield pd.DataFrame({"shard": np.repeat(pdf["shard"].to_numpy(), n), "source_no": src.astype(np.int32), "slot": k,
                                 "block_no": permuted(k % size, size, key)})
 
     tasks = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return numbered.repartition(tasks).mapInPandas(place, "shard long, source_no int, block_no long")
+    return numbered.repartition(tasks).mapInPandas(place, "shard long, source_no int, slot long, block_no long")
+
+
+def _pieces(placed: DataFrame, mix: pd.DataFrame, block: int, *columns: str) -> DataFrame:
+    """(source_no, block_no, start, word_from, words, ...): what each document has of each block of its source:
+    ``words`` words from its word ``word_from`` on."""
+    names = placed.sparkSession.createDataFrame([(i, s) for i, s in enumerate(mix["source"])], "source_no int, _source string")
+    numbered = placed.where("size > 0").join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source")))
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+    pieces = numbered.select("source_no", "start", "size", *columns, F.explode(F.sequence(first, last)).alias("block_no"))
+    begin = F.greatest(F.col("start"), F.col("block_no") * block)
+    end = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block)
+    return pieces.select("source_no", "block_no", "start", *columns, (begin - F.col("start")).alias("word_from"), (end - begin).alias("words"))
 
 
 def mix_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS,
@@ -155,28 +168,44 @@ def mix_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     """The mix of ``docs`` (doc_id, text, source).
 
     Returns the documents with their place (doc_id, source, size, start), the mixed pieces
-    (shard, source_no, block_no, start, word_from, words: words ``word_from`` and on of the document
-    that starts at ``start`` in its source) and the mixture table.
+    (shard, source_no, slot, block_no, start, doc_id, word_from, words: words ``word_from`` and on of the
+    document that starts at ``start`` in its source) and the mixture table.
 
     Null or blank texts have size 0 and are never taken; a null source is one more source, the
     last; rows with null or repeated ids each have their own place; no rows give no rows.
     """
-    spark = docs.sparkSession
     placed = document_offsets(docs)
     mix = mixture(placed, weights, most, block)
-    names = spark.createDataFrame([(i, s) for i, s in enumerate(mix["source"])], "source_no int, _source string")
-    numbered = placed.where("size > 0").join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source")))
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = numbered.select("source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block_no"))
-    begin = F.greatest(F.col("start"), F.col("block_no") * block)
-    end = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block)
-    pieces = pieces.select("source_no", "block_no", "start", (begin - F.col("start")).alias("word_from"),
-                           (end - begin).alias("words"))
     # the planner cannot know how many slots a count stands for: no broadcast by its estimate
-    mixed = slots(spark, mix, shard_slots, seed).join(pieces.hint("merge"), ["source_no", "block_no"])
+    mixed = slots(docs.sparkSession, mix, shard_slots, seed).join(
+        _pieces(placed, mix, block, "doc_id").hint("merge"), ["source_no", "block_no"])
     return placed, mixed, mix
 
 
+def token_blocks(placed: DataFrame, mix: pd.DataFrame, block: int = BLOCK) -> DataFrame:
+    """(source_no, block_no, parts, words): the blocks themselves.  Texts (``document_offsets(..., with_text=True)``)
+    are cut into words, and each block gets ``block`` of them in the order of its source's stream; parts tell, in
+    order, which document gave how many.  A block gathers at most ``block`` pieces, a source any number of blocks."""
+    cut = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("word_from") + 1).cast("int"), F.col("words").cast("int"))
+    pieces = _pieces(placed, mix, block, "doc_id", "text").select("source_no", "block_no", F.struct("start", "doc_id", cut.alias("words")).alias("_p"))
+    both = pieces.groupBy("source_no", "block_no").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+    parts = F.transform("_p", lambda p: F.struct(p["doc_id"].alias("doc_id"), F.size(p["words"]).alias("words")))
+    return both.select("source_no", "block_no", parts.alias("parts"), F.flatten("_p.words").alias("words"))
+
+
+def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS, block: int = BLOCK,
+                 shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """The mix itself: (shard, source, slot, block_no, parts, words), one row for each slot with the block that
+    fills it, packed from the texts of ``docs`` (doc_id, text, source).  Texts are shuffled once to their
+    places and blocks once to their slots; write the result partitioned by ranges of ``shard``."""
+    placed = document_offsets(docs, with_text=True)
+    mix = mixture(placed, weights, most, block)
+    names = docs.sparkSession.createDataFrame([(i, s) for i, s in enumerate(mix["source"])], "source_no int, source string")
+    blocks = materialise(token_blocks(placed, mix, block))
+    filled = slots(docs.sparkSession, mix, shard_slots, seed).join(blocks.hint("merge"), ["source_no", "block_no"])
+    return filled.join(F.broadcast(names), "source_no").select("shard", "source", "slot", "block_no", "parts", "words")
+
+
 def mixing_report(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of the mix, one row for every row of ``docs``."""
     spark = docs.sparkSession

@@ -72,3 +72,41 @@ def test_permutation():
         k = np.arange(n)
         out = mixing.permuted(k, np.full(n, n), np.full(n, 77))
         assert sorted(out.tolist()) == list(range(n))
+
+
+def test_blocks_are_packed_from_the_texts(spark):
+    """Blocks hold the words of their source's stream, and what the report says was taken is what the mix holds."""
+    from collections import Counter, defaultdict
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    streams = defaultdict(list)
+    for i, text, source in sorted(rows, key=lambda r: r[0]):
+        streams[source] += [(i, w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    slots = mixing.mixed_blocks(docs, shard_slots=64).collect()
+    taken, used = Counter(), defaultdict(Counter)
+    for s in slots:
+        lo = s["block_no"] * mixing.BLOCK
+        want = streams[s["source"]][lo:lo + mixing.BLOCK]
+        assert s["words"] == [w for _, w in want]
+        owners = [p["doc_id"] for p in s["parts"] for _ in range(p["words"])]
+        assert owners == [i for i, _ in want]
+        taken.update(owners)
+        used[s["source"]][s["block_no"]] += 1
+    assert len({(s["source"], s["slot"]) for s in slots}) == len(slots)
+    shards = Counter(s["shard"] for s in slots)
+    assert sorted(shards.values(), reverse=True)[:-1] == [64] * (len(shards) - 1) and max(shards.values()) <= 64
+    assert all(max(c.values()) - min(c.values()) <= 1 or len(c) < -(-len(streams[k]) // mixing.BLOCK) for k, c in used.items())
+    report = {r["doc_id"]: r for r in mixing.mixing_report(docs).collect()}
+    full = Counter()
+    for s in mixing.mixed_blocks(docs).collect():
+        for p in s["parts"]:
+            full[p["doc_id"]] += p["words"]
+    assert {i: r["taken"] for i, r in report.items()} == {i: full[i] for i in report}
+
+
+def test_blocks_of_hostile_rows(spark):
+    docs = hostile(spark)
+    total = sum(len(s["words"]) for s in mixing.mixed_blocks(docs, block=8).collect())
+    assert total > 0 and mixing.mixed_blocks(empty(spark)).count() == 0
