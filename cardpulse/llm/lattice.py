@@ -217,8 +217,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     Vectors link if their labels and lengths are equal, labels not null, and their cosine is at
     least ``threshold``.  Null, empty or zero vectors and those with null or non-finite components
     link with nothing.  Equal rows link with each other.  component_id is the least id reachable,
-    the row's own id included; a null id counts as a vector but is never a component's name, and
-    its kept is null unless... it stands alone, when component_id and kept are null.
+    the row's own id included; a null id counts as a vector but is never a component's name, so
+    its kept is null, and where it stands alone its component_id is null as well.
     """
     rows = materialise(classes(vectors, id_col, vector_col, label_col))
     distinct = materialise(rows.where("cls is not null").groupBy("cls")

@@ -1,28 +1,24 @@
-"""Repeated byte strings by a depth-limited radix sort of suffixes.
+"""Repeated byte strings by anchored windows and hash classes, in place of a radix sort of suffixes.
 
-A window is the first ``LENGTH`` bytes of a suffix; two suffixes that agree through ``LENGTH`` bytes
-are equal windows.  Suffixes are sorted by most-significant-digit passes that stop at this depth,
-and a pass goes on only with groups of more than one member, so the groups left after the last
-pass are exactly the repeated windows.
-
-Digits are chosen so that a pass needs one row for a stretch of suffixes, not one for each:
+A window is ``LENGTH`` bytes of a text.  Sorting suffixes digit by digit would begin with a row for
+every byte of the corpus (8 bytes of digit for each byte of text, many times what a run may write to
+disk), so no suffix is ordered here; the windows that such a sort would leave in groups of
+several are found through fewer rows:
 
 1. Every window has an anchor, the position in it whose ``GRAM`` bytes have the least hash (the
    first of equals).  It depends on the window's bytes only, so equal windows have their anchors at
-   the same offset with the same gram.  The first digit is the anchor's gram; neighbouring windows
-   mostly share their anchor, so a document sends about 2 / (LENGTH - GRAM) rows a byte, each with
-   its range of offsets.
-2. The second digit is the hash of all bytes under the anchor's windows.  Anchors equal in it are
+   the same offset with the same gram.  Neighbouring windows mostly share their anchor, so a document
+   sends about 2 / (LENGTH - GRAM) rows a byte, each with its range of offsets.
+2. Anchors of a gram are classed by the hash of all bytes under their windows.  Anchors equal in it are
    one class: all their windows are repeated.
-3. Where a gram has several classes, the last digit is taken window by window: classes are aligned
-   at the anchor, and windows at the same offset are compared by the hash of their bytes, many grams
-   at a time in a task.  A gram with more than ``HOT_CLASSES`` classes is split first: the offsets are
-   cut into cells, and both digits are taken once more in each cell, for the bytes that all its
-   windows share and for all bytes under them; in the last pass a cell is one window.  So no group
-   meets in one task, whatever its size.
+3. Where a gram has several classes, they are aligned at the anchor, and windows at the same offset are
+   compared by the hash of their bytes, many grams at a time in a task.  A gram with more than
+   ``HOT_CLASSES`` classes is split first: the offsets are cut into cells, and the classes are formed once
+   more in each cell, for the bytes that all its windows share and for all bytes under them; in the last
+   pass a cell is one window.  So no group meets in one task, whatever its size.
 
 Repeated windows come back as ranges of offsets, are laid over their documents, and the bytes
-they cover are removed.
+they cover are removed.  Windows are equal up to collisions of 64-bit hashes within a gram's anchors.
 """
 
 from __future__ import annotations
