@@ -243,3 +243,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
 
 def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+# All pairs of a label; the exact links, of which the index must find nine in ten.
+OP10_SQL = """
+with recursive v as (
+  select row_number() over () as rid, vec_id, label, embedding::double[] as e,
+         label is not null and embedding is not null and len(embedding) > 0 and list_bool_and([x is not null and isfinite(x) for x in embedding])
+         and list_bool_or([x <> 0 for x in embedding]) as able from embeddings),
+pair as (
+  select a.rid as a, b.rid as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.rid <> b.rid
+  where a.able and b.able and list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select rid as a, rid as b from v union select r.a, p.b from reach r join pair p on p.a = r.b),
+comp as (select r.a, min(v.vec_id) as component_id from reach r join v on v.rid = r.b group by 1),
+n as (select a, count(*) as n_links from pair group by 1)
+select v.vec_id, coalesce(n.n_links, 0) as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join comp c on c.a = v.rid left join n on n.a = v.rid
+"""

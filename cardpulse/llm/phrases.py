@@ -344,3 +344,31 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
 
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with t as (
+  select coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+p as (select lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) as piece from t),
+w as (select lang, [v for v in regexp_split_to_array(piece, '[\x20\x09]+') if v <> ''] as ws from p),
+g as (select lang, r.n as size, unnest([array_to_string(ws[i:i + r.n - 1], ' ') for i in range(1, len(ws) - r.n + 2)]) as phrase
+      from w, (values (1), (2), (3), (4)) r(n) where len(ws) >= r.n),
+f as (select lang, size, phrase, count(*) as f from g group by all),
+whole as (select *, string_split(phrase, ' ') as ws from f where size >= 2 and f >= 30),
+cuts as (
+  select c.lang, c.phrase, c.f as a, k.k, l.f as l, r.f as r, (cast(2000000 as hugeint) * c.f) // (cast(l.f as hugeint) + r.f) as score
+  from whole c, (values (1), (2), (3)) k(k)
+  join f l on l.lang = c.lang and l.phrase = array_to_string(c.ws[1:k.k], ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(c.ws[k.k + 1:], ' ')
+  where k.k < c.size),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+kept as (
+  select * from best b where not exists (
+    select 1 from whole x where x.lang = b.lang and length(x.phrase) > length(b.phrase)
+      and contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' ') and 100 * x.f >= 80 * b.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, (select cast(sum(f.f) as bigint) from f where f.lang = ranked.lang and f.size = 1) as n,
+       cast(score as bigint) as score
+from ranked where rank <= 2000
+"""

@@ -27,6 +27,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_suffix": suffix.OP3_SQL,
         "op7_line_dedup": linedup.OP7_SQL,
         "op8_warc": warc.OP8_SQL,
+        "op10_lattice": lattice.OP10_SQL,
+        "op11_phrases": phrases.OP11_SQL,
+        "op13_resample": resample.OP13_SQL,
     }

@@ -184,3 +184,37 @@ def resample(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
 
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+with crc as (
+  select [list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)
+          for n in range(256)] as step),
+d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from documents),
+b as (
+  select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+dw as (select rid, unnest(ws) as word from d),
+bw as (select unnest(ws) as word from b),
+words as (select word, hex(encode(word)) as h from (select word from dw union select word from bw)),
+bucket as (
+  select word, xor(list_reduce(list_concat([4294967295], [cast('0x' || substr(h, 2 * i - 1, 2) as bigint) for i in range(1, len(h) // 2 + 1)]),
+                               lambda c, x: xor(step[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 as bucket
+  from words, crc),
+s as (select bucket, count(*) as n from dw join bucket using (word) group by 1),
+t as (select bucket, count(*) as n from bw join bucket using (word) group by 1),
+total as (select (select count(*) from dw) as s_all, (select count(*) from bw) as t_all),
+gain as (
+  select r.i as bucket, cast(floor(1000 * ln((coalesce(t.n, 0) + 1.0::double) * (s_all + 10000) / ((coalesce(s.n, 0) + 1.0::double) * (t_all + 10000)))) as bigint) as g
+  from range(10000) r(i) cross join total left join s on s.bucket = r.i left join t on t.bucket = r.i),
+w as (select rid, cast(sum(g) as bigint) as weight from dw join bucket using (word) join gain using (bucket) group by 1),
+scored as (
+  select rid, doc_id, cast(len(ws) as bigint) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score
+  from d left join w using (rid)),
+able as (select rid, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank from scored left join able using (rid)
+"""

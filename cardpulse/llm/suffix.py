@@ -374,3 +374,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot_classes: int = HO
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Every window of every document by its hash; bytes as two hexadecimal digits.
+OP3_SQL = """
+with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select rid, h, unnest(range(0, greatest(len(h) // 2 - 399, 0))) as i from d),
+rep as (select rid, i from (select rid, i, hash(substr(h, 2 * i + 1, 800)) as k from w) qualify count(*) over (partition by k) > 1),
+marked as (select rid, i, case when i <= lag(i) over (partition by rid order by i) + 400 then 0 else 1 end as fresh from rep),
+island as (select rid, i, sum(fresh) over (partition by rid order by i) as k from marked),
+span as (select rid, k, min(i) as a, max(i) + 400 as b from island group by 1, 2),
+gap as (select s.rid, s.a, s.b, substr(d.h, 2 * lag(s.b, 1, 0) over (partition by s.rid order by s.a) + 1,
+               2 * (s.a - lag(s.b, 1, 0) over (partition by s.rid order by s.a))) as before, d.h
+        from span s join d using (rid)),
+per as (select rid, cast(sum(b - a) as bigint) as n_removed, count(*) as n_spans,
+               string_agg(before, '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept from gap group by 1)
+select doc_id, len(d.h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(kept, d.h))) as kept_sha256
+from d left join per using (rid)
+"""
