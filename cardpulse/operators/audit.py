@@ -154,22 +154,26 @@ def idless_report(prime: DataFrame, key_cols=("RIMNO", "PRODUCT_NAME"), months:
 
 
 def change_log(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
-               months: list[dt.date] | None = None, pairing: str = "all", order_col: str = "ROW_ID",
+               months: list[dt.date] | None = None, pairing: str = "counted", order_col: str = "ROW_ID",
                absent: Absent | None = None) -> DataFrame:
     """Every (old, new) value change per card key between consecutive snapshots.  Rows without
     an id are no customer and form no pairs (``idless_report`` counts them); a column that one
     of the two months does not carry (``absent``: month -> columns) is not compared.
 
-    One self-join for all transitions (key + rank_b = rank_a + 1, null-safe product),
-    then one ``explode`` over an array of (column, old, new) structs filtered to the
-    changed ones - a single pass instead of one scan per column.  A card key with
-    several rows per month pairs every old row with every new row, as in the studied
-    audit (``pairing="all"``; its output grows with the product of the row counts).
-    ``pairing="last"`` first keeps the last row (by ``order_col``) per key and month via
-    a partial ``max_by`` aggregate, so the output is bounded by one pair per key and
-    transition even for a key holding a large share of the rows.  Equal (old, new) pairs
-    with their number, without row pairs: ``change_log_counted``; counts per column:
-    ``change_rates``."""
+    A card key with several rows per month pairs every old row with every new row, as in the
+    studied audit.  ``pairing`` tells how the log shows them:
+
+    * ``"counted"``: equal changes are one row with their number N_PAIRS (``change_log_counted``); what a
+      key gives is bounded by its distinct values, however many rows it has.
+    * ``"all"``: one row for each pair, so the output grows with the product of the row counts.  One self-join
+      for all transitions (key + rank_b = rank_a + 1, null-safe product), then one ``explode`` over an array of
+      (column, old, new) structs filtered to the changed ones.
+    * ``"last"``: the last row (by ``order_col``) per key and month stands for the others, kept by a partial
+      ``max_by`` aggregate: at most one pair per key and transition.
+
+    Counts per column: ``change_rates``."""
+    if pairing == "counted":
+        return change_log_counted(prime, compare_cols, key_cols, months, absent)
     months = months or snapshot_months(prime, at_least=2)
     keys = list(key_cols)
     img = text_image(prime.where(F.col(keys[0]).isNotNull()), compare_cols).select(
@@ -178,7 +182,7 @@ def change_log(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PR
         last = F.max_by(F.struct(*compare_cols), F.col(order_col)).alias("_LAST")
         img = img.groupBy(*keys, "M_RANK").agg(last).select(*keys, "M_RANK", "_LAST.*")
     elif pairing != "all":
-        raise ValueError("pairing must be 'all' or 'last'")
+        raise ValueError("pairing must be 'counted', 'all' or 'last'")
     values = F.array(*compare_cols)  # all text: one column through the join, short generated code behind it
     a = img.select(*[F.col(k).alias(f"_A_{k}") for k in keys], F.col("M_RANK").alias("_A_RANK"), values.alias("_OLD"))
     b = img.select(*[F.col(k).alias(f"_B_{k}") for k in keys], F.col("M_RANK").alias("_B_RANK"), values.alias("_NEW"))

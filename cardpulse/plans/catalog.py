@@ -178,7 +178,7 @@ def q_missing_reappearance(spark, sf_dir):
 
 
 def q_change_log(spark, sf_dir):
-    return audit.change_log(fx.prime(spark, sf_dir), CHANGE_COLUMNS)
+    return audit.change_log(fx.prime(spark, sf_dir), CHANGE_COLUMNS, pairing="all")
 
 
 def q_change_rates(spark, sf_dir):
@@ -219,7 +219,7 @@ def q_label_comparison_uneven(spark, sf_dir):
 
 
 def q_change_log_uneven(spark, sf_dir):
-    return audit.change_log(fx.prime_uneven(spark, sf_dir), CHANGE_COLUMNS, absent=fx.ABSENT)
+    return audit.change_log(fx.prime_uneven(spark, sf_dir), CHANGE_COLUMNS, pairing="all", absent=fx.ABSENT)
 
 
 def q_change_rates_uneven(spark, sf_dir):

@@ -128,7 +128,7 @@ def test_change_counts_brute_force(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     rates = {(r["FROM_MONTH"], r["COLUMN"]): r["CHANGED_ROWS"]
              for r in audit.change_rates(df, ["ACTIVATED", "STATUS"]).collect()}
-    log = audit.change_log(df, ["ACTIVATED", "STATUS"])
+    log = audit.change_log(df, ["ACTIVATED", "STATUS"], pairing="all")
     log_counts = {(r["FROM_MONTH"], r["COLUMN"]): r["count"] for r in log.groupBy("FROM_MONTH", "COLUMN").count().collect()}
     brute = {}
     for a, b in itertools.product(rows, rows):
@@ -229,7 +229,7 @@ def test_change_log_last_pairing(spark):
     rows = [(M[0], 1, "1", "A", "A", "X"), (M[0], 2, "1", "A", "I", "X"), (M[1], 3, "1", "A", "D", "Y"),
             (M[1], 4, "1", "A", "I", "X")]
     df = spark.createDataFrame(rows, SCHEMA)
-    full = audit.change_log(df, ["ACTIVATED", "STATUS"])
+    full = audit.change_log(df, ["ACTIVATED", "STATUS"], pairing="all")
     assert full.count() == 5  # 2x2 pairs: A->D X->Y, A->I, I->D X->Y, no change
     last = {(r["COLUMN"], r["OLD_VALUE"], r["NEW_VALUE"]) for r in
             audit.change_log(df, ["ACTIVATED", "STATUS"], pairing="last").collect()}
