@@ -94,8 +94,9 @@ def _shift(x: Column, stream: Column) -> Column:
 def permuted(x: Column, key: str, kind: str) -> Column:
     """A Feistel permutation of the strings of digits and letters of one shape: the halves take turns, each
     shifted, character by character within its alphabet, by a keyed hash of the other."""
-    half = F.floor(F.length(x) / 2).cast("int")
-    start = F.struct(F.substring(x, F.lit(1), half).alias("a"), F.substring(x, half + 1, F.length(x)).alias("b"))
+    def halves(x: Column) -> Column:
+        half = F.floor(F.length(x) / 2).cast("int")
+        return F.struct(F.substring(x, F.lit(1), half).alias("a"), F.substring(x, half + 1, F.length(x)).alias("b"))
 
     def turn(s: Column, i: Column) -> Column:
         tweak = F.concat(F.lit(kind), i.cast("string"))
@@ -103,7 +104,7 @@ def permuted(x: Column, key: str, kind: str) -> Column:
             F.when(i % 2 == 0, _shift(s["a"], _stream(key, tweak, s["b"]))).otherwise(s["a"]).alias("a"),
             F.when(i % 2 == 1, _shift(s["b"], _stream(key, tweak, s["a"]))).otherwise(s["b"]).alias("b"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["a"], s["b"]))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), _let(x, halves), turn, lambda s: F.concat(s["a"], s["b"]))
 
 
 def permuted_number(x: Column, key: str, kind: str, sizes: tuple[int, int]) -> Column:
@@ -122,35 +123,42 @@ def permuted_number(x: Column, key: str, kind: str, sizes: tuple[int, int]) -> C
 
 def _luhn_sum(digits: Column, doubled_first: Column) -> Column:
     """Luhn sum of ``digits``; every second digit from the right is doubled, the last one if ``doubled_first``."""
-    n = F.length(digits)
+    def total(digits: Column) -> Column:
+        def add(total: Column, j: Column) -> Column:
+            d = F.substring(digits, j, F.lit(1)).cast("int")
+            twice = ((F.length(digits) - j) % 2 == 0) == doubled_first
+            return total + F.when(twice, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
 
-    def add(total: Column, j: Column) -> Column:
-        d = F.substring(digits, j, F.lit(1)).cast("int")
-        twice = ((n - j) % 2 == 0) == doubled_first
-        return total + F.when(twice, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), add)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), add)
+    return _let(digits, total)
 
 
 def _mod97(chars: Column) -> Column:
     """Remainder by 97 of a string of digits and capitals (A is 10)."""
-    def add(r: Column, j: Column) -> Column:
-        c = F.ascii(F.substring(chars, j, F.lit(1)))
-        return F.when(c < 65, (r * 10 + c - 48) % 97).otherwise((r * 100 + c - 55) % 97)
+    def remainder(chars: Column) -> Column:
+        def add(r: Column, j: Column) -> Column:
+            c = F.ascii(F.substring(chars, j, F.lit(1)))
+            return F.when(c < 65, (r * 10 + c - 48) % 97).otherwise((r * 100 + c - 55) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(chars), F.lit(1))), F.lit(0), add)
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(chars), F.lit(1))), F.lit(0), add)
+
+    return _let(chars, remainder)
 
 
 def _spelled(model: Column, chars: Column, is_char: str) -> Column:
     """``model`` with its characters of the class ``is_char`` replaced by those of ``chars`` in order."""
     other = "[^" + is_char[1:]
 
-    def put(j: Column) -> Column:
-        c = F.substring(model, j, F.lit(1))
-        k = F.length(F.regexp_replace(F.substring(model, F.lit(1), j), other, ""))
-        return F.when(c.rlike(is_char), F.substring(chars, k, F.lit(1))).otherwise(c)
+    def spelled(chars: Column) -> Column:
+        def put(j: Column) -> Column:
+            c = F.substring(model, j, F.lit(1))
+            k = F.length(F.regexp_replace(F.substring(model, F.lit(1), j), other, ""))
+            return F.when(c.rlike(is_char), F.substring(chars, k, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(model)), put), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(model)), put), "")
+    return _let(chars, spelled)
 
 
 def _day(m: Column) -> Column:
@@ -183,12 +191,12 @@ def _octet(m: Column, i: int) -> Column:
 
 
 def _card_valid(m: Column) -> Column:
-    return (F.length(_digits(m)) >= 13) & (_luhn_sum(_digits(m), F.lit(False)) % 10 == 0)
+    return _let(_digits(m), lambda d: (F.length(d) >= 13) & (_luhn_sum(d, F.lit(False)) % 10 == 0))
 
 
 def _iban_valid(m: Column) -> Column:
-    bare = F.regexp_replace(m, " ", "")
-    return (F.length(bare) >= 15) & (_mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1)
+    return _let(F.regexp_replace(m, " ", ""), lambda bare: (F.length(bare) >= 15) & (
+        _mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1))
 
 
 def _first_choice(first: Column, others: Column) -> Column:
@@ -230,10 +238,25 @@ def valid_ibans(text: Column) -> Column:
     return _let(F.regexp_extract_all(text, F.lit(IBAN_RUN), F.lit(0)), lambda runs: F.when(F.size(runs) > 0, chosen(runs)))
 
 
+def _alternatives(values: Column, depth: int = 3) -> Column:
+    """A pattern of the strings ``values`` (no pattern characters, longer than ``depth``), tried in their order.
+    Those that begin alike are grouped by their first, second and third character, so that at a place of
+    the text a few characters are tried and not every string: strings of two groups never match at one place."""
+    if depth == 0:
+        return F.array_join(values, "|")
+    heads = F.array_distinct(F.transform(values, lambda v: F.substring(v, F.lit(1), F.lit(1))))
+
+    def group(head: Column) -> Column:
+        rest = F.transform(F.filter(values, lambda v: F.startswith(v, head)), lambda v: F.substring(v, F.lit(2), F.length(v)))
+        return F.concat(head, F.lit("(?:"), _let(rest, lambda r: _alternatives(r, depth - 1)), F.lit(")"))
+
+    return F.array_join(F.transform(heads, group), "|")
+
+
 def candidate_pattern(text: Column) -> Column:
     """The pattern of the candidates of ``text``; its numbers hold digits, capitals, blanks and hyphens only."""
     def listed(numbers: Column, before: str) -> Column:
-        return _let(numbers, lambda v: F.when(F.size(v) > 0, F.concat(F.lit(before + "(?:"), F.array_join(v, "|"), F.lit(")" + NUMBER_END))))
+        return _let(numbers, lambda v: F.when(F.size(v) > 0, F.concat(F.lit(before + "(?:"), _alternatives(v), F.lit(")" + NUMBER_END))))
 
     places = iter([listed(valid_ibans(text), "(?=[A-Z]{2}[0-9]{2})"), listed(valid_cards(text), "(?<![0-9A-Za-z])(?=[0-9])")])
     return F.concat_ws("|", *[next(places) if p is None else F.lit(p) for p in CANDIDATE])
@@ -243,12 +266,11 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     """struct(kind, value) for a candidate: its pseudonym, or kind null and the candidate itself if it is none."""
     digits = _digits(m)
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new_body = permuted(body, key, "card")
-    card = F.concat(new_body, ((10 - _luhn_sum(new_body, F.lit(True)) % 10) % 10).cast("string"))
+    card = _let(permuted(body, key, "card"), lambda b: F.concat(b, ((10 - _luhn_sum(b, F.lit(True)) % 10) % 10).cast("string")))
     bare = F.regexp_replace(m, " ", "")
     bban = permuted(F.substring(bare, F.lit(5), F.length(bare)), key, "iban")
     country = F.substring(bare, 1, 2)
-    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0"), bban)
+    iban = _let(bban, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
     national = F.substring(digits, F.length(digits) - 9, F.lit(10))
     phone = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), permuted(national, key, "phone"))
     number = _octet(m, 0) * 16777216 + _octet(m, 1) * 65536 + _octet(m, 2) * 256 + _octet(m, 3)

@@ -115,3 +115,17 @@ def test_long_secrets(spark):
         assert not any(new[i:i + 12] == k[i:i + 12] for i in range(0, len(k) - 12)) and again == f'api_key: "{new}". b'
     assert run(spark, ["token = request.headers.get('x')"])[0][1] == []
     assert [k for k, _ in run(spark, ["password: ann.lee.smith12@example.com"])[0][1]] == ["email"]
+
+
+def test_a_long_text_of_numbers_takes_time_by_its_length(spark):
+    import random
+    import time
+
+    rng = random.Random(5)
+    text = " ".join(str(rng.randint(0, 9999)) for _ in range(60_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = pii.pseudonymise(df).first()
+    assert time.perf_counter() - began < 120
+    assert len(row["found"]) > 1000 and len(row["text"]) == len(text)
+    assert all(f["kind"] == "card" for f in row["found"])
