@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cardpulse.functions import contract, norm
 
@@ -15,16 +16,30 @@ _CASTERS = {
 }
 
 
+def _cast(df: DataFrame, kind: str, c: str):
+    """The cast of a column to ``kind``; numbers and dates that already are such are not read from their texts again."""
+    have = df.schema[c].dataType
+    if kind == "date" and isinstance(have, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.col(c).cast("date")
+    if kind == "float" and isinstance(have, T.NumericType):
+        x = F.col(c).cast("double")
+        return F.when(F.abs(x) < F.lit(float("inf")), x)
+    if kind == "int" and isinstance(have, T.IntegralType):
+        return F.col(c).cast("bigint")
+    return _CASTERS[kind](c)
+
+
 def cast_and_report(df: DataFrame, plan: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
     """Apply the typed contract (columns absent from ``df`` are skipped) and report, per
     column, nulls before and after the cast and the share missing afterwards.
     One aggregate computes all counters."""
     present = [(t, c) for t, cols in plan.items() for c in cols if c in df.columns]
-    casted = df.withColumns({c: _CASTERS[t](c) for t, c in present})
+    casts = {c: _cast(df, t, c) for t, c in present}
+    casted = df.withColumns(casts)
     cols = []
     for i, (t, c) in enumerate(present):
         cols.append(F.count_if(F.col(c).isNull()).alias(f"b{i}"))
-        cols.append(F.count_if(_CASTERS[t](c).isNull()).alias(f"a{i}"))
+        cols.append(F.count_if(casts[c].isNull()).alias(f"a{i}"))
     agg = df.agg(F.count(F.lit(1)).alias("_N"), *cols)
     rows = F.array(*[F.struct(F.lit(c).alias("COLUMN_NAME"), F.lit(t).alias("CAST_TYPE"),
                               F.col(f"b{i}").alias("NULLS_BEFORE"), F.col(f"a{i}").alias("NULLS_AFTER"),
@@ -48,7 +63,7 @@ def date_format_votes(df: DataFrame, columns: list[str], candidates: list[str] =
     for i, c in enumerate(columns):
         x = norm.strip(F.col(c).cast("string"))
         texts[f"_t{i}"] = F.when(x != "", x)
-        days |= {f"_d{i}_{j}": F.try_to_timestamp(F.col(f"_t{i}"), F.lit(f)).cast("date") for j, f in enumerate(candidates)}
+        days |= {f"_d{i}_{j}": norm.read_as(F.col(f"_t{i}"), f).cast("date") for j, f in enumerate(candidates)}
     read = df.select(*[e.alias(n) for n, e in texts.items()]).withColumns(days)
     aggs = []
     for i in range(len(columns)):

@@ -528,20 +528,32 @@ def _scaled(spark, sf_dir):
 _FITS: dict[tuple, tuple] = {}
 
 
-def _fit(spark, sf_dir):
-    """(features, scaled features, table of scores, model) of a folder, fitted once in a session for all queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _once(spark, sf_dir, what, make):
+    """``make()`` once in a session for all queries on the folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _FITS:
-        raw = _kept(_seg_input(spark, sf_dir))
-        scaled = _kept(segment.robust_scale(raw, SEG_COLUMNS))
-        table, _, model = segment.fit_best(scaled, SEG_COLUMNS, "RIMNO", (2, 8))
-        _FITS[key] = raw, scaled, table, model
+        _FITS[key] = make()
     return _FITS[key]
 
 
+def _seg_tables(spark, sf_dir):
+    """(features, scaled features) of a folder, written once in a session."""
+    def make():
+        raw = _kept(_seg_input(spark, sf_dir))
+        return raw, _kept(segment.robust_scale(raw, SEG_COLUMNS))
+    return _once(spark, sf_dir, "tables", make)
+
+
+def _fit(spark, sf_dir):
+    """(table of scores, model) of a folder, fitted once in a session."""
+    def make():
+        table, _, model = segment.fit_best(_seg_tables(spark, sf_dir)[1], SEG_COLUMNS, "RIMNO", (2, 8))
+        return table, model
+    return _once(spark, sf_dir, "fit", make)
+
+
 def _segments(spark, sf_dir):
-    _, scaled, _, model = _fit(spark, sf_dir)
-    return segment.gmm_segments(scaled, SEG_COLUMNS, "RIMNO", model=model)
+    return segment.gmm_segments(_seg_tables(spark, sf_dir)[1], SEG_COLUMNS, "RIMNO", model=_fit(spark, sf_dir)[1])
 
 
 def _with_vec(df):
@@ -553,7 +565,7 @@ def q_robust_scale(spark, sf_dir):
 
 
 def q_best_k(spark, sf_dir):
-    return _fit(spark, sf_dir)[2]
+    return _fit(spark, sf_dir)[0]
 
 
 def q_segments(spark, sf_dir):
@@ -567,14 +579,14 @@ def q_local_outliers(spark, sf_dir):
 
 
 def q_global_outliers(spark, sf_dir):
-    sc = _kept(_with_vec(_fit(spark, sf_dir)[1]).select("RIMNO", "VEC"))
+    sc = _kept(_with_vec(_seg_tables(spark, sf_dir)[1]).select("RIMNO", "VEC"))
     scored = segment.isolation_scores(sc, "RIMNO", "VEC")
     return segment.flag_outliers(scored, GLOBAL_SHARE, None, "IS_GLOBAL_OUTLIER")
 
 
 def _flags(spark, sf_dir):
     """The segmentation input, written once, and its cluster and outlier labels."""
-    raw = _fit(spark, sf_dir)[0]
+    raw = _seg_tables(spark, sf_dir)[0]
     clustered = _kept(_segments(spark, sf_dir))
     return raw, segment.outlier_flags(clustered, "RIMNO", SEG_COLUMNS, LOCAL_SHARE, GLOBAL_SHARE)
 
@@ -588,7 +600,7 @@ def q_cluster_profile(spark, sf_dir):
 def q_band_profile(spark, sf_dir):
     """The cluster profile over a grouping that SQL knows: customers by number of transactions, outliers those of
     an average above 45,000."""
-    raw = _fit(spark, sf_dir)[0]
+    raw = _seg_tables(spark, sf_dir)[0]
     labels = raw.select("RIMNO", F.floor(F.col("TXN_COUNT") / 10).cast("int").alias("CLUSTER"), (F.col("AVG_TXN") > 45000).alias("IS_OUTLIER"))
     out = segment.cluster_profile(raw, labels, "RIMNO", SEG_COLUMNS)
     return out.select("CLUSTER", "N", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("CLUSTER", "N")])

@@ -91,7 +91,7 @@ def _derived(spark: SparkSession, sf_dir: str, name: str, text: str, tables: lis
     if key not in _DERIVED:
         df = spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
         path = scratch_path(spark)
-        df.write.parquet(path)
+        df.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)    # so that a scan uses every core
         _DERIVED[key] = spark.read.schema(df.schema).parquet(path)
     return _DERIVED[key]
 
