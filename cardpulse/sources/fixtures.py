@@ -82,16 +82,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _DERIVED: dict[tuple[str, str, str], DataFrame] = {}
+FEW_ROWS = 1 << 22
 
 
 def _derived(spark: SparkSession, sf_dir: str, name: str, text: str, tables: list[str]) -> DataFrame:
     """The input that ``text`` derives from whole driver tables, written once in a session for all queries on the
-    folder (as a Parquet table in the shared scratch folder, so scans of it are pruned as usual)."""
+    folder (as a Parquet table in the shared scratch folder, so scans of it are pruned as usual).
+
+    Rows are written as the last join leaves them, without a shuffle of their own; only a table of few rows, which may
+    come from fewer tasks than there are cores, is dealt out over the cores.  ``tables`` begins with the one that has a
+    row for each row of the input."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _DERIVED:
         df = spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
         path = scratch_path(spark)
-        df.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)    # so that a scan uses every core
+        few = table(spark, sf_dir, tables[0]).count() < FEW_ROWS                      # from the files' footers
+        (df.repartition(spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
         _DERIVED[key] = spark.read.schema(df.schema).parquet(path)
     return _DERIVED[key]
 

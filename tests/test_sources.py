@@ -145,3 +145,17 @@ def test_date_formats_are_voted(spark, tmp_dir):
     assert [str(r["DAYS"]) for r in typed.select("DAYS").distinct().orderBy("DAYS").collect()] == ["2025-02-13", "2025-04-03"]
     assert [r["ISO"] for r in typed.where("ISO IS NULL").collect()] == [None]
     assert quality.date_format_votes(df, []).count() == 0 and quality.date_format_votes(df.limit(0), ["ISO"]).count() == 10
+
+
+def test_inputs_of_many_rows_are_written_without_a_shuffle_of_their_own(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from cardpulse.sources import fixtures as fx
+
+    plain = fx.prime_raw(spark, "/root/testdata/sf0.001").select("ROW_ID", "RIMNO", "SNAP_MONTH")
+    monkeypatch.setattr(fx, "_DERIVED", {})
+    monkeypatch.setattr(fx, "FEW_ROWS", 0)
+    dealt = []
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *a: dealt.append(a) or self)
+    large = fx.prime_raw(spark, "/root/testdata/sf0.001").select("ROW_ID", "RIMNO", "SNAP_MONTH")
+    assert not dealt and sorted(map(str, large.collect())) == sorted(map(str, plain.collect()))
