@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cardpulse.functions.monthmask import has, mask_of, patterns, presence_masks, ranks_of
 from cardpulse.functions.months import rank_expr, snapshot_months
+from cardpulse.session import checkpoint_dir
+
+HOT_ROWS = 256      # an id with more rows is paired by value counts, or by a join that splits skewed partitions
 
 
 def _rank_label(months: list[dt.date], rank_col):
@@ -176,20 +179,63 @@ def change_log(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PR
         return change_log_counted(prime, compare_cols, key_cols, months, absent)
     months = months or snapshot_months(prime, at_least=2)
     keys = list(key_cols)
-    img = text_image(prime.where(F.col(keys[0]).isNotNull()), compare_cols).select(
-        *keys, rank_expr(months).alias("M_RANK"), *compare_cols, *([order_col] if pairing == "last" else []))
     if pairing == "last":
+        img = text_image(prime.where(F.col(keys[0]).isNotNull()), compare_cols).select(
+            *keys, rank_expr(months).alias("M_RANK"), *compare_cols, order_col)
         last = F.max_by(F.struct(*compare_cols), F.col(order_col)).alias("_LAST")
         img = img.groupBy(*keys, "M_RANK").agg(last).select(*keys, "M_RANK", "_LAST.*")
-    elif pairing != "all":
+        return _changes(_pairs(img, compare_cols, keys), compare_cols, keys, months, absent)
+    if pairing != "all":
         raise ValueError("pairing must be 'counted', 'all' or 'last'")
+    rows, hot = _by_heat(prime, compare_cols, keys, months)
+    out = _changes(_near_pairs(rows, compare_cols, keys), compare_cols, keys, months, absent)
+    if hot is not None:
+        out = out.union(_changes(_pairs(text_image(hot, compare_cols), compare_cols, keys), compare_cols, keys, months, absent))
+    return out
+
+
+def _by_heat(prime: DataFrame, compare_cols: list[str], keys: list[str], months: list[dt.date]) -> tuple[DataFrame, DataFrame | None]:
+    """(keys, M_RANK, compared columns) of the rows with an id and a month: those of ids with at most ``HOT_ROWS``
+    rows, and the others (None if there are none)."""
+    rows = prime.where(F.col(keys[0]).isNotNull()).select(*keys, rank_expr(months).alias("M_RANK"), *compare_cols).where("M_RANK IS NOT NULL")
+    per = rows.groupBy(F.col(keys[0]).alias("_HOT")).agg(F.count(F.lit(1)).alias("_N")).where(F.col("_N") > HOT_ROWS).select("_HOT")
+    checkpoint_dir(prime.sparkSession)
+    ids = per.checkpoint(eager=True)        # one id in HOT_ROWS rows at most
+    if ids.isEmpty():
+        return rows, None
+    return (rows.join(ids, F.col(keys[0]) == F.col("_HOT"), "left_anti"), rows.join(ids, F.col(keys[0]) == F.col("_HOT"), "left_semi"))
+
+
+def _sides(img: DataFrame, compare_cols: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
     values = F.array(*compare_cols)  # all text: one column through the join, short generated code behind it
-    a = img.select(*[F.col(k).alias(f"_A_{k}") for k in keys], F.col("M_RANK").alias("_A_RANK"), values.alias("_OLD"))
-    b = img.select(*[F.col(k).alias(f"_B_{k}") for k in keys], F.col("M_RANK").alias("_B_RANK"), values.alias("_NEW"))
+    return (img.select(*keys, F.col("M_RANK").alias("_A_RANK"), values.alias("_OLD")),
+            img.select(*[F.col(k).alias(f"_B_{k}") for k in keys], F.col("M_RANK").alias("_B_RANK"), values.alias("_NEW")))
+
+
+def _pairs(img: DataFrame, compare_cols: list[str], keys: list[str]) -> DataFrame:
+    """(keys, _A_RANK, _OLD, _NEW): every row of a month with every row of the same key in the next, by one join on all of them."""
+    a, b = _sides(img, compare_cols, keys)
     cond = F.col("_B_RANK") == F.col("_A_RANK") + 1
     for k in keys:
-        cond = cond & F.col(f"_A_{k}").eqNullSafe(F.col(f"_B_{k}"))
-    pairs = a.join(b, cond, "inner")
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_B_{k}"))
+    return a.join(b, cond, "inner").select(*keys, "_A_RANK", "_OLD", "_NEW")
+
+
+def _near_pairs(rows: DataFrame, compare_cols: list[str], keys: list[str]) -> DataFrame:
+    """As ``_pairs``, for ids of few rows: the typed rows move once, by their id, and are put as text, joined and
+    later grouped where they are.  The id alone decides where rows meet; product and month are conditions on rows that met.
+    The number of partitions is fixed: merged by the size of their compressed rows they would not fit a task as texts."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = _sides(text_image(rows.repartition(n, keys[0]), compare_cols), compare_cols, keys)
+    cond = (F.col(keys[0]) == F.col(f"_B_{keys[0]}")) & (F.col("_B_RANK") - F.col("_A_RANK") == 1)
+    for k in keys[1:]:
+        x, y = F.col(k), F.col(f"_B_{k}")
+        cond = cond & (F.coalesce(x == y, F.lit(False)) | (x.isNull() & y.isNull()))
+    return a.hint("merge").join(b, cond, "inner").select(*keys, "_A_RANK", "_OLD", "_NEW")
+
+
+def _changes(pairs: DataFrame, compare_cols: list[str], keys: list[str], months: list[dt.date], absent: Absent | None) -> DataFrame:
+    """One row for each change of a pair."""
     names = F.array(*[F.lit(c) for c in compare_cols])
     changes = F.transform(F.sequence(F.lit(0), F.lit(len(compare_cols) - 1)), lambda i: F.struct(
         F.get(names, i).alias("COLUMN"), F.get(F.col("_OLD"), i).alias("OLD_VALUE"), F.get(F.col("_NEW"), i).alias("NEW_VALUE")))
@@ -202,18 +248,17 @@ def change_log(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PR
         return out
 
     changed = F.filter(changes, differs)
-    return (pairs.select(*[F.col(f"_A_{k}").alias(k) for k in keys], "_A_RANK", F.explode(changed).alias("_CH"))
+    return (pairs.select(*keys, "_A_RANK", F.explode(changed).alias("_CH"))
             .select(*keys, "_CH.OLD_VALUE", "_CH.NEW_VALUE", "_CH.COLUMN",
                     _rank_label(months, F.col("_A_RANK")).alias("FROM_MONTH"),
                     _rank_label(months, F.col("_A_RANK") + 1).alias("TO_MONTH")))
 
 
-def value_counts(prime: DataFrame, compare_cols: list[str], key_cols, months: list[dt.date]) -> DataFrame:
-    """(key, COLUMN, VALUE) -> rows per month (c1, c2, ...), rows without an id left out: a hot key
+def value_counts(rows: DataFrame, compare_cols: list[str], key_cols, months: list[dt.date]) -> DataFrame:
+    """(key, COLUMN, VALUE) -> rows per month (c1, c2, ...) of (keys, M_RANK, compared columns): a hot key
     collapses to its distinct values before the shuffle."""
     keys = list(key_cols)
-    img = text_image(prime.where(F.col(keys[0]).isNotNull()), compare_cols).select(*keys, rank_expr(months).alias("M_RANK"), *compare_cols)
-    long = img.select(*keys, "M_RANK",
+    long = text_image(rows, compare_cols).select(*keys, "M_RANK",
                       F.explode(F.array(*[F.struct(F.lit(c).alias("COLUMN"), F.col(c).alias("VALUE"))
                                           for c in compare_cols])).alias("_KV")) \
         .select(*keys, "M_RANK", "_KV.COLUMN", "_KV.VALUE")
@@ -221,42 +266,72 @@ def value_counts(prime: DataFrame, compare_cols: list[str], key_cols, months: li
         *[F.count_if(F.col("M_RANK") == i).alias(f"c{i}") for i in range(1, len(months) + 1)])
 
 
-def change_counts(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
-                  months: list[dt.date] | None = None, absent: Absent | None = None) -> DataFrame:
-    """Exact changed-pair counts without materialising row pairs and without joins.
+def _hot_counts(hot: DataFrame, compare_cols: list[str], keys: list[str], months: list[dt.date]) -> DataFrame:
+    """``change_counts`` of ids with many rows, without row pairs.
 
     For a card key with ``n_m`` rows in month m and ``n_{m+1}`` in month m+1 there are
     ``n_m * n_{m+1}`` matched pairs; the pairs whose values agree in a column are
     ``sum_v c_{v,m} * c_{v,m+1}`` over that column's values v (null equals null, as a
     group key).  Two partial aggregates give everything: the value counts, and per
-    (key, column) ``n_m = sum_v c_{v,m}`` and ``same_m = sum_v c_{v,m} c_{v,m+1}``.
-
-    Returns per key, transition and column PAIRS and CHANGED (0 where a month lacks the
-    column); PAIRS does not depend on the column."""
-    months = months or snapshot_months(prime, at_least=2)
-    keys = list(key_cols)
+    (key, column) ``n_m = sum_v c_{v,m}`` and ``same_m = sum_v c_{v,m} c_{v,m+1}``."""
     m = len(months)
-    per_col = value_counts(prime, compare_cols, key_cols, months).groupBy(*keys, "COLUMN").agg(
+    per_col = value_counts(hot, compare_cols, keys, months).groupBy(*keys, "COLUMN").agg(
         *[F.sum(f"c{i}").alias(f"n{i}") for i in range(1, m + 1)],
         *[F.sum(F.col(f"c{i}") * F.col(f"c{i + 1}")).alias(f"s{i}") for i in range(1, m)])
     trans = F.array(*[F.struct(F.lit(i).alias("A_RANK"), (F.col(f"n{i}") * F.col(f"n{i + 1}")).alias("PAIRS"),
                                (F.col(f"n{i}") * F.col(f"n{i + 1}") - F.col(f"s{i}")).alias("CHANGED"))
                       for i in range(1, m)])
-    out = per_col.select(*keys, "COLUMN", F.explode(trans).alias("_T")).select(*keys, "COLUMN", "_T.*").where(F.col("PAIRS") > 0)
+    return per_col.select(*keys, "COLUMN", F.explode(trans).alias("_T")).select(*keys, "COLUMN", "_T.*").where(F.col("PAIRS") > 0)
+
+
+def _near_counts(rows: DataFrame, compare_cols: list[str], keys: list[str]) -> DataFrame:
+    """``change_counts`` of ids with few rows: their pairs, counted where they meet."""
+    per = (_near_pairs(rows, compare_cols, keys).groupBy(*keys, F.col("_A_RANK").alias("A_RANK"))
+           .agg(F.count(F.lit(1)).alias("PAIRS"), *[F.count_if(~F.get("_OLD", F.lit(i)).eqNullSafe(F.get("_NEW", F.lit(i)))).alias(f"_d{i}")
+                                                    for i in range(len(compare_cols))]))
+    columns = F.array(*[F.struct(F.lit(c).alias("COLUMN"), F.col(f"_d{i}").alias("CHANGED")) for i, c in enumerate(compare_cols)])
+    return per.select(*keys, "A_RANK", "PAIRS", F.explode(columns).alias("_T")).select(*keys, "_T.COLUMN", "A_RANK", "PAIRS", "_T.CHANGED")
+
+
+def _count_parts(prime: DataFrame, compare_cols: list[str], key_cols, months: list[dt.date], absent: Absent | None) -> list[DataFrame]:
+    """``change_counts`` in one or two parts; an id is wholly in one of them."""
+    keys = list(key_cols)
+    rows, hot = _by_heat(prime, compare_cols, keys, months)
+    parts = [_near_counts(rows, compare_cols, keys)] + ([] if hot is None else [_hot_counts(hot, compare_cols, keys, months)])
     compared = F.lit(True)
     for c in compare_cols:
         compared = F.when(F.col("COLUMN") == c, _compared(c, F.col("A_RANK"), months, absent)).otherwise(compared)
-    return out.withColumn("CHANGED", F.when(compared, F.col("CHANGED")).otherwise(0))
+    return [part.withColumn("CHANGED", F.when(compared, F.col("CHANGED")).otherwise(0)) for part in parts]
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def change_counts(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
+                  months: list[dt.date] | None = None, absent: Absent | None = None) -> DataFrame:
+    """Exact changed-pair counts per key, transition and column: PAIRS and CHANGED (0 where a month lacks the
+    column); PAIRS does not depend on the column.
+
+    Rows of an id with at most ``HOT_ROWS`` rows move once, by the id, and are paired and counted there; an id with
+    more is counted by its values (``_hot_counts``), never by pairs of its rows."""
+    return _together(_count_parts(prime, compare_cols, key_cols, months or snapshot_months(prime, at_least=2), absent))
 
 
 def change_log_counted(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
                        months: list[dt.date] | None = None, absent: Absent | None = None) -> DataFrame:
-    """The change log with equal (key, transition, column, old, new) rows made one and their number
-    N_PAIRS: values meet with their row counts, so a key's output is bounded by its distinct values."""
+    """The change log with equal (key, transition, column, old, new) rows made one and their number N_PAIRS.  Ids
+    of few rows are paired where their rows meet and equal changes counted there; for the others values meet with their
+    row counts, so a key's output is bounded by its distinct values."""
     months = months or snapshot_months(prime, at_least=2)
     keys = list(key_cols)
+    few, hot = _by_heat(prime, compare_cols, keys, months)
+    changes = _changes(_near_pairs(few, compare_cols, keys), compare_cols, keys, months, absent)
+    out = changes.groupBy(*changes.columns).agg(F.count(F.lit(1)).alias("N_PAIRS"))
+    if hot is None:
+        return out
     m = len(months)
-    per_val = value_counts(prime, compare_cols, key_cols, months)
+    per_val = value_counts(hot, compare_cols, keys, months)
     side = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("RANK"), F.col(f"c{i}").alias("N")) for i in range(1, m + 1)]),
                               lambda x: x["N"] > 0)).alias("_S")
     rows = per_val.select(*keys, "COLUMN", "VALUE", side).select(*keys, "COLUMN", "VALUE", "_S.RANK", "_S.N")
@@ -269,9 +344,9 @@ def change_log_counted(prime: DataFrame, compare_cols: list[str], key_cols=("RIM
     compared = F.lit(True)
     for c in compare_cols:
         compared = F.when(F.col("COLUMN") == c, _compared(c, F.col("A_RANK"), months, absent)).otherwise(compared)
-    return a.join(b, cond).where(compared).select(
+    return out.union(a.join(b, cond).where(compared).select(
         *keys, "OLD_VALUE", "NEW_VALUE", "COLUMN", _rank_label(months, F.col("A_RANK")).alias("FROM_MONTH"),
-        _rank_label(months, F.col("A_RANK") + 1).alias("TO_MONTH"), (F.col("_N_OLD") * F.col("N")).alias("N_PAIRS"))
+        _rank_label(months, F.col("A_RANK") + 1).alias("TO_MONTH"), (F.col("_N_OLD") * F.col("N")).alias("N_PAIRS")))
 
 
 def change_rates(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO", "PRODUCT_NAME"),
@@ -292,14 +367,17 @@ def change_summary(prime: DataFrame, compare_cols: list[str], key_cols=("RIMNO",
     """Per column over all transitions: total changes, distinct ids affected and their
     percent of all distinct card keys that were matched at least once (half-even, 2 dp).
     Every matched key has a row for each column, so the tracked count comes from the same
-    aggregate."""
+    aggregate.  Keys are counted, then their ids, where they are; only counts per column move."""
     months = months or snapshot_months(prime, at_least=2)
     keys = list(key_cols)
-    per_key = (change_counts(prime, compare_cols, key_cols, months, absent).groupBy("COLUMN", *keys)
-               .agg(F.sum("CHANGED").alias("_CHANGED")))
-    summ = (per_key.groupBy("COLUMN")
-            .agg(F.sum("_CHANGED").alias("total_changes"), F.count(F.lit(1)).alias("TRACKED"),
-                 F.countDistinct(F.when(F.col("_CHANGED") > 0, F.col(keys[0]))).alias("unique_pairs_affected"))
+
+    def per_id(part: DataFrame) -> DataFrame:
+        per_key = part.groupBy("COLUMN", *keys).agg(F.sum("CHANGED").alias("_CHANGED"))
+        return per_key.groupBy("COLUMN", keys[0]).agg(F.sum("_CHANGED").alias("_CHANGED"), F.count(F.lit(1)).alias("_KEYS"))
+
+    summ = (_together([per_id(part) for part in _count_parts(prime, compare_cols, keys, months, absent)]).groupBy("COLUMN")
+            .agg(F.sum("_CHANGED").alias("total_changes"), F.sum("_KEYS").alias("TRACKED"),
+                 F.count_if(F.col("_CHANGED") > 0).alias("unique_pairs_affected"))
             .where("total_changes > 0"))
     return summ.select("COLUMN", F.col("total_changes").cast("bigint"), F.col("unique_pairs_affected").cast("bigint"),
                        F.bround(F.col("unique_pairs_affected") * 100.0 / F.col("TRACKED"), 2).alias("pct_pairs_affected"))

@@ -256,3 +256,26 @@ def test_ids_that_are_no_number_are_no_customer(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("DOB", F.lit(None).cast("date"))
     got = {r["ROW_ID"]: (r["RIMNO"], r["CUSTOMER_ID"]) for r in identity.assign_customer_ids(df).collect()}
     assert got[2][0] == "17" and got[1][0] is None and got[1][1] == got[3][1] != got[2][1]
+
+
+def test_change_audits_of_hot_and_other_ids_agree(spark, monkeypatch):
+    """Ids of few rows are paired where they meet, others by value counts or a plain join: equal rows either way, and together."""
+    rows = [(m, i, p, ("A", "B", None)[(n + m.month) % 3], n % 2 * 0.5) for m in (dt.date(2025, 1, 1), dt.date(2025, 2, 1), dt.date(2025, 3, 1))
+            for i, k in (("1", 5), ("2", 2), ("3", 1), (None, 2)) for p in ("X", None) for n in range(k)]
+    df = spark.createDataFrame(rows, "SNAP_MONTH date, RIMNO string, PRODUCT_NAME string, S string, D double").withColumn("ROW_ID", F.monotonically_increasing_id())
+    absent = {dt.date(2025, 3, 1): {"D"}}
+    results = []
+    for most in (0, 7, 100):                     # all hot, one id hot, none
+        monkeypatch.setattr(audit, "HOT_ROWS", most)
+        results.append([sorted(map(str, f(df, ["S", "D"], absent=absent).collect())) for f in (
+            audit.change_rates, audit.change_summary, audit.change_log_counted, lambda *a, **k: audit.change_log(*a, pairing="all", **k))])
+    assert results[0] == results[1] == results[2] and all(results[0])
+
+
+def test_change_counts_move_rows_once(spark):
+    """Rows of few-row ids are not exploded by column before they move: one exchange by the id, read by both sides."""
+    rows = [(dt.date(2025, m, 1), str(i), "X", "A") for m in (1, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "SNAP_MONTH date, RIMNO string, PRODUCT_NAME string, S string")
+    plan = audit.change_counts(df, ["S"])._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("SortMergeJoin"):]
+    assert "Generate" not in below and "REPARTITION_BY_NUM" in below
