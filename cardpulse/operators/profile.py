@@ -67,9 +67,9 @@ def heavy_hitters(df: DataFrame, col: str, k: int, size: int = SUMMARY_SIZE, rep
     One scan gives summaries of the tasks.  With E the sum of their errors and L the k-th greatest lower bound,
     a value whose lower bound plus E is below L cannot be among the first k, nor tie with them; if E itself is
     below L that holds for all values that no task kept.  Then the values left are counted exactly in a second scan.
-    Otherwise the summaries are widened fourfold and taken again; where even ``WIDEST_SUMMARY`` values do
-    not decide (all values are about equally rare), all values are counted.  Neither way shuffles the values
-    of a column with many, except the last."""
+    Otherwise the summaries are widened fourfold and taken again; where ``WIDEST_SUMMARY`` values do not decide, or
+    cannot be expected to (errors shrink about as summaries widen, and E is that many times L and more: all values are
+    about equally rare), all values are counted.  Neither way shuffles the values of a column with many, except the last."""
     text = F.col(col).cast("string").alias("VALUE")
     while size <= WIDEST_SUMMARY:
         marks = _written(frequent_items(df, col, size))
@@ -87,6 +87,8 @@ def heavy_hitters(df: DataFrame, col: str, k: int, size: int = SUMMARY_SIZE, rep
             counts = (df.where(F.col(col).isNotNull()).select(text).join(left, F.col("VALUE") == F.col("_V"), "left_semi")
                       .groupBy("VALUE").agg(F.count(F.lit(1)).alias("N")))
             return counts.orderBy(F.desc("N"), F.asc("VALUE")).limit(k)
+        if error >= max(least, 1) * (WIDEST_SUMMARY // size):
+            break
         size *= 4
     if report is not None:
         report.update(size=None, error=None, scans=None)

@@ -82,3 +82,14 @@ def test_one_plan_for_all_pairs(spark):
     assert g[:3, :3].tolist() == [[2, 2, 1], [2, 3, 2], [1, 2, 2]]
     assert [tuple(r) for r in profile.correlation(df, ["A", "B", "Z"]).collect()] == [("B", "A", -1.0)]
     assert profile.correlation(df.limit(0), ["A", "B"]).first()["CORR"] is None
+
+
+def test_heavy_hitters_of_equally_rare_values_take_one_summary(spark, monkeypatch):
+    """Summaries that no widening can make decide are not taken again: one scan, then all values are counted."""
+    taken = []
+    whole = profile.frequent_items
+    monkeypatch.setattr(profile, "WIDEST_SUMMARY", 64)
+    monkeypatch.setattr(profile, "frequent_items", lambda df, col, size: taken.append(size) or whole(df, col, size))
+    df = spark.range(60_000).select(F.col("id").cast("string").alias("A"))
+    assert got(profile.heavy_hitters(df, "A", 3, 16)) == [("0", 1), ("1", 1), ("10", 1)]
+    assert taken == [16]
