@@ -73,3 +73,29 @@ def test_hostile_rows(spark):
     long = suffix.without_repeats(hostile(spark)).where("doc_id in (6, 7)").collect()
     assert [r["n_removed"] == r["n_bytes"] for r in long] == [True, True]
     assert suffix.without_repeats(empty(spark)).count() == 0
+
+
+def test_stretches_of_many_windows_stay_in_arrays(spark):
+    """A class of a hot gram has up to a stretch for every offset; as Python rows a task's classes took over a gigabyte."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    rows = [(k, sorted({(int(a), int(a + rng.integers(1, 9))) for a in rng.integers(0, 90, rng.integers(1, 12))})) for k in range(3000)]
+    plain = {}
+    for k, spans in rows:
+        for a, b in spans:
+            if k in plain and a <= plain[k][-1][1]:
+                plain[k][-1][1] = max(plain[k][-1][1], b)
+            else:
+                plain.setdefault(k, []).append([a, b])
+    df = spark.createDataFrame([(k, a, b) for k, spans in rows for a, b in spans], "k long, j long, b long").withColumnsRenamed({"j": "a"})
+    got = suffix._merged(df.withColumn("j", df.k), ["k", "j"])
+    assert {r["k"]: [[s["a"], s["b"]] for s in r["spans"]] for r in got.collect()} == plain
+
+    key = np.repeat(np.arange(suffix.MERGED_KEYS), 369)
+    a = np.tile(np.arange(0, 738, 2), suffix.MERGED_KEYS)
+    tracemalloc.start()
+    merged = suffix.merged_stretches(key, a, a + 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merged[0]) == len(key) and peak < 120 * len(key)
