@@ -56,6 +56,16 @@ def norm_id(c) -> Column:
     """Canonical text id: trimmed, thousands separators dropped, leading zeros and a
     trailing ``.0`` removed from all-digit ids, blank -> null."""
     x = F.translate(strip(F.col(c).cast("string") if isinstance(c, str) else c.cast("string")), ",", "")
+    return once(x, _canonical_id)
+
+
+def once(x: Column, make) -> Column:
+    """``make(x)`` with ``x`` worked out once a row, however often ``make`` names it.  A filter on a column made by nested
+    ``when``s works out each mention by itself, and every level doubles them."""
+    return F.get(F.transform(F.array(x), make), 0)
+
+
+def _canonical_id(x: Column) -> Column:
     # the regular expressions only run on the rare ids that need them
     x = F.when(F.instr(x, ".") > 0, F.regexp_replace(x, r"^(\d+)\.0+$", "$1")).otherwise(x)
     x = F.when(F.startswith(x, F.lit("0")), F.regexp_replace(x, r"^0+(\d)", "$1")).otherwise(x)
@@ -65,8 +75,7 @@ def norm_id(c) -> Column:
 def numeric_id(c) -> Column:
     """An id that is all digits, else null: surrogate numbering and transaction mapping know
     numeric ids only."""
-    x = _c(c)
-    return F.when(x.rlike(r"^\d+$"), x)
+    return once(_c(c), lambda x: F.when(x.rlike(r"^\d+$"), x))
 
 
 def try_double(c) -> Column:

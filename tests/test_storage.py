@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from cardpulse.functions import norm
 from cardpulse.operators import identity
 from cardpulse.sources import storage
 
@@ -72,3 +73,14 @@ def test_empty_tables(spark):
     prime, txn = tables(spark, 5)
     got = storage.identify(prime.limit(0), txn.limit(0), buckets=4)
     assert got.segmented.count() == 0 and got.mapped.count() == 0
+
+
+def test_filters_on_ids_work_out_a_raw_id_few_times(spark):
+    """Every mention of the raw id in a plan is trimmed anew for each row: there were over twenty."""
+    raw = spark.createDataFrame([(" 1,234 ",), ("007.0",), ("0",), ("x9",), ("",), (" ",), (None,), ("12.5",), ("00x",)], "RIMNO string")
+    ids = raw.withColumn("RIMNO", norm.norm_id("RIMNO")).withColumn("RIMNO", norm.numeric_id("RIMNO"))
+    kept = ids.where(F.col("RIMNO").isNotNull() & ~F.col("RIMNO").isin(["5"]))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") <= 4, plan
+    assert [r[0] for r in kept.collect()] == ["1234", "7", "0"]
+    assert [r[0] for r in raw.select(norm.norm_id("RIMNO")).collect()] == ["1234", "7", "0", "x9", None, None, None, "12.5", "0x"]
