@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cardpulse.llm import suffix
@@ -99,3 +100,49 @@ def test_stretches_of_many_windows_stay_in_arrays(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(merged[0]) == len(key) and peak < 120 * len(key)
+
+
+def _captured(spark, monkeypatch, made):
+    """The function that ``made`` hands to mapInArrow."""
+    held = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema, *more: held.append(f) or self)
+    made()
+    return held[-1]
+
+
+def _peak(run, batch):
+    import tracemalloc
+
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return rows, peak
+
+
+def test_a_batch_of_texts_is_looked_at_in_small_parts(spark, monkeypatch):
+    """Arrow hands over 10,000 rows at a time; with all their texts as Python bytes and arrays over 4 MB a worker took 450 MB."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(4000)]
+    docs, number = spark.range(1).selectExpr("id as doc_id", "'' as text"), pa.array(range(len(texts)))
+    spans = "array(struct(500L as a, 900L as b))"
+    at = "array(struct(600L as pos, 5 as near, 9 as far, 1L as gram, x'00' as cls, 1L as n))"
+
+    run = _captured(spark, monkeypatch, lambda: suffix.anchor_table(docs))
+    rows, peak = _peak(run, pa.RecordBatch.from_arrays([number, number, pa.array(texts)], ["_id", "_hash", "text"]))
+    assert rows > len(texts) and peak < 48 << 20
+
+    listed = pa.array([[{"pos": 600, "near": 5, "far": 9, "gram": 1, "cls": b"0", "n": 1}]] * len(texts),
+                      pa.list_(pa.struct([("pos", pa.int64()), ("near", pa.int32()), ("far", pa.int32()), ("gram", pa.int64()),
+                                          ("cls", pa.binary()), ("n", pa.int64())])))
+    wanted = docs.selectExpr("doc_id as _id", "xxhash64(text) as _hash", f"explode({at}) as s").select("_id", "_hash", "s.*")
+    run = _captured(spark, monkeypatch, lambda: suffix._contexts(docs, wanted, 400))
+    rows, peak = _peak(run, pa.RecordBatch.from_arrays([pa.array(texts), listed], ["text", "at"]))
+    assert rows == len(texts) and peak < 12 << 20
+
+    monkeypatch.setattr(suffix, "materialise", lambda df: df)
+    monkeypatch.setattr(suffix, "repeated", lambda docs, *a: docs.selectExpr("doc_id as _id", "xxhash64(text) as _hash", f"{spans} as spans"))
+    run = _captured(spark, monkeypatch, lambda: suffix.without_repeats(docs))
+    gone = pa.array([[{"a": 500, "b": 900}]] * len(texts))
+    rows, peak = _peak(run, pa.RecordBatch.from_arrays([number, pa.array(texts), gone], ["doc_id", "text", "spans"]))
+    assert rows == len(texts) and peak < 12 << 20
